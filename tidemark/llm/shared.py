@@ -1,0 +1,24 @@
+"""Where tables that cut lineage go: the folder that the cluster names in ``spark.checkpoint.dir``."""
+
+from __future__ import annotations
+
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession) -> str:
+    """The session's checkpoint folder.  Only where none is set, as in local tests, a folder of this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again."""
+    path = f"{shared_path(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
