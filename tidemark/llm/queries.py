@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, decontaminate, pieces, sharding, urls
+from tidemark.llm import audio, chat, decontaminate, lines, phrases, pieces, sharding, simhash, toxicity, urls
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -26,6 +26,52 @@ def model_path(name: str = PIECE_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.col("longest_run").cast("long").alias("longest_run"), _sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, k, i, md5(array_to_string(l[i:i + k - 1], chr(10))) AS h FROM (
+    SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i
+    FROM d, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS k) WHERE len(l) >= k)
+), f AS (
+  SELECT doc_id, k, i, row_number() OVER (PARTITION BY k, h ORDER BY doc_id, i) AS copy FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 2)) AS p FROM f WHERE k = 2 AND copy > 1
+), longest AS (
+  SELECT doc_id, max(k) AS longest_run FROM f WHERE copy > 1 GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, p, l[p] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n FROM parts ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT o.doc_id AS doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
+
+
+def held_out(key: Column) -> Column:
+    """Rows whose labels no model may see."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("up").alias("evidence"))
+
+
+def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(_table(spark, sf_dir, "documents"), model_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
@@ -132,12 +178,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
+    "op2_toxicity": op2_toxicity,
+    "op3_phrases": op3_phrases,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_audio": op5_audio,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_urls": op8_urls,
     "op9_chat": op9_chat,
+    "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL}
