@@ -13,8 +13,8 @@ USABLE_STATUS = ("PIF", "CHGOFF", "EXEMPT")
 
 def money(text: Column, positive: bool = False) -> Column:
     """A finite amount of at least 0 with at most two places, else null."""
-    value = F.trim(text).try_cast("decimal(38,10)")
-    exact = value == value.cast("decimal(38,2)")
+    value = F.trim(text).try_cast("decimal(28,10)")
+    exact = value == value.cast("decimal(28,2)").cast("decimal(28,10)")  # of one type, or the comparison would round
     return F.when(exact & ((value > 0) if positive else (value >= 0)), value.cast("decimal(18,2)"))
 
 

@@ -29,7 +29,7 @@ def query(tables: str, sql: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[build.__name__] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
-        if sql is not None:
+        if sql is not None:  # else beyond SQL: model fits
             ORACLE_SQL[build.__name__] = with_tables(*tables.split()) + ("\n" if sql.lstrip().upper().startswith("SELECT") else ", ") + sql.strip()
         return build
 

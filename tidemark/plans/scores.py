@@ -293,7 +293,8 @@ def m10_quantile_interval(t: Tables):
 
 SIDES = "old AS (SELECT * FROM predictions WHERE vintage < '1996-01'), new AS (SELECT * FROM predictions WHERE vintage >= '1997-06')"
 EDGES = f"""{SIDES}, edges AS (
-  SELECT list_sort(list_distinct(list_filter(list_transform(quantile_cont(CAST(calibrated_pd AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 10)), lambda x: x > (SELECT min(calibrated_pd) FROM old) AND x < (SELECT max(calibrated_pd) FROM old)))) AS e FROM old)"""
+  SELECT list_sort(list_distinct(list_filter(list_transform(q, lambda x: round(x, 10)), lambda x: x > lo AND x < hi))) AS e
+  FROM (SELECT quantile_cont(CAST(calibrated_pd AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q, CAST(min(calibrated_pd) AS DOUBLE) AS lo, CAST(max(calibrated_pd) AS DOUBLE) AS hi FROM old))"""
 PSI = f"""{EDGES}, bins AS (SELECT unnest(range(0, len(e) + 1)) AS b, len(e) + 1 AS k FROM edges
 ), o AS (SELECT len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM old, edges GROUP BY 1
 ), n AS (SELECT {{0}} len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM new, edges GROUP BY ALL)"""
