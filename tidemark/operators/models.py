@@ -65,6 +65,7 @@ def frozen_stages(cohort: DataFrame) -> DataFrame:
     known = cohort.dropna(subset=["label", "utilization", "debt_to_income", "prior_delinquencies"])
     stage = {s: known.filter(F.col("stage") == s) for s in ("train", "calibration", "test")}
     logistic = fit_logistic(matrix(stage["train"], stage["train"]))
+    # Each fit makes its own passes over the rows; callers hand over a stored table.
     isotonic = fit_isotonic(raw_scores(logistic, matrix(stage["train"], stage["calibration"])))
     scored = calibrated(isotonic, raw_scores(logistic, matrix(stage["train"], stage["test"])))
     return scored.select("application_id", "decision_at", F.date_format("decision_at", "yyyy-MM").alias("vintage"), "segment", "principal_cents", "label", F.col("raw_pd").cast("decimal(12,10)").alias("raw_pd"), F.col("calibrated_pd").cast("decimal(12,10)").alias("calibrated_pd"))

@@ -10,7 +10,7 @@ from tidemark.plans import records as R
 from tidemark.plans import scores as S
 from tidemark.plans.registry import Tables, query
 from tidemark.sources import tables
-from tidemark.sources.shared import shared_path
+from tidemark.sources.shared import shared_path, stored
 from tidemark.streaming.review import stream_review
 
 
@@ -91,7 +91,7 @@ def s09_evidence(t: Tables):
 
 
 def complete(t: Tables):
-    return K.cohorts(t).dropna(subset=["label", "utilization", "debt_to_income", "prior_delinquencies"])
+    return stored(K.cohorts(t).dropna(subset=["label", "utilization", "debt_to_income", "prior_delinquencies"]), "cohorts")
 
 
 def of_stage(rows, stage: str):
@@ -140,7 +140,7 @@ def l19_repeat_splits(t: Tables):
 
 @query("")
 def l20_frozen_stages(t: Tables):
-    return models.frozen_stages(K.cohorts(t))
+    return models.frozen_stages(complete(t))
 
 
 @query("")
@@ -165,7 +165,7 @@ def d09_monitor_scores(t: Tables):
 @query("")
 def e01_evaluate(t: Tables):
     """Quality of the raw and the calibrated score on the test stage, beside the training rate."""
-    test = models.frozen_stages(K.cohorts(t))
+    test = models.frozen_stages(complete(t))
     both = test.select("label", "vintage", F.lit("logistic").alias("method"), F.col("raw_pd").alias("score")).unionByName(test.select("label", "vintage", F.lit("isotonic").alias("method"), F.col("calibrated_pd").alias("score")))
     return metrics.quality(both, "score", "label", ("method",))
 
@@ -207,7 +207,7 @@ def e09_same_budget_comparison(t: Tables):
 @query("")
 def e10_static_split_study(t: Tables):
     """One seeded split of decided applications: logistic and constant scores on its test rows."""
-    rows = features.stratified_split(t.risk.join(t.predictions.select("application_id", "label"), "application_id"), "label", "application_id", 20)
+    rows = stored(features.stratified_split(t.risk.join(t.predictions.select("application_id", "label"), "application_id"), "label", "application_id", 20), "split")
     train, test = of_stage(rows, "train"), of_stage(rows, "test")
     scored = models.raw_scores(models.fit_logistic(models.matrix(train, train)), models.matrix(train, test)).select("label", F.lit("logistic").alias("method"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
     flat = models.constant(train, test).select("label", F.lit("constant").alias("method"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
@@ -217,10 +217,10 @@ def e10_static_split_study(t: Tables):
 @query("")
 def e11_repeated_split_study(t: Tables):
     """Three seeds of the static study, every result kept, with their mean."""
-    base = t.risk.join(t.predictions.select("application_id", "label"), "application_id")
+    base = stored(t.risk.join(t.predictions.select("application_id", "label"), "application_id"), "labelled")
     out = None
     for seed in (7, 23, 41):
-        rows = features.stratified_split(base, "label", "application_id", seed)
+        rows = stored(features.stratified_split(base, "label", "application_id", seed), "split")
         train = of_stage(rows, "train")
         scored = models.raw_scores(models.fit_logistic(models.matrix(train, train)), models.matrix(train, of_stage(rows, "test"))).select("label", F.lit(seed).alias("seed"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
         out = scored if out is None else out.unionByName(scored)
@@ -232,7 +232,8 @@ def e12_dated_loan_study(t: Tables):
     """Charge-off scores of the prepared loans' test stage: a logistic model on size, guaranteed share and rate."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = R.prepared(t).join(loans.loan_features(R.prepared(t)).select("record_id", "log_gross", "guaranteed_share"), "record_id").withColumnRenamed("chargeoff_24m", "label")
+    base = stored(R.prepared(t), "loans")
+    rows = base.join(loans.loan_features(base).select("record_id", "log_gross", "guaranteed_share"), "record_id").withColumnRenamed("chargeoff_24m", "label")
     train = of_stage(rows, "train")
     filled = features.standardize(features.impute_median(train, train, "rate"), features.impute_median(train, rows, "rate"), ("log_gross", "guaranteed_share", "rate"))
     ready = VectorAssembler(inputCols=["log_gross", "guaranteed_share", "rate", "rate_missing"], outputCol="features").transform(filled)
