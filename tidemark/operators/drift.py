@@ -32,11 +32,11 @@ def psi_bins(reference: DataFrame, current: DataFrame, score: str, by: tuple[str
     new = assign_bins(current, edges, score).groupBy(*by, "bin").agg(F.count("*").alias("current_loans"))
     grid = edges.select(F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"), (F.size("edges") + 1).alias("bins"))
     if by:
-        grid = grid.crossJoin(F.broadcast(current.select(*by).distinct()))
+        grid = grid.crossJoin(current.select(*by).distinct())
     totals = current.groupBy(*by).agg(F.count("*").alias("current_total"))
-    cells = grid.join(F.broadcast(old), "bin", "left").join(F.broadcast(new), [*by, "bin"], "left").fillna(0, ["reference_loans", "current_loans"])
+    cells = grid.join(F.broadcast(old), "bin", "left").join(new, [*by, "bin"], "left").fillna(0, ["reference_loans", "current_loans"])
     cells = cells.crossJoin(F.broadcast(reference.agg(F.count("*").alias("reference_total"))))
-    cells = cells.join(F.broadcast(totals), list(by)) if by else cells.crossJoin(F.broadcast(totals))
+    cells = cells.join(totals, list(by)) if by else cells.crossJoin(F.broadcast(totals))
     share = lambda side: (F.col(f"{side}_loans") + SMOOTHING) / (F.col(f"{side}_total") + F.col("bins") * SMOOTHING)
     part = (share("current") - share("reference")) * F.log(share("current") / share("reference"))
     return cells.select(*by, (F.col("bin") + 1).alias("bin"), "reference_loans", "current_loans", F.round(share("reference"), 8).alias("reference_share"), F.round(share("current"), 8).alias("current_share"), part.alias("component"), "current_total")
@@ -52,7 +52,7 @@ def _two_samples(reference: DataFrame, current: DataFrame, value: str, by: tuple
     """Reference and current counts at each value; the reference is repeated for each group of current rows."""
     old = reference.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("ref"))
     if by:
-        old = old.crossJoin(F.broadcast(current.select(*by).distinct()))
+        old = old.crossJoin(current.select(*by).distinct())
     new = current.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("cur"))
     both = old.select(*by, "value", "ref", F.lit(0).cast("long").alias("cur")).unionByName(new.select(*by, "value", F.lit(0).cast("long").alias("ref"), "cur"))
     return both.groupBy(*by, "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
@@ -67,7 +67,7 @@ def ks_distance(reference: DataFrame, current: DataFrame, value: str, by: tuple[
     """Greatest gap of the two cumulative distributions, by whole numbers, and the least value that has it."""
     counts = ecdf_counts(reference, current, value, by)
     totals = counts.groupBy(*by).agg(F.sum("ref").alias("n"), F.sum("cur").alias("m"))
-    joined = counts.join(F.broadcast(totals), list(by)) if by else counts.crossJoin(F.broadcast(totals))
+    joined = counts.join(totals, list(by)) if by else counts.crossJoin(F.broadcast(totals))
     big = lambda c: F.col(c).cast("decimal(19,0)")
     gap = joined.withColumn("gap", F.abs(big("cum_ref") * big("m") - big("cum_cur") * big("n")).cast("decimal(38,0)"))
     best = gap.groupBy(*by, "n", "m").agg(F.min_by(F.struct("gap", "value", "cum_ref", "cum_cur"), F.struct((-F.col("gap")).alias("g"), F.col("value").alias("v"))).alias("x"))

@@ -85,7 +85,7 @@ def capture_bootstrap(ranked: DataFrame, draws: DataFrame, capacities: DataFrame
     totals = weighted.groupBy(by, "replicate").agg(F.sum("weight").alias("n"))
     k = F.expr("(n * percent + 99) div 100")
     part = F.least("weight", F.greatest(F.lit(0), k - (F.col("cum_weight") - F.col("weight"))))
-    return running.join(F.broadcast(totals), [by, "replicate"]).crossJoin(F.broadcast(capacities)).groupBy(by, "replicate", "percent").agg(F.sum(F.col("label") * part).cast("long").alias("captured"))
+    return running.join(totals, [by, "replicate"]).crossJoin(F.broadcast(capacities)).groupBy(by, "replicate", "percent").agg(F.sum(F.col("label") * part).cast("long").alias("captured"))
 
 
 def paired_difference(captured: DataFrame, reference: str, by: str = "method") -> DataFrame:

@@ -18,7 +18,7 @@ def global_rank(rows: DataFrame, score: str, tie: str, by: tuple[str, ...] = (),
     bucket = F.floor((1 - F.col(score)) * buckets).cast("int")
     placed = rows.withColumn("__bucket", bucket)
     stats = placed.groupBy(*by, "__bucket").agg((F.min(score) == F.max(score)).alias("__one"))
-    placed = placed.join(F.broadcast(stats), [*by, "__bucket"]).withColumn("__cell", F.when(F.col("__one"), F.substring(tie, 1, prefix)).otherwise("")).drop("__one")
+    placed = placed.join(stats, [*by, "__bucket"]).withColumn("__cell", F.when(F.col("__one"), F.substring(tie, 1, prefix)).otherwise("")).drop("__one")
     before = Window.partitionBy(*by).orderBy("__bucket", "__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*by, "__bucket", "__cell").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy(*by, "__bucket", "__cell").orderBy(F.desc(score), tie)
@@ -31,8 +31,7 @@ def _counts(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def with_total(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    total = F.broadcast(_counts(rows, by))
-    return rows.join(total, list(by)) if by else rows.crossJoin(total)
+    return rows.join(_counts(rows, by), list(by)) if by else rows.crossJoin(F.broadcast(_counts(rows, by)))
 
 
 def select_capacity(rows: DataFrame, percent: int, score: str, tie: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -65,12 +64,12 @@ def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: t
     bounds = values.groupBy(*by).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
     v = F.col(value).cast("double")
     cell = F.when(F.col("__hi") > F.col("__lo"), F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells)).otherwise(0).cast("int")
-    placed = (values.join(F.broadcast(bounds), list(by)) if by else values.crossJoin(F.broadcast(bounds))).withColumn("__cell", -cell if descending else cell).drop("__lo", "__hi")
+    placed = (values.join(bounds, list(by)) if by else values.crossJoin(F.broadcast(bounds))).withColumn("__cell", -cell if descending else cell).drop("__lo", "__hi")
     before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, "__cell").agg(*(F.sum(c).alias(f"__{c}") for c in counts))
     sums = sums.select(*by, "__cell", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in counts))
     inside = Window.partitionBy(*by, "__cell").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.select("*", *(F.sum(c).over(inside).alias(f"__in_{c}") for c in counts)).join(F.broadcast(sums), [*by, "__cell"])
+    out = placed.select("*", *(F.sum(c).over(inside).alias(f"__in_{c}") for c in counts)).join(sums, [*by, "__cell"])
     return out.select(*values.columns, *((F.col(f"__{c}") + F.col(f"__in_{c}")).alias(f"cum_{c}") for c in counts))
 
 

@@ -90,6 +90,17 @@ def s09_evidence(t: Tables):
     return asof.asof_latest(apps, feats)
 
 
+@query("applications", "SELECT count(*) AS rows, count(*) FILTER (WHERE k % 10 = 4) AS misshapen FROM applications")
+def p11_row_shape(t: Tables):
+    """Rows with a cell too few among the lines of a text table."""
+    path = shared_path(t.spark, "lines")
+    cells = F.when(F.col("k") % 10 == 4, F.concat_ws(",", "application_id", "segment")).otherwise(F.concat_ws(",", "application_id", "segment", F.col("principal_cents")))
+    t.applications.select(cells.alias("value")).write.text(path)
+    shape = "application_id string, segment string, principal_cents string, _corrupt string"
+    rows = t.spark.read.schema(shape).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    return rows.select("application_id", "_corrupt").agg(F.count("application_id").alias("rows"), F.count("_corrupt").alias("misshapen"))
+
+
 def complete(t: Tables):
     return stored(K.cohorts(t).dropna(subset=["label", "utilization", "debt_to_income", "prior_delinquencies"]), "cohorts")
 

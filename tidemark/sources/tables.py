@@ -14,7 +14,7 @@ TYPES = {"decision_at": "date", "observed_at": "date", "available_at": "date", "
 def read_text_table(spark: SparkSession, path: str, columns: tuple[str, ...], **options) -> DataFrame:
     """A CSV table of exactly these columns, in this order, as text; rows of another shape are in ``_corrupt``."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_corrupt")
     header = spark.read.option("header", True).options(**options).csv(path).columns
     if tuple(header) != tuple(columns):
         raise ValueError(f"columns differ: {header}")
