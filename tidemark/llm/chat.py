@@ -158,3 +158,51 @@ def read_back(packs: DataFrame, id_col: str = "conv_id") -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return packs.mapInArrow(run, f"id {id_type}, formatted string, turns array<struct<role:string,text:string>>, loss_text string").withColumnRenamed("id", id_col)
+
+
+def tokenized(packs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``(pack_id, ids, nodes, leaves)``: the packs in tokens of a byte-level BPE vocabulary (a ranks file of base64 and number).
+
+    Each node's head, loss text and tail are encoded for themselves, so a shared
+    turn has the same ids for all its conversations and the loss spans are whole
+    tokens.  Control strings are encoded as ordinary text.  ``nodes`` has the
+    spans, position ids and attention intervals of ``pack``, in tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coding = _coding(ranks_path, pattern)
+        for batch in batches:
+            schema = pa.schema([("pack_id", pa.int64()), ("ids", pa.list_(pa.int32())), batch.schema.field("nodes"), batch.schema.field("leaves")])
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1).to_pylist()[0]
+                ids: list[int] = []
+                nodes = []
+                for n in own["nodes"]:
+                    start, text = len(ids), own["text"]
+                    ids += coding.encode_ordinary(text[n["start"] : n["loss_start"]])
+                    loss_start = len(ids)
+                    ids += coding.encode_ordinary(text[n["loss_start"] : n["loss_end"]])
+                    loss_end = len(ids)
+                    ids += coding.encode_ordinary(text[n["loss_end"] : n["end"]])
+                    above = nodes[n["parent"]] if n["parent"] >= 0 else None
+                    position = above["position"] + above["end"] - above["start"] if above else 0
+                    nodes.append({"parent": n["parent"], "start": start, "end": len(ids), "position": position, "loss_start": loss_start, "loss_end": loss_end, "attends": [*(above["attends"] if above else []), {"start": start, "end": len(ids)}]})
+                yield pa.RecordBatch.from_pylist([{"pack_id": own["pack_id"], "ids": ids, "nodes": nodes, "leaves": own["leaves"]}], schema)
+
+    kinds = {f.name: f.dataType.simpleString() for f in packs.schema}
+    return packs.mapInArrow(run, f"pack_id long, ids array<int>, nodes {kinds['nodes']}, leaves {kinds['leaves']}")
+
+
+_CODINGS: dict[str, object] = {}
+
+
+def _coding(ranks_path: str, pattern: str):
+    if ranks_path not in _CODINGS:
+        import base64
+
+        import tiktoken
+
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _CODINGS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _CODINGS[ranks_path]
