@@ -98,7 +98,7 @@ TABLES: dict[str, str] = {
           CASE k % 7 WHEN 0 THEN '0' WHEN 1 THEN 'x' WHEN 2 THEN '9223372036854775808' ELSE CAST(principal_cents AS STRING) END, CASE WHEN k % 4 = 0 THEN 'corporate' ELSE segment END
         FROM {applications} WHERE k % 10 = 3""",
     "dirty_features": """
-        SELECT application_id, name, CAST(value AS STRING) AS value, CAST(observed_at AS STRING) AS observed_at, CAST(available_at AS STRING) AS available_at FROM {feature_events} WHERE substring(application_id, 10, 1) = '1'
+        SELECT application_id, name, CAST(value AS STRING) AS value, CAST(observed_at AS STRING) AS observed_at, CAST(available_at AS STRING) AS available_at FROM {feature_events}
         UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'Z' || application_id ELSE application_id END, CASE WHEN k % 5 = 0 THEN 'income' ELSE 'utilization' END,
           CASE k % 4 WHEN 0 THEN '1.5' WHEN 1 THEN 'NaN' WHEN 2 THEN 'abc' ELSE '0.5' END, CAST(decision_at AS STRING), CAST(decision_at - CAST(k % 2 AS INT) AS STRING)
         FROM {applications} WHERE k % 10 = 7""",

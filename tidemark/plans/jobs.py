@@ -37,10 +37,10 @@ def s02_read_features(t: Tables):
     return tables.read_features(t.spark, *paths)[1]
 
 
-@query("applications", "SELECT application_id, principal_cents, segment FROM applications WHERE k % 2 = 0")
+@query("applications", "SELECT application_id, principal_cents, segment FROM applications")
 def s03_read_coded_table(t: Tables):
     path = shared_path(t.spark, "coded")
-    rows = t.applications.filter("k % 2 = 0").select("application_id", F.col("principal_cents").cast("string").alias("principal_cents"), "segment", F.lit("1").alias("class"))
+    rows = t.applications.select("application_id", F.col("principal_cents").cast("string").alias("principal_cents"), "segment", F.lit("1").alias("class"))
     rows.write.option("sep", " ").csv(path)
     return tables.read_coded_table(t.spark, path, ("application_id", "principal_cents", "segment", "class")).select("application_id", F.col("principal_cents").cast("long").alias("principal_cents"), "segment")
 

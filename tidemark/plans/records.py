@@ -349,16 +349,16 @@ def a19_year_slices(t: Tables):
 
 @query(
     "scores outcomes",
-    """altered AS (SELECT s.method, s.application_id, CASE WHEN s.method = 'alt' AND label = 1 AND substring(s.application_id, 10, 1) = '3' THEN 'x' ELSE segment END AS segment FROM scores s JOIN outcomes USING (application_id) WHERE NOT (s.method = 'rule' AND substring(s.application_id, 9, 2) = '77'))
+    """altered AS (SELECT s.method, s.application_id, CASE WHEN s.method = 'alt' AND label = 1 AND vintage = '1996-02' THEN 'x' ELSE segment END AS segment FROM scores s JOIN outcomes USING (application_id) WHERE NOT (s.method = 'rule' AND vintage = '1995-05'))
     SELECT application_id, count(*) AS rows, count(DISTINCT segment) AS versions FROM altered GROUP BY application_id HAVING count(*) <> 3 OR count(DISTINCT segment) <> 1""",
 )
 def r13_same_population(t: Tables):
     joined = t.scores.join(t.outcomes, "application_id")
-    changed = joined.withColumn("segment", F.when((F.col("method") == "alt") & (F.col("label") == 1) & (F.substring("application_id", 10, 1) == "3"), "x").otherwise(F.col("segment")))
-    return contracts.same_population(changed.filter(~((F.col("method") == "rule") & (F.substring("application_id", 9, 2) == "77"))), ("segment",))
+    changed = joined.withColumn("segment", F.when((F.col("method") == "alt") & (F.col("label") == 1) & (F.col("vintage") == "1996-02"), "x").otherwise(F.col("segment")))
+    return contracts.same_population(changed.filter(~((F.col("method") == "rule") & (F.col("vintage") == "1995-05"))), ("segment",))
 
 
-PUBLISHED = "published AS (SELECT application_id, CASE WHEN principal_cents % 17 = 0 THEN label + 1 ELSE label END AS label, calibrated_pd + CASE WHEN principal_cents % 13 = 0 THEN 0.001 WHEN principal_cents % 5 = 0 THEN 0.0000000001 ELSE 0 END AS calibrated_pd FROM predictions WHERE principal_cents % 101 <> 0)"
+PUBLISHED = "published AS (SELECT application_id, CASE WHEN principal_cents % 17 = 0 THEN label + 1 ELSE label END AS label, calibrated_pd + CASE WHEN principal_cents % 13 = 0 THEN 0.001 WHEN principal_cents % 5 = 0 THEN 0.0000000001 ELSE 0 END AS calibrated_pd FROM predictions WHERE vintage <> '1995-05')"
 
 
 @query(
@@ -371,7 +371,7 @@ def r14_reconcile(t: Tables):
     cents = F.col("principal_cents")
     expected = t.predictions.select("application_id", "label", "calibrated_pd")
     shift = F.when(cents % 13 == 0, 0.001).when(cents % 5 == 0, 0.0000000001).otherwise(0.0)
-    actual = t.predictions.filter(cents % 101 != 0).select("application_id", (F.col("label") + F.when(cents % 17 == 0, 1).otherwise(0)).alias("label"), (F.col("calibrated_pd").cast("double") + shift).alias("calibrated_pd"))
+    actual = t.predictions.filter("vintage <> '1995-05'").select("application_id", (F.col("label") + F.when(cents % 17 == 0, 1).otherwise(0)).alias("label"), (F.col("calibrated_pd").cast("double") + shift).alias("calibrated_pd"))
     return reconcile.reconcile(actual, expected, ("application_id",), {"calibrated_pd": 1e-6})
 
 
@@ -392,11 +392,10 @@ def r16_rank_agrees_with_score(t: Tables):
     return reconcile.reconcile(published, recomputed, ("method", "application_id")).select("method", "application_id")
 
 
-@query("predictions", "SELECT CAST(7 AS INTEGER) AS seed, application_id, CAST(2 AS BIGINT) AS stages FROM predictions WHERE principal_cents % 50 = 0")
+@query("predictions", "SELECT CAST(7 AS INTEGER) AS seed, application_id, CAST(2 AS BIGINT) AS stages FROM predictions WHERE label = 1")
 def r17_split_disjoint(t: Tables):
-    split = features.stratified_split(t.predictions, "label", "application_id", 7).select(F.lit(7).alias("seed"), "application_id", "principal_cents")
-    twice = split.filter(F.col("principal_cents") % 50 == 0)
-    return contracts.split_disjoint(split.unionByName(twice).drop("principal_cents"))
+    split = features.stratified_split(t.predictions, "label", "application_id", 7).select(F.lit(7).alias("seed"), "application_id", "label")
+    return contracts.split_disjoint(split.unionByName(split.filter("label = 1")).drop("label"))
 
 
 TRANSITIONS = """steps AS (SELECT *, lag(action) OVER w AS before, lag(actor) OVER w AS holder, row_number() OVER w - 1 AS place FROM journal WINDOW w AS (PARTITION BY application_id ORDER BY sequence)
@@ -427,11 +426,11 @@ def g03_journal_integrity(t: Tables):
 
 @query(
     "journal",
-    """twice AS (SELECT request_id, actor FROM journal UNION ALL SELECT request_id, CASE WHEN sequence % 4 = 0 THEN 'other' ELSE actor END FROM journal WHERE sequence % 2 = 0)
+    """twice AS (SELECT request_id, actor FROM journal UNION ALL SELECT request_id, CASE WHEN expected_version > 5 THEN 'other' ELSE actor END FROM journal WHERE action = 'claim')
     SELECT request_id, count(*) AS times, CASE WHEN count(DISTINCT actor) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'replayed' ELSE 'new' END AS result FROM twice GROUP BY request_id""",
 )
 def g04_idempotent_requests(t: Tables):
-    again = t.journal.filter(F.col("sequence") % 2 == 0).withColumn("actor", F.when(F.col("sequence") % 4 == 0, "other").otherwise(F.col("actor")))
+    again = t.journal.filter("action = 'claim'").withColumn("actor", F.when(F.col("expected_version") > 5, "other").otherwise(F.col("actor")))
     return journal.idempotent(t.journal.unionByName(again))
 
 
@@ -479,12 +478,12 @@ def u01_union_all_scopes(t: Tables):
 
 @query(
     "predictions",
-    """a AS (SELECT vintage, segment FROM predictions WHERE principal_cents % 7 <> 0), b AS (SELECT vintage, segment FROM predictions WHERE principal_cents % 11 <> 0)
+    """a AS (SELECT vintage, segment FROM predictions WHERE review_selected = 1), b AS (SELECT vintage, segment FROM predictions WHERE label = 1)
     SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
 )
 def u02_symmetric_difference(t: Tables):
-    keys = lambda m: t.predictions.filter(F.col("principal_cents") % m != 0).select("vintage", "segment")
-    return reconcile.symmetric_difference(keys(7), keys(11))
+    keys = lambda flag: t.predictions.filter(F.col(flag) == 1).select("vintage", "segment")
+    return reconcile.symmetric_difference(keys("review_selected"), keys("label"))
 
 
 @query("predictions", "SELECT raw_pd AS value FROM predictions UNION SELECT calibrated_pd FROM predictions")
