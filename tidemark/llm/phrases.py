@@ -234,7 +234,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     found = _find_runs(dealt, window)
     repeated = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor")
-    runs = found.join(repeated, "anchor", "left_semi").groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.collect_set("block").alias("blocks"))
+    # Grouped by a struct, so that runs don't stay where the join dealt them: the join of an anchor in a third of all
+    # documents can then be split, and its runs are counted before they move on.
+    counted = found.join(repeated, "anchor", "left_semi").groupBy(F.struct("anchor", "whole").alias("run")).agg(F.count("*").alias("times"), F.collect_set("block").alias("blocks"))
+    runs = counted.select("run.anchor", "run.whole", "times", "blocks")
     forks = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor", F.lit(True).alias("forks"))
     judged = runs.join(forks, "anchor", "left").filter("forks or times >= 2")
     placed = judged.select("anchor", "whole", "times", (F.coalesce("forks", F.lit(False))).alias("forks"), F.array_min("blocks").alias("one"), F.explode("blocks").alias("block"))
