@@ -233,12 +233,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
 
     found = _find_runs(dealt, window)
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor")
-    # Grouped by a struct, so that runs don't stay where the join dealt them: the join of an anchor in a third of all
-    # documents can then be split, and its runs are counted before they move on.
+    # Both groupings are by a struct, so that neither side of the join stays where another step has dealt it: only then can
+    # the join of an anchor in a third of all documents be split.  Its runs are counted before they move on.
+    repeated = found.groupBy(F.struct("anchor").alias("k")).agg(F.count("*").alias("n")).filter("n >= 2").select("k.anchor")
     counted = found.join(repeated, "anchor", "left_semi").groupBy(F.struct("anchor", "whole").alias("run")).agg(F.count("*").alias("times"), F.collect_set("block").alias("blocks"))
     runs = counted.select("run.anchor", "run.whole", "times", "blocks")
-    forks = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2").select("anchor", F.lit(True).alias("forks"))
+    forks = runs.groupBy(F.struct("anchor").alias("k")).agg(F.count("*").alias("n")).filter("n >= 2").select("k.anchor", F.lit(True).alias("forks"))
     judged = runs.join(forks, "anchor", "left").filter("forks or times >= 2")
     placed = judged.select("anchor", "whole", "times", (F.coalesce("forks", F.lit(False))).alias("forks"), F.array_min("blocks").alias("one"), F.explode("blocks").alias("block"))
     placed = placed.select("block", "anchor", "whole", "times", (F.col("forks") & (F.col("block") == F.col("one"))).alias("rep"))
