@@ -14,6 +14,7 @@ position.  Nothing is shuffled; the table is bounded by ``max_chunks``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 300_000
 _CHUNK = re.compile("▁+[^▁]*")
 _TABLES: dict[str, ChunkTable] = {}
 
@@ -32,7 +33,7 @@ class ChunkTable:
     def __init__(self, model_path: str, max_chunks: int = MAX_CHUNKS) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.max_chunks = max_chunks
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, array] = {}  # four bytes an id
         self.surface: dict[str, str] = {}
         crossing = [p for p in map(self.model.id_to_piece, range(self.model.get_piece_size())) if re.search("[^▁]▁", p)]
         if crossing:
@@ -49,7 +50,7 @@ class ChunkTable:
             new = list(chunks)
         encoded = self.model.encode([c[1:].replace("▁", " ") if len(c) > 1 else c for c in new], num_threads=1)
         for c, ids in zip(new, encoded, strict=True):
-            self.ids[c] = ids if len(c) > 1 else self._marker()
+            self.ids[c] = array("i", ids if len(c) > 1 else self._marker())
         decoded = self.model.decode([[self.guard, *self.ids[c]] for c in new], num_threads=1)
         for c, text in zip(new, decoded, strict=True):
             self.surface[c] = text[self.guard_chars :]
