@@ -223,9 +223,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of the document with the smallest id of each group, with all their columns."""
-    kept = near_duplicates(docs, id_col, **settings).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
