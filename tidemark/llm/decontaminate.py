@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import stored
+
 N = 10
 MAX_SET = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,8 +85,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, id_col: str = "doc_id", **names) -> DataFrame:
-    """Documents whose share of hit words is at most ``max_share``, with all their columns."""
-    marks = scan(docs, benchmark, id_col=id_col, **names)
-    bad = marks.filter(F.size("hit_words") > F.lit(max_share) * F.col("n_words")).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **names) -> DataFrame:
+    """Rows whose share of hit words is at most ``max_share``, with all their columns; each is judged by its own text, whatever its id."""
+    own = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    bad = scan(own, benchmark, id_col="__row", **names).filter(F.size("hit_words") > F.lit(max_share) * F.col("n_words")).select("__row")
+    return own.join(bad, "__row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
