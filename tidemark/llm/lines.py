@@ -7,7 +7,9 @@ k lines drop out, since no longer prefix of theirs repeats; a document's last
 lines drop out when k lines no longer fit.  All suffixes of one rank at length k
 are an interval of the suffix array whose longest common prefix has k lines at
 least.  A run of ``min_lines`` lines or more that an earlier place (by document
-id, then line) has too is a later copy, and its lines go; the highest such k of
+id, then line) has too is a later copy, and its lines go (a longer run is later
+where each of its windows of ``min_lines`` lines is, so these make it whole); with
+``long_words``, so does a single line of that many words.  The highest such k of
 a document tells how long its longest repeated run is at least.
 
 Lines are compared whole, by two 64-bit hashes.  Rank pairs are counted before
@@ -23,7 +25,7 @@ shared folder, and levels shrink with the suffixes that still repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
@@ -31,11 +33,17 @@ from tidemark.llm.shared import stored
 MIN_LINES = 2
 
 
-def suffixes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, row, line, high, low)``: a row for each line, its id two hashes; ``row`` tells texts of one id apart."""
+def suffixes(docs: DataFrame, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
+    """``(id, row, line, high, low, long)``: a row for each line, its id two hashes; ``row`` tells texts of one id apart."""
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].alias("text"))
-    ids = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("high"), F.xxhash64(F.lit(7), x).alias("low")))
-    return texts.filter("text is not null").select("id", "row", F.posexplode(ids).alias("line", "x")).select("id", "row", "line", "x.high", "x.low")
+
+    def enough(x: Column) -> Column:  # n words have 2 n - 1 characters at least
+        if long_words is None:
+            return F.lit(False)
+        return F.when(F.length(x) >= 2 * long_words - 1, F.size(F.array_remove(F.split(x, r"\s+"), "")) >= long_words).otherwise(F.lit(False))
+
+    ids = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("high"), F.xxhash64(F.lit(7), x).alias("low"), enough(x).alias("long")))
+    return texts.filter("text is not null").select("id", "row", F.posexplode(ids).alias("line", "x")).select("id", "row", "line", "x.high", "x.low", "x.long")
 
 
 def _ranked(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -47,15 +55,17 @@ def _ranked(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     )
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``(id, row, line, k)``: places where k lines begin that an earlier place has too, for k = min_lines times 1, 2, 4, ..."""
-    lines = stored(suffixes(docs, id_col, text_col).distinct(), "lines")
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """``(id, row, line, k)``: places where k lines begin that an earlier place has too, for k = min_lines times 1, 2, 4, ..., and 1 for long lines."""
+    lines = stored(suffixes(docs, id_col, text_col, long_words).distinct(), "lines")
     ranks = _ranked(lines, "high", "low", "line-ranks")
-    now = stored(lines.join(ranks, ["high", "low"]).select("id", "row", "line", "rank"), "suffixes")
+    now = stored(lines.join(ranks, ["high", "low"]).select("id", "row", "line", "rank", "long"), "suffixes")
     k, out = 1, None
     steps = [1] * (min_lines - 1)  # one line at a time up to the shortest run, then by doubling
     if min_lines == 1:
         out = now.join(ranks, "rank").filter("struct(id, row, line) > first").select("id", "row", "line", F.lit(1).alias("k"))
+    elif long_words is not None:
+        out = now.filter("long").join(ranks, "rank").filter("struct(id, row, line) > first").select("id", "row", "line", F.lit(1).alias("k"))
     base = now
     while True:
         step = steps.pop() if steps else k
@@ -75,12 +85,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with the lines that stay in ``text_col``, and ``n_lines, n_removed, longest_run`` after its columns.
 
     Columns of ``docs`` with these three names are replaced.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_lines)
+    runs = repeated_runs(docs, id_col, text_col, min_lines, long_words)
     gone = (
         runs.groupBy("id", "row")
         .agg(
