@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -98,10 +99,43 @@ def test_global_rank_is_row_number(spark, n):
     rng = random.Random(n)
     rows = [(f"id{rng.randrange(10**6):07d}{i}", rng.choice([0.0, 0.5, 0.5, 0.5001, 1.0, rng.random()])) for i in range(n)]
     for data in (rows, [(i, 0.2) for i, _ in rows]):
-        got = {r["id"]: r["rank"] for r in ranking.global_rank(spark.createDataFrame(data, "id string, score double").repartition(3), "score", "id", buckets=8, prefix=3).collect()}
+        got = {r["id"]: r["rank"] for r in ranking.global_rank(spark.createDataFrame(data, "id string, score double").repartition(3), "score", "id").collect()}
         assert got == {i: k for k, (i, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])), 1)}
 
 
+def test_null_scores_and_groups_are_ranked(spark):
+    data = [("a", 0.1, "g"), ("b", None, "g"), ("c", 0.9, None), ("d", None, None), ("e", float("nan"), "g"), ("f", 0.9, "g"), ("g", 7.5, None)]
+    ranked = ranking.global_rank(spark.createDataFrame(data, "id string, at double, part string").withColumnRenamed("at", "score").withColumn("at", F.lit(1)).repartition(3), "score", "id", ("part",))
+    assert ranked.columns == ["id", "score", "part", "at", "rank"]
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {"f": 1, "a": 2, "b": 3, "e": 4, "g": 1, "c": 2, "d": 3}
+    chosen = ranking.select_capacity(spark.createDataFrame(data, "id string, score double, g string"), 50, "score", "id", ("g",))
+    assert sorted(r["id"] for r in chosen.collect()) == ["a", "c", "f", "g"]
+
+
+def test_running_counts_of_null_groups_and_values(spark):
+    data = [(None, 1.0, 2), (None, None, 3), ("g", 5.0, 1), ("g", 1e300, 1), ("g", None, 4)]
+    got = ranking.running_counts(spark.createDataFrame(data, "g string, v double, n int"), "v", ("n",), ("g",), totals=True).collect()
+    assert sorted(((r["g"], r["v"], r["cum_n"], r["all_n"]) for r in got), key=repr) == sorted([(None, 1.0, 2, 5), (None, None, 5, 5), ("g", 5.0, 1, 6), ("g", 1e300, 2, 6), ("g", None, 6, 6)], key=repr)
+
+
+def test_quality_keeps_null_groups(spark):
+    data = [(None, 0.2, 0), (None, 0.7, 1), ("g", 0.3, 1), ("g", None, 0), ("g", float("nan"), 1), ("g", 0.1, None)]
+    got = {r["g"]: (r["records"], r["auc"]) for r in metrics.quality(spark.createDataFrame(data, "g string, score double, label int"), "score", "label", ("g",)).collect()}
+    assert got == {None: (2, 1.0), "g": (1, None)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 240])
+def test_quantiles_are_interpolated(spark, n):
+    rng = random.Random(n)
+    values = [rng.choice([0.5, round(rng.random(), 2)]) for _ in range(n)]
+    got = ranking.quantiles(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", (0.0, 0.1, 0.5, 0.9, 1.0)).first()
+    assert got["n"] == n
+    for f, q in zip((0.0, 0.1, 0.5, 0.9, 1.0), got["q"], strict=True):
+        place = f * (n - 1)
+        low, high = sorted(values)[math.floor(place)], sorted(values)[math.ceil(place)]
+        assert q == pytest.approx(low + (high - low) * (place - math.floor(place)), abs=1e-12)
+
+
 def test_budgets_round_up(spark):
     rows = spark.createDataFrame([("m", f"{i:02d}", i / 20, int(i in (0, 2, 20))) for i in range(21)], "method string, application_id string, score double, label int")
     chosen = ranking.multi_budget(rows, spark.createDataFrame([(5,), (10,), (20,)], "percent int"), "score", "application_id")

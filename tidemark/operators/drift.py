@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import running_counts
+from tidemark.operators.ranking import quantiles, running_counts
 
 SMOOTHING = 0.5
 MINIMUM_ROWS = 20
@@ -13,10 +13,9 @@ MINIMUM_ROWS = 20
 
 def reference_edges(reference: DataFrame, score: str) -> DataFrame:
     """One row: the distinct inner deciles of ``score``, or the middle of its range."""
-    steps = F.array(*(F.lit(i / 10) for i in range(1, 10)))
-    q = reference.agg(F.percentile(F.col(score).cast("double"), steps).alias("q"), F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi"))
-    inner = F.array_sort(F.array_distinct(F.filter(F.transform("q", lambda x: F.round(x, 10)), lambda x: (x > F.col("lo")) & (x < F.col("hi")))))
-    return q.select(F.when(F.size(inner) > 0, inner).otherwise(F.array((F.col("lo") + F.col("hi")) / 2)).alias("edges"))
+    q = quantiles(reference, score, tuple(i / 10 for i in range(1, 10)))
+    inner = F.array_sort(F.array_distinct(F.filter(F.transform("q", lambda x: F.round(x, 10)), lambda x: (x > F.col("least")) & (x < F.col("greatest")))))
+    return q.select(F.when(F.size(inner) > 0, inner).otherwise(F.array((F.col("least") + F.col("greatest")) / 2)).alias("edges"))
 
 
 def assign_bins(rows: DataFrame, edges: DataFrame, score: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import reason_rank
+from tidemark.operators.ranking import global_rank, quantiles, reason_rank, with_total
 
 #: Fixed values of the scorecard: points at the base odds, and points that double them.
 BASE_POINTS, BASE_ODDS, DOUBLING = 600.0, 50.0, 20.0
@@ -33,7 +33,7 @@ def published_rounding(score: Column, places: int = 10) -> Column:
 
 def impute_median(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Nulls of ``column`` replaced by the training median, and a flag for them."""
-    median = train.agg(F.percentile(column, F.lit(0.5)).alias("__median"))
+    median = quantiles(train, column, (0.5,)).select(F.get("q", 0).alias("__median"))
     return rows.crossJoin(F.broadcast(median)).withColumn(f"{column}_missing", F.col(column).isNull().cast("int")).withColumn(column, F.coalesce(column, "__median")).drop("__median")
 
 
@@ -43,16 +43,14 @@ def business_rule(utilization: Column, debt_to_income: Column, prior: Column) ->
 
 def woe_cuts(train: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``(name, cuts)``: the middles between at most five distinct values, else the distinct inner quintiles."""
-    out = None
-    for n in names:
-        few = F.when(F.count_distinct(n) <= 5, F.array_sort(F.collect_set(F.when(F.col("__d") <= 6, F.col(n))))).alias("few")
-        ranked = train.select(n).withColumn("__d", F.lit(1))
-        quintiles = F.array_sort(F.array_distinct(F.percentile(n, F.array(*(F.lit(i / 5) for i in range(1, 5))))))
-        one = ranked.agg(few, quintiles.alias("q"), F.lit(n).alias("name"))
-        middles = F.transform(F.slice("few", 1, F.size("few") - 1), lambda x, i: (x + F.get("few", i + 1)) / 2)
-        row = one.select("name", F.when(F.col("few").isNotNull(), middles).otherwise(F.col("q")).alias("cuts"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    values = tall(train, names)
+    # Six values tell whether there are more than five, so a task's array never grows beyond them.
+    distinct = values.filter("value is not null").distinct()
+    first = F.row_number().over(Window.partitionBy("name").orderBy("value"))
+    few = distinct.withColumn("place", first).filter("place <= 6").groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("few"))
+    quintiles = quantiles(values, "value", (0.2, 0.4, 0.6, 0.8), ("name",)).select("name", F.array_sort(F.array_distinct("q")).alias("q"))
+    middles = F.transform(F.slice("few", 1, F.size("few") - 1), lambda x, i: (x + F.get("few", i + 1)) / 2)
+    return few.join(quintiles, "name").select("name", F.when(F.size("few") <= 5, middles).otherwise(F.col("q")).alias("cuts"))
 
 
 def tall(rows: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
@@ -101,12 +99,7 @@ def rebuilt_probability(parts: DataFrame, baseline: float, key: str = "applicati
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: int, test: int = 20, calibration: int = 20) -> DataFrame:
-    """``stage`` of each row: ``test`` and ``calibration`` percent of each class by the order of a hash, the rest for training.
-
-    Shares are exact in each hash cell's rank over its class, which needs no task with a whole class.
-    """
-    from tidemark.operators.ranking import global_rank, with_total
-
+    """``stage`` of each row: ``test`` and ``calibration`` percent of each class by the order of a hash, the rest for training."""
     unit = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), 1, 8), 16, 10).cast("double") / 2**32
     ranked = with_total(global_rank(rows.withColumn("__u", unit), "__u", key, (label,), name="__place"), (label,))
     place = F.col("__place")

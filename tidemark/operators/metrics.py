@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import running_counts, select_capacity
 
 
 def score_counts(rows: DataFrame, score: str, label: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """Events and non-events at each distinct score."""
+    """Events and non-events at each distinct score; rows without a score or a label of 0 or 1 don't count."""
     w = F.lit(1) if weight is None else weight
     event = F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("long")
-    return rows.groupBy(*by, F.col(score).alias("score")).agg(event.alias("pos"), (F.sum(w).cast("long") - event).alias("neg"))
+    known = rows.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isin(0, 1))
+    return known.groupBy(*by, F.col(score).alias("score")).agg(event.alias("pos"), (F.sum(w).cast("long") - event).alias("neg"))
 
 
 def quality(rows: DataFrame, score: str, label: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """AUC (ties count half), average precision and Brier score of each ``by``; null where a class is missing."""
-    counts = score_counts(rows, score, label, by, weight)
-    up = running_counts(counts, "score", ("pos", "neg"), by)
+    """AUC (ties count half), average precision and Brier score of each ``by``; null where a class is missing.
+
+    One pass of running counts serves all three: what lies above a score is the
+    total less what lies below.  Null is a group like any other.
+    """
+    up = running_counts(score_counts(rows, score, label, by, weight), "score", ("pos", "neg"), by, totals=True)
     whole = lambda c: F.col(c).cast("decimal(38,0)")
     area = F.sum(whole("pos") * (F.col("cum_neg") * 2 - F.col("neg")).cast("decimal(18,0)")).cast("double") / 2
-    pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    auc = up.groupBy(*by).agg(F.round(area / F.nullif(pos * neg, F.lit(0.0)), 8).alias("auc"))
-    down = running_counts(counts, "score", ("pos", "neg"), by, descending=True)
-    found = F.sum(F.col("pos").cast("double") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    precision = down.groupBy(*by).agg(F.round(found / F.nullif(pos, F.lit(0.0)), 8).alias("average_precision"))
-    p = F.col("score").cast("decimal(12,10)")
-    off = F.sum(F.col("pos") * (1 - p) * (1 - p) + F.col("neg") * p * p).cast("double")
-    brier = counts.groupBy(*by).agg(F.round(off / F.sum(F.col("pos") + F.col("neg")), 8).alias("brier"), F.sum(F.col("pos") + F.col("neg")).alias("records"), F.sum("pos").alias("events"))
-    if not by:
-        return brier.crossJoin(auc).crossJoin(precision)
-    return brier.join(auc, list(by)).join(precision, list(by))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    found, above = F.col("all_pos") - F.col("cum_pos") + F.col("pos"), F.col("all_neg") - F.col("cum_neg") + F.col("neg")
+    precision = F.sum(F.col("pos").cast("double") * found / (found + above))
+    # Twenty places are exact: squares of ten, times at most 10^10 rows of a score.
+    p, rows_of = F.col("score").cast("decimal(12,10)"), lambda c: F.col(c).cast("decimal(10,0)")
+    off = F.sum(rows_of("pos") * ((1 - p) * (1 - p)) + rows_of("neg") * (p * p)).cast("double")
+    return up.groupBy(*by).agg(
+        F.round(off / (pos + neg), 8).alias("brier"),
+        (pos + neg).alias("records"),
+        pos.alias("events"),
+        F.round(area / F.nullif(pos.cast("double") * neg.cast("double"), F.lit(0.0)), 8).alias("auc"),
+        F.round(precision / F.nullif(pos.cast("double"), F.lit(0.0)), 8).alias("average_precision"),
+    )
 
 
 def constant_baseline(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
@@ -51,7 +57,7 @@ def precision_capture(rows: DataFrame, percent: int, score: str, tie: str, label
 def bootstrap_draws(months: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``(replicate, vintage, weight)``: as many months drawn with replacement as there are, by SHA-256 of seed, replicate and slot.
 
-    ``months`` has one row a month; their number is broadcast, not their rows' data.
+    The list of months, not their rows, is broadcast: one entry a month of the calendar.
     """
     listed = months.select("vintage").distinct().agg(F.sort_array(F.collect_set("vintage")).alias("all"))
     slots = months.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(listed))
@@ -64,7 +70,7 @@ def bootstrap_draws(months: DataFrame, replicates: int, seed: int) -> DataFrame:
 def block_bootstrap(rows: DataFrame, draws: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """AUC, average precision and Brier score of every replicate, from month and score counts times the months' weights."""
     counts = rows.groupBy(*by, "vintage", F.col(score).alias("score"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    weighted = counts.join(F.broadcast(draws), "vintage")
+    weighted = counts.join(draws, "vintage")
     return quality(weighted, "score", "label", ("replicate", *by), F.col("n") * F.col("weight"))
 
 
@@ -74,18 +80,28 @@ def quantile_interval(values: DataFrame, value: str, by: tuple[str, ...] = ()) -
     return out.select(*by, F.round(F.get("q", 0), 8).alias("low"), F.round(F.get("q", 1), 8).alias("high"), "valid")
 
 
-def capture_bootstrap(ranked: DataFrame, draws: DataFrame, capacities: DataFrame, by: str = "method") -> DataFrame:
+def capture_bootstrap(ranked: DataFrame, draws: DataFrame, capacities: DataFrame, by: str = "method", per_cell: int = 256) -> DataFrame:
     """Events captured by each ``by`` and capacity in every replicate, with months as often as drawn.
 
     ``ranked`` has ``rank`` within ``by``.  A row drawn w times takes w places;
     the last one inside the budget may count in part.
+
+    Rows are counted by month in cells of ``per_cell`` ranks, and the counts, not
+    the rows, meet the replicates.  Only the cell that holds a budget's end is
+    opened: its rows meet the replicates whose budget ends there.
     """
-    weighted = ranked.join(F.broadcast(draws), "vintage").select(by, "replicate", "rank", "label", F.col("weight").cast("long").alias("weight"))
-    running = running_counts(weighted, "rank", ("weight",), (by, "replicate"))
-    totals = weighted.groupBy(by, "replicate").agg(F.sum("weight").alias("n"))
-    k = F.expr("(n * percent + 99) div 100")
-    part = F.least("weight", F.greatest(F.lit(0), k - (F.col("cum_weight") - F.col("weight"))))
-    return running.join(totals, [by, "replicate"]).crossJoin(F.broadcast(capacities)).groupBy(by, "replicate", "percent").agg(F.sum(F.col("label") * part).cast("long").alias("captured"))
+    celled = ranked.select(by, "rank", "label", "vintage", F.expr(f"(rank - 1) div {per_cell}").alias("cell"))
+    counts = celled.groupBy(by, "cell", "vintage").agg(F.count("*").alias("rows"), F.sum("label").alias("hits"))
+    weighted = counts.join(draws, "vintage").groupBy(by, "replicate", "cell").agg(F.sum(F.col("rows") * F.col("weight")).alias("rows"), F.sum(F.col("hits") * F.col("weight")).alias("hits"))
+    upto = running_counts(weighted, "cell", ("rows", "hits"), (by, "replicate"), totals=True)
+    ends = upto.crossJoin(F.broadcast(capacities)).withColumn("k", F.expr("(all_rows * percent + 99) div 100"))
+    full = ends.filter("cum_rows <= k").groupBy(by, "replicate", "percent").agg(F.max("cum_hits").alias("hits"))
+    cut = ends.filter("cum_rows > k and cum_rows - rows < k").select(by, "replicate", "percent", "cell", (F.col("k") - F.col("cum_rows") + F.col("rows")).alias("left"))
+    opened = celled.join(draws, "vintage").join(cut, [by, "replicate", "cell"])
+    place = Window.partitionBy(by, "replicate", "percent").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.least("weight", F.greatest(F.lit(0), F.col("left") - F.coalesce(F.sum("weight").over(place), F.lit(0))))
+    inside = opened.select(by, "replicate", "percent", (F.col("label") * part).alias("hits")).groupBy(by, "replicate", "percent").agg(F.sum("hits").alias("hits"))
+    return full.unionByName(inside).groupBy(by, "replicate", "percent").agg(F.sum("hits").cast("long").alias("captured"))
 
 
 def paired_difference(captured: DataFrame, reference: str, by: str = "method") -> DataFrame:

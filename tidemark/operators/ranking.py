@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from tidemark.sources.shared import stored, unused
+
+
+
+def join_same(left: DataFrame, right: DataFrame, columns: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, by equality of ``columns``, where nulls equal nulls."""
+    others = [c for c in right.columns if c not in columns]
+    keys = unused([*left.columns, *others], *columns)
+    named = right.select(*(F.col(c).alias(k) for c, k in zip(columns, keys, strict=True)), *others)
+    condition = reduce(lambda a, b: a & b, (left[c].eqNullSafe(named[k]) for c, k in zip(columns, keys, strict=True)))
+    return left.join(named, condition, how).drop(*keys)
+
+
+def _number(value: Column) -> Column:
+    """``value``, with NaN as null."""
+    return F.when(~F.isnan(value.cast("double")), value)
+
+
+def _laid(rows: DataFrame, order: list[Column], at: str) -> DataFrame:
+    """``rows`` sorted by range and stored, with their partition and place in ``at``.
+
+    A range is a share of the rows, whatever their values; equal sort keys may
+    lie on both sides of its edge.
+    """
+    return stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
 
 
-def global_rank(rows: DataFrame, score: str, tie: str, by: tuple[str, ...] = (), buckets: int = BUCKETS, prefix: int = 7, name: str = "rank") -> DataFrame:
-    """Rank by ``score`` (0 to 1) down, then ``tie`` up, within ``by``.
+def global_rank(rows: DataFrame, score: str, tie: str, by: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """Rank by ``score`` down, then ``tie`` up, within ``by``; null and NaN scores come last, and null is a group like any other.
 
-    Scores fall in fixed buckets; a bucket of one score, which may hold all rows,
-    is cut by the first characters of ``tie`` instead.  Rows are numbered inside
-    these cells, and a running sum over the cells' counts shifts them.
+    Rows are sorted by range into a stored table, where a row knows its place in
+    its range; a running sum over the ranges' counts in each group shifts it.
+    No task sees a whole group, however its scores lie.
     """
-    bucket = F.floor((1 - F.col(score)) * buckets).cast("int")
-    placed = rows.withColumn("__bucket", bucket)
-    stats = placed.groupBy(*by, "__bucket").agg((F.min(score) == F.max(score)).alias("__one"))
-    placed = placed.join(stats, [*by, "__bucket"]).withColumn("__cell", F.when(F.col("__one"), F.substring(tie, 1, prefix)).otherwise("")).drop("__one")
-    before = Window.partitionBy(*by).orderBy("__bucket", "__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*by, "__bucket", "__cell").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*by, "__bucket", "__cell").orderBy(F.desc(score), tie)
-    numbered = placed.withColumn("__inside", F.row_number().over(inside))
-    return numbered.join(offsets, [*by, "__bucket", "__cell"]).withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__bucket", "__cell", "__before", "__inside")
+    at, part, n, before = unused([*rows.columns, name], "at", "part", "n", "before")
+    order = [*(F.asc_nulls_first(c) for c in by), F.desc_nulls_last(_number(F.col(score))), F.asc_nulls_first(tie)]
+    placed = _laid(rows, order, at).withColumn(part, F.shiftright(at, 33))
+    ranges = placed.groupBy(*by, part).agg(F.count("*").alias(n), F.min(at).alias(at))
+    upto = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, part, (F.coalesce(F.sum(n).over(upto), F.lit(0)) - F.col(at) + 1).alias(before))
+    out = join_same(placed, ranges, (*by, part))
+    return out.select(*(F.col(c) for c in rows.columns), (F.col(at) + F.col(before)).cast("long").alias(name))
 
 
 def _counts(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -31,7 +56,7 @@ def _counts(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def with_total(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return rows.join(_counts(rows, by), list(by)) if by else rows.crossJoin(F.broadcast(_counts(rows, by)))
+    return join_same(rows, _counts(rows, by), by) if by else rows.crossJoin(F.broadcast(_counts(rows, by)))
 
 
 def select_capacity(rows: DataFrame, percent: int, score: str, tie: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -55,22 +80,40 @@ def rank_buckets(rows: DataFrame, n: int, score: str, tie: str, name: str = "buc
     return ranked.withColumn(name, bucket.cast("int")).drop("__n", "rank")
 
 
-def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = False, cells: int = BUCKETS) -> DataFrame:
-    """Running sums of ``counts`` over the values of each ``by``, without one task for all values.
+def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: tuple[str, ...] = (), totals: bool = False) -> DataFrame:
+    """Running sums ``cum_<count>`` of ``counts`` over the values of each ``by``, without one task for all values.
 
-    ``values`` has one row a value, of 0 to 1 or any number; values are cut at
-    ``cells`` equal steps between the least and the greatest.
+    ``values`` has one row a value of any type with an order; null and NaN come
+    last.  With ``totals`` the sums over the whole group are there too, as
+    ``all_<count>``.
     """
-    bounds = values.groupBy(*by).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
-    v = F.col(value).cast("double")
-    cell = F.when(F.col("__hi") > F.col("__lo"), F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells)).otherwise(0).cast("int")
-    placed = (values.join(bounds, list(by)) if by else values.crossJoin(F.broadcast(bounds))).withColumn("__cell", -cell if descending else cell).drop("__lo", "__hi")
-    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*by, "__cell").agg(*(F.sum(c).alias(f"__{c}") for c in counts))
-    sums = sums.select(*by, "__cell", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in counts))
-    inside = Window.partitionBy(*by, "__cell").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.select("*", *(F.sum(c).over(inside).alias(f"__in_{c}") for c in counts)).join(sums, [*by, "__cell"])
-    return out.select(*values.columns, *((F.col(f"__{c}") + F.col(f"__in_{c}")).alias(f"cum_{c}") for c in counts))
+    at, part = unused(values.columns, "at", "part")
+    order = [*(F.asc_nulls_first(c) for c in by), F.asc_nulls_last(_number(F.col(value)))]
+    placed = _laid(values, order, at).withColumn(part, F.shiftright(at, 33))
+    sums = placed.groupBy(*by, part).agg(*(F.sum(c).alias(f"sum_{c}") for c in counts))
+    upto = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(*by, part, *(F.coalesce(F.sum(f"sum_{c}").over(upto), F.lit(0)).alias(f"before_{c}") for c in counts), *(F.sum(f"sum_{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in counts))
+    inside = Window.partitionBy(*by, part).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.select("*", *(F.sum(c).over(inside).alias(f"in_{c}") for c in counts))
+    out = join_same(placed, shifts, (*by, part))
+    cumulated = [(F.col(f"before_{c}") + F.col(f"in_{c}")).alias(f"cum_{c}") for c in counts]
+    return out.select(*values.columns, *cumulated, *([f"all_{c}" for c in counts] if totals else []))
+
+
+def quantiles(rows: DataFrame, value: str, fractions: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by, q, least, greatest, n)``: interpolated percentiles of the values that are there, from counts of each value; no task holds them all."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    upto = running_counts(counts, "value", ("n",), by, totals=True)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("cum_n") - F.col("n") <= place) & (place < F.col("cum_n")), F.col("value")))
+
+    def quantile(f: float) -> Column:
+        place = F.lit(f) * (F.col("all_n") - 1)
+        off = F.max(place - F.floor(place))
+        return F.when(off == 0, at(F.floor(place))).otherwise((1 - off) * at(F.floor(place)) + off * at(F.ceil(place)))
+
+    return upto.groupBy(*by).agg(F.array(*map(quantile, fractions)).alias("q"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.sum("n").alias("n"))
 
 
 def reason_rank(rows: DataFrame, key: str, size: Column, ordinal: str) -> DataFrame:

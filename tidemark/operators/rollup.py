@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import multi_budget, rank_buckets
+from tidemark.operators.ranking import global_rank, multi_budget, rank_buckets, with_total
 
 def _exposure() -> Column:
     """Cents times probability, exact."""
@@ -76,9 +76,9 @@ def budget_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame)
 
 def capacity_policy_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, review_cost_cents: int = 2500) -> DataFrame:
     """Method by capacity by group (all, month, segment), with what the review finds, misses and costs."""
-    chosen = multi_budget(scores, capacities, "score", "application_id").select("method", "percent", "application_id", F.lit(1).alias("taken"))
-    grid = scores.select("method", "application_id").join(outcomes, "application_id").crossJoin(F.broadcast(capacities))
-    rows = grid.join(chosen, ["method", "percent", "application_id"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    ranked = with_total(global_rank(scores, "score", "application_id", ("method",)), ("method",)).select("method", "application_id", "rank", "__n").join(outcomes, "application_id")
+    # A rank tells which budgets take its row; the copies of a row for each budget end in the partial sums.
+    rows = ranked.crossJoin(F.broadcast(capacities)).withColumn("taken", (F.col("rank") <= F.expr("(__n * percent + 99) div 100")).cast("int"))
     caught = F.sum(F.col("taken") * F.col("label")).cast("long")
     taken, events = F.sum("taken").cast("long"), F.sum("label").cast("long")
     sums = rows.groupingSets([["method", "percent"], ["method", "percent", "vintage"], ["method", "percent", "segment"]], "method", "percent", "vintage", "segment").agg(

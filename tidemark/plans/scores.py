@@ -185,7 +185,7 @@ def quality_sql(source: str, by: str = "", weight: str = "1") -> str:
     ), quality AS (SELECT {keys} CAST(sum(pos + neg) AS BIGINT) AS records, CAST(sum(pos) AS BIGINT) AS events,
       round(CAST(sum(CAST(pos AS HUGEINT) * (2 * below - neg)) AS DOUBLE) / 2 / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0), 8) AS auc,
       round(sum(CAST(pos AS DOUBLE) * pos_above / above) / nullif(sum(pos), 0), 8) AS average_precision,
-      round(sum(pos * (1 - CAST(score AS DOUBLE)) ** 2 + neg * CAST(score AS DOUBLE) ** 2) / sum(pos + neg), 8) AS brier FROM cum {group})"""
+      round(CAST(sum(CAST(pos AS DECIMAL(10, 0)) * ((1 - score) * (1 - score)) + CAST(neg AS DECIMAL(10, 0)) * (score * score)) AS DOUBLE) / CAST(sum(pos + neg) AS BIGINT), 8) AS brier FROM cum {group})"""
 
 
 LABELLED = "labelled AS (SELECT method, score, label, vintage FROM scores JOIN outcomes USING (application_id))"
@@ -235,7 +235,7 @@ def m06_metrics_by(t: Tables):
     return metrics.quality(labelled(t), "score", "label", ("method", "vintage"))
 
 
-REPLICATES, SEED = 20, 7
+REPLICATES, SEED = 300, 7
 DRAWS = f"""months AS (SELECT list_sort(list(DISTINCT vintage)) AS every FROM outcomes), draws AS (
   SELECT CAST(rep AS INTEGER) AS replicate, every[1 + CAST(('0x' || substring(sha256('{SEED}:' || rep || ':' || slot), 1, 8)) AS BIGINT) % len(every)] AS vintage, CAST(count(*) AS INTEGER) AS weight
   FROM (SELECT every, rep, unnest(range(0, len(every))) AS slot FROM months, range(0, {REPLICATES}) r(rep)) GROUP BY ALL)"""
@@ -251,9 +251,9 @@ def m11_bootstrap_draws(t: Tables):
     return draws(t)
 
 
-@query("scores outcomes", f"{WEIGHTED}, {quality_sql('weighted', 'replicate, method', 'weight')} SELECT replicate, method, auc, brier FROM quality WHERE method = 'rule'")
+@query("scores outcomes", f"{WEIGHTED}, {quality_sql('weighted', 'replicate, method', 'weight')} SELECT replicate, method, auc, brier FROM quality")
 def m07_block_bootstrap(t: Tables):
-    return metrics.block_bootstrap(labelled(t).filter("method = 'rule'"), draws(t), "score", "label", ("method",)).select("replicate", "method", "auc", "brier")
+    return metrics.block_bootstrap(labelled(t), draws(t), "score", "label", ("method",)).select("replicate", "method", "auc", "brier")
 
 
 PLACES = f"""{DRAWS}, {RANKED}, placed AS (

@@ -1,4 +1,4 @@
-"""A fresh path for intermediate tables, in the folder that all machines share."""
+"""Where tables that cut lineage go: the folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
@@ -8,17 +8,35 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.  A local session without one, as in tests, gets a folder of this machine; a cluster has to name it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """Under ``spark.checkpoint.dir``; where that is unset, as in local tests, under a folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid4().hex}"
-
-
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a table in the shared folder: what follows, such as a model's passes, reads it instead of computing it again."""
-    path = shared_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as tell it from ``columns`` in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
