@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, coverage, drift, features, journal, loans, metrics, models, ranking, reconcile, rollup
 from tidemark.sources import tables
-from tidemark.streaming.review import decide
+from tidemark.streaming.review import decide, stream_review
 
 D = dt.date
 APPS = "application_id string, decision_at date, principal_cents long, segment string"
@@ -205,14 +205,66 @@ def test_anniversaries_money_and_labels(spark):
 
 def test_replay_stops_at_the_first_violation(spark):
     schema = "sequence long, request_id string, application_id string, action string, actor string, expected_version int, note string, evidence string, outcome string"
-    events = [(1, "q1", "A", "claim", "x", 0, "", "", None), (2, "q2", "A", "resolve", "x", 1, "n", "e", "confirmed"), (3, "q3", "B", "claim", "x", 0, "", "", None), (4, "q4", "B", "release", "y", 1, "", "", None), (5, "q5", "B", "release", "x", 2, "", "", None)]
+    events = [(1, "q1", "A", "claim", "x", 0, "", "", None), (2, "q2", "A", "resolve", "x", 1, "n", "e", "escalated"), (3, "q3", "B", "claim", "x", 0, "", "", None), (4, "q4", "B", "release", "y", 1, "n", "", None), (5, "q5", "B", "release", "x", 2, "n", "", None)]
     queue = spark.createDataFrame([("A",), ("B",), ("C",)], "application_id string")
     got = {r["application_id"]: tuple(r)[1:] for r in journal.replay(queue, spark.createDataFrame(events, schema)).collect()}
-    assert got == {"A": ("resolved", "x", "confirmed", 2, None), "B": ("in_review", "x", None, 1, 4), "C": ("queued", None, None, 0, None)}
+    assert got == {"A": ("resolved", "x", "escalated", 2, None), "B": ("in_review", "x", None, 1, 4), "C": ("queued", None, None, 0, None)}
     assert decide("queued", None, 0, "claim", "x", 1) == "stale_version"
     assert decide("in_review", "x", 1, "resolve", "y", 1) == "not_owner"
 
 
+COMMANDS = "request_id string, application_id string, action string, actor string, expected_version int, note string, evidence string, outcome string"
+
+
+def test_rules_of_single_commands(spark):
+    cases = [
+        (("q", "A", "claim", "x", 0, "", None, ""), None),
+        (("q", "A", "claim", "x", 0, "n", "", ""), "claim_with_text"),
+        (("q", "A", "release", "x", 1, "", "", ""), "missing_reason"),
+        (("q", "A", "release", "x", 1, "n", "e", ""), "evidence_without_resolution"),
+        (("q", "A", "reopen", "x", 1, "n", "", ""), None),
+        (("q", "A", "reopen", "x", 1, None, "", ""), "missing_reason"),
+        (("q", "A", "resolve", "x", 1, "n", "e", "cleared"), None),
+        (("q", "A", "resolve", "x", 1, "n", "", "cleared"), "incomplete_resolution"),
+        (("q", "A", "resolve", "x", 1, "n", "e", "confirmed"), "unknown_outcome"),
+        ((" q", "A", "claim", "x", 0, "", "", ""), "invalid_request_id"),
+        (("q", "A" * 201, "claim", "x", 0, "", "", ""), "invalid_application_id"),
+        (("q", "A", "claim", None, 0, "", "", ""), "invalid_actor"),
+        (("q", "A", "release", "x", 0, "n ", "", ""), "invalid_note"),
+        (("q", "A", "claim", "x", None, "", "", ""), "invalid_version"),
+        (("q", "A", "close", "x", 0, "", "", ""), "invalid_action"),
+    ]
+    rows = spark.createDataFrame([c for c, _ in cases], COMMANDS).coalesce(1)
+    assert [r[0] for r in rows.select(journal.command_issue()).collect()] == [issue for _, issue in cases]
+
+
+def test_stream_decides_like_the_replay(spark, tmp_path):
+    commands = [
+        ("q1", "A", "claim", "x", 0, "", "", ""),
+        ("q2", "A", "resolve", "x", 1, "", "", ""),
+        ("q3", "A", "resolve", "x", 1, "n", "e", "cleared"),
+        ("q1", "A", "claim", "x", 0, "", "", ""),
+        ("q3", "A", "resolve", "x", 1, "n", "other", "cleared"),
+        ("q4", "A", "reopen", "z", 2, "n", "", ""),
+        ("q5", "A", "claim", "y", 1, "", "", ""),
+    ]
+    schema = spark.createDataFrame([], COMMANDS).schema
+    for i, c in enumerate(commands):
+        spark.createDataFrame([c], schema).write.mode("append").parquet(f"{tmp_path}/in{i}")
+    got = []
+    (tmp_path / "all").mkdir()
+    live = stream_review(spark.readStream.schema(schema).parquet(f"{tmp_path}/all"))
+    for i in range(len(commands)):
+        spark.read.parquet(f"{tmp_path}/in{i}").write.mode("append").parquet(f"{tmp_path}/all")
+        live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        got.append(spark.read.parquet(f"{tmp_path}/out").count())
+    assert got == list(range(1, len(commands) + 1))
+    results = sorted((r["request_id"], r["result"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert results == sorted(
+        [("q1", "accepted", ""), ("q2", "rejected", "incomplete_resolution"), ("q3", "accepted", ""), ("q1", "replayed", ""), ("q3", "rejected", "request_conflict"), ("q4", "accepted", ""), ("q5", "rejected", "stale_version")]
+    )
+
+
 def test_fingerprint_ignores_order_and_sees_copies(spark):
     rows = [("a", 1), ("b", None), ("c", 3)]
     make = lambda r: reconcile.fingerprint(spark.createDataFrame(r, "k string, v int").repartition(2), "k", "v").first()
@@ -263,3 +315,37 @@ def test_csv_tables_are_strict(spark, tmp_path):
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         for _ in range(2):
             tables.write_table(spark.range(1), str(tmp_path / "out"), ("id",))
+
+
+def test_readers_check_headers_classes_and_identities(spark, tmp_path):
+    def file(name, text):
+        (tmp_path / name).write_text(text)
+        return f"{tmp_path}/{name}"
+
+    coded = tables.read_coded_table(spark, file("coded", "A11 6 1\nA12 48 2\nA14 12 1\n"), ("status", "months", "class"))
+    assert [(r["record_id"], r["status"], r["label"]) for r in coded.orderBy("record_id").collect()] == [(1, "A11", 0), (2, "A12", 1), (3, "A14", 0)]
+    with pytest.raises(Exception, match="neither 1 nor 2"):
+        tables.read_coded_table(spark, file("bad", "A11 6 9\n"), ("status", "months", "class")).collect()
+
+    wide = tables.read_wide_int_table(spark, file("wide.csv", "id,limit\n1,20\n2,30\n"), ("id", "limit"))
+    assert sorted(map(tuple, wide.collect())) == [(1, 20), (2, 30)]
+    with pytest.raises(ValueError, match="columns differ"):
+        tables.read_wide_int_table(spark, file("swapped.csv", "limit,id\n1,20\n"), ("id", "limit"))
+    with pytest.raises(Exception, match="count the rows"):
+        tables.read_wide_int_table(spark, file("ids.csv", "id,limit\n7,20\n7,30\n"), ("id", "limit")).collect()
+
+    raw = tables.read_raw_loans(spark, {"B": file("b.csv", "x,y\n1,2\n3,4\n"), "A": file("a.csv", "x,y\n5,6\n")}, ("x", "y"))
+    assert sorted((r["source"], r["ordinal"], r["x"], r["y"]) for r in raw.collect()) == [("A", 1, "5", "6"), ("B", 1, "1", "2"), ("B", 2, "3", "4")]
+    with pytest.raises(ValueError, match="columns differ"):
+        tables.read_raw_loans(spark, {"C": file("c.csv", "y,x\n1,2\n")}, ("x", "y"))
+
+
+def test_rows_are_numbered_over_the_blocks_of_a_file(spark, tmp_path):
+    (tmp_path / "long").write_text("".join(f"c{i} {i} 1\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = tables.read_coded_table(spark, f"{tmp_path}/long", ("code", "n", "class")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3000
+    assert all(r["record_id"] == int(r["n"]) + 1 for r in rows)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The statuses of a slot, and of a population.
 STATUSES = ("available", "late_for_decision", "observed_after_decision", "no_visible_event")
+POPULATION_STATUSES = ("no_visible_applications", "incomplete_coverage", "complete_coverage")
 
 
 def expected_slots(populations: DataFrame, features: DataFrame) -> DataFrame:
@@ -61,10 +63,18 @@ def coverage_rollup(slots: DataFrame) -> DataFrame:
     return grouped.withColumn("vintage", F.coalesce("vintage", F.lit("all")))
 
 
-def population_completeness(slots: DataFrame) -> DataFrame:
-    """Applications of each population that have all their inputs, and those that don't."""
+def population_completeness(window: DataFrame, names: DataFrame, slots: DataFrame, as_of: Column) -> DataFrame:
+    """A row for each population of ``names``: its applications that are visible at ``as_of``, those with all their inputs and those without, those not yet visible, and a status.
+
+    ``window`` (population, application_id, decision_at) holds all applications
+    of the populations' windows, ``slots`` those of the visible ones.
+    """
+    seen = window.groupBy("population").agg(F.count_if(F.col("decision_at") <= as_of).alias("applications"), F.count_if(F.col("decision_at") > as_of).alias("not_yet_visible"))
     per_app = slots.groupBy("population", "application_id").agg(F.min(F.col("status") == STATUSES[0]).alias("complete"))
-    return per_app.groupBy("population").agg(F.count("*").alias("applications"), F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete"))
+    complete = per_app.groupBy("population").agg(F.count_if("complete").alias("complete"))
+    out = names.select("population").distinct().join(seen, "population", "left").join(complete, "population", "left").fillna(0, ["applications", "not_yet_visible", "complete"])
+    status = F.when(F.col("applications") == 0, POPULATION_STATUSES[0]).when(F.col("complete") < F.col("applications"), POPULATION_STATUSES[1]).otherwise(POPULATION_STATUSES[2])
+    return out.select("population", "applications", "complete", (F.col("applications") - F.col("complete")).alias("incomplete"), "not_yet_visible", status.alias("status"))
 
 
 def threshold_numerator(text: Column) -> Column:
@@ -75,12 +85,12 @@ def threshold_numerator(text: Column) -> Column:
 
 def policy_check(rules: DataFrame, coverage: DataFrame) -> DataFrame:
     """Each rule's result: insufficient, fail or pass, by exact integer products."""
-    seen = coverage.select("population", "vintage", "feature", "applications", "available")
+    seen = coverage.select("population", "vintage", "feature", "applications", "available", "coverage_rate")
     joined = rules.join(seen, ["population", "vintage", "feature"], "left")
     n = F.coalesce("applications", F.lit(0))
     short = F.col("available").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") < F.col("applications").cast("decimal(19,0)") * threshold_numerator(F.col("min_coverage"))
     result = F.when(n < F.col("min_applications"), "insufficient").when(short, "fail").otherwise("pass")
-    return joined.select("ordinal", "id", "population", "vintage", "feature", n.cast("long").alias("applications"), F.coalesce("available", F.lit(0)).cast("long").alias("available"), result.alias("result"))
+    return joined.select("ordinal", "id", "population", "vintage", "feature", n.cast("long").alias("applications"), F.coalesce("available", F.lit(0)).cast("long").alias("available"), "coverage_rate", result.alias("result"))
 
 
 def policy_verdict(checks: DataFrame) -> DataFrame:

@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed values of the review rules.
 ACTIONS = ("claim", "release", "resolve", "reopen")
+OUTCOMES = ("cleared", "escalated")
+NAME_CHARS, TEXT_CHARS = 200, 2000
+#: What a command says; a request that comes again has to say the same.
+CONTENT = ("application_id", "action", "actor", "expected_version", "note", "evidence", "outcome")
 
 
 def command_issue() -> Column:
-    """The first rule that a command breaks, or null."""
-    text = lambda c, most: F.length(F.trim(c)).between(1, most)
-    noted = F.length(F.trim(F.coalesce("note", F.lit("")))) > 0
-    evidence = F.length(F.trim(F.coalesce("evidence", F.lit("")))) > 0
+    """The first rule that a command breaks by itself, or null.
+
+    Names and texts stand without white space around them; a null text is an
+    empty one.  A claim says nothing more, a release or reopening gives its
+    reason, a resolution its reason, evidence and outcome.
+    """
+    given = lambda c: F.coalesce(c, F.lit(""))
+    name = lambda c: F.coalesce((F.length(c) <= NAME_CHARS) & (F.col(c) != "") & ~F.col(c).rlike(r"^\s|\s$|\x00"), F.lit(False))
+    text = lambda c: (F.length(given(c)) <= TEXT_CHARS) & ~given(c).rlike(r"^\s|\s$|\x00")
+    empty = lambda c: given(c) == ""
+    is_ = lambda *actions: F.col("action").isin(*actions)
     rules = [
-        (~F.coalesce(text("request_id", 200), F.lit(False)), "invalid_request_id"),
-        (~F.coalesce(text("application_id", 200), F.lit(False)), "invalid_application_id"),
-        (~F.coalesce(text("actor", 200), F.lit(False)), "invalid_actor"),
-        (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "invalid_action"),
+        *((~name(c), f"invalid_{c}") for c in ("request_id", "application_id", "actor")),
+        *((~text(c), f"invalid_{c}") for c in ("note", "evidence", "outcome")),
         (~F.coalesce(F.col("expected_version") >= 0, F.lit(False)), "invalid_version"),
-        ((F.col("action") == "resolve") & ~(noted & evidence & F.col("outcome").isNotNull()), "incomplete_resolution"),
-        ((F.col("action") == "reopen") & ~noted, "reopen_without_note"),
-        ((F.col("action") != "resolve") & F.col("outcome").isNotNull(), "outcome_without_resolution"),
+        (~F.coalesce(is_(*ACTIONS), F.lit(False)), "invalid_action"),
+        (is_("claim") & ~(empty("note") & empty("evidence") & empty("outcome")), "claim_with_text"),
+        (is_("resolve") & (empty("note") | empty("evidence")), "incomplete_resolution"),
+        (is_("resolve") & ~given("outcome").isin(*OUTCOMES), "unknown_outcome"),
+        (is_("release", "reopen") & empty("note"), "missing_reason"),
+        (is_("release", "reopen") & ~(empty("evidence") & empty("outcome")), "evidence_without_resolution"),
     ]
     return F.coalesce(*(F.when(condition, F.lit(code)) for condition, code in rules))
 
@@ -73,7 +86,7 @@ def integrity(journal: DataFrame, queue: DataFrame) -> DataFrame:
 
 def idempotent(commands: DataFrame) -> DataFrame:
     """Each request once: ``new``, ``replayed`` if the same content came again, or ``conflict``."""
-    content = F.struct("application_id", "action", "actor", "expected_version", "note", "evidence", "outcome")
+    content = F.struct(*CONTENT)
     out = commands.groupBy("request_id").agg(F.count("*").alias("times"), F.count_distinct(content).alias("versions"))
     return out.select("request_id", "times", F.when(F.col("versions") > 1, "conflict").when(F.col("times") > 1, "replayed").otherwise("new").alias("result"))
 
@@ -81,7 +94,7 @@ def idempotent(commands: DataFrame) -> DataFrame:
 def review_status(states: DataFrame) -> DataFrame:
     of = lambda s: F.count_if(F.col("status") == s)
     return states.agg(
-        F.count("*").alias("cases"), of("queued").alias("queued"), of("in_review").alias("in_review"), of("resolved").alias("resolved"), F.count_if(F.col("outcome") == "confirmed").alias("confirmed"),
+        F.count("*").alias("cases"), of("queued").alias("queued"), of("in_review").alias("in_review"), of("resolved").alias("resolved"), *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES),
         F.round(of("resolved") / F.nullif(F.count("*"), F.lit(0)), 8).alias("completion_rate"),
     )
 

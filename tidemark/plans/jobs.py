@@ -45,10 +45,11 @@ def s03_read_coded_table(t: Tables):
     return tables.read_coded_table(t.spark, path, ("application_id", "principal_cents", "segment", "class")).select("application_id", F.col("principal_cents").cast("long").alias("principal_cents"), "segment")
 
 
-@query("applications", "SELECT CAST(k AS INTEGER) AS id, CAST(c AS INTEGER) AS customer FROM applications")
+@query("applications", "SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS id, CAST(c AS INTEGER) AS customer FROM applications")
 def s04_read_wide_int_table(t: Tables):
     path = shared_path(t.spark, "wide")
-    t.applications.select(F.col("k").alias("id"), F.col("c").alias("customer")).write.option("header", True).option("compression", "gzip").csv(path)
+    ranked = ranking.global_rank(t.applications.select("application_id", "c", F.lit(0.0).alias("score")), "score", "application_id", name="id")
+    ranked.orderBy("id").select("id", F.col("c").alias("customer")).write.option("header", True).option("compression", "gzip").csv(path)
     return tables.read_wide_int_table(t.spark, path, ("id", "customer"))
 
 
@@ -194,14 +195,35 @@ def e05_input_drift(t: Tables):
     return known.groupBy("name").agg(F.count_if(old).alias("reference_count"), F.count_if(~old).alias("current_count"), F.round(F.avg(F.when(old, F.col("value"))), 6).alias("reference_mean"), F.round(F.avg(F.when(~old, F.col("value"))), 6).alias("current_mean"))
 
 
-@query(K.SLOT_TABLES, K.COMPLETE)
+@query(K.SLOT_TABLES, f"{K.REPORT} UNION ALL BY NAME SELECT population, 'missing' AS status, feature, vintage, count(*) AS feature_applications FROM slots WHERE slots.status <> 'available' GROUP BY population, feature, vintage")
 def e06_coverage_job(t: Tables):
-    return coverage.population_completeness(K.slots(t))
+    """The coverage report, and beside it the missing slots by population, feature and month."""
+    own = K.slots(t)
+    report = K.completeness(t, own).join(coverage.coverage_rollup(own).withColumnRenamed("applications", "feature_applications"), "population", "left")
+    gaps = own.filter(F.col("status") != coverage.STATUSES[0]).groupBy("population", "feature", "vintage").agg(F.count("*").alias("feature_applications"))
+    return report.unionByName(gaps.withColumn("status", F.lit("missing")), allowMissingColumns=True)
 
 
-@query(K.SLOT_TABLES + " policy_rules", f"{K.CHECKS} SELECT result, count(*) AS rules FROM checks GROUP BY result")
+POLICY_WORDS = ", ".join(f"(SELECT CAST(sum(CAST(CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) FROM hashed) AS word_{i}" for i in range(4))
+
+
+@query(
+    K.SLOT_TABLES + " policy_rules",
+    f"""{K.CHECKS}, hashed AS (SELECT sha256('{{"feature":"' || feature || '","id":"' || id || '","min_applications":' || min_applications || ',"min_coverage":"' || min_coverage || '","population":"' || population || '","vintage":"' || vintage || '"}}') AS h FROM policy_rules
+    ), verdict AS (SELECT CASE WHEN bool_or(result = 'fail') THEN 'fail' WHEN bool_or(result = 'insufficient') THEN 'insufficient' ELSE 'pass' END AS verdict FROM checks
+    ), missing AS (SELECT population, feature, vintage, count(*) AS missing_slots FROM (SELECT population, feature, vintage FROM slots WHERE status <> 'available' UNION ALL SELECT population, feature, 'all' FROM slots WHERE status <> 'available') GROUP BY ALL)
+    SELECT ordinal, id, c.population, c.vintage, c.feature, applications, available, coverage_rate, result, verdict, coalesce(missing_slots, 0) AS missing_slots, {POLICY_WORDS}
+    FROM checks c CROSS JOIN verdict LEFT JOIN missing m ON m.population = c.population AND m.feature = c.feature AND m.vintage = c.vintage""",
+)
 def e07_policy_job(t: Tables):
-    return coverage.policy_check(t.policy_rules, coverage.coverage_rollup(K.slots(t))).groupBy("result").agg(F.count("*").alias("rules"))
+    """Each rule's result beside the verdict, the policy's fingerprint and the slots that the rule misses."""
+    own = K.slots(t)
+    checks = stored(coverage.policy_check(t.policy_rules, coverage.coverage_rollup(own)), "checks")
+    gaps = own.filter(F.col("status") != coverage.STATUSES[0]).select("population", "feature", F.explode(F.array("vintage", F.lit("all"))).alias("vintage"))
+    missing = gaps.groupBy("population", "feature", "vintage").agg(F.count("*").alias("missing_slots"))
+    identity = reconcile.fingerprint(t.policy_rules, "feature", "id", "min_applications", "min_coverage", "population", "vintage").drop("rows")
+    whole = coverage.policy_verdict(checks).select("verdict").crossJoin(identity)
+    return checks.crossJoin(F.broadcast(whole)).join(missing, ["population", "feature", "vintage"], "left").fillna(0, ["missing_slots"])
 
 
 @query("predictions", "SELECT scope, count(*) AS rows, CAST(sum(loans) AS BIGINT) AS loans, CAST(sum(events) AS BIGINT) AS events FROM (SELECT 'portfolio' AS scope, count(*) AS loans, sum(label) AS events FROM predictions UNION ALL SELECT 'vintage', count(*), sum(label) FROM predictions GROUP BY vintage UNION ALL SELECT 'segment', count(*), sum(label) FROM predictions GROUP BY segment UNION ALL SELECT 'vintage_segment', count(*), sum(label) FROM predictions GROUP BY vintage, segment) GROUP BY scope")
@@ -291,7 +313,7 @@ def e17_aggregate_brief(t: Tables):
 
 
 @query("journal queue", f"""{R.TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS violation FROM judged WHERE issue IS NOT NULL GROUP BY application_id)
-SELECT application_id, count(*) FILTER (WHERE violation IS NULL OR sequence < violation) AS accepted FROM journal LEFT JOIN firsts USING (application_id) GROUP BY application_id""".replace("WHEN action = 'reopen' AND trim(note) = '' THEN 'reopen_without_note' ", ""))
+SELECT application_id, count(*) FILTER (WHERE violation IS NULL OR sequence < violation) AS accepted FROM journal LEFT JOIN firsts USING (application_id) GROUP BY application_id""")
 def g07_stream_review(t: Tables):
     """Commands accepted by the stream, from the journal as files.  After a case's first violation all versions are stale."""
     commands, out, state = (shared_path(t.spark, n) for n in ("commands", "accepted", "stream"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, coverage, rollup
 from tidemark.plans.registry import Tables, query
+from tidemark.sources.shared import stored
 
 AS_OF = "1998-10-01"
 
@@ -143,7 +144,8 @@ def j13_compare_naive(t: Tables):
     return asof.compare_naive(t.applications, t.feature_events)
 
 
-POPULATIONS = f"populations AS (SELECT stage AS population, application_id, decision_at FROM applications JOIN stages ON decision_at BETWEEN start_at AND end_at WHERE decision_at <= {CUT})"
+POPULATIONS = f"""names AS (SELECT stage AS population, start_at, end_at FROM stages UNION ALL SELECT 'future', DATE '2030-01-01', DATE '2030-12-31' UNION ALL SELECT 'current', DATE '1998-01-01', DATE '2000-12-31'
+), inside AS (SELECT population, application_id, decision_at FROM applications JOIN names ON decision_at BETWEEN start_at AND end_at), populations AS (SELECT * FROM inside WHERE decision_at <= {CUT})"""
 SLOTS = f"""{POPULATIONS}, found AS (
   SELECT p.population, p.application_id, p.decision_at, f.name AS feature,
     arg_max(struct_pack(value, observed_at, available_at), available_at) FILTER (WHERE observed_at <= decision_at AND available_at <= decision_at) AS timely,
@@ -161,12 +163,29 @@ SLOTS = f"""{POPULATIONS}, found AS (
 SLOT_TABLES = "applications feature_events features stages"
 
 
+def names(t: Tables):
+    """The stages, a window that reaches beyond the day of the report, and one that no application falls into."""
+    more = t.spark.sql("SELECT stage, CAST(a AS DATE) AS start_at, CAST(b AS DATE) AS end_at FROM (VALUES ('future', '2030-01-01', '2030-12-31'), ('current', '1998-01-01', '2000-12-31')) AS w(stage, a, b)")
+    return t.stages.select("stage", "start_at", "end_at").unionByName(more)
+
+
+def windows(t: Tables):
+    every = names(t)
+    inside = t.applications.join(F.broadcast(every), F.col("decision_at").between(F.col("start_at"), F.col("end_at")))
+    return inside.select(F.col("stage").alias("population"), "application_id", "decision_at")
+
+
 def populations(t: Tables):
-    return asof.in_stages(t.applications, t.stages).filter(F.col("decision_at") <= day()).select(F.col("stage").alias("population"), "application_id", "decision_at")
+    return windows(t).filter(F.col("decision_at") <= day())
 
 
 def slots(t: Tables):
-    return coverage.slot_status(coverage.expected_slots(populations(t), t.features), t.feature_events, day())
+    """Stored, since reports read the same slots several times."""
+    return stored(coverage.slot_status(coverage.expected_slots(populations(t), t.features), t.feature_events, day()), "slots")
+
+
+def completeness(t: Tables, own):
+    return coverage.population_completeness(windows(t), names(t).withColumnRenamed("stage", "population"), own, day())
 
 
 @query(SLOT_TABLES, f"{POPULATIONS} SELECT population, application_id, decision_at, name FROM populations CROSS JOIN features")
@@ -198,24 +217,32 @@ def a12_coverage_rollup(t: Tables):
     return coverage.coverage_rollup(slots(t))
 
 
-COMPLETE = f"""{SLOTS}, per_app AS (SELECT population, application_id, bool_and(status = 'available') AS complete FROM slots GROUP BY population, application_id)
-SELECT population, count(*) AS applications, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete FROM per_app GROUP BY population"""
+COMPLETENESS = """per_app AS (SELECT population, application_id, bool_and(status = 'available') AS complete FROM slots GROUP BY population, application_id
+), counted AS (SELECT n.population, (SELECT count(*) FROM populations p WHERE p.population = n.population) AS applications, (SELECT count(*) FROM per_app p WHERE p.population = n.population AND complete) AS complete,
+  (SELECT count(*) FROM inside i WHERE i.population = n.population) AS within FROM names n
+), completeness AS (SELECT population, applications, complete, applications - complete AS incomplete, within - applications AS not_yet_visible,
+  CASE WHEN applications = 0 THEN 'no_visible_applications' WHEN complete < applications THEN 'incomplete_coverage' ELSE 'complete_coverage' END AS status FROM counted)"""
 
 
-@query(SLOT_TABLES, COMPLETE)
+@query(SLOT_TABLES, f"{SLOTS}, {COMPLETENESS} SELECT * FROM completeness")
 def a13_population_completeness(t: Tables):
-    return coverage.population_completeness(slots(t))
+    return completeness(t, slots(t))
+
+
+REPORT = f"""{ROLLUP}, {COMPLETENESS} SELECT q.*, c.vintage, c.feature, c.applications AS feature_applications, c.available, c.late_for_decision, c.observed_after_decision, c.no_visible_event, c.coverage_rate,
+  c.median_observation_age_days, c.median_availability_lag_days, c.max_availability_lag_days, c.median_late_days, c.max_late_days FROM completeness q LEFT JOIN coverage c ON c.population = q.population"""
 
 
-@query(SLOT_TABLES, f"{ROLLUP} SELECT population, feature, applications, coverage_rate, complete FROM coverage JOIN (SELECT population, count(*) FILTER (WHERE c) AS complete FROM (SELECT population, application_id, bool_and(status = 'available') AS c FROM slots GROUP BY population, application_id) GROUP BY population) USING (population) WHERE vintage = 'all'")
+@query(SLOT_TABLES, REPORT)
 def q04_coverage_report(t: Tables):
+    """Each population's completeness with its coverage by feature and month; one without visible applications has a row without them."""
     own = slots(t)
-    rows = coverage.coverage_rollup(own).filter("vintage = 'all'").select("population", "feature", "applications", "coverage_rate")
-    return rows.join(coverage.population_completeness(own).select("population", "complete"), "population")
+    rows = coverage.coverage_rollup(own).withColumnRenamed("applications", "feature_applications")
+    return completeness(t, own).join(rows, "population", "left")
 
 
 CHECKS = f"""{ROLLUP}, checks AS (
-  SELECT ordinal, id, r.population, r.vintage, r.feature, coalesce(applications, 0) AS applications, coalesce(available, 0) AS available,
+  SELECT ordinal, id, r.population, r.vintage, r.feature, coalesce(applications, 0) AS applications, coalesce(available, 0) AS available, coverage_rate,
     CASE WHEN coalesce(applications, 0) < min_applications THEN 'insufficient'
       WHEN CAST(available AS HUGEINT) * 1000000000000000000 < CAST(applications AS HUGEINT) * CAST(CAST(min_coverage AS DECIMAL(19, 18)) * 1000000000000000000 AS HUGEINT) THEN 'fail' ELSE 'pass' END AS result
   FROM policy_rules r LEFT JOIN coverage c ON c.population = r.population AND c.vintage = r.vintage AND c.feature = r.feature)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, contracts, features, journal, loans, ranking, reconcile, rollup
-from tidemark.plans.known_then import COHORT_TABLES, COHORTS, CUT, cohorts, day, populations
+from tidemark.plans.known_then import COHORT_TABLES, COHORTS, CUT, cohorts, day, names, windows
 from tidemark.plans.registry import Tables, query
 
 ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
@@ -398,8 +398,18 @@ def r17_split_disjoint(t: Tables):
     return contracts.split_disjoint(split.unionByName(split.filter("label = 1")).drop("label"))
 
 
-TRANSITIONS = """steps AS (SELECT *, lag(action) OVER w AS before, lag(actor) OVER w AS holder, row_number() OVER w - 1 AS place FROM journal WINDOW w AS (PARTITION BY application_id ORDER BY sequence)
-), judged AS (SELECT *, CASE WHEN action = 'reopen' AND trim(note) = '' THEN 'reopen_without_note' WHEN expected_version <> place THEN 'stale_version' WHEN action = 'claim' AND NOT (before IS NULL OR before IN ('release', 'reopen')) THEN 'not_queued'
+COMMAND = """CASE WHEN request_id IS NULL OR request_id = '' OR length(request_id) > 200 OR request_id <> trim(request_id) THEN 'invalid_request_id'
+  WHEN application_id IS NULL OR application_id = '' OR length(application_id) > 200 OR application_id <> trim(application_id) THEN 'invalid_application_id'
+  WHEN actor IS NULL OR actor = '' OR length(actor) > 200 OR actor <> trim(actor) THEN 'invalid_actor'
+  WHEN length(note) > 2000 OR note <> trim(note) THEN 'invalid_note' WHEN length(evidence) > 2000 OR evidence <> trim(evidence) THEN 'invalid_evidence' WHEN length(outcome) > 2000 OR outcome <> trim(outcome) THEN 'invalid_outcome'
+  WHEN expected_version IS NULL OR expected_version < 0 THEN 'invalid_version' WHEN action IS NULL OR action NOT IN ('claim', 'release', 'resolve', 'reopen') THEN 'invalid_action'
+  WHEN action = 'claim' AND (coalesce(note, '') || coalesce(evidence, '') || coalesce(outcome, '')) <> '' THEN 'claim_with_text'
+  WHEN action = 'resolve' AND (coalesce(note, '') = '' OR coalesce(evidence, '') = '') THEN 'incomplete_resolution'
+  WHEN action = 'resolve' AND coalesce(outcome, '') NOT IN ('cleared', 'escalated') THEN 'unknown_outcome'
+  WHEN action IN ('release', 'reopen') AND coalesce(note, '') = '' THEN 'missing_reason'
+  WHEN action IN ('release', 'reopen') AND (coalesce(evidence, '') || coalesce(outcome, '')) <> '' THEN 'evidence_without_resolution' END"""
+TRANSITIONS = f"""steps AS (SELECT *, {COMMAND} AS broken, lag(action) OVER w AS before, lag(actor) OVER w AS holder, row_number() OVER w - 1 AS place FROM journal WINDOW w AS (PARTITION BY application_id ORDER BY sequence)
+), judged AS (SELECT *, CASE WHEN broken IS NOT NULL THEN broken WHEN expected_version <> place THEN 'stale_version' WHEN action = 'claim' AND NOT (before IS NULL OR before IN ('release', 'reopen')) THEN 'not_queued'
   WHEN action IN ('release', 'resolve') AND NOT coalesce(before = 'claim' AND holder = actor, false) THEN 'not_owner' WHEN action = 'reopen' AND NOT coalesce(before = 'resolve', false) THEN 'not_resolved' END AS issue FROM steps)"""
 STATES = f"""{TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS violation FROM judged WHERE issue IS NOT NULL GROUP BY application_id
 ), legal AS (SELECT j.* FROM judged j LEFT JOIN firsts f USING (application_id) WHERE violation IS NULL OR sequence < violation
@@ -408,10 +418,14 @@ STATES = f"""{TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS v
   coalesce(version, 0) AS version, violation FROM queue q LEFT JOIN lasts USING (application_id) LEFT JOIN firsts USING (application_id))"""
 
 
-@query("journal", "SELECT sequence, CASE WHEN event_bad = 1 THEN 'invalid_action' WHEN action = 'resolve' AND trim(note) = '' THEN 'incomplete_resolution' WHEN action = 'reopen' AND trim(note) = '' THEN 'reopen_without_note' END AS code FROM (SELECT sequence, note, action, CASE WHEN sequence % 17 = 0 THEN 1 ELSE 0 END AS event_bad FROM (SELECT sequence, action, CASE WHEN sequence % 3 = 0 THEN '' ELSE note END AS note FROM journal))")
+BROKEN = """SELECT sequence, CASE WHEN sequence % 71 = 0 THEN '' WHEN sequence % 73 = 0 THEN NULL ELSE request_id END AS request_id, CASE WHEN sequence % 79 = 0 THEN application_id || ' ' ELSE application_id END AS application_id,
+  CASE WHEN sequence % 17 = 0 THEN 'close' ELSE action END AS action, CASE WHEN sequence % 83 = 0 THEN repeat('x', 201) ELSE actor END AS actor, CAST(CASE WHEN sequence % 89 = 0 THEN -1 ELSE expected_version END AS INT) AS expected_version,
+  CASE WHEN sequence % 97 = 0 THEN repeat('y', 2001) ELSE note END AS note, CASE WHEN sequence % 101 = 0 THEN ' file' ELSE evidence END AS evidence, outcome FROM {journal}"""
+
+
+@query("journal", f"""broken AS ({BROKEN.format(journal='journal')}) SELECT sequence, {COMMAND} AS code FROM broken""")
 def g01_validate_commands(t: Tables):
-    broken = t.journal.withColumns({"note": F.when(F.col("sequence") % 3 == 0, "").otherwise(F.col("note")), "action": F.when(F.col("sequence") % 17 == 0, "close").otherwise(F.col("action"))})
-    return broken.select("sequence", journal.command_issue().alias("code"))
+    return t.spark.sql(BROKEN, journal=t.journal).select("sequence", journal.command_issue().alias("code"))
 
 
 @query("journal queue", f"{STATES} SELECT * FROM states")
@@ -435,7 +449,7 @@ def g04_idempotent_requests(t: Tables):
 
 
 STATUS = """SELECT count(*) AS cases, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'in_review') AS in_review, count(*) FILTER (WHERE status = 'resolved') AS resolved,
-  count(*) FILTER (WHERE outcome = 'confirmed') AS confirmed, round(count(*) FILTER (WHERE status = 'resolved') / nullif(count(*), 0), 8) AS completion_rate FROM states"""
+  count(*) FILTER (WHERE outcome = 'cleared') AS cleared, count(*) FILTER (WHERE outcome = 'escalated') AS escalated, round(count(*) FILTER (WHERE status = 'resolved') / nullif(count(*), 0), 8) AS completion_rate FROM states"""
 
 
 @query("journal queue", f"{STATES} {STATUS}")
@@ -501,9 +515,14 @@ def w11_canonical_ordering(t: Tables):
     return rollup.vintage_metrics(t.predictions).select("vintage", "loans", "events").orderBy("vintage")
 
 
-@query("applications stages", f"SELECT stage AS population, count(*) AS applications FROM applications JOIN stages ON decision_at BETWEEN start_at AND end_at WHERE decision_at <= {CUT} GROUP BY stage")
+@query(
+    "applications stages",
+    f"""windows AS (SELECT stage AS population, start_at, end_at FROM stages UNION ALL SELECT 'future', DATE '2030-01-01', DATE '2030-12-31' UNION ALL SELECT 'current', DATE '1998-01-01', DATE '2000-12-31')
+    SELECT population, count(*) FILTER (WHERE decision_at <= {CUT}) AS applications, count(*) FILTER (WHERE decision_at > {CUT}) AS not_yet_visible FROM windows LEFT JOIN applications ON decision_at BETWEEN start_at AND end_at GROUP BY population""",
+)
 def e02_preflight_monitoring(t: Tables):
-    return populations(t).groupBy("population").agg(F.count("*").alias("applications"))
+    seen = windows(t).groupBy("population").agg(F.count_if(F.col("decision_at") <= day()).alias("applications"), F.count_if(F.col("decision_at") > day()).alias("not_yet_visible"))
+    return names(t).select(F.col("stage").alias("population")).join(seen, "population", "left").fillna(0)
 
 
 @query(LEDGER_TABLES, f"""{FINDINGS} SELECT "table", "check", code, count(*) AS findings FROM ledger GROUP BY ALL""")

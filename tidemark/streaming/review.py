@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import journal
+
 OUT = "application_id string, request_id string, expected_version int, result string, reason string, version int"
 STATE = "status string, owner string, version int, requests array<string>, contents array<string>"
 
@@ -32,20 +35,30 @@ def _accept(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState)
     rows = []
     commands = pd.concat(list(batches)).sort_values(["expected_version", "request_id"], kind="stable")
     for c in commands.itertuples(index=False):
-        content = f"{c.action}|{c.actor}|{c.expected_version}"
         if c.request_id in seen:
-            same = seen[c.request_id] == content
+            same = seen[c.request_id] == c.content
             rows.append((key[0], c.request_id, c.expected_version, "replayed" if same else "rejected", "" if same else "request_conflict", version))
             continue
         reason = decide(status, owner, version, c.action, c.actor, c.expected_version)
         if not reason:
             status, owner, version = AFTER[c.action], c.actor if c.action in ("claim", "resolve") else None, version + 1
-            seen[c.request_id] = content
+            seen[c.request_id] = c.content
         rows.append((key[0], c.request_id, c.expected_version, "rejected" if reason else "accepted", reason, version))
     state.update((status, owner, version, list(seen), list(seen.values())))
     yield pd.DataFrame(rows, columns=["application_id", "request_id", "expected_version", "result", "reason", "version"])
 
 
 def stream_review(commands: DataFrame) -> DataFrame:
-    """Accepted, replayed and rejected commands of a stream; a case's commands are decided one after another."""
-    return commands.groupBy("application_id").applyInPandasWithState(_accept, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """Accepted, replayed and rejected commands of a stream; a case's commands are decided one after another.
+
+    The rules that a command can break by itself are checked before it reaches
+    its case, and such a command never becomes state.  A request that a case has
+    accepted is replayed if all that it says is the same, else a conflict.
+    State grows with a case's accepted requests, of which it keeps the id and a
+    hash of what was said: any of them may come again, however late.
+    """
+    said = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in journal.CONTENT))
+    judged = commands.select("application_id", "request_id", "action", "actor", F.col("expected_version").cast("int").alias("expected_version"), F.sha2(F.to_json(said), 256).alias("content"), journal.command_issue().alias("issue"))
+    broken = judged.filter("issue is not null").select("application_id", "request_id", "expected_version", F.lit("rejected").alias("result"), F.col("issue").alias("reason"), F.lit(None).cast("int").alias("version"))
+    decided = judged.filter("issue is null").drop("issue").groupBy("application_id").applyInPandasWithState(_accept, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return decided.unionByName(broken)
