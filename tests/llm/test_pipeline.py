@@ -7,30 +7,46 @@ import corpus_pipeline
 import pytest
 
 from tests.llm.test_contracts import empty, folder, norm, odd, rows, sha, table  # noqa: F401
-from tests.llm.test_text_operators import plain_components
+from tests.llm.test_near import plain_near
 from tidemark.llm import lines
 from tidemark.llm import queries as Q
 
 
-def plain_lines(docs, least):
-    """(lines, removed, longest run of a power of two times ``least``, kept text) of texts in the order of their ids."""
+def plain_lines(docs, least, long_words=None):
+    """(lines, removed, longest run that an earlier place has, kept text) of texts in the order of their ids."""
     texts = [t.split("\n") for t in docs]
     longest, gone = [0] * len(texts), [set() for _ in texts]
-    k = least
-    while any(len(t) >= k for t in texts):
-        seen = set()
+    k, found = 1, True
+    while found:
+        seen, found = set(), False
         for d, t in enumerate(texts):
             for i in range(len(t) - k + 1):
                 run = tuple(t[i : i + k])
                 if run in seen:
-                    longest[d] = k
-                    if k == least:
+                    found = True
+                    if k >= least or (long_words and len(run[0].split()) >= long_words):
+                        longest[d] = k
                         gone[d] |= set(range(i, i + k))
                 seen.add(run)
-        k *= 2
+        k += 1
     return [(len(t), len(g), n, "\n".join(x for i, x in enumerate(t) if i not in g)) for t, g, n in zip(texts, gone, longest, strict=True)]
 
 
+def test_runs_are_exact_and_maximal(spark):
+    a = [f"a{i}" for i in range(12)]
+    texts = ["\n".join(a), "\n".join(["x", *a[2:9], "y", *a[5:8], "z"]), "\n".join([*a[:5], "q", *a[2:9], "r"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = sorted((r["id"], r["line"], r["k"]) for r in lines.repeated_runs(docs).collect())
+    assert runs == [(1, 1, 7), (1, 9, 3), (2, 0, 5), (2, 6, 7)]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", 1, 2, 3), (2, "a\nb\nd", 4, 5, 6)], "doc_id long, text string, gone int, hash int, n_lines int").toDF("doc_id", "text", "gone", "__hash", "n_lines")
+    got = lines.remove_repeated_lines(docs)
+    assert got.columns == ["doc_id", "text", "gone", "__hash", "n_lines", "n_removed", "longest_run"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb\nc", 1, 2, 3, 0, 0), (2, "d", 4, 5, 3, 2, 2)]
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_lines_of_few_kinds(spark, least):
     rng = random.Random(least)
@@ -67,10 +83,10 @@ def test_stages(spark):
     by_id = {r["doc_id"]: r["text"] for r in stages["line dedup"](spark, docs, sf).collect()}
     ids = sorted(by_id)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert [by_id[i] for i in ids] == [t for _, _, _, t in plain_lines([texts[i] for i in ids], 2)]
+    assert [by_id[i] for i in ids] == [t for _, _, _, t in plain_lines([texts[i] for i in ids], 2, 50)]
 
-    groups = plain_components(ids, [texts[i] for i in ids])
-    assert sorted(r["doc_id"] for r in stages["SimHash near-dedup"](spark, docs, sf).collect()) == sorted({c for _, _, c in groups})
+    kept = plain_near([(i, texts[i]) for i in ids])
+    assert sorted(r["doc_id"] for r in stages["SimHash near-dedup"](spark, docs, sf).collect()) == sorted(i for _, i in kept)
 
     windows = set()
     for b in table(spark, sf, "benchmark"):

@@ -6,11 +6,18 @@ lines on) in the order of such pairs.  Suffixes that are alone with their first
 k lines drop out, since no longer prefix of theirs repeats; a document's last
 lines drop out when k lines no longer fit.  All suffixes of one rank at length k
 are an interval of the suffix array whose longest common prefix has k lines at
-least.  A run of ``min_lines`` lines or more that an earlier place (by document
-id, then line) has too is a later copy, and its lines go (a longer run is later
-where each of its windows of ``min_lines`` lines is, so these make it whole); with
-``long_words``, so does a single line of that many words.  The highest such k of
-a document tells how long its longest repeated run is at least.
+least.
+
+These intervals are then narrowed, from the greatest power of two down, to those
+of exact longest common prefixes: the members of an interval whose next lines have
+one rank too are an interval of so many lines more.  They leave the wider interval,
+all but the first of them (by document id, then line), which stands for them there:
+what any other member has in common with one of them, it has in common with all.
+In the end each suffix is a later copy in one interval at most, and that interval's
+prefix is the longest that an earlier place has too.  Of these runs those are maximal
+that the run one line before doesn't hold.  Lines of maximal runs of ``min_lines``
+lines or more go; with ``long_words``, so do single lines of that many words that an
+earlier place has.
 
 Lines are compared whole, by two 64-bit hashes.  Rank pairs are counted before
 they are shuffled; ranks come from a sort by range.  Each level is a table in the
@@ -18,9 +25,12 @@ shared folder, and levels shrink with the suffixes that still repeat.
 
 * null text: no lines, returned as null; empty text: one empty line
 * repeated ids: rows of one id keep their own lines, and count as later copies in
-  the order of their text's hash; exactly equal rows of one id are one document,
-  and each gets the result
+  the order of their text's hash; exactly equal rows of one id are one document that
+  was delivered twice, so neither is a copy of the other, and each gets the result
 * runs may overlap themselves: of a line repeated n times in a row the first stays
+* an empty table: no rows; very long texts: one row a line, the list of a document's
+  removed lines is put together by one task
+* other columns are kept, whatever their names, but for the three that are added
 """
 
 from __future__ import annotations
@@ -28,9 +38,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.sources.shared import stored, unused
 
 MIN_LINES = 2
+PLACE = ("id", "row", "line")
 
 
 def suffixes(docs: DataFrame, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
@@ -48,67 +59,104 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, long_words: int | None
 
 def _ranked(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Pairs that occur twice at least, with their place among all such and their first position."""
-    first = F.min(F.struct(F.col("id"), F.col("row"), F.col("line")))
     return stored(
-        pairs.groupBy(a, b).agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").sort(a, b).select(a, b, F.monotonically_increasing_id().alias("rank"), "first"),
+        pairs.groupBy(a, b).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").sort(a, b).select(a, b, F.monotonically_increasing_id().alias("rank"), "first"),
         name,
     )
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """``(id, row, line, k)``: places where k lines begin that an earlier place has too, for k = min_lines times 1, 2, 4, ..., and 1 for long lines."""
-    lines = stored(suffixes(docs, id_col, text_col, long_words).distinct(), "lines")
+def _at(left: DataFrame, right: DataFrame, line: Column) -> Column:
+    """Whether ``right`` (id2, row2, line2) is the place of ``left`` with ``line``."""
+    return left["id"].eqNullSafe(right["id2"]) & (left["row"] == right["row2"]) & (line == right["line2"])
+
+
+def _places(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}2") for c in PLACE), *more)
+
+
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """For k = 1, 2, 4, ..., the suffixes whose first k lines repeat: ``(id, row, line, rank, later)``, the first level with ``long`` too.
+
+    ``later`` is whether an earlier place has the same k lines.
+    """
+    later = (F.struct(*PLACE) > F.col("first")).alias("later")
     ranks = _ranked(lines, "high", "low", "line-ranks")
-    now = stored(lines.join(ranks, ["high", "low"]).select("id", "row", "line", "rank", "long"), "suffixes")
-    k, out = 1, None
-    steps = [1] * (min_lines - 1)  # one line at a time up to the shortest run, then by doubling
-    if min_lines == 1:
-        out = now.join(ranks, "rank").filter("struct(id, row, line) > first").select("id", "row", "line", F.lit(1).alias("k"))
-    elif long_words is not None:
-        out = now.filter("long").join(ranks, "rank").filter("struct(id, row, line) > first").select("id", "row", "line", F.lit(1).alias("k"))
-    base = now
+    levels = [stored(lines.join(ranks, ["high", "low"]).select(*PLACE, "rank", later, "long"), "suffixes")]
+    k = 1
     while True:
-        step = steps.pop() if steps else k
-        onward = base if step == 1 else now
-        ahead = onward.select(F.col("id").alias("id2"), F.col("row").alias("row2"), (F.col("line") - k).alias("line2"), F.col("rank").alias("next"))
-        pairs = now.join(ahead, now["id"].eqNullSafe(ahead["id2"]) & (now["row"] == ahead["row2"]) & (now["line"] == ahead["line2"])).select("id", "row", "line", "rank", "next")
-        ranks = _ranked(pairs.withColumnRenamed("rank", "before"), "before", "next", "pair-ranks")
-        k += step
-        now = stored(pairs.withColumnRenamed("rank", "before").join(ranks, ["before", "next"]).select("id", "row", "line", "rank", (F.struct("id", "row", "line") > F.col("first")).alias("later")), "suffixes")
-        if now.isEmpty():
-            break
-        if k >= min_lines:
-            level = now.filter("later").select("id", "row", "line", F.lit(k).alias("k"))
-            out = level if out is None else out.unionByName(level)
-    if out is None:
-        out = now.select("id", "row", "line", F.lit(0).alias("k"))
-    return out
+        now = levels[-1]
+        ahead = _places(now.withColumn("line", F.col("line") - k), F.col("rank").alias("next"))
+        pairs = now.join(ahead, _at(now, ahead, now["line"])).select(*PLACE, F.col("rank").alias("before"), "next")
+        ranks = _ranked(pairs, "before", "next", "pair-ranks")
+        onward = stored(pairs.join(ranks, ["before", "next"]).select(*PLACE, "rank", later), "suffixes")
+        if onward.isEmpty():
+            return levels
+        levels.append(onward)
+        k *= 2
+
+
+def _narrowed(members: DataFrame, level: DataFrame, k: int, mark: int) -> DataFrame:
+    """Members of intervals after those that have the next k lines in common have moved to intervals of their own."""
+    ahead = _places(level, F.col("rank").alias("next"))
+    asked = members.join(ahead, _at(members, ahead, members["line"] + members["prefix"]), "left").drop("id2", "row2", "line2")
+    found = asked.filter("next is not null").groupBy("mark", "interval", "next").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1")
+    inner = stored(found.select("mark", "interval", "next", "first", F.monotonically_increasing_id().alias("inner")), "intervals")
+    joined = asked.join(inner, ["mark", "interval", "next"], "left")
+    moves, leads = F.col("inner").isNotNull(), F.struct(*PLACE) == F.col("first")
+    old = F.struct("mark", "interval", "prefix", "later")
+    new = F.struct(F.lit(mark).alias("mark"), F.col("inner").alias("interval"), (F.col("prefix") + k).alias("prefix"), (~leads).alias("later"))
+    both = F.array_compact(F.array(F.when(~moves | leads, old), F.when(moves, new)))
+    return stored(joined.select(*PLACE, F.explode(both).alias("x")).select(*PLACE, "x.*"), "members")
+
+
+def longest_common_prefixes(levels: list[DataFrame], least: int) -> DataFrame | None:
+    """``(id, row, line, k)``: places with the exact number of lines, ``least`` or more, that an earlier place has too."""
+    members, mark = None, 0
+    for j in range(len(levels) - 1, -1, -1):
+        if members is not None:
+            members = _narrowed(members, levels[j], 1 << j, mark)
+            mark += 1
+        if 2 << j > least:
+            own = levels[j].select(*PLACE, F.lit(mark).alias("mark"), F.col("rank").alias("interval"), F.lit(1 << j).alias("prefix"), "later")
+            if j + 1 < len(levels):  # a later copy of twice as many lines is in an interval of its own already
+                above = _places(levels[j + 1].filter("later"))
+                own = own.join(above, _at(own, above, own["line"]), "left_anti")
+            members = own if members is None else members.unionByName(own)
+            mark += 1
+    return None if members is None else members.filter(F.col("later") & (F.col("prefix") >= least)).select(*PLACE, F.col("prefix").alias("k"))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """``(id, row, line, k)``: the maximal runs of k lines from ``line`` on that an earlier place has too, k at least min_lines, or 1 for long lines."""
+    levels = suffix_levels(stored(suffixes(docs, id_col, text_col, long_words).distinct(), "lines"))
+    runs = longest_common_prefixes(levels, min_lines)
+    one = levels[0].filter(F.col("later") & F.col("long")).select(*PLACE, F.lit(1).alias("k"))
+    runs = one if runs is None else runs if long_words is None else runs.unionByName(one)
+    end = F.col("line") + F.col("k")
+    before = Window.partitionBy("id", "row").orderBy("line", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("reached", F.max(end).over(before)).filter(F.col("reached").isNull() | (F.col("reached") < end)).drop("reached")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """``docs`` with the lines that stay in ``text_col``, and ``n_lines, n_removed, longest_run`` after its columns.
 
-    Columns of ``docs`` with these three names are replaced.
+    Columns of ``docs`` with these three names are replaced; ``longest_run`` is
+    the longest maximal run that the row repeats from an earlier place.
     """
     runs = repeated_runs(docs, id_col, text_col, min_lines, long_words)
-    gone = (
-        runs.groupBy("id", "row")
-        .agg(
-            F.array_distinct(F.flatten(F.collect_list(F.when(F.col("k") < 2 * min_lines, F.sequence(F.col("line"), F.col("line") + F.col("k") - 1))))).alias("__gone"),
-            F.max("k").alias("__longest"),
-        )
-        .select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__gone", "__longest")
-    )
-    keyed = docs.withColumn("__hash", F.xxhash64(docs[text_col]))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["__id"]) & (keyed["__hash"] == gone["__row"]), "left")
+    key, hashed, gone_col, longest = unused([*docs.columns, "n_lines", "n_removed", "longest_run"], "key", "hash", "gone", "longest")
+    spans = F.collect_list(F.sequence(F.col("line"), F.col("line") + F.col("k") - 1))
+    gone = runs.groupBy("id", "row").agg(F.array_distinct(F.flatten(spans)).alias(gone_col), F.max("k").alias(longest))
+    gone = gone.select(F.col("id").alias(key), F.col("row").alias(hashed), gone_col, longest)
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[key]) & (F.xxhash64(docs[text_col]) == gone[hashed]), "left")
     text = F.col(f"`{text_col}`")
     split = F.split(text, "\n")
-    flags = F.coalesce("__gone", F.array().cast("array<int>"))
+    flags = F.coalesce(gone_col, F.array().cast("array<int>"))
     kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), flags)), lambda i: F.get(split, i))
     marks = {
         "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(F.size(split)),
         "n_removed": F.size(flags),
-        "longest_run": F.coalesce("__longest", F.lit(0)),
+        "longest_run": F.coalesce(longest, F.lit(0)),
     }
-    own = [F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in marks]
+    own = [F.when(F.col(gone_col).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in marks]
     return joined.select(*own, *(v.alias(k) for k, v in marks.items()))

@@ -31,21 +31,22 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.col("longest_run").cast("long").alias("longest_run"), _sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+#: Places of equal lines pair up; on one diagonal, pairs that follow each other are a run that the later place repeats.
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
-), w AS (
-  SELECT doc_id, k, i, md5(array_to_string(l[i:i + k - 1], chr(10))) AS h FROM (
-    SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i
-    FROM d, (SELECT unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192]) AS k) WHERE len(l) >= k)
-), f AS (
-  SELECT doc_id, k, i, row_number() OVER (PARTITION BY k, h ORDER BY doc_id, i) AS copy FROM w
-), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 2)) AS p FROM f WHERE k = 2 AND copy > 1
-), longest AS (
-  SELECT doc_id, max(k) AS longest_run FROM f WHERE copy > 1 GROUP BY doc_id
 ), parts AS (
   SELECT doc_id, p, l[p] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)
+), pairs AS (
+  SELECT a.doc_id AS d1, b.doc_id AS d2, b.p - a.p AS diagonal, b.p AS p FROM parts a JOIN parts b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.p < b.p))
+), islands AS (
+  SELECT d2, p, d1, diagonal, p - row_number() OVER (PARTITION BY d1, d2, diagonal ORDER BY p) AS island FROM pairs
+), runs AS (
+  SELECT d2 AS doc_id, min(p) AS start, count(*) AS k FROM islands GROUP BY d1, d2, diagonal, island HAVING count(*) >= 2
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + k)) AS p FROM runs
+), longest AS (
+  SELECT doc_id, max(k) AS longest_run FROM runs GROUP BY doc_id
 ), kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n FROM parts ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
