@@ -2,90 +2,183 @@
 
 In a model none of whose pieces crosses a whitespace marker, segmentation of a
 text is the concatenation of the segmentations of its marked chunks
-(``▁+[^▁]*``).  Each task keeps a table of the distinct chunks it has met, asks
-the library once for those that are new, and joins ids and surfaces back by
-position.  Nothing is shuffled; the table is bounded by ``max_chunks``.
+(``▁+[^▁]*``).
+
+1. Documents are dealt into blocks of about ``block_bytes``; each block's distinct
+   chunks are listed.
+2. The distinct chunks of all blocks are a Spark table, in which the library
+   segments each of them once.
+3. A block's chunks fetch their ids and surfaces from the table, and meet the
+   block's documents, where ids and surfaces are joined back by position.
+
+Texts are shuffled once, and a block's part of the table is bounded by its texts.
+Chunks are cut and put together in numpy, a few texts at a time.
 
 * null or empty text: no ids, empty decoded text
-* repeated rows and repeated or null ids: one output row for each input row
+* repeated rows and repeated or null ids: one output row for each input row; rows of
+  one id and text are in one block
+* an empty table: no rows; a very long text is a block of its own size
 * columns other than the two named ones are not read
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import _text
 
-MAX_CHUNKS = 300_000
-_CHUNK = re.compile("▁+[^▁]*")
-_TABLES: dict[str, ChunkTable] = {}
+BLOCK_BYTES = 4 << 20
+MARKER = "▁"
+_CODERS: dict[str, Coder] = {}
 
 
-class ChunkTable:
-    """Ids and surface of each distinct chunk met so far."""
+class Coder:
+    """The library's segmentation of single chunks."""
 
-    def __init__(self, model_path: str, max_chunks: int = MAX_CHUNKS) -> None:
+    def __init__(self, model_path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.max_chunks = max_chunks
-        self.ids: dict[str, array] = {}  # four bytes an id
-        self.surface: dict[str, str] = {}
-        crossing = [p for p in map(self.model.id_to_piece, range(self.model.get_piece_size())) if re.search("[^▁]▁", p)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        crossing = [p for p in pieces if re.search("[^▁]▁", p)]
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
         # Decoding drops the first marker of a sequence; this piece stands before each chunk instead.
-        self.guard = next(i for i in range(self.model.get_piece_size()) if self.model.decode([i]).isalpha())
+        self.guard = next(i for i in range(len(pieces)) if self.model.decode([i]).isalpha())
         self.guard_chars = len(self.model.decode([self.guard]))
+        self.marker = self.model.piece_to_id(MARKER)
+
+    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids and surface of each chunk; a chunk begins with spaces in place of markers."""
+        ids = self.model.encode([c[1:] for c in chunks], num_threads=1)  # the library sets the first marker itself
+        ids = [x if len(c) > 1 else [self.marker] for c, x in zip(chunks, ids, strict=True)]
+        decoded = self.model.decode([[self.guard, *x] for x in ids], num_threads=1)
+        return ids, [d[self.guard_chars :] for d in decoded]
+
+
+def _coder(model_path: str) -> Coder:
+    if model_path not in _CODERS:
+        _CODERS[model_path] = Coder(model_path)
+    return _CODERS[model_path]
+
+
+def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.DictionaryArray, np.ndarray]]:
+    """For groups of texts: their number, all of their chunks in order, and where each text's chunks begin (and the last ones end)."""
+    for _, _, data, start, end in _text.texts(pc.replace_substring(column.cast(pa.large_string()), MARKER, " ")):
+        size = end - start
+        marks = (size > 0).astype(np.int64)
+        begin = start + np.cumsum(marks) - marks
+        marked = np.full(len(data) + marks.sum(), 32, np.uint8)
+        marked[np.arange(len(data)) + np.repeat(np.cumsum(marks), size)] = data
+        first = marked == 32
+        first[1:] &= marked[:-1] != 32
+        first[begin[marks > 0]] = True
+        at = np.flatnonzero(first)
+        offsets = np.append(at, len(marked)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(marked)])
+        yield len(size), cut.dictionary_encode(), np.searchsorted(at, np.append(begin, len(marked)))
+
+
+def _spread(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists at ``rows`` one after another, and where each list begins (and the last one ends)."""
+    size = offsets[rows + 1] - offsets[rows]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(upto[-1]) + np.repeat(offsets[rows] - upto[:-1], size)], upto
+
+
+class Table:
+    """Chunks with their ids and surfaces, as flat arrays."""
+
+    def __init__(self, chunk: pa.Array, ids: pa.Array, surface: pa.Array) -> None:
+        self.chunk = chunk
+        self.ids, self.id_at = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+        # Every surface begins with the space of its marker.
+        self.surface, self.surface_at = np.frombuffer(b"".join(surface.cast(pa.binary()).to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(pc.binary_length(surface).to_numpy())])
+
+    @classmethod
+    def of(cls, found: pa.Table, needed: pa.Array, coder: Coder) -> Table:
+        """From the rows that the block has fetched; a chunk that they lack is segmented here."""
+        lacking = [c for c in needed.filter(pc.is_null(pc.index_in(needed, found.column("chunk").combine_chunks()))).to_pylist()] if len(found) else needed.to_pylist()
+        ids, surface = coder.segment(lacking) if lacking else ([], [])
+        join = lambda name, more, kind: pa.concat_arrays([*(x.cast(kind) for x in found.column(name).chunks), pa.array(more, kind)])
+        return cls(join("chunk", lacking, pa.string()), join("ids", ids, pa.list_(pa.int32())), join("surface", surface, pa.string()))
+
+    def texts(self, cut: pa.DictionaryArray, begin: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of each text from its chunks."""
+        place = pc.index_in(cut.dictionary, self.chunk).to_numpy()
+        rows = place[cut.indices.to_numpy()].astype(np.int64)
+        ids, id_upto = _spread(self.ids, self.id_at, rows)
+        said, upto = _spread(self.surface, self.surface_at, rows)
+        # The first space of each text is its own marker's.
+        start, end = upto[begin[:-1]], upto[begin[1:]]
+        keep = np.ones(len(said), bool)
+        keep[start[end > start]] = False
+        size = np.maximum(end - start - 1, 0)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        decoded = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(said[keep])])
+        return pa.ListArray.from_arrays(pa.array(id_upto[begin].astype(np.int32)), pa.array(ids.astype(np.int32))), decoded
+
+
+def distinct_chunks(dealt: DataFrame) -> DataFrame:
+    """``(block, chunk)``, once for each chunk of a block."""
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.max_chunks:
-            self.ids.clear()
-            self.surface.clear()
-            new = list(chunks)
-        encoded = self.model.encode([c[1:].replace("▁", " ") if len(c) > 1 else c for c in new], num_threads=1)
-        for c, ids in zip(new, encoded, strict=True):
-            self.ids[c] = array("i", ids if len(c) > 1 else self._marker())
-        decoded = self.model.decode([[self.guard, *self.ids[c]] for c in new], num_threads=1)
-        for c, text in zip(new, decoded, strict=True):
-            self.surface[c] = text[self.guard_chars :]
-
-    def _marker(self) -> list[int]:
-        return [self.model.piece_to_id("▁")]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[str]]:
-        chunks = [_CHUNK.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(chunks))
-        if not distinct <= self.ids.keys():
-            self.learn(distinct)
-        ids = [list(chain.from_iterable(map(self.ids.__getitem__, c))) for c in chunks]
-        return ids, ["".join(map(self.surface.__getitem__, c))[1:] for c in chunks]
-
-
-def _table(model_path: str) -> ChunkTable:
-    if model_path not in _TABLES:
-        _TABLES[model_path] = ChunkTable(model_path)
-    return _TABLES[model_path]
-
-
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = 64) -> DataFrame:
-    """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            row = 0
+            for n, cut, begin in chunks(batch.column(1)):
+                size = np.diff(begin)
+                pair = np.unique(np.repeat(blocks[row : row + n].astype(np.int64), size) << 32 | cut.indices.to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), cut.dictionary.take(pa.array(pair & 0xFFFFFFFF))], ["block", "chunk"])
+                row += n
 
-    The model file has to be readable at ``model_path`` on every executor.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    return dealt.select("block", "text").mapInArrow(run, "block int, chunk string").distinct()
+
+
+def segmented(distinct: DataFrame, model_path: str, at_once: int = 4096) -> DataFrame:
+    """``(chunk, ids, surface)`` of each chunk of ``distinct`` (chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
+        coder = _coder(model_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(i, rows_at_once)
-                ids, decoded = table.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.column(0).slice(i, at_once)
+                ids, surface = coder.segment(part.to_pylist())
+                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array(surface, pa.string())], ["chunk", "ids", "surface"])
+
+    return distinct.mapInArrow(run, "chunk string, ids array<int>, surface string")
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
+
+    The model file has to be readable at ``model_path`` on every executor.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = int(max(1, -(-total // block_bytes)))
+    dealt = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    asked = distinct_chunks(dealt)
+    # One exchange by chunk serves the list of distinct ones and the fetch.
+    asked = asked.repartition("chunk")
+    fetched = asked.join(segmented(asked.select("chunk").distinct(), model_path), "chunk").select("block", "chunk", "ids", "surface")
+
+    def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        coder, ids, decoded = _coder(model_path), [], []
+        for _, cut, begin in chunks(left.column("text")):
+            table = Table.of(right, cut.dictionary, coder)
+            x, text = table.texts(cut, begin)
+            ids.append(x)
+            decoded.append(text)
+        kind = pa.list_(pa.int32())
+        return pa.table([left.column("id"), pa.chunked_array(ids, kind), pa.chunked_array(decoded, pa.string())], ["id", "ids", "decoded"])
+
+    joined = dealt.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>, decoded string")
+    return joined.withColumnRenamed("id", id_col)
