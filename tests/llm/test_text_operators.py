@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -83,7 +84,32 @@ def test_simhash(spark, folder):  # noqa: F811
     assert rows(Q.op10_simhash(spark, folder), "doc_id", "fingerprint", "component_id") == sorted(expected, key=repr)
 
 
-def test_links_of_planted_fingerprints(spark):
+def test_groups_grow_with_the_classes():
+    counts = [simhash.group_count(10**i, 4) for i in range(1, 11)]
+    assert counts == sorted(counts)
+    assert counts[0] == 6
+    assert counts[-1] > 8
+    for i in range(1, 11):
+        groups = simhash.group_count(10**i, 4)
+        sizes = sorted(simhash.group_sizes(groups))
+        assert sum(sizes) == 32
+        assert 10**i * 0.5 ** sum(sizes[: groups - 4]) <= simhash.FULL_CELL or groups == simhash.MAX_GROUPS
+        # Comparisons of a class grow far more slowly than the classes.
+        assert comb(groups, 4) * 10**i * 0.375 ** (32 * (groups - 4) / groups) < 100 * 10 ** (i / 3)
+
+
+def test_pairs_compared_grow_slowly():
+    rng = np.random.default_rng(6)
+    met = []
+    for n in (20_000, 80_000):
+        embedded = simhash.embed(rng.integers(0, 2**64, n, dtype=np.uint64))
+        groups = simhash.group_count(n, 4)
+        met.append(sum(int((c * (c - 1) // 2).sum()) for m in simhash._masks(groups, 4) for c in [np.unique(embedded & np.uint64(m), return_counts=True)[1]]) / n)
+    assert met[1] < 100
+
+
+@pytest.mark.parametrize("groups", [6, 7, 9])
+def test_links_of_planted_fingerprints(spark, groups):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 400, dtype=np.uint64)
     fps = [base]
@@ -95,7 +121,7 @@ def test_links_of_planted_fingerprints(spark):
     dense = base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
     fps = np.unique(np.concatenate([*fps, dense]))
     classes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(7)
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes)).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes, groups=groups)).collect()}
     root = {int(f): int(f) for f in fps.view(np.int64)}
 
     def find(x):

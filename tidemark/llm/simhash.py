@@ -3,13 +3,21 @@
 Documents get 64-bit fingerprints of their word shingles.  Equal fingerprints
 are one class.  A class is embedded as the bit counts of its 32 two-bit
 segments; the Manhattan distance of two embeddings is at most the Hamming
-distance of the fingerprints.  The segments fall into six groups.  If two
-embeddings lie within distance 4, at least two groups have no difference, so
-the classes meet in the grid cell of that pair of groups: 15 grids with about 15
-bits of key each.  In a cell, pairs within Manhattan distance 4 are compared
-exactly, and each class that links is joined to the smallest class that it is
-connected to there, so a cell gives no more rows than it has classes.  Linked
-classes then meet in rounds of large-star and small-star steps.
+distance of the fingerprints.  The segments fall into groups.  Embeddings within
+distance d of each other have no difference in all but d groups at most, so the
+classes meet in a grid cell of the others: each choice of groups is a grid, whose
+cells have the counts of the chosen groups as coordinates and a range of zero.  In a
+cell, pairs within Manhattan distance d are compared exactly, and each class that
+links is joined to the smallest class that it is connected to there, so a cell gives
+no more rows than it has classes.  Linked classes then meet in rounds of large-star
+and small-star steps.
+
+The number of groups follows from the number of classes (``group_count``): more
+groups make more grids, and cells of more coordinates, which hold a smaller share of
+the classes.  A count of one is as likely as zero and two together, so the fullest
+cell of k segments holds 2^-k of unlike classes; groups are added until that is
+``FULL_CELL`` classes at most, and as long as the comparisons that they spare are more
+than the rows that they add.  Every number of groups gives the same links.
 
 A cell is streamed through one task, eight bytes a class; inside it a class that
 is linked is never compared again with those that it is linked to.
@@ -18,13 +26,15 @@ is linked is never compared again with those that it is linked to.
 * repeated rows and ids: one output row for each input row; a null id takes part
   in its class, and is no component's id unless all of it are null
 * an empty table: no rows
-* columns other than the two named ones are not read
+* very long texts: a text is hashed by one task, a shingle at a time
+* columns other than the two named ones are not read, whatever their names
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +48,11 @@ SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 SHINGLES_AT_ONCE = 1 << 16
-#: Segments of two bits in each of the six groups.
-GROUPS = (6, 6, 5, 5, 5, 5)
+SEGMENTS = 32
+#: Groups that a grid choice is made of at most, and the classes of a cell that more groups are taken for.
+MAX_GROUPS, FULL_CELL = 12, 20_000
+#: What a row of a grid costs, in comparisons.
+ROW_COST = 64
 LAGGED = 96
 
 
@@ -95,13 +108,30 @@ def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return near
 
 
-def _masks() -> list[int]:
-    """Bits of the embedding in each pair of groups."""
+def group_sizes(groups: int) -> list[int]:
+    """Segments of each group, as even as can be."""
+    return [SEGMENTS // groups + (i < SEGMENTS % groups) for i in range(groups)]
+
+
+def group_count(classes: int, bits: int) -> int:
+    """How many groups the segments of so many classes fall into."""
+
+    def judge(groups: int) -> tuple[bool, float]:
+        least = sum(sorted(group_sizes(groups))[: groups - bits])
+        mean = SEGMENTS * (groups - bits) / groups
+        # Two unlike classes have one count in common with a chance of 1/4 + 1/16 + 1/16.
+        return classes * 0.5**least > FULL_CELL, comb(groups, bits) * (ROW_COST + classes * 0.375**mean)
+
+    return min(range(bits + 2, max(MAX_GROUPS, bits + 2) + 1), key=judge)
+
+
+def _masks(groups: int, bits: int) -> list[int]:
+    """Bits of the embedding in each choice of all groups but ``bits``."""
     own, at = [], 0
-    for n in GROUPS:
+    for n in group_sizes(groups):
         own.append(((1 << 2 * n) - 1) << 2 * at)
         at += n
-    return [a | b for a, b in combinations(own, 2)]
+    return [sum(chosen) for chosen in combinations(own, groups - bits)]
 
 
 def _roots_of_large(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -150,12 +180,13 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray,
     return fp[moved], fp[root[moved]]
 
 
-def links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def links(classes: DataFrame, bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:
     """``(u, v)`` with v below u: enough pairs of connected fingerprints of ``classes`` (fp) to connect all that link."""
     odd = "6148914691236517205L"  # the lower bit of each segment; a segment's count is its two bits added
     embedding = F.expr(f"((fp ^ shiftrightunsigned(fp, 1)) & {odd}) | shiftleft(fp & shiftrightunsigned(fp, 1) & {odd}, 1)")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    cells = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("grid"), F.col("e").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(_masks()))))
+    masks = _masks(groups or group_count(classes.count(), bits), bits)
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("grid"), F.col("e").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks))))
     rows = classes.select("fp", embedding.alias("e")).select("fp", cells.alias("c")).select(F.xxhash64("c.grid", "c.key").alias("cell"), "c.grid", "c.key", "fp")
     laid = rows.repartition("cell").sortWithinPartitions("cell", "grid", "key", "fp").select("cell", "grid", "key", "fp")
 
@@ -214,10 +245,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """``(id, fp, component_id)`` of every row: its fingerprint and the smallest id reachable over links."""
-    if bits > len(GROUPS) - 2:
-        raise ValueError(f"at most {len(GROUPS) - 2} bits")
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     roots = components(links(classes, bits))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
