@@ -7,8 +7,14 @@ time span, and segments of sound found by hysteresis on the frame energy.
 
 * null or empty bytes: the payload is one unit of padding
 * repeated rows and repeated or null ids: one output row for each input row
-* equal bytes give equal clips and equal features; each clip is computed alone,
-  in blocks of frames, so that memory doesn't grow with the longest clip
+* equal bytes give equal clips and equal features; each clip is computed alone, and
+  a task holds one clip with some forty bytes for each of its own, whatever else is in
+  the batch; a very long text is a clip of its length
+* an empty table: no rows; other columns are not read, whatever their names
+
+Patches are stored as the bytes of an Arrow stream, whose ``mel`` column is an array of
+fixed-shape tensors and whose other columns are the patches' time spans
+(``write_patches``, ``read_patches``).
 """
 
 from __future__ import annotations
@@ -105,48 +111,74 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if b - a >= MIN_FRAMES]
 
 
-def patches(mel: np.ndarray) -> list[dict]:
-    """``mel`` cut to (PATCH_FRAMES, MELS), the last patch padded with zeros, each with the seconds it covers."""
-    out = []
-    for i in range(0, len(mel), PATCH_FRAMES):
-        own = mel[i : i + PATCH_FRAMES]
-        full = np.zeros((PATCH_FRAMES, MELS), np.float32)
-        full[: len(own)] = own
-        out.append({"start_s": i * HOP / LOW_RATE, "end_s": ((i + len(own) - 1) * HOP + FRAME) / LOW_RATE, "mel": full.ravel()})
-    return out
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH_FRAMES, MELS), dim_names=("frame", "mel"))
+PATCHES = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", TENSOR)])
+_SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+_OUT = "n_bytes long, media binary, n_frames int, patches binary, segments array<struct<start_s:double,end_s:double>>"
 
 
-_PATCH = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", pa.list_(pa.float32()))])
-_SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-_OUT = "n_bytes long, media binary, n_frames int, patches array<struct<start_s:double,end_s:double,mel:array<float>>>, segments array<struct<start_s:double,end_s:double>>, band_means array<double>"
+def write_patches(mel: np.ndarray) -> bytes:
+    """``mel`` cut to tensors of (PATCH_FRAMES, MELS), the last one padded with zeros, each with the seconds it covers, as an Arrow stream."""
+    first = np.arange(0, len(mel), PATCH_FRAMES)
+    full = np.zeros((len(first) * PATCH_FRAMES, MELS), np.float32)
+    full[: len(mel)] = mel
+    last = np.minimum(first + PATCH_FRAMES, len(mel)) - 1
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), PATCH_FRAMES * MELS)
+    batch = pa.RecordBatch.from_arrays([pa.array(first * HOP / LOW_RATE), pa.array((last * HOP + FRAME) / LOW_RATE), pa.ExtensionArray.from_storage(TENSOR, storage)], schema=PATCHES)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PATCHES) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_patches(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in seconds, and the tensors (patches, PATCH_FRAMES, MELS)."""
+    with pa.ipc.open_stream(stored) as stream:
+        rows = stream.read_all()
+    mel = rows.column("mel").combine_chunks()
+    if mel.type != TENSOR:
+        raise ValueError(f"not patches of {TENSOR}")
+    return rows.column("start_s").to_numpy(), rows.column("end_s").to_numpy(), mel.to_numpy_ndarray()
+
 
+def patch_features(clips: DataFrame, rows_at_once: int = 64) -> DataFrame:
+    """``clips`` with ``n_patches`` and ``band_means`` in place of ``patches``, from the stored tensors: the mean of each band over the clip's frames."""
+    kept = [c for c in clips.columns if c != "patches"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(i, rows_at_once)
+                count, means = [], []
+                for stored, n in zip(part.column("patches"), part.column("n_frames").to_pylist(), strict=True):
+                    _, _, mel = read_patches(stored.as_buffer())
+                    count.append(len(mel))
+                    means.append(mel.reshape(-1, MELS)[:n].mean(axis=0, dtype=np.float64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(count, pa.int32()), pa.array(means, pa.list_(pa.float64()))], [*kept, "n_patches", "band_means"])
 
-def tensor_array(mel: pa.Array) -> pa.ExtensionArray:
-    """The ``mel`` lists of patches as an Arrow array of fixed-shape tensors."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH_FRAMES, MELS), dim_names=("frame", "mel"))
-    flat = mel.flatten() if not isinstance(mel, pa.ChunkedArray) else mel.combine_chunks().flatten()
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, PATCH_FRAMES * MELS))
+    own = ", ".join(f"`{c}` {clips.schema[c].dataType.simpleString()}" for c in kept)
+    return clips.mapInArrow(run, f"{own}, n_patches int, band_means array<double>")
 
 
 def as_audio(rows: DataFrame, bytes_col: Column, id_col: str = "doc_id", rows_at_once: int = 64) -> DataFrame:
-    """Clips and features of the bytes in ``bytes_col``: id, n_bytes, media, n_frames, patches, segments, band_means."""
+    """Clips and features of the bytes in ``bytes_col``: id, n_bytes, media, n_frames, patches, segments."""
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(i, rows_at_once)
-                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                cols: tuple[list, ...] = ([], [], [], [], [])
                 for b in part.column(1):
                     raw = (b.as_buffer().to_pybytes() if b.is_valid else b"") or b""
                     clip = wav(raw + b" " * (-len(raw) % UNIT or (0 if raw else UNIT)))
                     mel = log_mel(resample((samples(clip).astype(np.float32) - 128) / 128))
                     spans = [{"start_s": a * HOP / LOW_RATE, "end_s": ((b - 1) * HOP + FRAME) / LOW_RATE} for a, b in segments(mel)]
-                    for col, value in zip(cols, (len(raw), clip, len(mel), patches(mel), spans, mel.mean(axis=0, dtype=np.float64)), strict=True):
+                    for col, value in zip(cols, (len(raw), clip, len(mel), write_patches(mel), spans), strict=True):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(_PATCH)), pa.array(cols[4], pa.list_(_SPAN)), pa.array(cols[5], pa.list_(pa.float64()))],
-                    ["id", "n_bytes", "media", "n_frames", "patches", "segments", "band_means"],
+                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(_SPAN))],
+                    ["id", "n_bytes", "media", "n_frames", "patches", "segments"],
                 )
 
     return rows.select(rows[id_col].alias("id"), bytes_col.alias("raw")).mapInArrow(run, f"id {id_type}, {_OUT}").withColumnRenamed("id", id_col)
