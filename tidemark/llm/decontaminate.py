@@ -6,15 +6,20 @@ set of benchmark windows are compared as text with the benchmark (which settles
 collisions), and the words that they cover are hit.  An item of fewer than ``n``
 words is one window of its own length.
 
-The set is broadcast as a literal set while the benchmark has at most
-``MAX_SET`` windows; beyond that all document windows meet the benchmark's in a
-shuffled join on hash and text, with the same results.
+The set is broadcast as a literal set while the benchmark has at most ``MAX_SET``
+distinct windows, and so are these windows' texts, without their items; beyond that
+all document windows meet the benchmark's in a shuffled join on hash and text, with
+the same results.  Items, of which any number may share a window, are joined to the
+windows that were hit.  Documents are scanned once: the windows that passed the set
+are a stored table, with a number for each row.
 
 * null or empty text: no words, no hits; items without words never occur
 * repeated rows and ids: one output row for each input row; an item_id used
   twice counts once
 * an empty benchmark: nothing is hit
-* columns other than the named ones are not read
+* an empty table: no rows; very long texts: a document's words are one array, and one
+  task counts its hits
+* columns other than the named ones are not read, whatever their names
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import stored, unused
 
 N = 10
 MAX_SET = 100_000
@@ -53,15 +58,14 @@ def item_windows(benchmark: DataFrame, n: int = N, item_col: str = "item_id", te
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_set: int = MAX_SET) -> DataFrame:
     """``(id, n_words, hit_words array<int>, items array<string>)`` of every row: positions from 0, item ids sorted."""
-    listed = item_windows(benchmark, n, item_col, text_col)
-    by_window = listed.groupBy("hash", "window", "n_words").agg(F.collect_set("item_id").alias("item_ids"))
-    # One number for each length, and below MAX_SET the hashes themselves.
-    sizes = {r[0]: r[1] for r in listed.groupBy("n_words").agg(F.countDistinct("hash")).collect()}
+    listed = stored(item_windows(benchmark, n, item_col, text_col).distinct(), "windows")
+    windows = listed.select("hash", "window", F.col("n_words").alias("k")).distinct()
+    sizes = {r[0]: r[1] for r in windows.groupBy("k").agg(F.count("*")).collect()}  # one number for each length
     small = sum(sizes.values()) <= max_set
     hashes: dict[int, list[int]] = {}
     if small:
-        for r in listed.select("n_words", "hash").distinct().collect():
-            hashes.setdefault(r[0], []).append(r[1])
+        for k, value in windows.select("k", "hash").distinct().collect():
+            hashes.setdefault(k, []).append(value)
 
     base = docs.select(docs[id_col].alias("id"), words_of(docs[text_col]).alias("words")).withColumn("n_words", F.size("words"))
 
@@ -73,20 +77,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
         return F.when(F.col("n_words") >= k, out).otherwise(F.array().cast("array<struct<at:int,hash:bigint,k:int,window:string>>"))
 
     none = F.array().cast("array<struct<at:int,hash:bigint,k:int,window:string>>")
-    seen = base.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", (F.concat(*map(found, sorted(sizes))) if sizes else none).alias("found"))
-    flat = seen.select("row", "id", "n_words", F.explode_outer("found").alias("x")).select("row", "id", "n_words", "x.*")
-    exact = by_window.select("hash", "window", F.col("n_words").alias("k"), "item_ids")
-    met = flat.join(F.broadcast(exact) if small else exact, ["hash", "window", "k"], "left")
-    covered = F.when(F.col("item_ids").isNotNull(), F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))
-    return (
-        met.groupBy("row", "id", "n_words")
-        .agg(F.array_distinct(F.flatten(F.collect_list(covered))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
-        .select(F.col("id").alias(id_col), "n_words", F.array_sort("hit_words").alias("hit_words"), "items")
-    )
+    seen = stored(base.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", (F.concat(*map(found, sorted(sizes))) if sizes else none).alias("found")), "seen")
+    flat = seen.select("row", F.explode("found").alias("x")).select("row", "x.*")
+    met = stored(flat.join(F.broadcast(windows) if small else windows, ["hash", "window", "k"]), "hits")
+    hits = met.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("hit_words"))
+    owned = listed.select("hash", "window", F.col("n_words").alias("k"), "item_id")
+    items = met.select("row", "hash", "window", "k").distinct().join(owned, ["hash", "window", "k"]).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    judged = seen.select("row", "id", "n_words").join(hits.join(items, "row"), "row", "left")
+    return judged.select(F.col("id").alias(id_col), "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **names) -> DataFrame:
     """Rows whose share of hit words is at most ``max_share``, with all their columns; each is judged by its own text, whatever its id."""
-    own = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    bad = scan(own, benchmark, id_col="__row", **names).filter(F.size("hit_words") > F.lit(max_share) * F.col("n_words")).select("__row")
-    return own.join(bad, "__row", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    (row,) = unused(docs.columns, "row")
+    own = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    bad = scan(own, benchmark, id_col=row, **names).filter(F.size("hit_words") > F.lit(max_share) * F.col("n_words")).select(row)
+    return own.join(bad, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
