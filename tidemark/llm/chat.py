@@ -5,7 +5,9 @@ initial turns stand together, and packed in that order.  In a pack, a turn that
 several conversations share as a prefix is one node and is written once, depth
 first.  Each node has the position id of its first character (the length of its
 ancestors) and the intervals of the pack that it attends to: its ancestors' and
-its own.  A pack closes at ``max_chars`` characters or ``max_convs``
+its own, where intervals that touch are one.  A turn written right after the one that
+it answers goes on with its interval, so a conversation that shares nothing has one
+interval, however many turns it has.  A pack closes at ``max_chars`` characters or ``max_convs``
 conversations, so the tree under a very common first turn spreads over packs
 and tasks.
 
@@ -14,7 +16,9 @@ A turn is written ``<s>role\\ntext</s>``; in role and text, ``\\`` comes before
 
 * null role or text: empty; turns are ordered by (turn, role, text), nulls first
 * repeated rows: repeated turns; rows with a null conv_id are one conversation
-* a conversation longer than a pack gets one for itself
+* a conversation longer than a pack gets one for itself, and one task holds it; turns
+  that more conversations share than fit a pack are written once in each pack
+* an empty table: no packs; other columns are not read, whatever their names
 """
 
 from __future__ import annotations
@@ -50,6 +54,13 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
 
 
+def _onward(attends: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """``attends`` and one more interval, which goes on with the last one if they touch."""
+    if attends and attends[-1][1] == start:
+        return [*attends[:-1], (attends[-1][0], end)]
+    return [*attends, (start, end)]
+
+
 @dataclass
 class Node:
     parent: int
@@ -87,7 +98,7 @@ class Pack:
             start, end = self.chars, self.chars + len(written)
             lost = (start + len(head), start + len(head) + len(body)) if role == LOSS_ROLE else (start, start)
             position = above.position + above.end - above.start if above else 0
-            self.nodes.append(Node(self.path[-1] if self.path else -1, (role, text), start, end, position, *lost, [*(above.attends if above else []), (start, end)]))
+            self.nodes.append(Node(self.path[-1] if self.path else -1, (role, text), start, end, position, *lost, _onward(above.attends if above else [], start, end)))
             self.path.append(len(self.nodes) - 1)
             self.texts.append(written)
             self.chars = end
@@ -186,7 +197,8 @@ def tokenized(packs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     ids += coding.encode_ordinary(text[n["loss_end"] : n["end"]])
                     above = nodes[n["parent"]] if n["parent"] >= 0 else None
                     position = above["position"] + above["end"] - above["start"] if above else 0
-                    nodes.append({"parent": n["parent"], "start": start, "end": len(ids), "position": position, "loss_start": loss_start, "loss_end": loss_end, "attends": [*(above["attends"] if above else []), {"start": start, "end": len(ids)}]})
+                    attends = _onward([(a["start"], a["end"]) for a in above["attends"]] if above else [], start, len(ids))
+                    nodes.append({"parent": n["parent"], "start": start, "end": len(ids), "position": position, "loss_start": loss_start, "loss_end": loss_end, "attends": [{"start": a, "end": b} for a, b in attends]})
                 yield pa.RecordBatch.from_pylist([{"pack_id": own["pack_id"], "ids": ids, "nodes": nodes, "leaves": own["leaves"]}], schema)
 
     kinds = {f.name: f.dataType.simpleString() for f in packs.schema}
