@@ -1,5 +1,8 @@
 """Prefix trees in characters and tokens, slot maps, Bloom filter and features of clips."""
 
+import itertools
+from collections import Counter, defaultdict
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -38,11 +41,14 @@ def test_positions_and_intervals(spark, limits):
         assert len(p["leaves"]) <= limits.get("max_convs", 256)
         for i, n in enumerate(p["nodes"]):
             assert n["parent"] < i
-            before = [(a["start"], a["end"]) for a in n["attends"]]
-            assert before[-1] == (n["start"], n["end"])
-            assert n["position"] == sum(e - s for s, e in before[:-1])
-            if n["parent"] >= 0:
-                assert before[:-1] == [(a["start"], a["end"]) for a in p["nodes"][n["parent"]]["attends"]]
+            spans = [(a["start"], a["end"]) for a in n["attends"]]
+            assert all(a[1] < b[0] for a, b in itertools.pairwise(spans))  # none touch
+            above, at = set(), n["parent"]
+            while at >= 0:
+                above |= set(range(p["nodes"][at]["start"], p["nodes"][at]["end"]))
+                at = p["nodes"][at]["parent"]
+            assert n["position"] == len(above)
+            assert {x for a, b in spans for x in range(a, b)} == above | set(range(n["start"], n["end"]))
     assert chat.read_back(packs).count() == 40
 
 
@@ -57,7 +63,15 @@ def test_tokens_say_what_the_characters_say(spark):
         for n, m in zip(p["nodes"], own["nodes"], strict=True):
             assert coding.decode(p["ids"][n["start"] : n["end"]]) == own["text"][m["start"] : m["end"]]
             assert coding.decode(p["ids"][n["loss_start"] : n["loss_end"]]) == own["text"][m["loss_start"] : m["loss_end"]]
-            assert n["position"] == sum(a["end"] - a["start"] for a in n["attends"][:-1])
+            assert n["position"] == sum(a["end"] - a["start"] for a in n["attends"]) - (n["end"] - n["start"])
+            assert "".join(coding.decode(p["ids"][a["start"] : a["end"]]) for a in n["attends"]) == "".join(own["text"][a["start"] : a["end"]] for a in m["attends"])
+
+
+def test_long_conversations_have_few_intervals(spark):
+    turns = [(1, i, "user", f"turn {i}") for i in range(2000)] + [(2, i, "user", f"turn {i}") for i in range(1000)] + [(2, 1000, "user", "other")]
+    packs = chat.pack(spark.createDataFrame(turns, CONVS)).collect()
+    assert sum(len(n["attends"]) for p in packs for n in p["nodes"]) <= 2 * sum(len(p["nodes"]) for p in packs)
+    assert chat.pack(spark.createDataFrame(turns, CONVS + "").withColumn("attends", F.lit(1)).withColumn("turns", F.lit(2))).count() == len(packs)
 
 
 def test_escapes_are_reversible():
@@ -86,13 +100,46 @@ def test_a_new_shard_takes_only_what_it_needs(spark):
 
 def test_maps_are_stored_by_version(spark, tmp_path):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
-    sizes = sharding.slot_sizes(sharding.records(docs, n_slots=32))
+    recs = sharding.records(docs, n_slots=32)
+    sizes = sharding.slot_sizes(recs)
     first = sharding.new_map(sizes, 3)
     sharding.save_map(first, f"{tmp_path}/maps")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.save_map(first, f"{tmp_path}/maps")
     sharding.save_map(sharding.rebalance(first, sizes, 4), f"{tmp_path}/maps")
     rows = lambda m: sorted((r["virtual_slot"], r["shard"]) for r in m.collect())
     assert rows(sharding.load_map(spark, f"{tmp_path}/maps", 1)) == rows(first)
     assert {r["version"] for r in sharding.load_map(spark, f"{tmp_path}/maps").collect()} == {2}
+    assert sharding.place(recs, sharding.load_map(spark, f"{tmp_path}/maps")).count() == 100
+    with pytest.raises(ValueError, match="one row for each slot"):
+        sharding.save_map(first.unionByName(first).withColumn("version", F.lit(3)), f"{tmp_path}/maps")
+
+
+def test_shards_against_plain_placing(spark):
+    got = [r.asDict() for r in Q.op7_sharding(spark, "/root/testdata/sf0.001").collect()]
+    size, shard, rows = Counter(), {}, defaultdict(list)
+    for r in got:
+        size[r["virtual_slot"]] += r["size"]
+        assert shard.setdefault(r["virtual_slot"], r["shard"]) == r["shard"]
+        rows[r["shard"]].append((r["virtual_slot"], r["doc_id"], r["size"], r["text_crc32"], r["slot"]))
+    load = [0] * 24
+    for slot, n in sorted(size.items(), key=lambda x: (-x[1], x[0])):
+        least = load.index(min(load))
+        assert shard[slot] == least
+        load[least] += n
+    for placed in rows.values():
+        assert [x[-1] for x in sorted(placed)] == list(range(len(placed)))
+
+
+def test_equal_records_do_not_fill_one_shard(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 != 0, F.repeat(F.lit("x"), 40)).otherwise("the same text of about forty characters").alias("text"), F.lit(1).alias("row"), F.lit(2).alias("parts"))
+    recs = sharding.split_hot(sharding.records(docs), 24)
+    placed = sharding.place(recs, sharding.new_map(sharding.slot_sizes(recs), 24)).collect()
+    load = Counter()
+    for r in placed:
+        load[r["shard"]] += r["size"]
+    assert len(placed) == 3000
+    assert max(load.values()) < 1.1 * min(load.values())
 
 
 def test_bloom_filter_never_misses(spark):
@@ -127,12 +174,54 @@ def test_clips_keep_a_tone_and_find_its_segment():
         audio.samples(clip[:-1])
 
 
+def plain_feature(raw):
+    """Frames, patches, segments and band means of a clip, by sums over samples, frames and bins."""
+    x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    taps = np.arange(49) - 24.0
+    low = np.sinc(taps / 3) * np.hamming(49)
+    low *= 2 / low.sum()
+    y = np.zeros(len(x) * 2 // 3)
+    for m in range(len(y)):  # upsampled by two, filtered, every third sample taken
+        for k in range(49):
+            at = 3 * m - (k - 24)
+            if at % 2 == 0 and 0 <= at // 2 < len(x):
+                y[m] += low[k] * x[at // 2]
+    n = max(1, 1 + -(-max(0, len(y) - 256) // 160))
+    y = np.pad(y, (0, (n - 1) * 160 + 256 - len(y)))
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(60), mel(4000), 26)]
+    bands = np.zeros((n, 24))
+    for i in range(n):
+        power = np.abs(basis @ (y[160 * i : 160 * i + 256] * np.hanning(256))) ** 2
+        for b in range(24):
+            lo, mid, hi = edges[b : b + 3]
+            weight = [max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f in np.arange(129) * 8000 / 256]
+            bands[i, b] = np.log(power @ weight + 1e-6)
+    return n, -(-n // 64), bands
+
+
+def test_feature_against_plain_sums(spark):
+    texts = ["", "a b c", "word " * 60, "".join(chr(33 + (i * i) % 90) for i in range(6000)), "x" * 3000 + "Hello, world! " * 200]
+    clips = audio.as_audio(spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string"), F.encode("t", "UTF-8"))
+    for r in audio.patch_features(clips).collect():
+        text = texts[r["doc_id"]].encode()
+        n, count, bands = plain_feature(text + b" " * (-len(text) % 192 or (0 if text else 192)))
+        assert (r["n_frames"], r["n_patches"]) == (n, count)
+        assert r["band_means"] == pytest.approx(bands.mean(axis=0), abs=2e-3)
+
+
 def test_patches_are_fixed_shape_tensors(spark):
     rows = audio.as_audio(spark.createDataFrame([(1, "a" * 30_000), (2, None)], "doc_id long, t string"), F.encode(F.coalesce("t", F.lit("")), "UTF-8")).collect()
-    mel = pa.array([p["mel"] for r in rows for p in r["patches"]], pa.list_(pa.float32()))
-    tensors = audio.tensor_array(mel)
-    assert tensors.to_numpy_ndarray().shape == (len(mel), audio.PATCH_FRAMES, audio.MELS)
-    assert all(a["end_s"] > a["start_s"] for r in rows for a in r["patches"])
+    for r in rows:
+        start, end, mel = audio.read_patches(bytes(r["patches"]))
+        assert mel.shape == (-(-r["n_frames"] // audio.PATCH_FRAMES), audio.PATCH_FRAMES, audio.MELS)
+        assert (end > start).all()
+        assert (np.diff(start) > 0).all()
+        assert (mel.reshape(-1, audio.MELS)[r["n_frames"] :] == 0).all()
+        with pa.ipc.open_stream(bytes(r["patches"])) as stream:
+            assert stream.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.PATCH_FRAMES, audio.MELS), dim_names=("frame", "mel"))
+    assert {len(audio.read_patches(bytes(r["patches"]))[0]) for r in rows if r["doc_id"] == 2} == {1}
 
 
 def test_model_file_of_the_query_is_public():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import audio, chat, decontaminate, lines, phrases, pieces, sharding, simhash, toxicity, urls
+from tidemark.sources.shared import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -80,6 +81,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = audio.as_audio(_table(spark, sf_dir, "documents"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    # The feature comes from the stored tensors and segments, read back.
+    clips = audio.patch_features(clips)
     bands = F.array_join(F.transform("band_means", lambda m: F.round(m, 3).cast("string")), ";")
     size = F.length("payload")
     return clips.withColumn("payload", audio.stored_payload(F.col("media"))).select(
@@ -90,7 +93,7 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substr("payload", size - 15, F.lit(16))).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("|", F.col("n_frames").cast("string"), F.size("patches").cast("string"), F.size("segments").cast("string"), bands).alias("feature"),
+        F.concat_ws("|", F.col("n_frames").cast("string"), F.col("n_patches").cast("string"), F.size("segments").cast("string"), bands).alias("feature"),
     )
 
 
@@ -134,9 +137,10 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = sharding.records(_table(spark, sf_dir, "documents"))
-    sizes = sharding.slot_sizes(recs)
-    placed = sharding.place(recs, sharding.new_map(sizes, 24), sizes)
+    recs = sharding.split_hot(sharding.records(_table(spark, sf_dir, "documents")), 24)
+    maps = shared_path(spark, "slot-maps")
+    sharding.save_map(sharding.new_map(sharding.slot_sizes(recs), 24), maps)
+    placed = sharding.place(recs, sharding.load_map(spark, maps))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

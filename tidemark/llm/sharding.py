@@ -1,39 +1,48 @@
 """Sharding by fixed virtual slots (operator 7), in DataFrame functions only.
 
-A record's id hashes to one of ``n_slots`` slots for good.  Bytes are summed by
-slot, and a versioned map sends slots to shards; rebalancing edits the map, and
-moves no more slots than the new targets ask for.  What passes through one task
-is the slot table, whose size is ``n_slots`` whatever the input.
+A record, which is an id with its text, hashes to one of ``n_slots`` slots for good.
+Bytes are summed by slot, and a stored, versioned map sends slots to shards;
+rebalancing edits the map into its next version, and moves no more slots than the new
+targets ask for.  What passes through one task is the slot table, whose size is
+``n_slots`` and four slots a shard at most, whatever the input.
+
+A slot that holds more than a quarter of a shard's mean, as equal records can fill it,
+is split into sub-slots by a second hash, of the row's place in the stored records.
 
 * null text: no bytes; the record has its fixed overhead only
-* repeated rows and repeated or null ids: every input row is placed; equal ids
-  share a slot
-* an empty table: no rows
-* columns other than the two named ones are not read
+* repeated rows and repeated or null ids: every input row is placed; equal ids with
+  different texts are different records
+* an empty table: no rows, and a map without slots; very long texts count their bytes
+* columns other than the two named ones are not read, whatever their names
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stored
+
 N_SLOTS = 4096
 OVERHEAD = 8
+#: Parts of a shard's mean that a slot may hold before it is split.
+SPLIT = 4
 
 
-def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def slot_of(*key: Column, n_slots: int = N_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """``(id, size, text_crc32, virtual_slot)`` of every row."""
+    """``(id, size, text_crc32, virtual_slot, row)`` of every row, stored: texts are read once, and a row's number stays."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(
+    rows = docs.select(
         docs[id_col].alias("id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        slot_of(docs[id_col], n_slots).alias("virtual_slot"),
+        slot_of(docs[id_col], docs[text_col], n_slots=n_slots).alias("virtual_slot"),
     )
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "records")
 
 
 def slot_sizes(recs: DataFrame) -> DataFrame:
@@ -41,6 +50,16 @@ def slot_sizes(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
+def split_hot(recs: DataFrame, shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """``recs`` with the slots of many bytes split; at most SPLIT * shards are."""
+    sizes = slot_sizes(recs)
+    total = sizes.agg((F.sum("bytes") / (SPLIT * shards)).alias("most"))
+    hot = sizes.crossJoin(F.broadcast(total)).filter("rows > 1 and bytes > most").select("virtual_slot", F.ceil(F.col("bytes") / F.col("most")).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))
+    split = recs.join(F.broadcast(hot), "virtual_slot", "left")
+    return split.select("id", "size", "text_crc32", (F.col("virtual_slot") + n_slots * part).cast("int").alias("virtual_slot"), "row")
+
+
 def _place(sizes: DataFrame, loads: Column, constant: str | None = None) -> DataFrame:
     """Slots of ``sizes`` (virtual_slot, bytes), largest first, each to the shard with the least load so far.
 
@@ -88,11 +107,15 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append a version to the stored maps."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Store one version of the map; a version that is there already is never written again."""
+    found = slot_map.agg(F.count_distinct("version").alias("versions"), F.max("version").alias("version"), (F.count("*") - F.count_distinct("virtual_slot")).alias("repeated")).first()
+    if found["versions"] > 1 or found["repeated"]:
+        raise ValueError("a map has one version, and one row for each slot")
+    version = 1 if found["version"] is None else found["version"]
+    slot_map.drop("version").write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
-def load_map(spark, path: str, version: int | None = None) -> DataFrame:
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version, the latest by default."""
     maps = spark.read.parquet(path)
     if version is None:
@@ -100,14 +123,15 @@ def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     return maps.filter(F.col("version") == version)
 
 
-def place(recs: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Records with ``shard`` and ``slot``, their gapless place from 0 in the shard (by virtual slot, id, size, crc).
+def place(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Records with ``shard`` and ``slot``, their gapless place from 0 in the shard (by virtual slot, id, size, crc, row).
 
     Rows are numbered inside each virtual slot and shifted by the rows of the
     shard's earlier slots, so no task sees a whole shard.
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.join(F.broadcast(slot_map), "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("virtual_slot").orderBy("id", "size", "text_crc32")
+    # One row a slot: bounded like the map.
+    offsets = slot_sizes(recs).join(slot_map.select("virtual_slot", "shard"), "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("virtual_slot").orderBy("id", "size", "text_crc32", "row")
     numbered = recs.withColumn("slot", F.row_number().over(inside) - 1)
     return numbered.join(F.broadcast(offsets), "virtual_slot").select("id", "size", "text_crc32", "virtual_slot", "shard", (F.col("slot") + F.col("offset")).cast("long").alias("slot"))
