@@ -2,42 +2,37 @@
 
 In a model none of whose pieces crosses a whitespace marker, segmentation of a
 text is the concatenation of the segmentations of its marked chunks
-(``▁+[^▁]*``).
+(``▁+[^▁]*``).  Each task keeps a table of the distinct chunks it has met, asks
+the library once for those that are new, and joins ids and surfaces back by
+position.  Nothing is shuffled; the table is bounded by ``max_chunks`` and begun anew
+when it is full.  Chunks are cut and put together in numpy, a few texts at a time.
 
-1. Documents are dealt into blocks of about ``block_bytes``; each block's distinct
-   chunks are listed.
-2. The distinct chunks of all blocks are a Spark table, in which the library
-   segments each of them once.
-3. A block's chunks fetch their ids and surfaces from the table, and meet the
-   block's documents, where ids and surfaces are joined back by position.
-
-Texts are shuffled once, and a block's part of the table is bounded by its texts.
-Chunks are cut and put together in numpy, a few texts at a time.
+One table for the whole corpus, fetched by blocks of documents, needs more disk than
+the texts themselves where most words are rare (README).
 
 * null or empty text: no ids, empty decoded text
-* repeated rows and repeated or null ids: one output row for each input row; rows of
-  one id and text are in one block
-* an empty table: no rows; a very long text is a block of its own size
-* columns other than the two named ones are not read
+* repeated rows and repeated or null ids: one output row for each input row
+* an empty table: no rows; a very long text is cut as a whole by its task
+* columns other than the two named ones are not read, whatever their names
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm import _text
 
-BLOCK_BYTES = 4 << 20
+MAX_CHUNKS = 300_000
 MARKER = "▁"
-_CODERS: dict[str, Coder] = {}
+_TABLES: dict[str, Table] = {}
 
 
 class Coder:
@@ -62,12 +57,6 @@ class Coder:
         return ids, [d[self.guard_chars :] for d in decoded]
 
 
-def _coder(model_path: str) -> Coder:
-    if model_path not in _CODERS:
-        _CODERS[model_path] = Coder(model_path)
-    return _CODERS[model_path]
-
-
 def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.DictionaryArray, np.ndarray]]:
     """For groups of texts: their number, all of their chunks in order, and where each text's chunks begin (and the last ones end)."""
     for _, _, data, start, end in _text.texts(pc.replace_substring(column.cast(pa.large_string()), MARKER, " ")):
@@ -93,26 +82,36 @@ def _spread(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np
 
 
 class Table:
-    """Chunks with their ids and surfaces, as flat arrays."""
-
-    def __init__(self, chunk: pa.Array, ids: pa.Array, surface: pa.Array) -> None:
-        self.chunk = chunk
-        self.ids, self.id_at = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-        # Every surface begins with the space of its marker.
-        self.surface, self.surface_at = np.frombuffer(b"".join(surface.cast(pa.binary()).to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(pc.binary_length(surface).to_numpy())])
-
-    @classmethod
-    def of(cls, found: pa.Table, needed: pa.Array, coder: Coder) -> Table:
-        """From the rows that the block has fetched; a chunk that they lack is segmented here."""
-        lacking = [c for c in needed.filter(pc.is_null(pc.index_in(needed, found.column("chunk").combine_chunks()))).to_pylist()] if len(found) else needed.to_pylist()
-        ids, surface = coder.segment(lacking) if lacking else ([], [])
-        join = lambda name, more, kind: pa.concat_arrays([*(x.cast(kind) for x in found.column(name).chunks), pa.array(more, kind)])
-        return cls(join("chunk", lacking, pa.string()), join("ids", ids, pa.list_(pa.int32())), join("surface", surface, pa.string()))
+    """Chunks met so far, with their ids and surfaces as flat arrays."""
+
+    def __init__(self, model_path: str, max_chunks: int = MAX_CHUNKS) -> None:
+        self.coder, self.max_chunks = Coder(model_path), max_chunks
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.ids, self.id_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.surface, self.surface_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def find(self, wanted: list[str]) -> np.ndarray:
+        """The row of each of these distinct chunks; new ones are segmented."""
+        new = [c for c in wanted if c not in self.row]
+        if len(self.row) + len(new) > self.max_chunks:
+            self.clear()
+            new = wanted
+        if new:
+            ids, said = self.coder.segment(new)
+            said = [x.encode() for x in said]
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum([len(x) for x in ids])])
+            self.surface_at = np.concatenate([self.surface_at, self.surface_at[-1] + np.cumsum([len(x) for x in said])])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
+            self.surface = np.concatenate([self.surface, np.frombuffer(b"".join(said), np.uint8)])
+        return np.fromiter(map(self.row.__getitem__, wanted), np.int64, len(wanted))
 
     def texts(self, cut: pa.DictionaryArray, begin: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Ids and decoded text of each text from its chunks."""
-        place = pc.index_in(cut.dictionary, self.chunk).to_numpy()
-        rows = place[cut.indices.to_numpy()].astype(np.int64)
+        rows = self.find(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
         ids, id_upto = _spread(self.ids, self.id_at, rows)
         said, upto = _spread(self.surface, self.surface_at, rows)
         # The first space of each text is its own marker's.
@@ -122,63 +121,29 @@ class Table:
         size = np.maximum(end - start - 1, 0)
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         decoded = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(said[keep])])
-        return pa.ListArray.from_arrays(pa.array(id_upto[begin].astype(np.int32)), pa.array(ids.astype(np.int32))), decoded
-
-
-def distinct_chunks(dealt: DataFrame) -> DataFrame:
-    """``(block, chunk)``, once for each chunk of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            row = 0
-            for n, cut, begin in chunks(batch.column(1)):
-                size = np.diff(begin)
-                pair = np.unique(np.repeat(blocks[row : row + n].astype(np.int64), size) << 32 | cut.indices.to_numpy().astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), cut.dictionary.take(pa.array(pair & 0xFFFFFFFF))], ["block", "chunk"])
-                row += n
+        return pa.ListArray.from_arrays(pa.array(id_upto[begin].astype(np.int32)), pa.array(ids)), decoded
 
-    return dealt.select("block", "text").mapInArrow(run, "block int, chunk string").distinct()
 
+def _table(model_path: str) -> Table:
+    if model_path not in _TABLES:
+        _TABLES[model_path] = Table(model_path)
+    return _TABLES[model_path]
 
-def segmented(distinct: DataFrame, model_path: str, at_once: int = 4096) -> DataFrame:
-    """``(chunk, ids, surface)`` of each chunk of ``distinct`` (chunk)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(model_path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, at_once):
-                part = batch.column(0).slice(i, at_once)
-                ids, surface = coder.segment(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array(surface, pa.string())], ["chunk", "ids", "surface"])
-
-    return distinct.mapInArrow(run, "chunk string, ids array<int>, surface string")
-
-
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` for every row of ``docs``.
 
     The model file has to be readable at ``model_path`` on every executor.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = int(max(1, -(-total // block_bytes)))
-    dealt = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    asked = distinct_chunks(dealt)
-    # One exchange by chunk serves the list of distinct ones and the fetch.
-    asked = asked.repartition("chunk")
-    fetched = asked.join(segmented(asked.select("chunk").distinct(), model_path), "chunk").select("block", "chunk", "ids", "surface")
-
-    def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        coder, ids, decoded = _coder(model_path), [], []
-        for _, cut, begin in chunks(left.column("text")):
-            table = Table.of(right, cut.dictionary, coder)
-            x, text = table.texts(cut, begin)
-            ids.append(x)
-            decoded.append(text)
-        kind = pa.list_(pa.int32())
-        return pa.table([left.column("id"), pa.chunked_array(ids, kind), pa.chunked_array(decoded, pa.string())], ["id", "ids", "decoded"])
-
-    joined = dealt.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(join_back, f"id {id_type}, ids array<int>, decoded string")
-    return joined.withColumnRenamed("id", id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model_path)
+        for batch in batches:
+            row = 0
+            for n, cut, begin in chunks(batch.column(1)):
+                ids, decoded = table.texts(cut, begin)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), ids, decoded], ["id", "ids", "decoded"])
+                row += n
+
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
