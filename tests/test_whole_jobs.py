@@ -27,3 +27,28 @@ def test_five_seeds_and_their_mean(spark):
     assert sorted(got) == [7, 23, 41, 59, 83]
     for c in ("auc", "average_precision", "brier"):
         assert mean[c] == pytest.approx(sum(r[c] for r in got.values()) / 5, abs=1e-8)
+
+
+@pytest.mark.parametrize("name", ["l04_fit_isotonic", "l20_frozen_stages", "l21_fit_audit", "d09_monitor_scores", "e01_evaluate", "e12_dated_loan_study"])
+def test_fitted_jobs_run(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows
+
+
+def test_isotonic_against_pooling(spark):
+    rows = [r.asDict() for r in QUERIES["l04_fit_isotonic"](spark, SF).collect()]
+    by_raw = sorted((r["raw_pd"], r["calibrated_pd"]) for r in rows)
+    assert all(a[1] <= b[1] for a, b in zip(by_raw, by_raw[1:], strict=False))  # no score falls as the raw one rises
+
+    data = [(0.1, 0), (0.2, 1), (0.3, 0), (0.3, 1), (0.5, 0), (0.7, 1), (0.8, 1)]
+    model = models.fit_isotonic(spark.createDataFrame(data, "raw_pd double, label int"))
+    blocks = []
+    for x in sorted({x for x, _ in data}):
+        ys = [y for v, y in data if v == x]
+        blocks.append([sum(ys), len(ys), [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    expected = {x: s / n for s, n, xs in blocks for x in xs}
+    got = {r["raw_pd"]: r["calibrated_pd"] for r in models.calibrated(model, spark.createDataFrame([(x,) for x in expected], "raw_pd double")).collect()}
+    assert got == pytest.approx(expected, abs=1e-9)

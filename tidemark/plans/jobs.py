@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, coverage, drift, features, journal, loans, metrics, models, ranking, reconcile, rollup
@@ -14,6 +17,10 @@ from tidemark.sources.shared import shared_path, stored
 from tidemark.streaming.review import stream_review
 
 
+#: The seeds of the repeated study.
+SEEDS = (7, 23, 41, 59, 83)
+
+
 def _text(rows):
     return rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
 
@@ -144,10 +151,10 @@ def l07_one_hot_ignore_unknown(t: Tables):
     return encoded.select("record_id", F.aggregate(vector_to_array("method_vector"), F.lit(0.0), lambda a, x: a + x).cast("int").alias("ones"))
 
 
-@query("predictions", " UNION ALL ".join(f"SELECT {s} AS seed, stage, count(*) AS rows, CAST(sum(label) AS BIGINT) AS events FROM (SELECT label, CASE WHEN place <= (n * 20 + 50) // 100 THEN 'test' WHEN place <= (n * 40 + 50) // 100 THEN 'calibration' ELSE 'train' END AS stage FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY application_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM predictions)) GROUP BY stage" for s in (7, 23)))
+@query("predictions", " UNION ALL ".join(f"SELECT {s} AS seed, stage, count(*) AS rows, CAST(sum(label) AS BIGINT) AS events FROM (SELECT label, CASE WHEN place <= (n * 20 + 50) // 100 THEN 'test' WHEN place <= (n * 40 + 50) // 100 THEN 'calibration' ELSE 'train' END AS stage FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY application_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM predictions)) GROUP BY stage" for s in (7, 23, 41, 59, 83)))
 def l19_repeat_splits(t: Tables):
-    splits = [features.stratified_split(t.predictions, "label", "application_id", s).withColumn("seed", F.lit(s)) for s in (7, 23)]
-    return splits[0].unionByName(splits[1]).groupBy("seed", "stage").agg(F.count("*").alias("rows"), F.sum("label").alias("events"))
+    splits = (features.stratified_split(t.predictions.select("application_id", "label"), "label", "application_id", s).withColumn("seed", F.lit(s)) for s in SEEDS)
+    return reduce(DataFrame.unionByName, splits).groupBy("seed", "stage").agg(F.count("*").alias("rows"), F.sum("label").alias("events"))
 
 
 @query("")
@@ -247,9 +254,6 @@ def e10_static_split_study(t: Tables):
     return metrics.quality(scored.unionByName(flat), "score", "label", ("method",))
 
 
-SEEDS = (7, 23, 41, 59, 83)
-
-
 @query("")
 def e11_repeated_split_study(t: Tables):
     """The frozen seeds of the static study, every result kept; the row without a seed is their mean."""
