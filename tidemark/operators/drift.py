@@ -47,14 +47,16 @@ def psi(reference: DataFrame, current: DataFrame, score: str, by: tuple[str, ...
     return out.select(*by, "rows", F.when(F.col("rows") >= MINIMUM_ROWS, F.round("total", 6)).alias("psi"))
 
 
-def _two_samples(reference: DataFrame, current: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
-    """Reference and current counts at each value; the reference is repeated for each group of current rows."""
-    old = reference.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("ref"))
-    if by:
-        old = old.crossJoin(current.select(*by).distinct())
-    new = current.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("cur"))
-    both = old.select(*by, "value", "ref", F.lit(0).cast("long").alias("cur")).unionByName(new.select(*by, "value", F.lit(0).cast("long").alias("ref"), "cur"))
-    return both.groupBy(*by, "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+def _two_samples(reference: DataFrame, current: DataFrame, value: str, by: tuple[str, ...], same: tuple[str, ...] = ()) -> DataFrame:
+    """Reference and current counts at each value; the reference of a ``same`` is repeated for each group ``by`` of its current rows."""
+    keys = (*same, *by)
+    old = reference.groupBy(*same, F.col(value).alias("value")).agg(F.count("*").alias("ref"))
+    if by or same:
+        groups = current.select(*keys).distinct()
+        old = old.join(groups, list(same)) if same else old.crossJoin(groups)
+    new = current.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("cur"))
+    both = old.select(*keys, "value", "ref", F.lit(0).cast("long").alias("cur")).unionByName(new.select(*keys, "value", F.lit(0).cast("long").alias("ref"), "cur"))
+    return both.groupBy(*keys, "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
 
 
 def ecdf_counts(reference: DataFrame, current: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -62,9 +64,13 @@ def ecdf_counts(reference: DataFrame, current: DataFrame, value: str, by: tuple[
     return running_counts(_two_samples(reference, current, value, by), "value", ("ref", "cur"), by)
 
 
-def ks_distance(reference: DataFrame, current: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Greatest gap of the two cumulative distributions, by whole numbers, and the least value that has it."""
-    counts = ecdf_counts(reference, current, value, by)
+def ks_distance(reference: DataFrame, current: DataFrame, value: str, by: tuple[str, ...] = (), same: tuple[str, ...] = ()) -> DataFrame:
+    """Greatest gap of the two cumulative distributions, by whole numbers, and the least value that has it.
+
+    ``by`` are groups of the current rows; ``same`` are columns of both sides, such as a feature's name.
+    """
+    counts = running_counts(_two_samples(reference, current, value, by, same), "value", ("ref", "cur"), (*same, *by))
+    by = (*same, *by)
     totals = counts.groupBy(*by).agg(F.sum("ref").alias("n"), F.sum("cur").alias("m"))
     joined = counts.join(totals, list(by)) if by else counts.crossJoin(F.broadcast(totals))
     big = lambda c: F.col(c).cast("decimal(19,0)")
@@ -81,20 +87,20 @@ def ks_distance(reference: DataFrame, current: DataFrame, value: str, by: tuple[
     )
 
 
-def category_shares(reference: DataFrame, current: DataFrame, value: str, categories: tuple[str, ...]) -> DataFrame:
-    """Counts and shares of every category in both populations; absent ones stay, with zero."""
+def category_shares(reference: DataFrame, current: DataFrame, value: str, categories: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and shares of every category in both populations, for each group ``by`` of the current rows; absent ones stay, with zero."""
     listed = reference.sparkSession.createDataFrame([(c,) for c in categories], "value string")
-    seen = _two_samples(reference, current, value, ())
-    totals = reference.agg(F.count("*").alias("n")).crossJoin(current.agg(F.count("*").alias("m")))
-    out = listed.join(seen, "value", "left").fillna(0, ["ref", "cur"]).crossJoin(F.broadcast(totals))
-    return out.select("value", F.col("ref").alias("reference_count"), F.col("cur").alias("current_count"), F.round(F.col("ref") / F.col("n"), 8).alias("reference_share"), F.round(F.col("cur") / F.col("m"), 8).alias("current_share"), "n", "m")
+    seen = _two_samples(reference, current, value, by)
+    totals = current.groupBy(*by).agg(F.count("*").alias("m")).crossJoin(F.broadcast(reference.agg(F.count("*").alias("n"))))
+    out = listed.crossJoin(totals).join(seen, [*by, "value"], "left").fillna(0, ["ref", "cur"])
+    return out.select(*by, "value", F.col("ref").alias("reference_count"), F.col("cur").alias("current_count"), F.round(F.col("ref") / F.col("n"), 8).alias("reference_share"), F.round(F.col("cur") / F.col("m"), 8).alias("current_share"), "n", "m")
 
 
-def total_variation(reference: DataFrame, current: DataFrame, value: str, categories: tuple[str, ...]) -> DataFrame:
+def total_variation(reference: DataFrame, current: DataFrame, value: str, categories: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Half the summed differences of the shares."""
-    shares = category_shares(reference, current, value, categories)
+    shares = category_shares(reference, current, value, categories, by)
     gap = F.abs(F.col("reference_count") * F.col("m") - F.col("current_count") * F.col("n"))
-    return shares.agg(F.round(F.sum(gap).cast("double") / (F.max("n").cast("double") * F.max("m") * 2), 6).alias("distance"))
+    return shares.groupBy(*by).agg(F.round(F.sum(gap).cast("double") / (F.max("n").cast("double") * F.max("m") * 2), 6).alias("distance"))
 
 
 def finite_share(value: Column) -> Column:

@@ -74,6 +74,12 @@ def block_bootstrap(rows: DataFrame, draws: DataFrame, score: str, label: str, b
     return quality(weighted, "score", "label", ("replicate", *by), F.col("n") * F.col("weight"))
 
 
+def paired_metric(replicates: DataFrame, metric: str, reference: str, by: str = "method") -> DataFrame:
+    """A metric of each ``by`` less that of ``reference``, replicate by replicate."""
+    base = replicates.filter(F.col(by) == reference).select("replicate", F.col(metric).alias("base"))
+    return replicates.filter(F.col(by) != reference).join(base, "replicate").select(by, "replicate", F.round(F.col(metric) - F.col("base"), 7).alias("difference"))
+
+
 def quantile_interval(values: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """2.5 and 97.5 percentiles, interpolated, of the values that are there."""
     out = values.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(value).alias("valid"))

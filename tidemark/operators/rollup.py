@@ -64,13 +64,17 @@ def cohort_rollup(predictions: DataFrame, lgd: str = "0.45") -> DataFrame:
     )
 
 
-def budget_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Method by capacity: reviewed, captured, precision and capture.  Labels are joined after ranking."""
-    chosen = multi_budget(scores, capacities, "score", "application_id").join(outcomes.select("application_id", "label"), "application_id")
-    total = outcomes.agg(F.sum("label").cast("long").alias("total_events"))
-    out = chosen.groupBy("method", "percent").agg(F.count("*").alias("reviewed"), F.sum("label").cast("long").alias("captured")).crossJoin(F.broadcast(total))
+def budget_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, each: tuple[str, ...] = ()) -> DataFrame:
+    """Method by capacity: reviewed, captured, precision and capture.  Labels are joined after ranking.
+
+    ``each`` are columns of scores and outcomes, such as the seed of a repeat, that have budgets of their own.
+    """
+    chosen = multi_budget(scores, capacities, "score", "application_id", (*each, "method")).join(outcomes.select(*each, "application_id", "label"), [*each, "application_id"])
+    total = outcomes.groupBy(*each).agg(F.sum("label").cast("long").alias("total_events"))
+    out = chosen.groupBy(*each, "method", "percent").agg(F.count("*").alias("reviewed"), F.sum("label").cast("long").alias("captured"))
+    out = out.join(total, list(each)) if each else out.crossJoin(F.broadcast(total))
     return out.select(
-        "method", "percent", "reviewed", "captured", "total_events", F.round(F.col("captured") / F.nullif(F.col("reviewed"), F.lit(0)), 8).alias("precision"), F.round(F.col("captured") / F.nullif(F.col("total_events"), F.lit(0)), 8).alias("capture")
+        *each, "method", "percent", "reviewed", "captured", "total_events", F.round(F.col("captured") / F.nullif(F.col("reviewed"), F.lit(0)), 8).alias("precision"), F.round(F.col("captured") / F.nullif(F.col("total_events"), F.lit(0)), 8).alias("capture")
     )
 
 
@@ -112,9 +116,9 @@ def describe_numeric(tall: DataFrame) -> DataFrame:
     return tall.groupBy("name").agg(F.count("value").alias("count"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def repeat_summary(results: DataFrame, by: str, metrics: tuple[str, ...]) -> DataFrame:
+def repeat_summary(results: DataFrame, by: str | tuple[str, ...], metrics: tuple[str, ...]) -> DataFrame:
     """Mean, least and greatest of each metric over repeats."""
-    return results.groupBy(by).agg(*(f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", lambda c: F.round(F.avg(c), 8)), ("min", F.min), ("max", F.max))))
+    return results.groupBy(*([by] if isinstance(by, str) else by)).agg(*(f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", lambda c: F.round(F.avg(c), 8)), ("min", F.min), ("max", F.max))))
 
 
 def distinct_counts(predictions: DataFrame) -> DataFrame:

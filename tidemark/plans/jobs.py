@@ -1,4 +1,4 @@
-"""Composed jobs: sources and sinks, fitted models, monitoring, studies, lineage and the review stream."""
+"""Sources and sinks, fitted models, coverage jobs and the review stream."""
 
 from __future__ import annotations
 
@@ -168,38 +168,21 @@ def l21_fit_audit(t: Tables):
     return t.spark.createDataFrame([(n, round(v, 6)) for n, v in models.fit_audit(models.fit_logistic(models.matrix(train, train)))], "name string, value double")
 
 
-@query("")
-def d09_monitor_scores(t: Tables):
-    """PSI by month of the visible current cohort's scores against those of the calibration stage."""
+def monitored(t: Tables):
+    """Scores of the calibration stage and of the visible current cohort, by the model of the training rows; labels of neither are read."""
     known = complete(t)
     train = of_stage(known, "train")
     model = models.fit_logistic(models.matrix(train, train))
     current = asof.in_stages(t.applications.select(*K.APPS), t.stages).filter((F.col("stage") == "test") & (F.col("decision_at") <= K.day()))
     wide = current.join(asof.feature_pivot(asof.asof_latest(current, t.feature_events)), "application_id").dropna(subset=["utilization", "debt_to_income", "prior_delinquencies"])
     reference = models.raw_scores(model, models.matrix(train, of_stage(known, "calibration")))
-    scored = models.raw_scores(model, models.matrix(train, wide)).withColumn("vintage", F.date_format("decision_at", "yyyy-MM"))
-    return drift.psi(reference, scored, "raw_pd", ("vintage",))
+    return reference, models.raw_scores(model, models.matrix(train, wide)).withColumn("vintage", F.date_format("decision_at", "yyyy-MM"))
 
 
 @query("")
-def e01_evaluate(t: Tables):
-    """Quality of the raw and the calibrated score on the test stage, beside the training rate."""
-    test = models.frozen_stages(complete(t))
-    both = test.select("label", "vintage", F.lit("logistic").alias("method"), F.col("raw_pd").alias("score")).unionByName(test.select("label", "vintage", F.lit("isotonic").alias("method"), F.col("calibrated_pd").alias("score")))
-    return metrics.quality(both, "score", "label", ("method",))
-
-
-@query("predictions", f"{S.PSI.format('')}, s AS (SELECT {S.SHARES} FROM bins LEFT JOIN o USING (b) LEFT JOIN n USING (b), (SELECT count(*) AS ot FROM old), (SELECT count(*) AS nt FROM new)) SELECT (SELECT count(*) FROM new) AS rows, round(sum((ns - os) * ln(ns / os)), 6) AS psi FROM s")
-def e04_score_monitor(t: Tables):
-    return drift.psi(*S.sides(t), "calibrated_pd")
-
-
-@query("applications feature_events", f"""{K.ASOF}, named AS (SELECT name, value, decision_at < DATE '1996-01-01' AS old FROM asof_values)
-SELECT name, count(*) FILTER (WHERE old) AS reference_count, count(*) FILTER (WHERE NOT old) AS current_count, round(avg(value) FILTER (WHERE old), 6) AS reference_mean, round(avg(value) FILTER (WHERE NOT old), 6) AS current_mean FROM named GROUP BY name""")
-def e05_input_drift(t: Tables):
-    old = F.col("decision_at") < F.lit("1996-01-01").cast("date")
-    known = asof.asof_latest(t.applications, t.feature_events)
-    return known.groupBy("name").agg(F.count_if(old).alias("reference_count"), F.count_if(~old).alias("current_count"), F.round(F.avg(F.when(old, F.col("value"))), 6).alias("reference_mean"), F.round(F.avg(F.when(~old, F.col("value"))), 6).alias("current_mean"))
+def d09_monitor_scores(t: Tables):
+    """PSI by month of the visible current cohort's scores against those of the calibration stage."""
+    return drift.psi(*monitored(t), "raw_pd", ("vintage",))
 
 
 @query(K.SLOT_TABLES, f"{K.REPORT} UNION ALL BY NAME SELECT population, 'missing' AS status, feature, vintage, count(*) AS feature_applications FROM slots WHERE slots.status <> 'available' GROUP BY population, feature, vintage")
@@ -233,89 +216,11 @@ def e07_policy_job(t: Tables):
     return checks.crossJoin(F.broadcast(whole)).join(missing, ["population", "feature", "vintage"], "left").fillna(0, ["missing_slots"])
 
 
-@query("predictions", "SELECT scope, count(*) AS rows, CAST(sum(loans) AS BIGINT) AS loans, CAST(sum(events) AS BIGINT) AS events FROM (SELECT 'portfolio' AS scope, count(*) AS loans, sum(label) AS events FROM predictions UNION ALL SELECT 'vintage', count(*), sum(label) FROM predictions GROUP BY vintage UNION ALL SELECT 'segment', count(*), sum(label) FROM predictions GROUP BY segment UNION ALL SELECT 'vintage_segment', count(*), sum(label) FROM predictions GROUP BY vintage, segment) GROUP BY scope")
-def e08_cohorts_and_queue(t: Tables):
-    return rollup.cohort_rollup(t.predictions).groupBy("scope").agg(F.count("*").alias("rows"), F.sum("loans").alias("loans"), F.sum("events").alias("events"))
-
-
-@query("scores outcomes capacities", f"{S.BUDGET} SELECT method, percent, CAST(sum(label) AS BIGINT) AS captured, CAST(sum(principal_cents * label) AS BIGINT) AS exposure_cents FROM chosen JOIN outcomes USING (application_id) GROUP BY method, percent")
-def e09_same_budget_comparison(t: Tables):
-    chosen = ranking.multi_budget(t.scores, t.capacities, "score", "application_id").join(t.outcomes, "application_id")
-    return chosen.groupBy("method", "percent").agg(F.sum("label").alias("captured"), F.sum(F.col("principal_cents") * F.col("label")).alias("exposure_cents"))
-
-
-@query("")
-def e10_static_split_study(t: Tables):
-    """One seeded split of decided applications: logistic and constant scores on its test rows."""
-    rows = stored(features.stratified_split(t.risk.join(t.predictions.select("application_id", "label"), "application_id"), "label", "application_id", 20), "split")
-    train, test = of_stage(rows, "train"), of_stage(rows, "test")
-    scored = models.raw_scores(models.fit_logistic(models.matrix(train, train)), models.matrix(train, test)).select("label", F.lit("logistic").alias("method"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
-    flat = models.constant(train, test).select("label", F.lit("constant").alias("method"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
-    return metrics.quality(scored.unionByName(flat), "score", "label", ("method",))
-
-
-@query("")
-def e11_repeated_split_study(t: Tables):
-    """The frozen seeds of the static study, every result kept; the row without a seed is their mean."""
-    base = stored(t.risk.join(t.predictions.select("application_id", "label"), "application_id"), "labelled")
-    out = None
-    for seed in SEEDS:
-        rows = stored(features.stratified_split(base, "label", "application_id", seed), "split")
-        train = of_stage(rows, "train")
-        scored = models.raw_scores(models.fit_logistic(models.matrix(train, train)), models.matrix(train, of_stage(rows, "test"))).select("label", F.lit(seed).alias("seed"), F.col("raw_pd").cast("decimal(12,10)").alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    every = stored(metrics.quality(out, "score", "label", ("seed",)), "results")
-    mean = [F.round(F.avg(c), 8).cast(every.schema[c].dataType).alias(c) for c in every.columns if c != "seed"]
-    return every.unionByName(every.agg(F.lit(None).cast("int").alias("seed"), *mean))
-
-
-@query("")
-def e12_dated_loan_study(t: Tables):
-    """Charge-off scores of the prepared loans' test stage: a logistic model on size, guaranteed share and rate."""
-    from pyspark.ml.feature import VectorAssembler
-
-    base = stored(R.prepared(t), "loans")
-    rows = base.join(loans.loan_features(base).select("record_id", "log_gross", "guaranteed_share"), "record_id").withColumnRenamed("chargeoff_24m", "label")
-    train = of_stage(rows, "train")
-    filled = features.standardize(features.impute_median(train, train, "rate"), features.impute_median(train, rows, "rate"), ("log_gross", "guaranteed_share", "rate"))
-    ready = VectorAssembler(inputCols=["log_gross", "guaranteed_share", "rate", "rate_missing"], outputCol="features").transform(filled)
-    scored = models.raw_scores(models.fit_logistic(of_stage(ready, "train")), of_stage(ready, "test"))
-    return metrics.quality(scored.withColumn("score", F.col("raw_pd").cast("decimal(12,10)")), "score", "label", ("stage",))
-
-
-@query("scores outcomes capacities", f"{S.BUDGET} SELECT method, percent, count(*) AS reviewed, CAST(sum(label) AS BIGINT) AS captured FROM chosen JOIN outcomes USING (application_id) GROUP BY method, percent")
-def e13_budget_replay(t: Tables):
-    return rollup.budget_table(t.scores, t.outcomes, t.capacities).select("method", "percent", "reviewed", "captured")
-
-
-@query("applications observations features", K.BITEMPORAL + " SELECT status, feature, count(*) AS slots, count(record_id) AS records FROM slots GROUP BY status, feature")
-def e14_lineage_job(t: Tables):
-    slots = asof.bitemporal(t.applications, t.observations, t.features)
-    return slots.groupBy("status", "feature").agg(F.count("*").alias("slots"), F.count("record_id").alias("records"))
-
-
 @query("journal queue", f"{R.STATES} SELECT status, count(*) AS cases, CAST(sum(version) AS BIGINT) AS events FROM states GROUP BY status")
 def e15_review_workflow(t: Tables):
     return journal.replay(t.queue, t.journal).groupBy("status").agg(F.count("*").alias("cases"), F.sum("version").alias("events"))
 
 
-@query("predictions", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differences FROM (SELECT DISTINCT vintage FROM predictions)")
-def e16_recheck_published(t: Tables):
-    """Monthly rows written, read again and held against a fresh computation."""
-    path = shared_path(t.spark, "published")
-    columns = ("vintage", "loans", "events", "event_rate", "mean_pd")
-    tables.write_table(rollup.vintage_metrics(t.predictions), path, columns)
-    published = tables.read_report_table(t.spark, path, columns)
-    off = reconcile.reconcile(published, rollup.vintage_metrics(t.predictions).select(*columns), ("vintage",), {"event_rate": 2e-6, "mean_pd": 2e-6})
-    return published.agg(F.count("*").alias("rows")).crossJoin(off.agg(F.count("*").alias("differences")))
-
-
-@query("scores outcomes capacities", f"{S.BUDGET} SELECT percent, CAST(sum(label) AS BIGINT) AS captured, count(DISTINCT method) AS methods FROM chosen JOIN outcomes USING (application_id) GROUP BY percent")
-def e17_aggregate_brief(t: Tables):
-    table = rollup.budget_table(t.scores, t.outcomes, t.capacities)
-    return table.groupBy("percent").agg(F.sum("captured").alias("captured"), F.count_distinct("method").alias("methods"))
-
-
 @query("journal queue", f"""{R.TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS violation FROM judged WHERE issue IS NOT NULL GROUP BY application_id)
 SELECT application_id, count(*) FILTER (WHERE violation IS NULL OR sequence < violation) AS accepted FROM journal LEFT JOIN firsts USING (application_id) GROUP BY application_id""")
 def g07_stream_review(t: Tables):
