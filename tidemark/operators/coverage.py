@@ -85,7 +85,7 @@ def threshold_numerator(text: Column) -> Column:
 
 def policy_check(rules: DataFrame, coverage: DataFrame) -> DataFrame:
     """Each rule's result: insufficient, fail or pass, by exact integer products."""
-    seen = coverage.select("population", "vintage", "feature", "applications", "available", "coverage_rate")
+    seen = coverage.select("population", "vintage", "feature", "applications", "available", F.round(F.col("available") / F.col("applications"), 8).alias("coverage_rate"))
     joined = rules.join(seen, ["population", "vintage", "feature"], "left")
     n = F.coalesce("applications", F.lit(0))
     short = F.col("available").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") < F.col("applications").cast("decimal(19,0)") * threshold_numerator(F.col("min_coverage"))
