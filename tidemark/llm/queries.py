@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, decontaminate, lines, phrases, pieces, sharding, simhash, toxicity, urls
+from tidemark.llm import audio, chat, decontaminate, lines, mixing, phrases, pieces, sharding, simhash, toxicity, urls
 from tidemark.sources.shared import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -188,6 +188,34 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.taken(placed, mixed).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: A source is full if the share isn't spent at the level where it becomes full, each other source taking that level or its bound.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS whole, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source
+), w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s
+), full_ones AS (
+  SELECT a.i FROM w a, w b GROUP BY a.i, a.whole, a.w HAVING 3 * sum(b.whole) * a.w >= 2 * sum(least(2 * b.whole * a.w, 2 * a.whole * b.w))
+), rest AS (
+  SELECT 3 * sum(whole) - 4 * coalesce(sum(whole) FILTER (WHERE i IN (SELECT i FROM full_ones)), 0) AS spare, sum(w) FILTER (WHERE i NOT IN (SELECT i FROM full_ones)) AS weights FROM w
+), t AS (
+  SELECT source, whole, CASE WHEN i IN (SELECT i FROM full_ones) THEN 2 * CAST(whole AS DOUBLE) ELSE CAST(spare * w AS DOUBLE) / CAST(2 * weights AS DOUBLE) END AS target FROM w, rest
+), p AS (
+  SELECT d.*, whole, target, CAST(floor(target + 0.5) AS HUGEINT) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY digest ROWS UNBOUNDED PRECEDING) - size AS begin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, CAST(whole AS BIGINT) AS source_size, target,
+  CAST(greatest(0, least(begin + size, quota) - begin) + greatest(0, least(begin + whole + size, quota) - begin - whole) AS BIGINT) AS taken FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_toxicity": op2_toxicity,
@@ -199,5 +227,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op13_mixing": op13_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL, "op13_mixing": OP13_SQL}
