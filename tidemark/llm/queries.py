@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audio, chat, decontaminate, lines, mixing, phrases, pieces, sharding, simhash, toxicity, urls
+from tidemark.llm import audio, chat, collocations, decontaminate, lines, mixing, phrases, pieces, prefix_trie, sharding, simhash, toxicity, urls
 from tidemark.sources.shared import shared_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -188,6 +188,61 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.rebuilt(prefix_trie.conversations(_table(spark, sf_dir, "conversations")))
+    nodes = prefix_trie.shared_prefixes(prefix_trie.paths(convs))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+#: Nodes are prefixes themselves; CRC-32 goes bit by bit.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, t, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 6 AS h FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, coalesce(b.t[1:c.h], []) || c.t[c.h + 1:] AS t FROM crc c LEFT JOIN turns b ON b.conv_id = c.base
+), prefixes AS (
+  SELECT conv_id, len(t) AS whole, d, t[1:d] AS p FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole = d), '')) AS ends,
+    (count(*) - 1) * coalesce(length(p[d].text), 0) AS saved FROM prefixes GROUP BY d, p
+), kids AS (
+  SELECT a.d, a.p, a.conv_id, count(b.d) AS k FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND b.p[1:b.d - 1] = a.p GROUP BY ALL
+), above AS (SELECT n.d, n.p, unnest(range(0, n.d + 1)) AS u, saved, k FROM nodes n JOIN kids USING (d, p)
+), below AS (SELECT u, p[1:u] AS q, CAST(sum(saved) AS BIGINT) AS saved, count(*) FILTER (WHERE k = 0) AS leaves FROM above GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, k.k AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN kids k ON k.d = n.d AND k.p = n.p JOIN below b ON b.u = n.d AND b.q = n.p LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1] AND n.d > 0
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) o(k) WHERE len(w) >= k)
+), f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 100
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] JOIN totals t ON t.lang = c.lang
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT lang, p[i:i + k - 1] AS p, f FROM (SELECT lang, p, f, k, unnest(range(1, len(p) - k + 2)) AS i FROM f, range(2, 5) o(k) WHERE len(p) > k)
+), kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.p = b.p AND 100 * i.f >= 100 * b.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixing.taken(placed, mixed).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -227,6 +282,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL, "op13_mixing": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op6_decontaminate": OP6_SQL, "op8_urls": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL, "op13_mixing": OP13_SQL}
