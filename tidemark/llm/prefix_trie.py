@@ -36,7 +36,7 @@ from tidemark.sources.shared import stored
 
 BYTES = 16
 #: Key of the root, which has no turn.
-ROOT = F.lit(bytes(BYTES))
+ROOT = bytes(BYTES)
 #: Characters of a block of joined ids.
 BLOCK_CHARS = 1 << 16
 
@@ -72,7 +72,7 @@ def paths(convs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for turns in batch.column(1):
-                at, path = bytes(BYTES), []
+                at, path = ROOT, []
                 for digest in (t["digest"].as_py() for t in turns):
                     at = hashlib.blake2b(at + digest, digest_size=BYTES).digest()
                     path.append(at)
@@ -85,7 +85,7 @@ def paths(convs: DataFrame) -> DataFrame:
 
 def _at(path: Column, depth: Column) -> Column:
     """The hash of a path's first ``depth`` turns."""
-    return F.when(depth == 0, ROOT).otherwise(F.substr(path, BYTES * (depth - 1) + 1, F.lit(BYTES)))
+    return F.when(depth == 0, F.lit(ROOT)).otherwise(F.substr(path, BYTES * (depth - 1) + 1, F.lit(BYTES)))
 
 
 def fattest(low: Column, high: Column) -> Column:
@@ -266,7 +266,7 @@ def shared_prefixes(members: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     ended = sequences.select(F.col("key").alias("id"), "n", "least", (F.col("n") * F.get("chars", F.col("len"))).alias("told"))
     kids = nodes.groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n_children"))
-    root = ends.limit(1).select(ROOT.alias("id"), zero.alias("written"))
+    root = ends.limit(1).select(F.lit(ROOT).alias("id"), zero.alias("written"))
     every = root.unionByName(nodes.select("id", (F.element_at("chars", -1) - F.element_at("chars", 1)).alias("written"))).join(kids, "id", "left")
     every = stored(every.withColumn("n_children", F.coalesce("n_children", zero)), "trie-kids")
     own = every.join(ended, "id", "left").select("id", F.coalesce("n", zero).alias("n"), F.coalesce("told", zero).alias("told"), "written", (F.col("n_children") == 0).cast("long").alias("leaves"), "least")
@@ -275,7 +275,7 @@ def shared_prefixes(members: DataFrame) -> DataFrame:
     hashes = joined_hashes(members.select("key", "conv_id")).withColumnRenamed("key", "id")
     last = sums.join(every.select("id", "n_children"), "id").join(hashes, "id", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
     last = stored(last, "trie-last")
-    top = last.filter(F.col("id") == ROOT).select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.col("least").alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", F.col("leaves").alias("n_leaves"), (F.col("told") - F.col("written")).alias("saved_tokens"), "ends_sha256")
+    top = last.filter(F.col("id") == F.lit(ROOT)).select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.col("least").alias("conv_id"), F.lit(None).cast("long").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", F.col("leaves").alias("n_leaves"), (F.col("told") - F.col("written")).alias("saved_tokens"), "ends_sha256")
     above = last.select(F.col("id").alias("up"), F.col("least").alias("above"))
     each = nodes.join(last, "id").join(above, "up").withColumn("depth", F.explode(F.sequence(F.col("start") + 1, F.col("end"))))
     is_end, before = F.col("depth") == F.col("end"), F.get("chars", F.col("depth") - F.col("start") - 1)
