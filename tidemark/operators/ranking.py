@@ -22,10 +22,10 @@ def join_same(left: DataFrame, right: DataFrame, columns: tuple[str, ...], how:
 
 def _number(value: Column) -> Column:
     """``value``, with NaN as null."""
-    return F.when(~F.isnan(value.cast("double")), value)
+    return F.when(~F.isnan(value.try_cast("double")), value)
 
 
-def _laid(rows: DataFrame, order: list[Column], at: str) -> DataFrame:
+def laid_by_range(rows: DataFrame, order: list[Column], at: str) -> DataFrame:
     """``rows`` sorted by range and stored, with their partition and place in ``at``.
 
     A range is a share of the rows, whatever their values; equal sort keys may
@@ -43,7 +43,7 @@ def global_rank(rows: DataFrame, score: str, tie: str, by: tuple[str, ...] = (),
     """
     at, part, n, before = unused([*rows.columns, name], "at", "part", "n", "before")
     order = [*(F.asc_nulls_first(c) for c in by), F.desc_nulls_last(_number(F.col(score))), F.asc_nulls_first(tie)]
-    placed = _laid(rows, order, at).withColumn(part, F.shiftright(at, 33))
+    placed = laid_by_range(rows, order, at).withColumn(part, F.shiftright(at, 33))
     ranges = placed.groupBy(*by, part).agg(F.count("*").alias(n), F.min(at).alias(at))
     upto = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*by, part, (F.coalesce(F.sum(n).over(upto), F.lit(0)) - F.col(at) + 1).alias(before))
@@ -89,7 +89,7 @@ def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: t
     """
     at, part = unused(values.columns, "at", "part")
     order = [*(F.asc_nulls_first(c) for c in by), F.asc_nulls_last(_number(F.col(value)))]
-    placed = _laid(values, order, at).withColumn(part, F.shiftright(at, 33))
+    placed = laid_by_range(values, order, at).withColumn(part, F.shiftright(at, 33))
     sums = placed.groupBy(*by, part).agg(*(F.sum(c).alias(f"sum_{c}") for c in counts))
     upto = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select(*by, part, *(F.coalesce(F.sum(f"sum_{c}").over(upto), F.lit(0)).alias(f"before_{c}") for c in counts), *(F.sum(f"sum_{c}").over(Window.partitionBy(*by)).alias(f"all_{c}") for c in counts))

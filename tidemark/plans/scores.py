@@ -188,24 +188,34 @@ def quality_sql(source: str, by: str = "", weight: str = "1") -> str:
     ), quality AS (SELECT {keys} CAST(sum(pos + neg) AS BIGINT) AS records, CAST(sum(pos) AS BIGINT) AS events,
       round(CAST(sum(CAST(pos AS HUGEINT) * (2 * below - neg)) AS DOUBLE) / 2 / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0), 8) AS auc,
       round(sum(CAST(pos AS DOUBLE) * pos_above / above) / nullif(sum(pos), 0), 8) AS average_precision,
-      round(CAST(sum(CAST(pos AS DECIMAL(10, 0)) * ((1 - score) * (1 - score)) + CAST(neg AS DECIMAL(10, 0)) * (score * score)) AS DOUBLE) / CAST(sum(pos + neg) AS BIGINT), 8) AS brier FROM cum {group})"""
+      CASE WHEN min(score) >= 0 AND max(score) <= 1 THEN round(CAST(sum(CASE WHEN score BETWEEN 0 AND 1 THEN CAST(pos AS DECIMAL(10, 0)) * (CAST(1 - score AS DECIMAL(12, 10)) * CAST(1 - score AS DECIMAL(12, 10)))
+        + CAST(neg AS DECIMAL(10, 0)) * (CAST(score AS DECIMAL(12, 10)) * CAST(score AS DECIMAL(12, 10))) END) AS DOUBLE) / CAST(sum(pos + neg) AS BIGINT), 8) END AS brier FROM cum {group})"""
 
 
 LABELLED = "labelled AS (SELECT method, score, label, vintage FROM scores JOIN outcomes USING (application_id))"
+#: Beside the methods' probabilities, one of them as points from -500 up.
+POINTS = """labelled AS (SELECT method, CAST(score AS DECIMAL(20, 10)) AS score, label, vintage FROM scores JOIN outcomes USING (application_id)
+  UNION ALL SELECT 'points', CAST(floor(score * 1500) - 500 AS DECIMAL(20, 10)), label, vintage FROM scores JOIN outcomes USING (application_id) WHERE method = 'rule')"""
 
 
 def labelled(t: Tables):
     return t.scores.join(t.outcomes.select("application_id", "label", "vintage"), "application_id")
 
 
-@query("scores outcomes", f"{LABELLED}, {quality_sql('labelled', 'method')} SELECT method, auc FROM quality")
+def with_points(t: Tables):
+    rows = labelled(t).withColumn("score", F.col("score").cast("decimal(20,10)"))
+    points = rows.filter("method = 'rule'").withColumns({"method": F.lit("points"), "score": (F.floor(F.col("score") * 1500) - 500).cast("decimal(20,10)")})
+    return rows.unionByName(points)
+
+
+@query("scores outcomes", f"{POINTS}, {quality_sql('labelled', 'method')} SELECT method, auc FROM quality")
 def m01_roc_auc(t: Tables):
-    return metrics.quality(labelled(t), "score", "label", ("method",)).select("method", "auc")
+    return metrics.quality(with_points(t), "score", "label", ("method",)).select("method", "auc")
 
 
-@query("scores outcomes", f"{LABELLED}, {quality_sql('labelled', 'method')} SELECT method, average_precision FROM quality")
+@query("scores outcomes", f"{POINTS}, {quality_sql('labelled', 'method')} SELECT method, average_precision FROM quality")
 def m02_average_precision(t: Tables):
-    return metrics.quality(labelled(t), "score", "label", ("method",)).select("method", "average_precision")
+    return metrics.quality(with_points(t), "score", "label", ("method",)).select("method", "average_precision")
 
 
 @query("scores outcomes", f"{LABELLED}, {quality_sql('labelled', 'method')} SELECT method, brier FROM quality")
@@ -233,9 +243,9 @@ def m05_precision_capture_at_k(t: Tables):
     return metrics.precision_capture(t.predictions, 10, "calibrated_pd", "application_id")
 
 
-@query("scores outcomes", f"{LABELLED}, {quality_sql('labelled', 'method, vintage')} SELECT * FROM quality")
+@query("scores outcomes", f"{POINTS}, {quality_sql('labelled', 'method, vintage')} SELECT * FROM quality")
 def m06_metrics_by(t: Tables):
-    return metrics.quality(labelled(t), "score", "label", ("method", "vintage"))
+    return metrics.quality(with_points(t), "score", "label", ("method", "vintage"))
 
 
 REPLICATES, SEED = 300, 7
@@ -277,13 +287,13 @@ def m08_paired_capture_bootstrap(t: Tables):
 
 @query(
     "scores outcomes",
-    f"""{WEIGHTED}, {quality_sql('weighted', 'replicate, method', 'weight')} SELECT q.replicate, q.method, q.records, q.events, q.auc, q.average_precision, q.brier, round(q.brier - b.brier, 7) AS brier_difference
+    f"""{WEIGHTED}, {quality_sql('weighted', 'replicate, method', 'weight')} SELECT q.replicate, q.method, q.records, q.events, q.auc, q.average_precision, q.brier, CAST(round(CAST(q.brier AS DECIMAL(12, 8)) - CAST(b.brier AS DECIMAL(12, 8)), 7) AS DOUBLE) AS brier_difference
     FROM quality q JOIN quality b ON b.replicate = q.replicate AND b.method = 'rule'""",
 )
 def m09_paired_metric_bootstrap(t: Tables):
-    rows = metrics.block_bootstrap(labelled(t), draws(t), "score", "label", ("method",))
+    rows = metrics.block_bootstrap(labelled(t), draws(t), "score", "label", ("method",), precision=True)
     base = rows.filter("method = 'rule'").select("replicate", F.col("brier").alias("base"))
-    return rows.join(base, "replicate").withColumn("brier_difference", F.round(F.col("brier") - F.col("base"), 7)).drop("base")
+    return rows.join(base, "replicate").withColumn("brier_difference", metrics.difference(F.col("brier"), F.col("base"))).drop("base")
 
 
 @query(
