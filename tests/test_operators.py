@@ -61,6 +61,63 @@ def test_future_rows_change_nothing(spark):
     assert sorted(asof.asof_latest(apps, spark.createDataFrame(later, EVENTS).repartition(5)).collect()) == before
 
 
+def test_each_decision_of_an_entity_knows_its_own_past(spark):
+    rng = random.Random(5)
+    ids = ["hot", "hot", "hot", "cold", None]
+    when = lambda: D(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    decisions = [(rng.choice(ids), when()) for _ in range(60)]
+    events = [(rng.choice(ids), rng.choice(["x", "y", None]), float(i), when(), when()) for i in range(120)]
+    frame = spark.createDataFrame(decisions, "application_id string, decision_at date")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, asof.asof_latest(frame, spark.createDataFrame(events, EVENTS).repartition(3)).select("application_id", "decision_at", "name", "value").collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = []
+    for a, at in {d for d in decisions if d[0]}:
+        for n in {e[1] for e in events}:
+            known = [(e[4], e[3], e[2]) for e in events if e[0] == a and e[1] == n and e[3] <= at and e[4] <= at]
+            expected += [(a, at, n, max(known)[2])] if known else []
+    assert got == sorted(expected, key=repr) and len(got) > 60
+
+
+def test_no_decision_sees_a_later_record(spark):
+    T = lambda d: dt.datetime(2020, 1, d)
+    records = [(f"r{d}", "e", "s", "f", T(d), T(d), T(d), 1, float(d), False) for d in (1, 10, 30)]
+    observed = spark.createDataFrame(records, "record_id string, entity_id string, source string, feature string, event_at timestamp, published_at timestamp, ingested_at timestamp, revision int, value double, deleted boolean")
+    decisions = spark.createDataFrame([("e", D(2020, 1, 1)), ("e", D(2020, 1, 12)), ("e", D(2020, 1, 30)), ("e", D(2019, 1, 1)), ("other", D(2020, 1, 1))], "application_id string, decision_at date")
+    slots = asof.bitemporal(decisions, observed, spark.createDataFrame([("f",)], "name string"))
+    assert {(r["application_id"], str(r["decision_at"])): (r["status"], r["record_id"]) for r in slots.collect()} == {
+        ("e", "2020-01-01"): ("selected", "r1"), ("e", "2020-01-12"): ("selected", "r10"), ("e", "2020-01-30"): ("selected", "r30"), ("e", "2019-01-01"): ("no_history", None), ("other", "2020-01-01"): ("no_history", None),
+    }
+    counts = {str(r["decision_at"]): (r["observations"], r["future"]) for r in asof.future_observations(decisions, observed).collect()}
+    assert counts == {"2020-01-01": (3, 2), "2020-01-12": (3, 1), "2020-01-30": (3, 0), "2019-01-01": (3, 3)}
+
+
+def test_a_hot_entity_fills_many_tasks(spark):
+    rows = spark.range(5000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), (F.col("id") * 7919 % 5000).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranking.carried(rows.repartition(4), ("k",), ("t",), best=("max", "v"), all=("sum", "v"), last=("max_before", "t")).orderBy("t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    best, total = -1, 0
+    for i, r in enumerate(out):
+        best, total = max(best, r["v"]), total + r["v"]
+        assert (r["best"], r["all"], r["last"]) == (best, total, i - 1 if i else None)
+
+
+def test_strict_snapshot_refuses_a_missing_feature(spark):
+    apps = spark.createDataFrame([("a", D(2024, 1, 5)), ("b", D(2024, 1, 5))], "application_id string, decision_at date")
+    events = spark.createDataFrame([("a", "x", 1.0, D(2024, 1, 1), D(2024, 1, 1)), ("b", "x", 1.0, D(2024, 1, 1), D(2024, 1, 9))], EVENTS)
+    reports = spark.createDataFrame([], REPORTS)
+    loose = asof.snapshot(apps, events, reports, day("2024-02-01"), names=("x",)).collect()
+    assert {r["application_id"]: r["x"] for r in loose} == {"a": 1.0, "b": None}
+    assert asof.snapshot(apps.filter("application_id = 'a'"), events, reports, day("2024-02-01"), strict=True, names=("x",)).count() == 1
+    with pytest.raises(Exception, match="feature not known at the decision: b/2024-01-05/x"):
+        asof.snapshot(apps, events, reports, day("2024-02-01"), strict=True, names=("x",)).collect()
+
+
 def test_slot_statuses(spark):
     at = D(2024, 5, 10)
     slots = spark.createDataFrame([("current", x, at) for x in "abcde"], "population string, application_id string, decision_at date").crossJoin(spark.createDataFrame([("utilization",)], "name string"))

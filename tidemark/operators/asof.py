@@ -1,7 +1,10 @@
 """Point-in-time joins: what was known at a decision, and which outcomes are mature at a cutoff.
 
-All of them are one equi join on the entity and one grouped pass, so events are
-reduced on the map side and AQE can split a hot entity's join.
+Latest values are merged, not joined: decisions and records lie in one order by
+entity and time, laid by range, and what was best so far is carried from record to
+decision.  No record meets a decision in a row, so an entity of n decisions and m
+records costs n + m rows, in as many tasks as they fill.  Everything is by decision,
+an entity and a time: an entity may have several.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import carried
+
 HORIZON_DAYS = 180
 REPORT_STEP = 30
 REPORTING_LAG = 2
@@ -16,19 +21,31 @@ DEFAULT_DPD = 90
 FEATURES = ("utilization", "debt_to_income", "prior_delinquencies")
 
 
-def _latest(value: Column, by: Column, when: Column) -> Column:
-    """``value`` where ``by`` is greatest among the rows that ``when`` holds for; null if there is none."""
-    return F.max_by(F.when(when, value), F.when(when, by))
+def _merged(decisions: DataFrame, records: DataFrame, by: tuple[str, ...], name: str, summed: bool = False) -> DataFrame:
+    """``decisions`` (by, time, ..) with the greatest or summed ``best`` of the ``records`` (by, time, best) of the same ``by`` up to their time."""
+    extra = [c for c in decisions.columns if c not in (*by, "time")]
+    kind = records.schema["best"].dataType
+    first = records.select(*by, "time", F.lit(0).alias("kind"), "best", *(F.lit(None).cast(decisions.schema[c].dataType).alias(c) for c in extra))
+    then = decisions.select(*by, "time", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("best"), *extra)
+    return carried(first.unionByName(then), by, ("time", "kind"), **{name: ("sum" if summed else "max", "best")}).filter("kind = 1").select(*by, "time", *extra, name)
 
 
 def asof_latest(left: DataFrame, events: DataFrame, key: str = "application_id", left_time: str = "decision_at", by: tuple[str, ...] = ("name",)) -> DataFrame:
-    """For each row of ``left`` and group ``by`` of its events: the value last available, and observed, by ``left_time``."""
-    known = left.select(key, left_time).join(events, key).filter((F.col("available_at") <= F.col(left_time)) & (F.col("observed_at") <= F.col(left_time)))
-    latest = known.groupBy(key, left_time, *by).agg(F.max_by(F.struct("value", "observed_at", "available_at"), "available_at").alias("x"))
-    return latest.select(key, left_time, *by, "x.value", "x.observed_at", "x.available_at")
+    """For each decision of ``left`` and group ``by`` of its events: the value last available, and observed, by ``left_time``.
+
+    Of events that became available at one time the one observed last counts, then
+    the greatest value; events without either time are never known.
+    """
+    keys = (key, *by)
+    known = events.filter("available_at is not null and observed_at is not null")
+    records = known.select(*keys, F.greatest("available_at", "observed_at").alias("time"), F.struct("available_at", "observed_at", "value").alias("best"))
+    # A decision is asked for the groups that its entity has.
+    asked = left.select(key, F.col(left_time).alias("time")).filter("time is not null").distinct().join(known.select(*keys).distinct(), key)
+    latest = _merged(asked, records, keys, "x").filter("x is not null")
+    return latest.select(key, F.col("time").alias(left_time), *by, "x.value", "x.observed_at", "x.available_at")
 
 
-def feature_pivot(tall: DataFrame, keys: tuple[str, ...] = ("application_id",), names: tuple[str, ...] = FEATURES) -> DataFrame:
+def feature_pivot(tall: DataFrame, keys: tuple[str, ...] = ("application_id", "decision_at"), names: tuple[str, ...] = FEATURES) -> DataFrame:
     """One row a key with a column for each feature."""
     return tall.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
@@ -44,19 +61,26 @@ def mature_outcomes(apps: DataFrame, performance: DataFrame, cutoff: Column, ext
     reports = latest_reports(apps.select("application_id", "decision_at", *extra), performance, cutoff, extra)
     step = F.datediff("as_of", "decision_at")
     scheduled = (step % REPORT_STEP == 0) & step.between(REPORT_STEP, HORIZON_DAYS)
-    seen = reports.groupBy("application_id", *extra).agg(F.max(F.col("days_past_due") >= DEFAULT_DPD).alias("bad"), F.count_if(scheduled).alias("reports"))
+    seen = reports.groupBy("application_id", "decision_at", *extra).agg(F.max(F.col("days_past_due") >= DEFAULT_DPD).alias("bad"), F.count_if(scheduled).alias("reports"))
     mature = F.datediff(cutoff, F.col("decision_at")) >= HORIZON_DAYS + REPORTING_LAG
     bad, full = F.coalesce("bad", F.lit(False)), F.coalesce("reports", F.lit(0)) >= HORIZON_DAYS // REPORT_STEP
     status = F.when(~mature, "not_mature").when(bad, "default").when(full, "observed_nondefault").otherwise("missing_performance")
-    out = apps.join(seen, ["application_id", *extra], "left").withColumn("status", status).drop("bad", "reports")
+    out = apps.join(seen, ["application_id", "decision_at", *extra], "left").withColumn("status", status).drop("bad", "reports")
     return out.withColumn("label", F.when(F.col("status") == "default", 1).when(F.col("status") == "observed_nondefault", 0))
 
 
-def snapshot(apps: DataFrame, events: DataFrame, performance: DataFrame, as_of: Column) -> DataFrame:
-    """Visible applications with their decision-time features, status and label; features not known are null."""
+def snapshot(apps: DataFrame, events: DataFrame, performance: DataFrame, as_of: Column, strict: bool = False, names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Visible applications with their decision-time features, status and label; features not known are null.
+
+    ``strict``: a feature that was not known ends the job that reads the snapshot, with the first decision that lacks it.
+    """
     visible = apps.filter(F.col("decision_at") <= as_of)
-    wide = feature_pivot(asof_latest(visible, events))
-    return mature_outcomes(visible, performance, as_of).join(wide, "application_id", "left")
+    wide = feature_pivot(asof_latest(visible, events), names=names)
+    out = mature_outcomes(visible, performance, as_of).join(wide, ["application_id", "decision_at"], "left")
+    if not strict:
+        return out
+    told = lambda n: F.concat(F.lit("feature not known at the decision: "), F.concat_ws("/", "application_id", F.col("decision_at").cast("string"), F.lit(n)))
+    return out.withColumns({n: F.when(F.col(n).isNull(), F.raise_error(told(n))).otherwise(F.col(n)) for n in names})
 
 
 def in_stages(apps: DataFrame, stages: DataFrame) -> DataFrame:
@@ -68,23 +92,26 @@ def stage_cohorts(apps: DataFrame, events: DataFrame, performance: DataFrame, st
     """Every stage's snapshot at its own cutoff, in one pass."""
     staged = in_stages(apps, stages)
     wide = feature_pivot(asof_latest(staged, events))
-    return mature_outcomes(staged, performance, F.col("cutoff"), ("cutoff",)).join(wide, "application_id", "left")
+    return mature_outcomes(staged, performance, F.col("cutoff"), ("cutoff",)).join(wide, ["application_id", "decision_at"], "left")
 
 
 def bitemporal(decisions: DataFrame, observations: DataFrame, features: DataFrame, max_age_days: int = 7) -> DataFrame:
     """Per decision and feature: ``selected``, ``stale``, ``deleted`` or ``no_history``, and the source record behind it.
 
-    An observation counts once it is published and ingested; the latest event
-    wins, then the highest revision, then the record id.
+    An observation counts once it is published and ingested, up to the end of the
+    decision's day; the latest event wins, then the highest revision, then the
+    record id.
     """
-    slots = decisions.select("application_id", F.col("decision_at").alias("decided")).crossJoin(F.broadcast(features.select(F.col("name").alias("feature"))))
-    cutoff = F.expr("cast(date_add(decided, 1) as timestamp) - interval 1 microsecond")
-    known = observations.withColumn("available_at", F.greatest("published_at", "ingested_at")).withColumnRenamed("entity_id", "application_id")
-    usable = decisions.select("application_id", F.col("decision_at").alias("decided")).join(known, "application_id").filter(F.col("available_at") <= cutoff)
-    best = usable.groupBy("application_id", "feature").agg(F.max(F.struct("event_at", "revision", "record_id", "value", "deleted", "source", "published_at", "ingested_at", "available_at")).alias("x"))
-    fresh = F.col("x.event_at") >= cutoff - F.expr(f"interval {max_age_days} days")
+    keys = ("application_id", "feature")
+    available = F.greatest("published_at", "ingested_at")
+    found = F.struct("event_at", "revision", "record_id", "value", "deleted", "source", "published_at", "ingested_at", available.alias("available_at"))
+    records = observations.filter("published_at is not null and ingested_at is not null").select(F.col("entity_id").alias("application_id"), "feature", available.alias("time"), found.alias("best"))
+    end_of_day = F.expr("cast(date_add(decision_at, 1) as timestamp) - interval 1 microsecond")
+    slots = decisions.select("application_id", "decision_at", end_of_day.alias("time")).crossJoin(F.broadcast(features.select(F.col("name").alias("feature"))))
+    best = _merged(slots, records, keys, "x")
+    fresh = F.col("x.event_at") >= F.col("time") - F.expr(f"interval {max_age_days} days")
     status = F.when(F.col("x").isNull(), "no_history").when(F.col("x.deleted"), "deleted").when(fresh, "selected").otherwise("stale")
-    return slots.join(best, ["application_id", "feature"], "left").select("application_id", F.col("decided").alias("decision_at"), "feature", status.alias("status"), "x.*")
+    return best.select("application_id", "decision_at", "feature", status.alias("status"), "x.*")
 
 
 def feature_lineage(slots: DataFrame) -> DataFrame:
@@ -93,24 +120,31 @@ def feature_lineage(slots: DataFrame) -> DataFrame:
 
 
 def future_observations(decisions: DataFrame, observations: DataFrame) -> DataFrame:
-    """How many observations of each decision's entity were not yet available at the end of its day."""
-    known = observations.select(F.col("entity_id").alias("application_id"), F.greatest("published_at", "ingested_at").alias("available_at"))
-    cutoff = F.expr("cast(date_add(decision_at, 1) as timestamp)")
-    return decisions.join(known, "application_id").groupBy("application_id").agg(F.count("*").alias("observations"), F.count_if(F.col("available_at") >= cutoff).alias("future"))
+    """How many observations of each decision's entity there are, and how many were not yet available at the end of its day.
+
+    Decisions whose entity has none are left out.
+    """
+    known = observations.select(F.col("entity_id").alias("application_id"), F.greatest("published_at", "ingested_at").alias("time"))
+    totals = known.groupBy("application_id").agg(F.count("*").alias("observations"))
+    records = known.filter("time is not null").select("application_id", "time", F.lit(1).cast("long").alias("best"))
+    end_of_day = F.expr("cast(date_add(decision_at, 1) as timestamp) - interval 1 microsecond")
+    seen = _merged(decisions.select("application_id", "decision_at", end_of_day.alias("time")), records, ("application_id",), "seen", summed=True)
+    return seen.join(totals, "application_id").select("application_id", "decision_at", "observations", (F.col("observations") - F.coalesce("seen", F.lit(0))).alias("future"))
 
 
 def first_late_arrival(apps: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
-    """Per application and feature without a decision-time value: the earliest late arrival of a pre-decision observation, else of a later one."""
+    """Per decision and feature without a decision-time value: the earliest late arrival of a pre-decision observation, else of a later one."""
     seen = apps.select("application_id", "decision_at").join(events, "application_id").filter(F.col("available_at") <= as_of)
     before = F.col("observed_at") <= F.col("decision_at")
     timely = before & (F.col("available_at") <= F.col("decision_at"))
-    out = seen.groupBy("application_id", "name").agg(F.max(timely).alias("timely"), F.min(F.when(before, F.col("available_at"))).alias("late"), F.min("available_at").alias("any"))
-    return out.filter("not timely").select("application_id", "name", F.coalesce("late", "any").alias("available_at"), F.col("late").isNotNull().alias("observed_before"))
+    out = seen.groupBy("application_id", "decision_at", "name").agg(F.max(timely).alias("timely"), F.min(F.when(before, F.col("available_at"))).alias("late"), F.min("available_at").alias("any"))
+    return out.filter("not timely").select("application_id", "decision_at", "name", F.coalesce("late", "any").alias("available_at"), F.col("late").isNotNull().alias("observed_before"))
 
 
 def compare_naive(apps: DataFrame, events: DataFrame) -> DataFrame:
-    """Slots whose latest value of all differs from the value known at the decision."""
+    """Slots of each decision whose latest value of all differs from the value known at the decision."""
     naive = events.groupBy("application_id", "name").agg(F.max_by("value", "available_at").alias("naive_value"))
-    known = asof_latest(apps, events).select("application_id", "name", F.col("value").alias("known_value"))
-    both = naive.join(known, ["application_id", "name"], "left")
+    known = asof_latest(apps, events).select("application_id", "decision_at", "name", F.col("value").alias("known_value"))
+    asked = apps.select("application_id", "decision_at").distinct().join(naive, "application_id")
+    both = asked.join(known, ["application_id", "decision_at", "name"], "left")
     return both.filter(~F.col("naive_value").eqNullSafe(F.col("known_value")))

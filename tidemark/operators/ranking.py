@@ -100,6 +100,37 @@ def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: t
     return out.select(*values.columns, *cumulated, *([f"all_{c}" for c in counts] if totals else []))
 
 
+def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], **folds: tuple[str, str]) -> DataFrame:
+    """``rows`` with a column for each of ``folds``, name to (kind, column), over their ``by`` in ``order``; null is a group like any other.
+
+    Kinds: ``sum`` and ``max`` of the column from the first row up to each, and
+    ``max_before``, up to the row before.  Rows are laid by range, each range is
+    folded by itself, and what its earlier ranges end with is carried over its
+    edge, so one group may fill many tasks.
+    """
+    taken = [*rows.columns, *folds]
+    at, part = unused(taken, "at", "part")
+    edge, own = ({n: unused(taken, f"{what}_{n}")[0] for n in folds} for what in ("before", "inside"))
+    fold = {n: F.sum if kind == "sum" else F.max for n, (kind, _) in folds.items()}
+    placed = laid_by_range(rows, [*(F.asc_nulls_first(c) for c in by), *(F.asc(c) for c in order)], at).withColumn(part, F.shiftright(at, 33))
+    ends = placed.groupBy(*by, part).agg(*(fold[n](c).alias(own[n]) for n, (_, c) in folds.items()))
+    upto = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # Only groups that lie in more than one range have something to carry.
+    first = ends.select(*by, part, F.row_number().over(Window.partitionBy(*by).orderBy(part)).alias(at), *(fold[n](own[n]).over(upto).alias(edge[n]) for n in folds))
+    edges = first.filter(F.col(at) > 1).drop(at)
+    last = {n: -1 if kind == "max_before" else Window.currentRow for n, (kind, _) in folds.items()}
+    inside = Window.partitionBy(*by, part).orderBy(at)
+    placed = placed.select("*", *(fold[n](c).over(inside.rowsBetween(Window.unboundedPreceding, last[n])).alias(own[n]) for n, (_, c) in folds.items()))
+    out = join_same(placed, edges, (*by, part), "left")
+
+    def both(n: str) -> Column:
+        if folds[n][0] == "sum":
+            return F.coalesce(F.col(own[n]) + F.col(edge[n]), own[n], edge[n])
+        return F.array_max(F.array(own[n], edge[n]))
+
+    return out.select(*rows.columns, *(both(n).alias(n) for n in folds))
+
+
 def quantiles(rows: DataFrame, value: str, fractions: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """``(by, q, least, greatest, n)``: interpolated percentiles of the values that are there, from counts of each value; no task holds them all."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
@@ -127,8 +158,24 @@ def earliest_per_group(rows: DataFrame, group: str, time: str, tie: str) -> Data
     return rows.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct(time, tie)).alias("x")).select(group, "x.*")
 
 
-def hash_sample(rows: DataFrame, by: str, key: Column, n: int, seed: str) -> DataFrame:
-    """The ``n`` rows of each ``by`` with the lowest SHA-256 of seed and key."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
-    order = Window.partitionBy(by).orderBy("sample_hash")
-    return rows.withColumn("sample_hash", digest).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).drop("__n")
+def hash_sample(rows: DataFrame, by: str, key: Column, n: int | dict[str, int], seed: str, digits: int = 4) -> DataFrame:
+    """The ``n`` rows of each ``by`` with the lowest SHA-256 of seed and key, or as many as ``n`` has for that ``by``; null is a group like any other.
+
+    Rows are counted by the leading ``digits`` of their hash; those above the one
+    where the sample ends are dropped before any order is made.  What is ranked in
+    one task is the sample and the rest of one count, a share of 16^-digits of
+    the group.  ``rows`` are read twice.
+    """
+    hashed = rows.withColumn("sample_hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key, F.lit(""))), 256))
+    lead, size = F.substring("sample_hash", 1, digits), F.lit(n)
+    if isinstance(n, dict):
+        listed = F.create_map(*(F.lit(x) for pair in n.items() for x in pair)) if n else F.lit(None).cast("map<string,int>")
+        size = F.coalesce(F.try_element_at(listed, F.coalesce(by, F.lit(""))), F.lit(0))
+    lead_col, upto, least = unused([*hashed.columns], "lead", "upto", "least")
+    counts = hashed.groupBy(by, lead.alias(lead_col)).agg(F.count("*").alias(upto))
+    before = Window.partitionBy(by).orderBy(lead_col).rowsBetween(Window.unboundedPreceding, -1)
+    # The last count that the sample needs is the greatest one with less than n rows before it.
+    cuts = counts.withColumn(upto, F.coalesce(F.sum(upto).over(before), F.lit(0))).filter(F.col(upto) < size).groupBy(by).agg(F.max(lead_col).alias(least))
+    some = join_same(hashed, cuts, (by,)).filter(lead <= F.col(least)).drop(least)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("sample_hash"))
+    return some.withColumn(upto, place).filter(F.col(upto) <= size).drop(upto)

@@ -23,6 +23,10 @@ TABLES: dict[str, str] = {
           CAST(round(o_totalprice * 100) AS BIGINT) AS principal_cents,
           CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'small_business' ELSE 'retail' END AS segment, o_orderkey AS k, o_custkey AS c
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    "decisions": """
+        SELECT application_id, decision_at, principal_cents, segment, k, c FROM {applications}
+        UNION ALL SELECT application_id, decision_at + 21, principal_cents, segment, k, c FROM {applications} WHERE k % 4 = 1
+        UNION ALL SELECT application_id, decision_at - 6, principal_cents, segment, k, c FROM {applications} WHERE k % 8 = 3""",
     "base_values": """
         SELECT a.*, f.i, f.name, CASE f.i WHEN 0 THEN CAST(principal_cents % 997 AS DOUBLE) / 996 WHEN 1 THEN CAST((c * 37 + k * 11) % 1000 AS DOUBLE) / 999
           ELSE CAST(k % 4 AS DOUBLE) END AS value, CASE WHEN k % 3 = 0 THEN 99 ELSE (k + 5 * f.i) % 29 END AS r
@@ -57,6 +61,10 @@ TABLES: dict[str, str] = {
           CAST(round(0.9E0 * s, 6) AS DECIMAL(12, 10)) AS raw_pd, CAST(round(0.9E0 * s, 2) AS DECIMAL(12, 10)) AS calibrated_pd,
           CASE WHEN s > 0.75E0 THEN 1 ELSE 0 END AS review_selected
         FROM {risk}""",
+    "monitored_rows": """
+        SELECT application_id, decision_at, vintage AS month, CASE WHEN CAST(substring(application_id, 2, 9) AS BIGINT) % 19 = 4 THEN NULL ELSE vintage END AS vintage, segment,
+          CASE WHEN CAST(substring(application_id, 2, 9) AS BIGINT) % 23 = 5 THEN NULL ELSE raw_pd END AS raw_pd, CASE WHEN CAST(substring(application_id, 2, 9) AS BIGINT) % 29 = 6 THEN NULL ELSE calibrated_pd END AS calibrated_pd
+        FROM {predictions}""",
     "scores": """
         SELECT 'rule' AS method, application_id, CAST(round(0.5E0 * utilization + 0.3E0 * debt_to_income + 0.2E0 * least(prior_delinquencies, 5) / 5, 6) AS DECIMAL(12, 10)) AS score FROM {risk}
         UNION ALL SELECT 'alt', application_id, CAST(round(0.2E0 * utilization + 0.6E0 * debt_to_income, 3) AS DECIMAL(12, 10)) FROM {risk}

@@ -174,7 +174,7 @@ def monitored(t: Tables):
     train = of_stage(known, "train")
     model = models.fit_logistic(models.matrix(train, train))
     current = asof.in_stages(t.applications.select(*K.APPS), t.stages).filter((F.col("stage") == "test") & (F.col("decision_at") <= K.day()))
-    wide = current.join(asof.feature_pivot(asof.asof_latest(current, t.feature_events)), "application_id").dropna(subset=["utilization", "debt_to_income", "prior_delinquencies"])
+    wide = current.join(asof.feature_pivot(asof.asof_latest(current, t.feature_events)), ["application_id", "decision_at"]).dropna(subset=["utilization", "debt_to_income", "prior_delinquencies"])
     reference = models.raw_scores(model, models.matrix(train, of_stage(known, "calibration")))
     return reference, models.raw_scores(model, models.matrix(train, wide)).withColumn("vintage", F.date_format("decision_at", "yyyy-MM"))
 

@@ -15,73 +15,78 @@ AS_OF = "1998-10-01"
 def day() -> Column:
     return F.lit(AS_OF).cast("date")
 
-ASOF = """asof_values AS (
+def asof_values(source: str) -> str:
+    """What each decision of ``source`` knew."""
+    return f"""asof_values AS (
   SELECT application_id, decision_at, name, arg_max(value, available_at) AS value, arg_max(observed_at, available_at) AS observed_at, max(available_at) AS available_at
-  FROM applications JOIN feature_events USING (application_id) WHERE available_at <= decision_at AND observed_at <= decision_at GROUP BY application_id, decision_at, name)"""
+  FROM {source} JOIN feature_events USING (application_id) WHERE available_at <= decision_at AND observed_at <= decision_at GROUP BY application_id, decision_at, name)"""
+
+
+ASOF, ASOF_DECISIONS = asof_values("applications"), asof_values("decisions")
 WIDE = """wide AS (
-  SELECT application_id, max(CASE WHEN name = 'utilization' THEN value END) AS utilization, max(CASE WHEN name = 'debt_to_income' THEN value END) AS debt_to_income,
-    max(CASE WHEN name = 'prior_delinquencies' THEN value END) AS prior_delinquencies FROM asof_values GROUP BY application_id)"""
+  SELECT application_id, decision_at, max(CASE WHEN name = 'utilization' THEN value END) AS utilization, max(CASE WHEN name = 'debt_to_income' THEN value END) AS debt_to_income,
+    max(CASE WHEN name = 'prior_delinquencies' THEN value END) AS prior_delinquencies FROM asof_values GROUP BY application_id, decision_at)"""
 STAGED = """staged AS (SELECT application_id, decision_at, principal_cents, segment, stage, cutoff FROM applications JOIN stages ON decision_at BETWEEN start_at AND end_at)"""
 
 
 def outcome(source: str, cutoff: str, name: str = "outcome") -> str:
     """Reports visible at ``cutoff`` of the rows of ``source``, and their status and label."""
     return f"""reports AS (
-  SELECT application_id, {cutoff} AS cut, as_of, as_of - decision_at AS step, arg_max(days_past_due, p.available_at) AS dpd FROM {source} JOIN performance p USING (application_id)
-  WHERE p.available_at <= {cutoff} AND as_of > decision_at AND as_of - decision_at <= 180 GROUP BY application_id, cut, as_of, step
-), seen AS (SELECT application_id, cut, bool_or(dpd >= 90) AS bad, count(*) FILTER (WHERE step % 30 = 0) AS n FROM reports GROUP BY application_id, cut
+  SELECT application_id, decision_at, {cutoff} AS cut, as_of, as_of - decision_at AS step, arg_max(days_past_due, p.available_at) AS dpd FROM {source} JOIN performance p USING (application_id)
+  WHERE p.available_at <= {cutoff} AND as_of > decision_at AND as_of - decision_at <= 180 GROUP BY application_id, decision_at, cut, as_of, step
+), seen AS (SELECT application_id, decision_at, cut, bool_or(dpd >= 90) AS bad, count(*) FILTER (WHERE step % 30 = 0) AS n FROM reports GROUP BY application_id, decision_at, cut
 ), {name} AS (
   SELECT *, CAST(CASE status WHEN 'default' THEN 1 WHEN 'observed_nondefault' THEN 0 END AS INTEGER) AS label FROM (
-    SELECT s.*, CASE WHEN {cutoff} - decision_at < 182 THEN 'not_mature' WHEN bad THEN 'default' WHEN n >= 6 THEN 'observed_nondefault' ELSE 'missing_performance' END AS status
-    FROM {source} s LEFT JOIN seen ON s.application_id = seen.application_id AND seen.cut = {cutoff}) x)"""
+    SELECT s.*, CASE WHEN {cutoff} - s.decision_at < 182 THEN 'not_mature' WHEN bad THEN 'default' WHEN n >= 6 THEN 'observed_nondefault' ELSE 'missing_performance' END AS status
+    FROM {source} s LEFT JOIN seen ON s.application_id = seen.application_id AND s.decision_at = seen.decision_at AND seen.cut = {cutoff}) x)"""
 
 
 CUT = f"CAST('{AS_OF}' AS DATE)"
-VISIBLE = f"visible AS (SELECT application_id, decision_at, principal_cents, segment FROM applications WHERE decision_at <= {CUT})"
+VISIBLE = f"visible AS (SELECT application_id, decision_at, principal_cents, segment FROM decisions WHERE decision_at <= {CUT})"
 APPS = ("application_id", "decision_at", "principal_cents", "segment")
 
 
-@query("applications feature_events", ASOF + " SELECT * FROM asof_values")
+@query("decisions feature_events", ASOF_DECISIONS + " SELECT * FROM asof_values")
 def j01_asof_latest(t: Tables):
-    return asof.asof_latest(t.applications, t.feature_events)
+    return asof.asof_latest(t.decisions, t.feature_events)
 
 
-@query("applications feature_events", f"{ASOF}, {WIDE} SELECT * FROM wide")
+@query("decisions feature_events", f"{ASOF_DECISIONS}, {WIDE} SELECT * FROM wide")
 def j02_feature_pivot(t: Tables):
-    return asof.feature_pivot(asof.asof_latest(t.applications, t.feature_events))
+    return asof.feature_pivot(asof.asof_latest(t.decisions, t.feature_events))
 
 
 @query(
-    "applications feature_events performance",
-    f"{ASOF}, {WIDE}, {VISIBLE}, {outcome('visible', CUT)} SELECT outcome.*, utilization, debt_to_income, prior_delinquencies FROM outcome LEFT JOIN wide USING (application_id)",
+    "decisions feature_events performance",
+    f"{ASOF_DECISIONS}, {WIDE}, {VISIBLE}, {outcome('visible', CUT)} SELECT outcome.*, utilization, debt_to_income, prior_delinquencies FROM outcome LEFT JOIN wide USING (application_id, decision_at)",
 )
 def j03_snapshot(t: Tables):
-    return asof.snapshot(t.applications.select(*APPS), t.feature_events, t.performance, day())
+    return asof.snapshot(t.decisions.select(*APPS), t.feature_events, t.performance, day())
 
 
 BITEMPORAL = """usable AS (
-  SELECT a.application_id, a.decision_at, o.*, greatest(published_at, ingested_at) AS seen_at FROM applications a JOIN observations o ON o.entity_id = a.application_id
+  SELECT a.application_id, a.decision_at, o.*, greatest(published_at, ingested_at) AS seen_at FROM decisions a JOIN observations o ON o.entity_id = a.application_id
   WHERE greatest(published_at, ingested_at) < CAST(a.decision_at + 1 AS TIMESTAMP)
-), best AS (SELECT *, row_number() OVER (PARTITION BY application_id, feature ORDER BY event_at DESC, revision DESC, record_id DESC) AS n FROM usable
+), best AS (SELECT *, row_number() OVER (PARTITION BY application_id, decision_at, feature ORDER BY event_at DESC, revision DESC, record_id DESC) AS n FROM usable
 ), slots AS (
   SELECT a.application_id, a.decision_at, f.name AS feature, CASE WHEN b.record_id IS NULL THEN 'no_history' WHEN b.deleted THEN 'deleted'
       WHEN b.event_at >= CAST(a.decision_at + 1 AS TIMESTAMP) - INTERVAL 1 MICROSECOND - INTERVAL 7 DAY THEN 'selected' ELSE 'stale' END AS status,
     b.event_at, b.revision, b.record_id, b.value, b.deleted, b.source, b.published_at, b.ingested_at, b.seen_at AS available_at
-  FROM applications a CROSS JOIN features f LEFT JOIN best b ON b.application_id = a.application_id AND b.feature = f.name AND b.n = 1)"""
+  FROM decisions a CROSS JOIN features f LEFT JOIN best b ON b.application_id = a.application_id AND b.decision_at = a.decision_at AND b.feature = f.name AND b.n = 1)"""
 
 
-@query("applications observations features", BITEMPORAL + " SELECT * FROM slots")
+@query("decisions observations features", BITEMPORAL + " SELECT * FROM slots")
 def j04_asof_bitemporal(t: Tables):
-    return asof.bitemporal(t.applications, t.observations, t.features)
+    return asof.bitemporal(t.decisions, t.observations, t.features)
 
 
 @query(
-    "applications observations",
-    """SELECT application_id, count(*) AS observations, count(*) FILTER (WHERE greatest(published_at, ingested_at) >= CAST(decision_at + 1 AS TIMESTAMP)) AS future
-    FROM applications JOIN observations ON entity_id = application_id GROUP BY application_id""",
+    "decisions observations",
+    """SELECT application_id, decision_at, count(*) AS observations, count(*) FILTER (WHERE greatest(published_at, ingested_at) >= CAST(decision_at + 1 AS TIMESTAMP)) AS future
+    FROM decisions JOIN observations ON entity_id = application_id GROUP BY application_id, decision_at""",
 )
 def j05_future_observations(t: Tables):
-    return asof.future_observations(t.applications, t.observations)
+    return asof.future_observations(t.decisions, t.observations)
 
 
 @query(
@@ -93,12 +98,12 @@ def j06_latest_reports(t: Tables):
     return asof.latest_reports(t.applications.select("application_id", "decision_at"), t.performance, day())
 
 
-@query("applications performance", f"{VISIBLE}, {outcome('visible', CUT)} SELECT * FROM outcome")
+@query("decisions performance", f"{VISIBLE}, {outcome('visible', CUT)} SELECT * FROM outcome")
 def j07_mature_outcomes(t: Tables):
-    return asof.mature_outcomes(t.applications.filter(F.col("decision_at") <= day()).select(*APPS), t.performance, day())
+    return asof.mature_outcomes(t.decisions.filter(F.col("decision_at") <= day()).select(*APPS), t.performance, day())
 
 
-COHORTS = f"{ASOF}, {WIDE}, {STAGED}, {outcome('staged', 'cutoff')}, cohorts AS (SELECT outcome.*, utilization, debt_to_income, prior_delinquencies FROM outcome LEFT JOIN wide USING (application_id))"
+COHORTS = f"{ASOF}, {WIDE}, {STAGED}, {outcome('staged', 'cutoff')}, cohorts AS (SELECT outcome.*, utilization, debt_to_income, prior_delinquencies FROM outcome LEFT JOIN wide USING (application_id, decision_at))"
 COHORT_TABLES = "applications feature_events performance stages"
 
 
@@ -118,30 +123,30 @@ def j09_stage_scoped_outcomes(t: Tables):
 
 
 @query(
-    "applications feature_events",
-    f"""SELECT application_id, name, coalesce(min(available_at) FILTER (WHERE observed_at <= decision_at), min(available_at)) AS available_at, count(*) FILTER (WHERE observed_at <= decision_at) > 0 AS observed_before
-    FROM applications JOIN feature_events USING (application_id) WHERE available_at <= {CUT} GROUP BY application_id, name
+    "decisions feature_events",
+    f"""SELECT application_id, decision_at, name, coalesce(min(available_at) FILTER (WHERE observed_at <= decision_at), min(available_at)) AS available_at, count(*) FILTER (WHERE observed_at <= decision_at) > 0 AS observed_before
+    FROM decisions JOIN feature_events USING (application_id) WHERE available_at <= {CUT} GROUP BY application_id, decision_at, name
     HAVING count(*) FILTER (WHERE observed_at <= decision_at AND available_at <= decision_at) = 0""",
 )
 def j10_first_late_arrival(t: Tables):
-    return asof.first_late_arrival(t.applications, t.feature_events, day())
+    return asof.first_late_arrival(t.decisions, t.feature_events, day())
 
 
 @query(
-    "applications observations features",
+    "decisions observations features",
     BITEMPORAL + " SELECT application_id, decision_at, feature, value, source, record_id, revision, event_at, published_at, ingested_at, available_at FROM slots WHERE status = 'selected'",
 )
 def j11_feature_lineage(t: Tables):
-    return asof.feature_lineage(asof.bitemporal(t.applications, t.observations, t.features))
+    return asof.feature_lineage(asof.bitemporal(t.decisions, t.observations, t.features))
 
 
 @query(
-    "applications feature_events",
-    f"""{ASOF}, naive AS (SELECT application_id, name, arg_max(value, available_at) AS naive_value FROM feature_events GROUP BY application_id, name)
-    SELECT application_id, name, naive_value, value AS known_value FROM naive LEFT JOIN asof_values USING (application_id, name) WHERE naive_value IS DISTINCT FROM value""",
+    "decisions feature_events",
+    f"""{ASOF_DECISIONS}, naive AS (SELECT application_id, name, arg_max(value, available_at) AS naive_value FROM feature_events GROUP BY application_id, name)
+    SELECT application_id, decision_at, name, naive_value, value AS known_value FROM decisions JOIN naive USING (application_id) LEFT JOIN asof_values USING (application_id, decision_at, name) WHERE naive_value IS DISTINCT FROM value""",
 )
 def j13_compare_naive(t: Tables):
-    return asof.compare_naive(t.applications, t.feature_events)
+    return asof.compare_naive(t.decisions, t.feature_events)
 
 
 POPULATIONS = f"""names AS (SELECT stage AS population, start_at, end_at FROM stages UNION ALL SELECT 'future', DATE '2030-01-01', DATE '2030-12-31' UNION ALL SELECT 'current', DATE '1998-01-01', DATE '2000-12-31'
@@ -244,9 +249,9 @@ def q04_coverage_report(t: Tables):
 CHECKS = f"""{ROLLUP}, checks AS (
   SELECT ordinal, id, r.population, r.vintage, r.feature, coalesce(applications, 0) AS applications, coalesce(available, 0) AS available, coverage_rate,
     CASE WHEN coalesce(applications, 0) < min_applications THEN 'insufficient'
-      WHEN CAST(available AS HUGEINT) * 1000000000000000000 < CAST(applications AS HUGEINT) * CAST(CAST(min_coverage AS DECIMAL(19, 18)) * 1000000000000000000 AS HUGEINT) THEN 'fail' ELSE 'pass' END AS result
+      WHEN CAST(available AS HUGEINT) * 1000000000000000000 < CAST(applications AS HUGEINT) * CAST(CASE WHEN contains(min_coverage, '.') THEN split_part(min_coverage, '.', 1) || rpad(split_part(min_coverage, '.', 2), 18, '0')
+        ELSE min_coverage || '000000000000000000' END AS HUGEINT) THEN 'fail' ELSE 'pass' END AS result
   FROM policy_rules r LEFT JOIN coverage c ON c.population = r.population AND c.vintage = r.vintage AND c.feature = r.feature)"""
-CHECKS = CHECKS.replace("CAST(CAST(min_coverage AS DECIMAL(19, 18)) * 1000000000000000000 AS HUGEINT)", "CAST(CASE WHEN contains(min_coverage, '.') THEN split_part(min_coverage, '.', 1) || rpad(split_part(min_coverage, '.', 2), 18, '0') ELSE min_coverage || '000000000000000000' END AS HUGEINT)")
 
 
 @query(SLOT_TABLES + " policy_rules", f"{CHECKS} SELECT * FROM checks")

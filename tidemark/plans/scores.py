@@ -44,9 +44,18 @@ def w09_earliest_per_group(t: Tables):
     return ranking.earliest_per_group(grouped, "g", "decision_at", "application_id").select("application_id", "segment", "decision_at")
 
 
-@query("predictions", "SELECT application_id, segment FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY sha256('s1:' || application_id)) AS n FROM predictions) WHERE n <= 100")
+#: Rows of each stage that the sample takes.
+SAMPLE = {"train": 20_000, "calibration": 5_000, "test": 10_000}
+
+
+@query(
+    "applications stages",
+    """staged AS (SELECT application_id, stage FROM applications LEFT JOIN stages ON decision_at BETWEEN start_at AND end_at)
+    SELECT application_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY sha256('s1:' || application_id)) AS n FROM staged) WHERE n <= CASE stage WHEN 'train' THEN 20000 WHEN 'calibration' THEN 5000 WHEN 'test' THEN 10000 ELSE 0 END""",
+)
 def w10_hash_sample(t: Tables):
-    return ranking.hash_sample(t.predictions, "segment", F.col("application_id"), 100, "s1").select("application_id", "segment")
+    staged = t.applications.join(F.broadcast(t.stages), F.col("decision_at").between(F.col("start_at"), F.col("end_at")), "left").select("application_id", "stage")
+    return ranking.hash_sample(staged, "stage", F.col("application_id"), SAMPLE, "s1").select("application_id", "stage")
 
 
 @query("scores", f"{RANKED} SELECT method, score, min(rank) AS first_rank, max(rank) AS last_rank FROM ranked GROUP BY method, score")
@@ -304,36 +313,37 @@ def m10_quantile_interval(t: Tables):
     return metrics.quantile_interval(metrics.block_bootstrap(labelled(t), draws(t), "score", "label", ("method",)), "auc", ("method",))
 
 
-SIDES = "old AS (SELECT * FROM predictions WHERE vintage < '1996-01'), new AS (SELECT * FROM predictions WHERE vintage >= '1997-06')"
+#: Rows of two spans; some have no month, some no score.
+SIDES = "old AS (SELECT * FROM monitored_rows WHERE month < '1996-01'), new AS (SELECT * FROM monitored_rows WHERE month >= '1997-06')"
 EDGES = f"""{SIDES}, edges AS (
   SELECT list_sort(list_distinct(list_filter(list_transform(q, lambda x: round(x, 10)), lambda x: x > lo AND x < hi))) AS e
   FROM (SELECT quantile_cont(CAST(calibrated_pd AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q, CAST(min(calibrated_pd) AS DOUBLE) AS lo, CAST(max(calibrated_pd) AS DOUBLE) AS hi FROM old))"""
 PSI = f"""{EDGES}, bins AS (SELECT unnest(range(0, len(e) + 1)) AS b, len(e) + 1 AS k FROM edges
-), o AS (SELECT len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM old, edges GROUP BY 1
-), n AS (SELECT {{0}} len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM new, edges GROUP BY ALL)"""
+), o AS (SELECT len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM old, edges WHERE calibrated_pd IS NOT NULL GROUP BY 1
+), n AS (SELECT {{0}} len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS b, count(*) AS c FROM new, edges WHERE calibrated_pd IS NOT NULL GROUP BY ALL)"""
 
 
 def sides(t: Tables):
-    return t.predictions.filter("vintage < '1996-01'"), t.predictions.filter("vintage >= '1997-06'")
+    return t.monitored_rows.filter("month < '1996-01'"), t.monitored_rows.filter("month >= '1997-06'")
 
 
-@query("predictions", f"{EDGES} SELECT unnest(e) AS edge FROM edges")
+@query("monitored_rows", f"{EDGES} SELECT unnest(e) AS edge FROM edges")
 def d01_reference_edges(t: Tables):
     return drift.reference_edges(sides(t)[0], "calibrated_pd").select(F.explode("edges").alias("edge"))
 
 
-@query("predictions", f"{EDGES} SELECT application_id, CAST(len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS INTEGER) AS bin FROM new, edges")
+@query("monitored_rows", f"{EDGES} SELECT application_id, CAST(len(list_filter(e, lambda x: x <= CAST(calibrated_pd AS DOUBLE))) AS INTEGER) AS bin FROM new, edges WHERE calibrated_pd IS NOT NULL")
 def d02_assign_bins(t: Tables):
     old, new = sides(t)
-    return drift.assign_bins(new, drift.reference_edges(old, "calibrated_pd"), "calibrated_pd").select("application_id", "bin")
+    return drift.assign_bins(new.filter("calibrated_pd is not null"), drift.reference_edges(old, "calibrated_pd"), "calibrated_pd").select("application_id", "bin")
 
 
 SHARES = "(coalesce(o.c, 0) + 0.5) / (ot + k * 0.5) AS os, (coalesce(n.c, 0) + 0.5) / (nt + k * 0.5) AS ns"
 
 
 @query(
-    "predictions",
-    f"""{PSI.format('')}, s AS (SELECT bins.b, coalesce(o.c, 0) AS oc, coalesce(n.c, 0) AS nc, {SHARES} FROM bins LEFT JOIN o USING (b) LEFT JOIN n USING (b), (SELECT count(*) AS ot FROM old), (SELECT count(*) AS nt FROM new))
+    "monitored_rows",
+    f"""{PSI.format('')}, s AS (SELECT bins.b, coalesce(o.c, 0) AS oc, coalesce(n.c, 0) AS nc, {SHARES} FROM bins LEFT JOIN o USING (b) LEFT JOIN n USING (b), (SELECT count(calibrated_pd) AS ot FROM old), (SELECT count(calibrated_pd) AS nt FROM new))
     SELECT CAST(b + 1 AS INTEGER) AS bin, oc AS reference_loans, nc AS current_loans, round(os, 8) AS reference_share, round(ns, 8) AS current_share, round((ns - os) * ln(ns / os), 8) AS psi_component FROM s""",
 )
 def d03_psi(t: Tables):
@@ -342,9 +352,9 @@ def d03_psi(t: Tables):
 
 
 @query(
-    "predictions",
+    "monitored_rows",
     f"""{PSI.format('vintage,')}, s AS (
-      SELECT g.vintage, nt, {SHARES} FROM bins CROSS JOIN (SELECT vintage, count(*) AS nt FROM new GROUP BY vintage) g LEFT JOIN o USING (b) LEFT JOIN n ON n.b = bins.b AND n.vintage = g.vintage, (SELECT count(*) AS ot FROM old))
+      SELECT g.vintage, nt, {SHARES} FROM bins CROSS JOIN (SELECT vintage, count(calibrated_pd) AS nt FROM new GROUP BY vintage) g LEFT JOIN o USING (b) LEFT JOIN n ON n.b = bins.b AND n.vintage IS NOT DISTINCT FROM g.vintage, (SELECT count(calibrated_pd) AS ot FROM old))
     SELECT vintage, max(nt) AS rows, CASE WHEN max(nt) >= 20 THEN round(sum((ns - os) * ln(ns / os)), 6) END AS psi FROM s GROUP BY vintage""",
 )
 def d04_psi_by_vintage(t: Tables):
@@ -352,12 +362,12 @@ def d04_psi_by_vintage(t: Tables):
 
 
 ECDF = f"""{SIDES}, ms AS (SELECT {{0}}), pts AS (
-  SELECT ms.g, v, sum(r) AS r, sum(c) AS c FROM ms, LATERAL (SELECT raw_pd AS v, 1 AS r, 0 AS c FROM old UNION ALL SELECT raw_pd, 0, 1 FROM new WHERE {{1}}) GROUP BY ms.g, v
+  SELECT ms.g, v, sum(r) AS r, sum(c) AS c FROM ms, LATERAL (SELECT raw_pd AS v, 1 AS r, 0 AS c FROM old UNION ALL SELECT raw_pd, 0, 1 FROM new WHERE {{1}}) WHERE v IS NOT NULL GROUP BY ms.g, v
 ), cum AS (SELECT g, v, CAST(sum(r) OVER w AS BIGINT) AS cr, CAST(sum(c) OVER w AS BIGINT) AS cc, CAST(sum(r) OVER (PARTITION BY g) AS BIGINT) AS n, CAST(sum(c) OVER (PARTITION BY g) AS BIGINT) AS m FROM pts WINDOW w AS (PARTITION BY g ORDER BY v)
 ), best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY abs(CAST(cr AS HUGEINT) * m - CAST(cc AS HUGEINT) * n) DESC, v) AS place FROM cum)"""
 
 
-@query("predictions", f"{ECDF.format(chr(39) + 'all' + chr(39) + ' AS g', 'true')} SELECT v AS value, cr AS cum_ref, cc AS cum_cur FROM cum")
+@query("monitored_rows", f"{ECDF.format(chr(39) + 'all' + chr(39) + ' AS g', 'true')} SELECT v AS value, cr AS cum_ref, cc AS cum_cur FROM cum")
 def w08_ecdf_counts(t: Tables):
     return drift.ecdf_counts(*sides(t), "raw_pd").select("value", "cum_ref", "cum_cur")
 
@@ -365,15 +375,16 @@ def w08_ecdf_counts(t: Tables):
 KS = """round(CAST(abs(CAST(cr AS HUGEINT) * m - CAST(cc AS HUGEINT) * n) AS DOUBLE) / (CAST(n AS DOUBLE) * m), 6)"""
 
 
-@query("predictions", f"{ECDF.format(chr(39) + 'all' + chr(39) + ' AS g', 'true')} SELECT {KS} AS distance, v AS at_value, round(cr / n, 8) AS reference_cdf, round(cc / m, 8) AS current_cdf, 'ok' AS status FROM best WHERE place = 1")
+@query("monitored_rows", f"{ECDF.format(chr(39) + 'all' + chr(39) + ' AS g', 'true')} SELECT {KS} AS distance, v AS at_value, round(cr / n, 8) AS reference_cdf, round(cc / m, 8) AS current_cdf, 'ok' AS status, (SELECT count(*) FROM old WHERE raw_pd IS NULL) AS reference_missing, (SELECT count(*) FROM new WHERE raw_pd IS NULL) AS current_missing FROM best WHERE place = 1")
 def d05_ks_distance(t: Tables):
     return drift.ks_distance(*sides(t), "raw_pd")
 
 
 @query(
-    "predictions",
-    f"""{ECDF.format('DISTINCT vintage AS g FROM new', 'vintage = ms.g')} SELECT g AS vintage, CASE WHEN m >= 20 THEN {KS} END AS distance, v AS at_value, round(cr / n, 8) AS reference_cdf, round(cc / m, 8) AS current_cdf,
-    CASE WHEN m >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS status FROM best WHERE place = 1""",
+    "monitored_rows",
+    f"""{ECDF.format('DISTINCT vintage AS g FROM new', 'vintage IS NOT DISTINCT FROM ms.g')} SELECT g AS vintage, CASE WHEN m >= 20 THEN {KS} END AS distance, v AS at_value, round(cr / n, 8) AS reference_cdf, round(cc / m, 8) AS current_cdf,
+    CASE WHEN m >= 20 THEN 'ok' ELSE 'insufficient_sample' END AS status,
+    (SELECT count(*) FROM old WHERE raw_pd IS NULL) AS reference_missing, (SELECT count(*) FROM new WHERE raw_pd IS NULL AND vintage IS NOT DISTINCT FROM best.g) AS current_missing FROM best WHERE place = 1""",
 )
 def d07_drift_by_vintage(t: Tables):
     return drift.ks_distance(*sides(t), "raw_pd", ("vintage",))
@@ -385,18 +396,24 @@ SHARE_SQL = f"""{SIDES}, kinds AS (SELECT unnest(['retail', 'small_business', 'c
 KINDS = ("retail", "small_business", "corporate")
 
 
-@query("predictions", f"{SHARE_SQL} SELECT value, reference_count, current_count, round(reference_count / n, 8) AS reference_share, round(current_count / m, 8) AS current_share FROM shares, sizes")
+@query("monitored_rows", f"{SHARE_SQL} SELECT value, reference_count, current_count, round(reference_count / n, 8) AS reference_share, round(current_count / m, 8) AS current_share FROM shares, sizes")
 def a15_category_shares(t: Tables):
     return drift.category_shares(*sides(t), "segment", KINDS).drop("n", "m")
 
 
-@query("predictions", f"{SHARE_SQL} SELECT round(CAST(sum(abs(reference_count * m - current_count * n)) AS DOUBLE) / (2 * max(CAST(n AS DOUBLE) * m)), 6) AS distance FROM shares, sizes")
+@query(
+    "monitored_rows",
+    f"""{SIDES}, months AS (SELECT vintage, count(*) AS m FROM new GROUP BY vintage), cells AS (
+      SELECT vintage, m, (SELECT count(*) FROM old) AS n, (SELECT count(*) FROM old WHERE segment = value) AS r, (SELECT count(*) FROM new WHERE segment = value AND new.vintage IS NOT DISTINCT FROM months.vintage) AS c
+      FROM months, (SELECT unnest(['retail', 'small_business', 'corporate']) AS value))
+    SELECT vintage, round(CAST(sum(abs(r * m - c * n)) AS DOUBLE) / (2 * max(CAST(n AS DOUBLE) * m)), 6) AS distance FROM cells GROUP BY vintage""",
+)
 def d06_total_variation(t: Tables):
-    return drift.total_variation(*sides(t), "segment", KINDS)
+    return drift.total_variation(*sides(t), "segment", KINDS, ("vintage",))
 
 
 @query(
-    "predictions",
+    "monitored_rows",
     f"""{ECDF.format(chr(39) + 'all' + chr(39) + ' AS g', 'true')}, {SHARE_SQL.split('), kinds', 1)[1].join(['kinds', ''])}
     SELECT 'raw_pd' AS feature, 'empirical_ks_distance' AS method, {KS} AS distance FROM best WHERE place = 1
     UNION ALL SELECT 'segment', 'total_variation_distance', round(CAST(sum(abs(reference_count * m - current_count * n)) AS DOUBLE) / (2 * max(CAST(n AS DOUBLE) * m)), 6) FROM shares, sizes""",

@@ -185,8 +185,8 @@ def e14_lineage_job(t: Tables):
     median stands in, beside its flag.
     """
     slots = stored(asof.bitemporal(t.applications, t.observations, t.features), "slots")
-    wide = asof.feature_pivot(slots.filter("status = 'selected'").select("application_id", F.col("feature").alias("name"), F.col("value").cast("double").alias("value")))
-    known = asof.mature_outcomes(asof.in_stages(t.applications.select(*K.APPS), t.stages), t.performance, F.col("cutoff"), ("cutoff",)).filter("label is not null").join(wide, "application_id", "left")
+    wide = asof.feature_pivot(slots.filter("status = 'selected'").select("application_id", "decision_at", F.col("feature").alias("name"), F.col("value").cast("double").alias("value")))
+    known = asof.mature_outcomes(asof.in_stages(t.applications.select(*K.APPS), t.stages), t.performance, F.col("cutoff"), ("cutoff",)).filter("label is not null").join(wide, ["application_id", "decision_at"], "left")
     known = stored(features.design_matrix(known), "known")
     for name in asof.FEATURES:
         known = features.impute_median(of_stage(known, "train"), known, name)
