@@ -86,7 +86,7 @@ def test_stages(spark):
     assert [by_id[i] for i in ids] == [t for _, _, _, t in plain_lines([texts[i] for i in ids], 2, 50)]
 
     kept = plain_near([(i, texts[i]) for i in ids])
-    assert sorted(r["doc_id"] for r in stages["SimHash near-dedup"](spark, docs, sf).collect()) == sorted(i for _, i in kept)
+    assert sorted(r["doc_id"] for r in stages["near-dedup by shingle sets"](spark, docs, sf).collect()) == sorted(i for _, i in kept)
 
     windows = set()
     for b in table(spark, sf, "benchmark"):

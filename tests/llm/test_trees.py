@@ -83,9 +83,10 @@ def test_escapes_are_reversible():
 
 def test_a_new_shard_takes_only_what_it_needs(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
-    sizes = sharding.slot_sizes(sharding.records(docs, n_slots=256))
-    first = sharding.new_map(sizes, 8)
-    second = sharding.rebalance(first, sizes, 9)
+    recs = sharding.records(docs, n_slots=256)
+    sizes = sharding.slot_sizes(recs)
+    first = sharding.new_map(recs, 8, n_slots=256)
+    second = sharding.rebalance(first, recs, 9, n_slots=256)
     load = lambda m: {r["shard"]: r["b"] for r in m.join(sizes, "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
     old, new = load(first), load(second)
     largest = sizes.agg(F.max("bytes")).first()[0]
@@ -101,16 +102,15 @@ def test_a_new_shard_takes_only_what_it_needs(spark):
 def test_maps_are_stored_by_version(spark, tmp_path):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
     recs = sharding.records(docs, n_slots=32)
-    sizes = sharding.slot_sizes(recs)
-    first = sharding.new_map(sizes, 3)
+    first = sharding.new_map(recs, 3, n_slots=32)
     sharding.save_map(first, f"{tmp_path}/maps")
     with pytest.raises(Exception, match="(?i)exists"):
         sharding.save_map(first, f"{tmp_path}/maps")
-    sharding.save_map(sharding.rebalance(first, sizes, 4), f"{tmp_path}/maps")
+    sharding.save_map(sharding.rebalance(first, recs, 4, n_slots=32), f"{tmp_path}/maps")
     rows = lambda m: sorted((r["virtual_slot"], r["shard"]) for r in m.collect())
     assert rows(sharding.load_map(spark, f"{tmp_path}/maps", 1)) == rows(first)
     assert {r["version"] for r in sharding.load_map(spark, f"{tmp_path}/maps").collect()} == {2}
-    assert sharding.place(recs, sharding.load_map(spark, f"{tmp_path}/maps")).count() == 100
+    assert sharding.place(recs, sharding.load_map(spark, f"{tmp_path}/maps"), n_slots=32).count() == 100
     with pytest.raises(ValueError, match="one row for each slot"):
         sharding.save_map(first.unionByName(first).withColumn("version", F.lit(3)), f"{tmp_path}/maps")
 
@@ -133,12 +133,15 @@ def test_shards_against_plain_placing(spark):
 
 def test_equal_records_do_not_fill_one_shard(spark):
     docs = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 != 0, F.repeat(F.lit("x"), 40)).otherwise("the same text of about forty characters").alias("text"), F.lit(1).alias("row"), F.lit(2).alias("parts"))
-    recs = sharding.split_hot(sharding.records(docs), 24)
-    placed = sharding.place(recs, sharding.new_map(sharding.slot_sizes(recs), 24)).collect()
+    recs = sharding.records(docs)
+    slot_map = sharding.new_map(recs, 24)
+    placed = sharding.place(recs, slot_map).collect()
     load = Counter()
     for r in placed:
         load[r["shard"]] += r["size"]
     assert len(placed) == 3000
+    again = sharding.place(sharding.records(docs.repartition(13)), slot_map).collect()
+    assert Counter((r["id"], r["virtual_slot"]) for r in again) == Counter((r["id"], r["virtual_slot"]) for r in placed)
     assert max(load.values()) < 1.1 * min(load.values())
 
 
@@ -226,3 +229,19 @@ def test_patches_are_fixed_shape_tensors(spark):
 
 def test_model_file_of_the_query_is_public():
     assert Q.model_path().endswith("piece_bpe_32k.model")
+
+
+def test_a_map_places_records_that_came_later(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50, F.lit("a b c")).otherwise(F.lit("later")).alias("text"))
+    slot_map = sharding.new_map(sharding.records(docs.filter("doc_id < 50")), 5)
+    assert slot_map.select("virtual_slot").distinct().count() == slot_map.count() >= sharding.N_SLOTS
+    first = {r["id"]: (r["virtual_slot"], r["shard"]) for r in sharding.place(sharding.records(docs.filter("doc_id < 50")), slot_map).collect()}
+    every = sharding.place(sharding.records(docs), slot_map).collect()
+    assert len(every) == 200 and {r["shard"] for r in every} == set(range(5))
+    assert all(first[r["id"]] == (r["virtual_slot"], r["shard"]) for r in every if r["id"] in first)
+
+
+def test_a_map_of_other_slots_is_refused(spark):
+    recs = sharding.records(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
+    with pytest.raises(Exception, match="the map has no slot"):
+        sharding.place(recs, sharding.new_map(recs, 3).filter("virtual_slot % 2 = 0")).collect()

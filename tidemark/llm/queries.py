@@ -137,9 +137,9 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = sharding.split_hot(sharding.records(_table(spark, sf_dir, "documents")), 24)
+    recs = sharding.records(_table(spark, sf_dir, "documents"))
     maps = shared_path(spark, "slot-maps")
-    sharding.save_map(sharding.new_map(sharding.slot_sizes(recs), 24), maps)
+    sharding.save_map(sharding.new_map(recs, 24), maps)
     placed = sharding.place(recs, sharding.load_map(spark, maps))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
