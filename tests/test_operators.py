@@ -265,7 +265,21 @@ def test_replay_stops_at_the_first_violation(spark):
     events = [(1, "q1", "A", "claim", "x", 0, "", "", None), (2, "q2", "A", "resolve", "x", 1, "n", "e", "escalated"), (3, "q3", "B", "claim", "x", 0, "", "", None), (4, "q4", "B", "release", "y", 1, "n", "", None), (5, "q5", "B", "release", "x", 2, "n", "", None)]
     queue = spark.createDataFrame([("A",), ("B",), ("C",)], "application_id string")
     got = {r["application_id"]: tuple(r)[1:] for r in journal.replay(queue, spark.createDataFrame(events, schema)).collect()}
-    assert got == {"A": ("resolved", "x", "escalated", 2, None), "B": ("in_review", "x", None, 1, 4), "C": ("queued", None, None, 0, None)}
+    end = (4, "not_owner")
+    assert got == {"A": ("resolved", "x", "escalated", 2, *end), "B": ("in_review", "x", None, 1, *end), "C": ("queued", None, None, 0, *end)}
+    stop = lambda rows: tuple(journal.first_violation(journal.judged(spark.createDataFrame(rows, schema), queue)).first())
+    claim = lambda n, request, case, actor="x": (n, request, case, "claim", actor, 0, "", "", None)
+    # A violation of one case ends the journal for all of them.
+    assert {r["version"] for r in journal.replay(queue, spark.createDataFrame([claim(1, "a", "A"), (2, "b", "A", "resolve", "y", 1, "n", "e", "cleared"), claim(3, "c", "B")], schema)).filter("application_id <> 'A'").collect()} == {0}
+    assert stop([claim(1, "a", "A"), claim(2, "b", "B")]) == (None, None)
+    assert stop([claim(1, "a", "A"), claim(3, "b", "B")]) == (3, "broken_sequence")
+    assert stop([claim(1, "a", "A"), claim(2, "a", "B"), claim(3, "c", "C")]) == (2, "repeated_request")
+    assert stop([claim(1, "a", "A"), claim(2, "b", "D")]) == (2, "unknown_case")
+    stamped = spark.createDataFrame([(*claim(1, "a", "A"), "2024-01-01T00:00:00Z"), (*claim(2, "b", "B"), "2024-01-01T00:00:00.5+00:00"), (*claim(3, "c", "C"), "2024-01-01T00:00:00+01:00")], schema + ", occurred_at string")
+    assert tuple(journal.first_violation(journal.judged(stamped, queue)).first()) == (3, "time_not_utc")
+    whole = journal.running_identity(stamped, "request_id", "actor").orderBy("sequence").collect()
+    for n, r in enumerate(whole, 1):
+        assert tuple(r)[1:] == tuple(reconcile.fingerprint(stamped.filter(F.col("sequence") <= n), "request_id", "actor").first())
     assert decide("queued", None, 0, "claim", "x", 1) == "stale_version"
     assert decide("in_review", "x", 1, "resolve", "y", 1) == "not_owner"
 
@@ -304,13 +318,17 @@ def test_stream_decides_like_the_replay(spark, tmp_path):
         ("q3", "A", "resolve", "x", 1, "n", "other", "cleared"),
         ("q4", "A", "reopen", "z", 2, "n", "", ""),
         ("q5", "A", "claim", "y", 1, "", "", ""),
+        ("q1", "B", "claim", "x", 0, "", "", ""),
+        ("q6", "unlisted", "claim", "x", 0, "", "", ""),
+        ("q7", "B", "claim", "x", 0, "", "", ""),
     ]
     schema = spark.createDataFrame([], COMMANDS).schema
     for i, c in enumerate(commands):
         spark.createDataFrame([c], schema).write.mode("append").parquet(f"{tmp_path}/in{i}")
     got = []
     (tmp_path / "all").mkdir()
-    live = stream_review(spark.readStream.schema(schema).parquet(f"{tmp_path}/all"))
+    queue = spark.createDataFrame([("A",), ("B",)], "application_id string")
+    live = stream_review(spark.readStream.schema(schema).parquet(f"{tmp_path}/all"), queue)
     for i in range(len(commands)):
         spark.read.parquet(f"{tmp_path}/in{i}").write.mode("append").parquet(f"{tmp_path}/all")
         live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
@@ -318,8 +336,9 @@ def test_stream_decides_like_the_replay(spark, tmp_path):
     assert got == list(range(1, len(commands) + 1))
     results = sorted((r["request_id"], r["result"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert results == sorted(
-        [("q1", "accepted", ""), ("q2", "rejected", "incomplete_resolution"), ("q3", "accepted", ""), ("q1", "replayed", ""), ("q3", "rejected", "request_conflict"), ("q4", "accepted", ""), ("q5", "rejected", "stale_version")]
-    )
+        [("q1", "accepted", ""), ("q2", "rejected", "incomplete_resolution"), ("q3", "accepted", ""), ("q1", "replayed", ""), ("q3", "rejected", "request_conflict"), ("q4", "accepted", ""), ("q5", "rejected", "stale_version"),
+         ("q1", "rejected", "request_conflict"), ("q6", "rejected", "unknown_case"), ("q7", "accepted", "")]
+    )
 
 
 def test_fingerprint_ignores_order_and_sees_copies(spark):

@@ -100,7 +100,7 @@ def running_counts(values: DataFrame, value: str, counts: tuple[str, ...], by: t
     return out.select(*values.columns, *cumulated, *([f"all_{c}" for c in counts] if totals else []))
 
 
-def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], **folds: tuple[str, str]) -> DataFrame:
+def carried(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], /, **folds: tuple[str, str]) -> DataFrame:
     """``rows`` with a column for each of ``folds``, name to (kind, column), over their ``by`` in ``order``; null is a group like any other.
 
     Kinds: ``sum`` and ``max`` of the column from the first row up to each, and

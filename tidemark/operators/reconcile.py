@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,10 +40,13 @@ def group_coverage(actual: DataFrame, expected: DataFrame, *keys: str) -> DataFr
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows and sum of the rows' SHA-256 words: the same for the same rows in any order, and not for dropped or doubled ones."""
-    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    digest = F.sha2(text, 256)
-    words = [F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"word_{i}") for i in range(4)]
-    return rows.agg(F.count("*").alias("rows"), *words)
+    return rows.agg(F.count("*").alias("rows"), *(F.sum(w).cast("string").alias(f"word_{i}") for i, w in enumerate(row_words(*columns))))
+
+
+def row_words(*columns: str) -> list[Column]:
+    """The four words of a row's SHA-256, which a fingerprint sums."""
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -95,10 +95,10 @@ TABLES: dict[str, str] = {
     "journal": """
         SELECT event_id + 1 AS sequence, 'q' || CAST(event_id AS STRING) AS request_id, 'U' || CAST(user_id AS STRING) AS application_id,
           CASE n % 5 WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'claim' WHEN 3 THEN 'resolve' ELSE 'reopen' END AS action,
-          CASE WHEN event_id % 211 = 0 THEN 'x' ELSE 'r' || CAST((user_id + (n - n % 5) / 5 + CASE WHEN n % 5 >= 2 THEN 1 ELSE 0 END) % 3 AS STRING) END AS actor,
-          CAST(n AS INT) AS expected_version, CASE WHEN n % 5 IN (0, 2) THEN CASE WHEN event_id % 41 = 5 THEN 'note' ELSE '' END WHEN event_id % 43 = 7 THEN '' WHEN event_id % 47 = 9 THEN ' note' ELSE 'note' END AS note,
-          CASE WHEN n % 5 = 3 THEN CASE WHEN event_id % 53 = 3 THEN '' ELSE 'file' END WHEN event_id % 59 = 4 THEN 'file' ELSE '' END AS evidence,
-          CASE WHEN n % 5 = 3 THEN CASE WHEN event_id % 61 = 2 THEN 'confirmed' WHEN event_id % 2 = 0 THEN 'cleared' ELSE 'escalated' END WHEN event_id % 67 = 1 THEN 'cleared' END AS outcome, ts AS occurred_at
+          CASE WHEN event_id > 600 AND event_id % 211 = 0 THEN 'x' ELSE 'r' || CAST((user_id + (n - n % 5) / 5 + CASE WHEN n % 5 >= 2 THEN 1 ELSE 0 END) % 3 AS STRING) END AS actor,
+          CAST(n AS INT) AS expected_version, CASE WHEN n % 5 IN (0, 2) THEN CASE WHEN event_id > 600 AND event_id % 41 = 5 THEN 'note' ELSE '' END WHEN event_id > 600 AND event_id % 43 = 7 THEN '' WHEN event_id > 600 AND event_id % 47 = 9 THEN ' note' ELSE 'note' END AS note,
+          CASE WHEN n % 5 = 3 THEN CASE WHEN event_id > 600 AND event_id % 53 = 3 THEN '' ELSE 'file' END WHEN event_id > 600 AND event_id % 59 = 4 THEN 'file' ELSE '' END AS evidence,
+          CASE WHEN n % 5 = 3 THEN CASE WHEN event_id > 600 AND event_id % 61 = 2 THEN 'confirmed' WHEN event_id % 2 = 0 THEN 'cleared' ELSE 'escalated' END WHEN event_id > 600 AND event_id % 67 = 1 THEN 'cleared' END AS outcome, CAST(CAST(ts AS DATE) AS STRING) || CASE WHEN event_id > 600 AND event_id % 307 = 11 THEN 'T10:00:00+02:00' WHEN event_id % 5 = 1 THEN 'T10:00:00.25Z' ELSE 'T10:00:00+00:00' END AS occurred_at
         FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM {events} e) x""",
     "queue": "SELECT DISTINCT application_id FROM {journal}",
     "dirty_applications": """

@@ -216,9 +216,13 @@ def e07_policy_job(t: Tables):
     return checks.crossJoin(F.broadcast(whole)).join(missing, ["population", "feature", "vintage"], "left").fillna(0, ["missing_slots"])
 
 
-@query("journal queue", f"{R.STATES} SELECT status, count(*) AS cases, CAST(sum(version) AS BIGINT) AS events FROM states GROUP BY status")
+@query("journal queue", f"{R.STATES}, requests AS (SELECT request_id, count(*) AS n FROM journal GROUP BY request_id) SELECT 'replay' AS section, status, count(*) AS cases, CAST(sum(version) AS BIGINT) AS events, NULL AS violation, NULL AS issue FROM states GROUP BY status"
+  " UNION ALL SELECT 'integrity', NULL, (SELECT count(*) FROM requests WHERE n > 1), (SELECT count(*) FROM journal), violation, issue FROM violation")
 def e15_review_workflow(t: Tables):
-    return journal.replay(t.queue, t.journal).groupBy("status").agg(F.count("*").alias("cases"), F.sum("version").alias("events"))
+    """Cases by their replayed status, and beside them the journal's events, repeated requests and first violation; ``g07`` has the stream."""
+    counts = journal.replay(t.queue, t.journal).groupBy("status").agg(F.count("*").alias("cases"), F.sum("version").alias("events"))
+    whole = journal.integrity(t.journal, t.queue).select(F.lit("integrity").alias("section"), F.col("repeated_requests").alias("cases"), "events", "violation", "issue")
+    return counts.withColumn("section", F.lit("replay")).unionByName(whole, allowMissingColumns=True)
 
 
 @query("journal queue", f"""{R.TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS violation FROM judged WHERE issue IS NOT NULL GROUP BY application_id)
@@ -227,6 +231,6 @@ def g07_stream_review(t: Tables):
     """Commands accepted by the stream, from the journal as files.  After a case's first violation all versions are stale."""
     commands, out, state = (shared_path(t.spark, n) for n in ("commands", "accepted", "stream"))
     t.journal.write.parquet(commands)
-    live = stream_review(t.spark.readStream.schema(t.journal.schema).parquet(commands))
+    live = stream_review(t.spark.readStream.schema(t.journal.schema).parquet(commands), t.queue)
     live.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(out).groupBy("application_id").agg(F.count_if(F.col("result") == "accepted").alias("accepted"))

@@ -411,11 +411,18 @@ COMMAND = """CASE WHEN request_id IS NULL OR request_id = '' OR length(request_i
 TRANSITIONS = f"""steps AS (SELECT *, {COMMAND} AS broken, lag(action) OVER w AS before, lag(actor) OVER w AS holder, row_number() OVER w - 1 AS place FROM journal WINDOW w AS (PARTITION BY application_id ORDER BY sequence)
 ), judged AS (SELECT *, CASE WHEN broken IS NOT NULL THEN broken WHEN expected_version <> place THEN 'stale_version' WHEN action = 'claim' AND NOT (before IS NULL OR before IN ('release', 'reopen')) THEN 'not_queued'
   WHEN action IN ('release', 'resolve') AND NOT coalesce(before = 'claim' AND holder = actor, false) THEN 'not_owner' WHEN action = 'reopen' AND NOT coalesce(before = 'resolve', false) THEN 'not_resolved' END AS issue FROM steps)"""
-STATES = f"""{TRANSITIONS}, firsts AS (SELECT application_id, min(sequence) AS violation FROM judged WHERE issue IS NOT NULL GROUP BY application_id
-), legal AS (SELECT j.* FROM judged j LEFT JOIN firsts f USING (application_id) WHERE violation IS NULL OR sequence < violation
-), lasts AS (SELECT application_id, arg_max(action, sequence) AS a, arg_max(actor, sequence) AS who, arg_max(coalesce(outcome, ''), sequence) AS what, count(*) AS version FROM legal GROUP BY application_id
+#: The journal's own rules come after those of single commands and before those of a case; nothing after the first violation counts.
+WHOLE = f"""{TRANSITIONS}, ordered AS (
+  SELECT j.*, row_number() OVER (ORDER BY sequence) AS position, row_number() OVER (PARTITION BY request_id ORDER BY sequence) AS times,
+    application_id IN (SELECT application_id FROM queue) AS listed, regexp_matches(occurred_at, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}(\\.[0-9]{{1,6}})?)?(Z|[+-]00:00)$') AS utc FROM judged j
+), ruled AS (
+  SELECT *, CASE WHEN broken IS NOT NULL THEN broken WHEN sequence <> position THEN 'broken_sequence' WHEN times > 1 THEN 'repeated_request' WHEN NOT listed THEN 'unknown_case' WHEN NOT utc THEN 'time_not_utc' ELSE issue END AS rule FROM ordered
+), violation AS (SELECT min(sequence) AS violation, arg_min(rule, sequence) AS issue FROM ruled WHERE rule IS NOT NULL)"""
+STATES = f"""{WHOLE}, lasts AS (
+  SELECT application_id, arg_max(action, sequence) AS a, arg_max(actor, sequence) AS who, arg_max(coalesce(outcome, ''), sequence) AS what, count(*) AS version
+  FROM ruled, violation v WHERE v.violation IS NULL OR sequence < v.violation GROUP BY application_id
 ), states AS (SELECT q.application_id, CASE a WHEN 'claim' THEN 'in_review' WHEN 'resolve' THEN 'resolved' ELSE 'queued' END AS status, CASE WHEN a IN ('claim', 'resolve') THEN who END AS owner, CASE WHEN a = 'resolve' THEN nullif(what, '') END AS outcome,
-  coalesce(version, 0) AS version, violation FROM queue q LEFT JOIN lasts USING (application_id) LEFT JOIN firsts USING (application_id))"""
+  coalesce(version, 0) AS version, violation, issue FROM queue q LEFT JOIN lasts USING (application_id) CROSS JOIN violation)"""
 
 
 BROKEN = """SELECT sequence, CASE WHEN sequence % 71 = 0 THEN '' WHEN sequence % 73 = 0 THEN NULL ELSE request_id END AS request_id, CASE WHEN sequence % 79 = 0 THEN application_id || ' ' ELSE application_id END AS application_id,
@@ -433,7 +440,12 @@ def g02_replay_journal(t: Tables):
     return journal.replay(t.queue, t.journal)
 
 
-@query("journal queue", "SELECT count(*) AS events, min(sequence) = 1 AND max(sequence) = count(*) AND count(DISTINCT sequence) = count(*) AS dense, count(*) - count(DISTINCT request_id) AS repeated_requests, CAST(0 AS BIGINT) AS unknown_cases FROM journal")
+@query(
+    "journal queue",
+    f"""{WHOLE}, requests AS (SELECT request_id, count(*) AS n FROM journal GROUP BY request_id)
+    SELECT (SELECT count(*) FROM journal) AS events, (SELECT min(sequence) = 1 AND max(sequence) = count(*) AND count(DISTINCT sequence) = count(*) FROM journal) AS dense, (SELECT count(*) FROM requests WHERE n > 1) AS repeated_requests,
+      (SELECT count(*) FROM ordered WHERE NOT listed) AS unknown_cases, (SELECT count(*) FROM ordered WHERE NOT utc) AS not_utc, violation, issue FROM violation""",
+)
 def g03_journal_integrity(t: Tables):
     return journal.integrity(t.journal, t.queue)
 
@@ -462,15 +474,21 @@ def a20_review_status(t: Tables):
     return journal.review_status(journal.replay(t.queue, t.journal))
 
 
-CUT_STATES = STATES.replace("FROM journal WINDOW", "FROM (SELECT * FROM journal WHERE sequence <= 700) WINDOW")
+WORDS = ", ".join(f"CAST(sum(CAST(CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS word_{i}" for i in range(4))
 
 
-@query("journal queue", f"{CUT_STATES} SELECT application_id, status, version FROM states")
-def g06_journal_bundle(t: Tables):
-    return journal.replay(t.queue, journal.consistent_cut(t.journal, 700)).select("application_id", "status", "version")
+def at_cut(states: str, n: int) -> str:
+    """The states' SQL over the events up to ``n``."""
+    return f"cut AS (SELECT * FROM journal WHERE sequence <= {n}), " + states.replace("FROM journal WINDOW", "FROM cut WINDOW")
 
 
-WORDS = ", ".join(f"CAST(sum(CAST(CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS word_{i}" for i in range(4))
+@query(
+    "journal queue",
+    f"""{at_cut(STATES, 700)}, hashed AS (SELECT sha256('{{"sequence":' || sequence || ',"request_id":"' || request_id || '","action":"' || action || '"}}') AS h FROM cut), identity AS (SELECT count(*) AS rows, {WORDS} FROM hashed)
+    SELECT application_id, status, version, identity.* FROM states CROSS JOIN identity""",
+)
+def g06_journal_bundle(t: Tables):
+    return journal.bundle(t.queue, t.journal, 700, "sequence", "request_id", "action").drop("owner", "outcome", "violation", "issue")
 
 
 @query("predictions", f"""hashed AS (SELECT sha256('{{"application_id":"' || application_id || '","label":' || label || ',"vintage":"' || vintage || '"}}') AS h FROM predictions) SELECT count(*) AS rows, {WORDS} FROM hashed""")

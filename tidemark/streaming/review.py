@@ -1,4 +1,4 @@
-"""Live acceptance of review commands: keyed state by case, one event a request."""
+"""Live acceptance of review commands: two chained keyed states, by request and by case."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import journal
 
+COMMAND = "application_id string, request_id string, action string, actor string, expected_version int, content string, issue string"
 OUT = "application_id string, request_id string, expected_version int, result string, reason string, version int"
-STATE = "status string, owner string, version int, requests array<string>, contents array<string>"
+#: States by key with entries of their own need this store.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def decide(status: str, owner: str | None, version: int, action: str, actor: str, expected: int) -> str:
@@ -29,36 +31,72 @@ def decide(status: str, owner: str | None, version: int, action: str, actor: str
 AFTER = {"claim": "in_review", "release": "queued", "resolve": "resolved", "reopen": "queued"}
 
 
-def _accept(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, owner, version, requests, contents = state.get if state.exists else ("queued", None, 0, [], [])
-    seen = dict(zip(requests, contents, strict=True))
-    rows = []
-    commands = pd.concat(list(batches)).sort_values(["expected_version", "request_id"], kind="stable")
-    for c in commands.itertuples(index=False):
-        if c.request_id in seen:
-            same = seen[c.request_id] == c.content
-            rows.append((key[0], c.request_id, c.expected_version, "replayed" if same else "rejected", "" if same else "request_conflict", version))
-            continue
-        reason = decide(status, owner, version, c.action, c.actor, c.expected_version)
-        if not reason:
-            status, owner, version = AFTER[c.action], c.actor if c.action in ("claim", "resolve") else None, version + 1
-            seen[c.request_id] = c.content
-        rows.append((key[0], c.request_id, c.expected_version, "rejected" if reason else "accepted", reason, version))
-    state.update((status, owner, version, list(seen), list(seen.values())))
-    yield pd.DataFrame(rows, columns=["application_id", "request_id", "expected_version", "result", "reason", "version"])
-
-
-def stream_review(commands: DataFrame) -> DataFrame:
+class Requests(StatefulProcessor):
+    """By request id: what the id stands for is what its first command says; others are a conflict."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.said = handle.getValueState("said", "content string")
+
+    def handleInputRows(self, key: tuple[str], rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        said = self.said.get()[0] if self.said.exists() else None
+        for batch in rows:
+            if said is None:
+                said = batch.sort_values(["expected_version", "content"], kind="stable")["content"].iloc[0]
+                self.said.update((said,))
+            yield batch.assign(issue=["" if c == said else "request_conflict" for c in batch["content"]])[[c.split()[0] for c in COMMAND.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+class Cases(StatefulProcessor):
+    """By case: its status, owner and version as one value, and an entry for each request that it accepted."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("case", "status string, owner string, version int")
+        self.accepted = handle.getMapState("accepted", "request_id string", "version int")
+
+    def handleInputRows(self, key: tuple[str], rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        status, owner, version = self.state.get() if self.state.exists() else ("queued", None, 0)
+        commands = pd.concat(list(rows)).sort_values(["expected_version", "request_id"], kind="stable")
+        out = []
+        for c in commands.to_dict("records"):
+            request = (c["request_id"],)
+            if c["issue"]:
+                result, reason = "rejected", c["issue"]
+            elif self.accepted.containsKey(request):
+                result, reason = "replayed", ""
+            else:
+                reason = decide(status, owner, version, c["action"], c["actor"], c["expected_version"])
+                result = "rejected" if reason else "accepted"
+                if not reason:
+                    status, owner, version = AFTER[c["action"]], c["actor"] if c["action"] in ("claim", "resolve") else None, version + 1
+                    self.accepted.updateValue(request, (version,))
+            out.append((key[0], c["request_id"], c["expected_version"], result, reason, version))
+        self.state.update((status, owner, version))
+        yield pd.DataFrame(out, columns=["application_id", "request_id", "expected_version", "result", "reason", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_review(commands: DataFrame, queue: DataFrame) -> DataFrame:
     """Accepted, replayed and rejected commands of a stream; a case's commands are decided one after another.
 
-    The rules that a command can break by itself are checked before it reaches
-    its case, and such a command never becomes state.  A request that a case has
-    accepted is replayed if all that it says is the same, else a conflict.
-    State grows with a case's accepted requests, of which it keeps the id and a
-    hash of what was said: any of them may come again, however late.
+    The rules that a command can break by itself, and whether its case is in
+    ``queue``, are checked before it reaches any state.  A request id stands for
+    what the first such command says, over all cases and for good, even if the
+    command is then rejected: the same again is replayed if it was accepted and
+    decided anew if not, anything else is a conflict.  A batch reads and writes
+    the entries of its own requests and cases only.
     """
+    commands.sparkSession.conf.set(STORE, ROCKS)
     said = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in journal.CONTENT))
-    judged = commands.select("application_id", "request_id", "action", "actor", F.col("expected_version").cast("int").alias("expected_version"), F.sha2(F.to_json(said), 256).alias("content"), journal.command_issue().alias("issue"))
+    known = queue.select("application_id").distinct().withColumn("known", F.lit(True))
+    issue = F.coalesce(journal.command_issue(), F.when(F.col("known").isNull(), "unknown_case"))
+    read = commands.join(known, "application_id", "left")
+    judged = read.select("application_id", "request_id", "action", "actor", F.col("expected_version").cast("int").alias("expected_version"), F.sha2(F.to_json(said), 256).alias("content"), issue.alias("issue"))
     broken = judged.filter("issue is not null").select("application_id", "request_id", "expected_version", F.lit("rejected").alias("result"), F.col("issue").alias("reason"), F.lit(None).cast("int").alias("version"))
-    decided = judged.filter("issue is null").drop("issue").groupBy("application_id").applyInPandasWithState(_accept, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    bound = judged.filter("issue is null").groupBy("request_id").transformWithStateInPandas(Requests(), COMMAND, "Append", "None")
+    decided = bound.groupBy("application_id").transformWithStateInPandas(Cases(), OUT, "Append", "None")
     return decided.unionByName(broken)
