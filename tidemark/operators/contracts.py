@@ -117,10 +117,21 @@ def incomplete_outcomes(staged: DataFrame) -> DataFrame:
     return staged.filter("label is null").groupBy("stage", "status").agg(F.count("*").alias("rows"))
 
 
-def stage_gate(staged: DataFrame, minimum: int = 20) -> DataFrame:
-    """Whether each stage has enough labelled rows and both classes."""
-    out = staged.groupBy("stage").agg(F.count("label").alias("rows"), F.count_if(F.col("label") == 1).alias("events"))
-    return out.withColumn("passed", (F.col("rows") >= minimum) & (F.col("events") > 0) & (F.col("events") < F.col("rows")))
+def stage_gate(staged: DataFrame, stages: DataFrame, minimum: int = 20) -> DataFrame:
+    """Whether each of ``stages`` has enough rows, a label for every one of them, and both classes; a stage without rows fails.
+
+    Beside it are the rows by what they lack.
+    """
+    status = lambda s: F.count_if(F.col("status") == s)
+    counts = staged.groupBy("stage").agg(
+        F.count("label").alias("rows"),
+        F.count_if(F.col("label") == 1).alias("events"),
+        F.count_if(F.col("label").isNull()).alias("unlabelled"),
+        status("not_mature").alias("not_mature"),
+        status("missing_performance").alias("missing_performance"),
+    )
+    out = stages.select("stage").join(counts, "stage", "left").fillna(0)
+    return out.withColumn("passed", (F.col("unlabelled") == 0) & (F.col("rows") >= minimum) & (F.col("events") > 0) & (F.col("events") < F.col("rows")))
 
 
 def finding(rows: DataFrame, table: str, check: str, code: Column, locator: Column) -> DataFrame:
@@ -128,18 +139,6 @@ def finding(rows: DataFrame, table: str, check: str, code: Column, locator: Colu
     return rows.select(F.lit(table).alias("table"), F.lit(check).alias("check"), locator.alias("locator"), code.alias("code")).filter("code is not null")
 
 
-def application_findings(apps: DataFrame) -> DataFrame:
-    """All findings of text application rows, several to a row."""
-    codes = F.array_compact(F.array(valid_id(F.col("application_id")), valid_date(F.col("decision_at")), valid_principal(F.col("principal_cents")), valid_member(F.col("segment"), SEGMENTS)))
-    return apps.select(F.lit("applications").alias("table"), F.lit("rows").alias("check"), F.col("application_id").alias("locator"), F.explode(codes).alias("code"))
-
-
-def feature_findings(features: DataFrame) -> DataFrame:
-    dates = F.coalesce(valid_date(F.col("observed_at")), valid_date(F.col("available_at")), valid_order(F.col("observed_at"), F.col("available_at"), "available_before_observed"))
-    codes = F.array_compact(F.array(valid_id(F.col("application_id")), valid_feature_value(F.col("name"), F.col("value")), dates))
-    return features.select(F.lit("features").alias("table"), F.lit("rows").alias("check"), F.concat_ws("/", "application_id", "name").alias("locator"), F.explode(codes).alias("code"))
-
-
 def issue_ledger(*findings: DataFrame) -> DataFrame:
     out = findings[0]
     for f in findings[1:]:
@@ -154,12 +153,16 @@ def ledger_report(ledger: DataFrame, limit: int = 50) -> DataFrame:
     return ledger.orderBy("table", "check", "code", "locator").limit(limit)
 
 
-def gate_status(ledger: DataFrame, checks: tuple[str, ...] = ("rows", "relationships")) -> DataFrame:
-    """Each check's findings and status; a check after one that failed is blocked if it found nothing itself."""
-    listed = ledger.sparkSession.createDataFrame(list(enumerate(checks)), "ordinal int, check string")
+def gate_status(ledger: DataFrame, graph: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Each check's findings and status: one that found nothing is ``blocked`` if any that ``graph`` puts before it failed."""
+    spark = ledger.sparkSession
+    listed = spark.createDataFrame([(i, c) for i, c in enumerate(graph)], "ordinal int, check string")
     counted = listed.join(ledger.groupBy("check").agg(F.count("*").alias("findings")), "check", "left").fillna(0, ["findings"])
-    earlier = F.coalesce(F.sum("findings").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("earlier", earlier).select("ordinal", "check", "findings", F.when(F.col("findings") > 0, "failed").when(F.col("earlier") > 0, "blocked").otherwise("passed").alias("status"))
+    # As many rows as checks.
+    before = spark.createDataFrame([(c, b) for c, blockers in graph.items() for b in blockers], "check string, blocker string")
+    failed = before.join(counted.filter("findings > 0").select(F.col("check").alias("blocker")), "blocker", "left_semi").select("check").distinct().withColumn("stopped", F.lit(True))
+    status = F.when(F.col("findings") > 0, "failed").when(F.col("stopped"), "blocked").otherwise("passed")
+    return counted.join(failed, "check", "left").select("ordinal", "check", "findings", status.alias("status"))
 
 
 def group_overlap(rows: DataFrame, group: str) -> DataFrame:

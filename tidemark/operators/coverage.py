@@ -99,6 +99,10 @@ def policy_verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(of("pass").alias("passed"), of("fail").alias("failed"), of("insufficient").alias("insufficient"), F.when(of("fail") > 0, "fail").when(of("insufficient") > 0, "insufficient").otherwise("pass").alias("verdict"))
 
 
-def missing_slots(slots: DataFrame) -> DataFrame:
-    """Slots without a value at the decision."""
-    return slots.filter(F.col("status") != STATUSES[0]).select("population", "application_id", "feature", "status", "observed_at", "available_at")
+def missing_slots(slots: DataFrame, limit: int | None = None) -> DataFrame:
+    """Slots without a value at the decision; with ``limit``, a report of the first ones in order, each beside the total."""
+    lacking = slots.filter(F.col("status") != STATUSES[0]).select("population", "application_id", "decision_at", "feature", "status", "observed_at", "available_at")
+    if limit is None:
+        return lacking
+    total = lacking.agg(F.count("*").alias("total"))
+    return lacking.orderBy("population", "decision_at", "application_id", "feature").limit(limit).crossJoin(F.broadcast(total))

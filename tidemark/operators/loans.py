@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import day
 from tidemark.operators.ranking import earliest_per_group, hash_sample
+from tidemark.sources.shared import stored
 
 USABLE_STATUS = ("PIF", "CHGOFF", "EXEMPT")
 
@@ -90,14 +91,44 @@ def eligible(judged: DataFrame) -> DataFrame:
     )
 
 
-def prepare(raw: DataFrame, stages: DataFrame, as_of: str, per_stage: int | None = None, seed: str = "loans") -> DataFrame:
-    """The first funded loan of each borrower; ``per_stage`` draws an outcome-blind sample of each stage."""
-    first = earliest_per_group(eligible(judge(raw, stages, as_of)), "borrower_group", "funded_at", "record_id")
-    return first if per_stage is None else hash_sample(first, "stage", F.col("ordinal").cast("string"), per_stage, seed).drop("sample_hash")
+def firsts(loans: DataFrame) -> DataFrame:
+    """The first funded loan of each borrower."""
+    return earliest_per_group(loans, "borrower_group", "funded_at", "record_id")
 
 
-def exclusion_audit(judged: DataFrame) -> DataFrame:
-    return judged.groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("rows"))
+def prepare(raw: DataFrame, stages: DataFrame, as_of: str) -> DataFrame:
+    """The first funded loan of each borrower among the eligible ones."""
+    return firsts(eligible(judge(raw, stages, as_of)))
+
+
+def sample(first: DataFrame, sizes: dict[str, int], seed: str = "loans") -> DataFrame:
+    """An outcome-blind sample of each stage, by the hash of source and ordinal."""
+    return hash_sample(first, "stage", F.concat_ws(":", "source", F.col("ordinal").cast("string")), sizes, seed).drop("sample_hash")
+
+
+def exclusion_audit(judged: DataFrame, first: DataFrame) -> DataFrame:
+    """``(section, reason, stage, rows)``: rows by the first rule that excludes them, and by stage those that are eligible and those that are their borrower's first."""
+    count = lambda rows, name, *by: rows.groupBy(*by).agg(F.count("*").alias("rows")).withColumn("section", F.lit(name))
+    parts = [count(judged.filter("reason is not null"), "excluded", "reason"), count(judged.filter("reason is null"), "eligible", "stage"), count(first, "earliest", "stage")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def preparation(raw: DataFrame, stages: DataFrame, as_of: str, program: str, sizes: dict[str, int], seed: str = "loans") -> DataFrame:
+    """The whole job as one table by ``section``: the gate on the snapshot, the audit, what is selected of each stage, and the loans.
+
+    Raw rows are judged once.  If any row is of another snapshot or program, the
+    gate's row is all there is.  A stage with less than it should have is not ``enough``.
+    """
+    judged = stored(judge(raw, stages, as_of), "judged")
+    gate = snapshot_version(judged, as_of, program).withColumn("passed", F.col("other_version") == 0)
+    first = stored(firsts(eligible(judged)), "firsts")
+    chosen = stored(sample(first, sizes, seed), "sample")
+    asked = raw.sparkSession.createDataFrame(list(sizes.items()), "stage string, asked int")
+    selected = asked.join(chosen.groupBy("stage").agg(F.count("*").alias("rows")), "stage", "left").fillna(0, ["rows"])
+    selected = selected.select(F.lit("selected").alias("section"), "stage", "rows", (F.col("rows") == F.col("asked")).alias("enough"))
+    parts = exclusion_audit(judged, first).unionByName(selected, allowMissingColumns=True).unionByName(chosen.withColumn("section", F.lit("loan")), allowMissingColumns=True)
+    passed = gate.filter("passed").select("passed")
+    return parts.crossJoin(F.broadcast(passed)).drop("passed").unionByName(gate.select(F.lit("gate").alias("section"), "other_version", "passed"), allowMissingColumns=True)
 
 
 def loan_features(loans: DataFrame) -> DataFrame:

@@ -102,14 +102,28 @@ def capacity_policy_table(scores: DataFrame, outcomes: DataFrame, capacities: Da
     return sums.withColumn("group_type", kind).withColumn("group", F.coalesce("vintage", "segment", F.lit("all"))).drop("vintage", "segment", "g")
 
 
-def preflight(staged: DataFrame) -> DataFrame:
-    """Applications and outcomes of each stage, from labelled snapshots."""
-    return staged.groupBy("stage").agg(
+def preflight(staged: DataFrame, stages: DataFrame, apps: DataFrame) -> DataFrame:
+    """Applications and outcomes of each of ``stages``, from labelled snapshots, and how many of ``apps`` lie in no window."""
+    counts = staged.groupBy("stage").agg(
         F.count("*").alias("applications"),
         F.count_if(F.col("label") == 1).alias("events"),
         F.count_if(F.col("label") == 0).alias("non_events"),
         F.count_if(F.col("label").isNull()).alias("unlabelled"),
     )
+    # Stages are a few rows.
+    windows = F.broadcast(stages.select("start_at", "end_at"))
+    outside = apps.join(windows, F.col("decision_at").between(F.col("start_at"), F.col("end_at")), "left_anti").agg(F.count("*").alias("outside_windows"))
+    return stages.select("stage").join(counts, "stage", "left").fillna(0).crossJoin(F.broadcast(outside))
+
+
+def preflight_monitor(staged: DataFrame, stages: DataFrame, apps: DataFrame, as_of: Column, current: str = "test") -> DataFrame:
+    """``preflight`` of all stages but the ``current`` one, and that one's applications by whether they are visible; its outcomes are not read."""
+    of_others = preflight(staged, stages, apps).filter(F.col("stage") != current)
+    window = F.broadcast(stages.filter(F.col("stage") == current).select("stage", "start_at", "end_at"))
+    inside = apps.join(window, F.col("decision_at").between(F.col("start_at"), F.col("end_at")))
+    visible = inside.groupBy("stage").agg(F.count_if(F.col("decision_at") <= as_of).alias("applications"), F.count_if(F.col("decision_at") > as_of).alias("not_yet_visible"))
+    own = stages.filter(F.col("stage") == current).select("stage").join(visible, "stage", "left").fillna(0)
+    return of_others.unionByName(own, allowMissingColumns=True)
 
 
 def describe_numeric(tall: DataFrame) -> DataFrame:

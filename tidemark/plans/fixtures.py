@@ -111,6 +111,14 @@ TABLES: dict[str, str] = {
         UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'Z' || application_id ELSE application_id END, CASE WHEN k % 5 = 0 THEN 'income' ELSE 'utilization' END,
           CASE k % 4 WHEN 0 THEN '1.5' WHEN 1 THEN 'NaN' WHEN 2 THEN 'abc' ELSE '0.5' END, CAST(decision_at AS STRING), CAST(decision_at - CAST(k % 2 AS INT) AS STRING)
         FROM {applications} WHERE k % 10 = 7""",
+    "dirty_performance": """
+        SELECT application_id, CAST(as_of AS STRING) AS as_of, CAST(available_at AS STRING) AS available_at, CAST(days_past_due AS STRING) AS days_past_due FROM {performance}
+        UNION ALL SELECT CASE k % 9 WHEN 0 THEN 'Y' || application_id WHEN 1 THEN ' ' ELSE application_id END, CAST(decision_at + CASE WHEN k % 4 = 0 THEN 0 ELSE 30 END AS STRING),
+          CAST(decision_at + CASE WHEN k % 8 = 0 THEN -1 ELSE 32 END AS STRING), CASE k % 7 WHEN 0 THEN '400' WHEN 1 THEN 'x' WHEN 2 THEN '-1' ELSE '0' END
+        FROM {applications} WHERE k % 10 = 9""",
+    "dirty_stages": """
+        SELECT * FROM {stages} UNION ALL SELECT stage, CAST(a AS DATE), CAST(b AS DATE), CAST(c AS DATE) FROM (VALUES ('backwards', '1999-06-30', '1999-01-01', '1999-12-31'),
+          ('early', '1992-01-01', '1992-06-30', '1992-02-01'), ('twice', '1992-06-01', '1992-12-31', '1993-12-31'), ('later', '2030-01-01', '2030-12-31', '2031-06-30')) AS t(stage, a, b, c)""",
     "policy_rules": """
         SELECT ordinal, id, population, vintage, feature, CAST(min_applications AS BIGINT) AS min_applications, min_coverage FROM (VALUES
           (1, 'util-all', 'test', 'all', 'utilization', 10, '0.8'), (2, 'dti-all', 'test', 'all', 'debt_to_income', 10, '0.975000000000000001'),

@@ -29,10 +29,10 @@ WIDE = """wide AS (
 STAGED = """staged AS (SELECT application_id, decision_at, principal_cents, segment, stage, cutoff FROM applications JOIN stages ON decision_at BETWEEN start_at AND end_at)"""
 
 
-def outcome(source: str, cutoff: str, name: str = "outcome") -> str:
-    """Reports visible at ``cutoff`` of the rows of ``source``, and their status and label."""
+def outcome(source: str, cutoff: str, name: str = "outcome", performance: str = "performance") -> str:
+    """Reports of ``performance`` visible at ``cutoff`` of the rows of ``source``, and their status and label."""
     return f"""reports AS (
-  SELECT application_id, decision_at, {cutoff} AS cut, as_of, as_of - decision_at AS step, arg_max(days_past_due, p.available_at) AS dpd FROM {source} JOIN performance p USING (application_id)
+  SELECT application_id, decision_at, {cutoff} AS cut, as_of, as_of - decision_at AS step, arg_max(days_past_due, p.available_at) AS dpd FROM {source} JOIN {performance} p USING (application_id)
   WHERE p.available_at <= {cutoff} AND as_of > decision_at AND as_of - decision_at <= 180 GROUP BY application_id, decision_at, cut, as_of, step
 ), seen AS (SELECT application_id, decision_at, cut, bool_or(dpd >= 90) AS bad, count(*) FILTER (WHERE step % 30 = 0) AS n FROM reports GROUP BY application_id, decision_at, cut
 ), {name} AS (
@@ -268,27 +268,38 @@ def q06_policy_verdict(t: Tables):
     return coverage.policy_verdict(coverage.policy_check(t.policy_rules, coverage.coverage_rollup(slots(t))))
 
 
-@query(SLOT_TABLES, f"{SLOTS} SELECT population, application_id, feature, status, observed_at, available_at FROM slots WHERE status <> 'available'")
-def q08_missing_slots(t: Tables):
-    return coverage.missing_slots(slots(t))
+#: Rows that a report of missing slots shows.
+SHOWN = 50
 
 
 @query(
-    COHORT_TABLES,
-    f"""{COHORTS} SELECT stage, count(*) AS applications, count(*) FILTER (WHERE label = 1) AS events, count(*) FILTER (WHERE label = 0) AS non_events, count(*) FILTER (WHERE label IS NULL) AS unlabelled
-    FROM cohorts GROUP BY stage""",
+    SLOT_TABLES,
+    f"""{SLOTS} SELECT population, application_id, decision_at, feature, status, observed_at, available_at, (SELECT count(*) FROM slots WHERE status <> 'available') AS total FROM slots WHERE status <> 'available'
+    ORDER BY population, decision_at, application_id, feature LIMIT {SHOWN}""",
 )
+def q08_missing_slots(t: Tables):
+    return coverage.missing_slots(slots(t), SHOWN)
+
+
+#: The stages and one that no application falls into.
+MORE_STAGES = "every AS (SELECT * FROM stages UNION ALL SELECT 'later', DATE '2030-01-01', DATE '2030-12-31', DATE '2031-06-30')"
+
+
+def more_stages(t: Tables):
+    return t.stages.unionByName(t.spark.sql("SELECT 'later' AS stage, DATE '2030-01-01' AS start_at, DATE '2030-12-31' AS end_at, DATE '2031-06-30' AS cutoff"))
+
+
+A01 = f"""{MORE_STAGES}, ready AS (SELECT e.stage, count(c.stage) AS applications, count(*) FILTER (WHERE label = 1) AS events, count(*) FILTER (WHERE label = 0) AS non_events, count(*) FILTER (WHERE c.stage IS NOT NULL AND label IS NULL) AS unlabelled,
+    (SELECT count(*) FROM applications a WHERE NOT EXISTS (SELECT 1 FROM every w WHERE a.decision_at BETWEEN w.start_at AND w.end_at)) AS outside_windows FROM every e LEFT JOIN cohorts c ON c.stage = e.stage GROUP BY e.stage)"""
+A02 = f"""monitor AS (SELECT *, CAST(NULL AS BIGINT) AS not_yet_visible FROM ready WHERE stage <> 'test' UNION ALL SELECT 'test', count(*) FILTER (WHERE decision_at <= {CUT}), NULL, NULL, NULL, NULL, count(*) FILTER (WHERE decision_at > {CUT})
+    FROM applications WHERE decision_at BETWEEN (SELECT start_at FROM stages WHERE stage = 'test') AND (SELECT end_at FROM stages WHERE stage = 'test'))"""
+
+
+@query(COHORT_TABLES, f"{COHORTS}, {A01} SELECT * FROM ready")
 def a01_preflight(t: Tables):
-    return rollup.preflight(cohorts(t))
+    return rollup.preflight(cohorts(t), more_stages(t), t.applications)
 
 
-@query(
-    COHORT_TABLES,
-    f"""{COHORTS}, current_rows AS (SELECT count(*) FILTER (WHERE decision_at <= {CUT}) AS visible, count(*) FILTER (WHERE decision_at > {CUT}) AS not_yet_visible FROM applications)
-    SELECT stage, count(*) AS applications, count(*) FILTER (WHERE label = 1) AS events, max(visible) AS visible, max(not_yet_visible) AS not_yet_visible FROM cohorts CROSS JOIN current_rows
-    WHERE stage IN ('train', 'calibration') GROUP BY stage""",
-)
+@query(COHORT_TABLES, f"{COHORTS}, {A01}, {A02} SELECT * FROM monitor")
 def a02_preflight_monitor(t: Tables):
-    current = t.applications.agg(F.count_if(F.col("decision_at") <= day()).alias("visible"), F.count_if(F.col("decision_at") > day()).alias("not_yet_visible"))
-    rows = rollup.preflight(cohorts(t)).filter("stage in ('train', 'calibration')").select("stage", "applications", "events")
-    return rows.crossJoin(F.broadcast(current))
+    return rollup.preflight_monitor(cohorts(t), more_stages(t), t.applications, day())

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, contracts, features, journal, loans, ranking, reconcile, rollup
-from tidemark.plans.known_then import COHORT_TABLES, COHORTS, CUT, cohorts, day, names, windows
+from tidemark.operators import asof, contracts, diagnosis, features, journal, loans, ranking, reconcile, rollup
+from tidemark.plans.known_then import A01, A02, COHORT_TABLES, COHORTS, CUT, MORE_STAGES, cohorts, day, more_stages, outcome
 from tidemark.plans.registry import Tables, query
+from tidemark.sources.shared import stored
 
 ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
 DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
@@ -188,30 +189,65 @@ def r07_incomplete_outcomes(t: Tables):
     return contracts.incomplete_outcomes(cohorts(t))
 
 
-@query(COHORT_TABLES, f"{COHORTS} SELECT stage, count(label) AS rows, count(*) FILTER (WHERE label = 1) AS events, count(label) >= 20 AND count(*) FILTER (WHERE label = 1) BETWEEN 1 AND count(label) - 1 AS passed FROM cohorts GROUP BY stage")
-def r08_stage_gate(t: Tables):
-    return contracts.stage_gate(cohorts(t))
+def gate_sql(stages: str, staged: str) -> str:
+    """Each of ``stages`` and whether its rows of ``staged`` are enough."""
+    return f"""gates AS (SELECT e.stage, count(label) AS rows, count(*) FILTER (WHERE label = 1) AS events, count(c.stage) - count(label) AS unlabelled, count(*) FILTER (WHERE status = 'not_mature') AS not_mature,
+      count(*) FILTER (WHERE status = 'missing_performance') AS missing_performance, count(c.stage) = count(label) AND count(label) >= 20 AND count(*) FILTER (WHERE label = 1) BETWEEN 1 AND count(label) - 1 AS passed
+      FROM {stages} e LEFT JOIN {staged} c ON c.stage = e.stage GROUP BY e.stage)"""
 
 
-FINDINGS = f"""found AS (
-  SELECT 'applications' AS "table", 'rows' AS "check", application_id AS locator, unnest([{code(f"regexp_matches(application_id, '{ID}')", 'invalid_id')}, {code(day_ok('decision_at'), 'invalid_date')},
-    {code("regexp_matches(principal_cents, '^[0-9]+" + chr(92) + "z') AND TRY_CAST(principal_cents AS BIGINT) > 0", 'invalid_principal')}, {code("segment IN ('retail', 'small_business')", 'invalid_segment')}]) AS code FROM dirty_applications
-  UNION ALL SELECT 'features', 'rows', application_id || '/' || name, unnest([{code(f"regexp_matches(application_id, '{ID}')", 'invalid_id')}, {VALUE_CODE}, CASE WHEN NOT {day_ok('observed_at')} OR NOT {day_ok('available_at')} THEN 'invalid_date'
-    WHEN observed_at > available_at THEN 'available_before_observed' END]) FROM dirty_features
-  UNION ALL SELECT 'features', 'relationships', application_id || '/' || name, 'orphan' FROM dirty_features WHERE application_id NOT IN (SELECT application_id FROM applications)
-), ledger AS (SELECT * FROM found WHERE code IS NOT NULL)"""
+@query(COHORT_TABLES, f"{COHORTS}, {MORE_STAGES}, {gate_sql('every', 'cohorts')} SELECT * FROM gates")
+def r08_stage_gate(t: Tables):
+    return contracts.stage_gate(cohorts(t), more_stages(t))
+
+
+WHOLE_NUMBER = "regexp_matches(days_past_due, '^[0-9]+" + chr(92) + "z') AND TRY_CAST(days_past_due AS INTEGER) BETWEEN 0 AND 365"
+CLEAN = f"""app_codes AS (
+  SELECT *, list_filter([{code(f"regexp_matches(application_id, '{ID}')", 'invalid_id')}, {code(day_ok('decision_at'), 'invalid_date')}, {code("regexp_matches(principal_cents, '^[0-9]+" + chr(92) + "z') AND TRY_CAST(principal_cents AS BIGINT) > 0", 'invalid_principal')},
+    {code("segment IN ('retail', 'small_business')", 'invalid_segment')}], lambda x: x IS NOT NULL) AS codes FROM dirty_applications
+), feat_codes AS (
+  SELECT *, list_filter([{code(f"regexp_matches(application_id, '{ID}')", 'invalid_id')}, {VALUE_CODE}, CASE WHEN NOT {day_ok('observed_at')} OR NOT {day_ok('available_at')} THEN 'invalid_date'
+    WHEN observed_at > available_at THEN 'available_before_observed' END], lambda x: x IS NOT NULL) AS codes FROM dirty_features
+), perf_codes AS (
+  SELECT *, list_filter([{code(f"regexp_matches(application_id, '{ID}')", 'invalid_id')}, CASE WHEN NOT {day_ok('as_of')} OR NOT {day_ok('available_at')} THEN 'invalid_date'
+    WHEN as_of > available_at THEN 'available_before_report' END, {code(WHOLE_NUMBER, 'invalid_days_past_due')}], lambda x: x IS NOT NULL) AS codes FROM dirty_performance
+), ids AS (SELECT application_id, count(*) AS n, min(CAST(decision_at AS DATE)) AS decision_at FROM app_codes WHERE len(codes) = 0 GROUP BY application_id
+), revisions AS (SELECT application_id, name, CAST(value AS DOUBLE) AS value, CAST(observed_at AS DATE) AS observed_at, CAST(available_at AS DATE) AS available_at FROM feat_codes WHERE len(codes) = 0
+), reported AS (SELECT application_id, CAST(as_of AS DATE) AS as_of, CAST(available_at AS DATE) AS available_at, CAST(days_past_due AS INTEGER) AS days_past_due FROM perf_codes WHERE len(codes) = 0
+), settings AS (
+  SELECT stage, CASE WHEN start_at > end_at THEN 'invalid_window' WHEN EXISTS (SELECT 1 FROM dirty_stages o WHERE o.stage <> s.stage AND o.start_at <= s.end_at AND s.start_at <= o.end_at AND o.start_at <= o.end_at) THEN 'overlapping_window'
+    WHEN end_at > cutoff THEN 'cutoff_before_end' END AS code FROM dirty_stages s
+), usable AS (SELECT * FROM dirty_stages WHERE stage IN (SELECT stage FROM settings WHERE code IS NULL)
+), placed AS (SELECT application_id, decision_at, stage, cutoff FROM ids JOIN usable ON decision_at BETWEEN start_at AND end_at
+), {outcome('placed', 'cutoff', 'finished', 'reported')}, {gate_sql('usable', 'finished')}"""
+FINDINGS = f"""{CLEAN}, by_revision AS (SELECT application_id, name, available_at, count(*) AS n FROM revisions GROUP BY ALL
+), by_report AS (SELECT application_id, as_of, available_at, count(*) AS n FROM reported GROUP BY ALL
+), found AS (
+  SELECT 'stages' AS "table", 'configuration' AS "check", stage AS locator, code FROM settings
+  UNION ALL SELECT 'applications', 'rows', application_id, unnest(codes) FROM app_codes
+  UNION ALL SELECT 'features', 'rows', concat_ws('/', application_id, name), unnest(codes) FROM feat_codes
+  UNION ALL SELECT 'performance', 'rows', concat_ws('/', application_id, as_of), unnest(codes) FROM perf_codes
+  UNION ALL SELECT 'applications', 'relationships', application_id, 'duplicate_application' FROM ids WHERE n > 1
+  UNION ALL SELECT 'features', 'relationships', concat_ws('/', application_id, name, CAST(available_at AS VARCHAR)), 'ambiguous_feature_revision' FROM by_revision WHERE n > 1
+  UNION ALL SELECT 'features', 'relationships', concat_ws('/', application_id, name, CAST(available_at AS VARCHAR)), 'orphan' FROM by_revision WHERE application_id NOT IN (SELECT application_id FROM ids)
+  UNION ALL SELECT 'performance', 'relationships', concat_ws('/', application_id, CAST(as_of AS VARCHAR), CAST(available_at AS VARCHAR)), 'duplicate_report_revision' FROM by_report WHERE n > 1
+  UNION ALL SELECT 'performance', 'relationships', concat_ws('/', application_id, CAST(as_of AS VARCHAR), CAST(available_at AS VARCHAR)), 'orphan' FROM by_report WHERE application_id NOT IN (SELECT application_id FROM ids)
+  UNION ALL SELECT 'performance', 'relationships', concat_ws('/', application_id, CAST(as_of AS VARCHAR), CAST(available_at AS VARCHAR)), 'report_not_after_decision' FROM by_report JOIN ids USING (application_id) WHERE as_of <= decision_at
+  UNION ALL SELECT 'features', 'relationships', concat_ws('/', application_id, name), 'missing_decision_feature' FROM placed p CROSS JOIN (SELECT unnest(['utilization', 'debt_to_income', 'prior_delinquencies']) AS name) f
+    WHERE NOT EXISTS (SELECT 1 FROM revisions r WHERE r.application_id = p.application_id AND r.name = f.name AND r.observed_at <= p.decision_at AND r.available_at <= p.decision_at)
+  UNION ALL SELECT 'applications', 'cohorts', concat_ws('/', stage, application_id), status FROM finished WHERE label IS NULL
+  UNION ALL SELECT 'stages', 'cohorts', stage, 'cohort_contract' FROM gates WHERE unlabelled = 0 AND NOT passed
+), ledger AS (SELECT * FROM found WHERE code IS NOT NULL
+), checks(ordinal, "check", blockers) AS (VALUES (0, 'configuration', []::VARCHAR[]), (1, 'rows', []), (2, 'relationships', ['rows']), (3, 'cohorts', ['configuration', 'rows', 'relationships'])
+), counted AS (SELECT c.ordinal, c."check", blockers, count(l.code) AS findings FROM checks c LEFT JOIN ledger l ON l."check" = c."check" GROUP BY ALL
+), statuses AS (SELECT CAST(ordinal AS INTEGER) AS ordinal, "check", findings, CASE WHEN findings > 0 THEN 'failed' WHEN EXISTS (SELECT 1 FROM counted b WHERE b.findings > 0 AND list_contains(c.blockers, b."check")) THEN 'blocked' ELSE 'passed' END AS status FROM counted c)"""
+LEDGER_TABLES = "dirty_applications dirty_features dirty_performance dirty_stages"
+#: Findings that a diagnosis shows.
+SHOWN_FINDINGS = 100
 
 
 def ledger(t: Tables):
-    orphans = contracts.orphans(t.dirty_features, t.applications, "application_id")
-    return contracts.issue_ledger(
-        contracts.application_findings(t.dirty_applications),
-        contracts.feature_findings(t.dirty_features),
-        contracts.finding(orphans, "features", "relationships", F.lit("orphan"), F.concat_ws("/", "application_id", "name")),
-    )
-
-
-LEDGER_TABLES = "dirty_applications dirty_features applications"
+    return diagnosis.findings(t.dirty_applications, t.dirty_features, t.dirty_performance, t.dirty_stages)
 
 
 @query(LEDGER_TABLES, f"{FINDINGS} SELECT * FROM ledger")
@@ -219,13 +255,9 @@ def r10_issue_ledger(t: Tables):
     return ledger(t)
 
 
-@query(
-    LEDGER_TABLES,
-    f"""{FINDINGS}, counted AS (SELECT ordinal, c AS "check", (SELECT count(*) FROM ledger WHERE ledger."check" = c) AS findings FROM (VALUES (0, 'rows'), (1, 'relationships'), (2, 'cohorts')) AS v(ordinal, c))
-    SELECT CAST(ordinal AS INTEGER) AS ordinal, "check", findings, CASE WHEN findings > 0 THEN 'failed' WHEN coalesce(sum(findings) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'blocked' ELSE 'passed' END AS status FROM counted""",
-)
+@query(LEDGER_TABLES, f"{FINDINGS} SELECT * FROM statuses")
 def r09_gate_status(t: Tables):
-    return contracts.gate_status(ledger(t), ("rows", "relationships", "cohorts"))
+    return contracts.gate_status(ledger(t), diagnosis.GRAPH)
 
 
 JUDGE = """parsed AS (
@@ -299,9 +331,24 @@ def n08_chargeoff_label(t: Tables):
     return loans.eligible(judged_loans(t)).select("record_id", "chargeoff_24m")
 
 
-@query("raw_loans stages", f"{JUDGE} SELECT record_id, borrower_group, source, ordinal, stage, approval_date, funded_at, horizon_end, gross, guaranteed, rate, method, status, paid_at, charged_off_at, chargeoff_24m FROM firsts")
+#: Loans that the frozen study takes of each stage.
+SAMPLE = {"train": 20_000, "calibration": 5_000, "test": 10_000}
+AUDIT = f"""{JUDGE}, audit AS (
+  SELECT 'excluded' AS section, reason, NULL AS stage, count(*) AS rows FROM reasoned WHERE reason IS NOT NULL GROUP BY reason
+  UNION ALL SELECT 'eligible', NULL, stage, count(*) FROM loans GROUP BY stage UNION ALL SELECT 'earliest', NULL, stage, count(*) FROM firsts GROUP BY stage)"""
+
+
+@query(
+    "raw_loans stages",
+    f"""{AUDIT}, sizes(stage, asked) AS (VALUES ('train', 20000), ('calibration', 5000), ('test', 10000)
+    ), chosen AS (SELECT f.* EXCLUDE (place) FROM firsts f JOIN sizes USING (stage) QUALIFY row_number() OVER (PARTITION BY stage ORDER BY sha256('loans:' || source || ':' || ordinal)) <= asked
+    ), gate AS (SELECT count(*) FILTER (WHERE trim(AsOfDate) <> '2014-12-31' OR trim(Program) <> '7A') AS other_version FROM raw_loans)
+    SELECT 'gate' AS section, other_version, other_version = 0 AS passed FROM gate UNION ALL BY NAME SELECT audit.* FROM audit, gate WHERE other_version = 0
+    UNION ALL BY NAME SELECT 'selected' AS section, stage, count(record_id) AS rows, count(record_id) = asked AS enough FROM sizes LEFT JOIN chosen USING (stage), gate WHERE other_version = 0 GROUP BY stage, asked
+    UNION ALL BY NAME SELECT 'loan' AS section, chosen.* FROM chosen, gate WHERE other_version = 0""",
+)
 def n09_prepare_loans(t: Tables):
-    return prepared(t)
+    return loans.preparation(t.raw_loans, t.stages, SNAPSHOT, "7A", SAMPLE)
 
 
 @query("raw_loans stages", f"{JUDGE} SELECT record_id, round(ln(1 + CAST(gross AS DOUBLE)), 8) AS log_gross, round(CAST(guaranteed AS DOUBLE) / CAST(gross AS DOUBLE), 8) AS guaranteed_share, rate, method FROM firsts")
@@ -328,9 +375,10 @@ def r11_group_overlap(t: Tables):
     return contracts.group_overlap(loans.eligible(judged_loans(t)), "borrower_group")
 
 
-@query("raw_loans stages", f"{JUDGE} SELECT coalesce(reason, 'eligible') AS reason, count(*) AS rows FROM reasoned GROUP BY 1")
+@query("raw_loans stages", f"{AUDIT} SELECT * FROM audit")
 def a17_exclusion_audit(t: Tables):
-    return loans.exclusion_audit(judged_loans(t))
+    judged = stored(judged_loans(t), "judged")
+    return loans.exclusion_audit(judged, loans.firsts(loans.eligible(judged)))
 
 
 @query(
@@ -533,16 +581,19 @@ def w11_canonical_ordering(t: Tables):
     return rollup.vintage_metrics(t.predictions).select("vintage", "loans", "events").orderBy("vintage")
 
 
-@query(
-    "applications stages",
-    f"""windows AS (SELECT stage AS population, start_at, end_at FROM stages UNION ALL SELECT 'future', DATE '2030-01-01', DATE '2030-12-31' UNION ALL SELECT 'current', DATE '1998-01-01', DATE '2000-12-31')
-    SELECT population, count(*) FILTER (WHERE decision_at <= {CUT}) AS applications, count(*) FILTER (WHERE decision_at > {CUT}) AS not_yet_visible FROM windows LEFT JOIN applications ON decision_at BETWEEN start_at AND end_at GROUP BY population""",
-)
+@query(COHORT_TABLES, f"{COHORTS}, {A01}, {A02} SELECT 'evaluation' AS section, * FROM ready UNION ALL BY NAME SELECT 'monitoring' AS section, * FROM monitor")
 def e02_preflight_monitoring(t: Tables):
-    seen = windows(t).groupBy("population").agg(F.count_if(F.col("decision_at") <= day()).alias("applications"), F.count_if(F.col("decision_at") > day()).alias("not_yet_visible"))
-    return names(t).select(F.col("stage").alias("population")).join(seen, "population", "left").fillna(0)
+    """What an evaluation and a monitor would find, from the same labelled cohorts, without a model."""
+    staged = stored(cohorts(t), "cohorts")
+    evaluation = rollup.preflight(staged, more_stages(t), t.applications).withColumn("section", F.lit("evaluation"))
+    return evaluation.unionByName(rollup.preflight_monitor(staged, more_stages(t), t.applications, day()).withColumn("section", F.lit("monitoring")), allowMissingColumns=True)
 
 
-@query(LEDGER_TABLES, f"""{FINDINGS} SELECT "table", "check", code, count(*) AS findings FROM ledger GROUP BY ALL""")
+@query(
+    LEDGER_TABLES,
+    f"""{FINDINGS}, head AS (SELECT * FROM ledger ORDER BY "table", "check", code, locator LIMIT {SHOWN_FINDINGS})
+    SELECT 'gate' AS section, * FROM statuses UNION ALL BY NAME SELECT 'finding' AS section, * FROM head
+    UNION ALL BY NAME SELECT 'total' AS section, count(*) AS findings, CASE WHEN count(*) > 0 THEN 'invalid_inputs' ELSE 'ready_for_evaluation' END AS status, count(*) > {SHOWN_FINDINGS} AS truncated FROM ledger""",
+)
 def e03_diagnose_inputs(t: Tables):
-    return ledger(t).groupBy("table", "check", "code").agg(F.count("*").alias("findings"))
+    return diagnosis.diagnose(ledger(t), SHOWN_FINDINGS)

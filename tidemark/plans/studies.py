@@ -26,7 +26,7 @@ PERCENT = 10
 @query("")
 def e01_evaluate(t: Tables):
     """Stage cohorts, the stage gate, the frozen models, and the evaluation of their test rows."""
-    gate = contracts.stage_gate(K.cohorts(t))
+    gate = contracts.stage_gate(K.cohorts(t), t.stages)
     test = stored(models.frozen_stages(complete(t)), "frozen")
     return study.evaluate(test, PERCENT, S.REPLICATES, S.SEED).unionByName(gate.withColumn("section", F.lit("gate")), allowMissingColumns=True)
 
@@ -142,7 +142,8 @@ def e11_repeated_split_study(t: Tables):
 @query("")
 def e12_dated_loan_study(t: Tables):
     """Charge-off scores of the prepared loans' test stage by four methods: quality, budgets, years, paired intervals, stages and exclusions."""
-    base = stored(R.prepared(t), "loans")
+    judged = stored(R.judged_loans(t), "judged")
+    base = stored(loans.firsts(loans.eligible(judged)), "loans")
     rows = base.join(loans.loan_features(base).select("record_id", "log_gross", "guaranteed_share"), "record_id").withColumnsRenamed({"record_id": "application_id", "chargeoff_24m": "label"})
     rows = stored(features.impute_median(of_stage(rows, "train"), rows, "rate"), "ready")
     train, calibration, test = (of_stage(rows, s) for s in ("train", "calibration", "test"))
@@ -156,7 +157,7 @@ def e12_dated_loan_study(t: Tables):
         year=metrics.quality(labelled, "score", "label", ("method", "year")),
         paired_brier=metrics.quantile_interval(paired, "difference", ("method",)),
         stage=loans.stage_summary(base),
-        exclusion=loans.exclusion_audit(R.judged_loans(t)),
+        exclusion=loans.exclusion_audit(judged, base).withColumnRenamed("section", "audit"),
     )
 
 
