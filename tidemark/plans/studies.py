@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, contracts, features, loans, metrics, models, ranking, reconcile, rollup, study
+from tidemark.operators import asof, contracts, coverage, drift, features, loans, metrics, models, published, ranking, reconcile, rollup, study
 from tidemark.plans import known_then as K
 from tidemark.plans import records as R
 from tidemark.plans import scores as S
@@ -205,53 +205,58 @@ def e14_lineage_job(t: Tables):
     ).unionByName(study.evaluate(predictions, PERCENT, S.REPLICATES, S.SEED), allowMissingColumns=True)
 
 
-PUBLISHED_TABLES = ("predictions", "queue", "portfolio", "vintages", "deciles", "cohorts", "budgets", "policies")
+def coverage_part(read: dict[str, DataFrame]) -> DataFrame:
+    return coverage.coverage_rollup(read["slots"])
+
+
+def score_psi(read: dict[str, DataFrame]) -> DataFrame:
+    rows = read["predictions"]
+    return drift.psi(rows.filter("vintage < '1996-01'"), rows.filter("vintage >= '1997-06'"), "calibrated_pd", ("vintage",))
+
+
+#: Published tables by the published ones that they follow from, with their keys.
+AGAIN = {
+    "queue": (lambda r: review_queue(r["predictions"]), ("application_id",)),
+    "portfolio": (lambda r: rollup.portfolio_aggregate(r["predictions"]).withColumn("scope", F.lit("portfolio")), ("scope",)),
+    "vintages": (lambda r: rollup.vintage_metrics(r["predictions"]), ("vintage",)),
+    "deciles": (lambda r: rollup.risk_deciles(r["predictions"]), ("decile",)),
+    "cohorts": (lambda r: rollup.cohort_rollup(r["predictions"]), ("scope", "vintage", "segment")),
+    "score_psi": (score_psi, ("vintage",)),
+    "budgets": (lambda r: rollup.budget_table(r["scores"], r["outcomes"], r["capacities"]), ("method", "percent")),
+    "policies": (lambda r: rollup.capacity_policy_table(r["scores"], r["outcomes"], r["capacities"]), ("method", "percent", "group_type", "group")),
+    "coverage": (coverage_part, ("population", "vintage", "feature")),
+}
+EVIDENCE = {"predictions": ("application_id",), "scores": ("method", "application_id"), "outcomes": ("application_id",), "capacities": ("percent",), "slots": ("population", "application_id", "feature")}
+RULES = {"predictions": lambda rows: rows.filter(contracts.valid_prediction().isNotNull()), "scores": lambda rows: contracts.same_population(rows, ("score",)).filter("rows <> 3")}
+
+
+def published_tables(t: Tables) -> published.Made:
+    """The evidence, and what follows from it."""
+    evidence = {"predictions": t.predictions, "scores": t.scores, "outcomes": t.outcomes, "capacities": t.capacities, "slots": K.slots(t)}
+    made: published.Made = {name: (rows, EVIDENCE[name]) for name, rows in evidence.items()}
+    return made | {name: (build(evidence), keys) for name, (build, keys) in AGAIN.items()}
+
+
+def recheck_folder(spark, path: str) -> DataFrame:
+    """The recheck of a folder with the tables of ``published_tables``, whoever wrote it."""
+    return published.recheck(spark, path, {name: build for name, (build, _) in AGAIN.items()}, RULES)
 
 
 @query(
-    "predictions scores outcomes capacities",
-    """counts AS (SELECT 'predictions' AS name, count(*) AS rows FROM predictions UNION ALL SELECT 'queue', count(*) FILTER (WHERE review_selected = 1) FROM predictions UNION ALL SELECT 'portfolio', 1 UNION ALL SELECT 'vintages', count(DISTINCT vintage) FROM predictions
+    "predictions scores outcomes capacities applications feature_events features stages",
+    f"""{K.ROLLUP}, counts AS (SELECT 'predictions' AS name, count(*) AS rows FROM predictions UNION ALL SELECT 'scores', count(*) FROM scores UNION ALL SELECT 'outcomes', count(*) FROM outcomes UNION ALL SELECT 'capacities', count(*) FROM capacities
+    UNION ALL SELECT 'slots', count(*) FROM slots UNION ALL SELECT 'coverage', count(*) FROM coverage UNION ALL SELECT 'score_psi', count(DISTINCT vintage) FROM predictions WHERE vintage >= '1997-06'
+    UNION ALL SELECT 'queue', count(*) FILTER (WHERE review_selected = 1) FROM predictions UNION ALL SELECT 'portfolio', 1 UNION ALL SELECT 'vintages', count(DISTINCT vintage) FROM predictions
     UNION ALL SELECT 'deciles', least(count(*), 10) FROM predictions UNION ALL SELECT 'cohorts', 1 + count(DISTINCT vintage) + count(DISTINCT segment) + count(DISTINCT (vintage, segment)) FROM predictions
     UNION ALL SELECT 'budgets', (SELECT count(DISTINCT method) FROM scores) * (SELECT count(*) FROM capacities)
     UNION ALL SELECT 'policies', (SELECT count(DISTINCT method) FROM scores) * (SELECT count(*) FROM capacities) * (SELECT 1 + count(DISTINCT vintage) + count(DISTINCT segment) FROM outcomes))
-    SELECT name, rows, CAST(0 AS BIGINT) AS differences, CAST(0 AS BIGINT) AS uneven_population, CAST(0 AS BIGINT) AS uncovered_groups FROM counts""",
+    SELECT name, rows, true AS as_published, CAST(0 AS BIGINT) AS invalid_rows, CAST(0 AS BIGINT) AS differences FROM counts""",
 )
 def e16_recheck_published(t: Tables):
-    """All published tables read again and held against what the published rows give; populations and groups must be complete."""
-    made = {
-        "predictions": (t.predictions, ("application_id",)),
-        "queue": (review_queue(t.predictions), ("application_id",)),
-        "portfolio": (rollup.portfolio_aggregate(t.predictions).withColumn("scope", F.lit("portfolio")), ("scope",)),
-        "vintages": (rollup.vintage_metrics(t.predictions), ("vintage",)),
-        "deciles": (rollup.risk_deciles(t.predictions), ("decile",)),
-        "cohorts": (rollup.cohort_rollup(t.predictions), ("scope", "vintage", "segment")),
-        "budgets": (rollup.budget_table(t.scores, t.outcomes, t.capacities), ("method", "percent")),
-        "policies": (rollup.capacity_policy_table(t.scores, t.outcomes, t.capacities), ("method", "percent", "group_type", "group")),
-    }
-    paths = {name: shared_path(t.spark, name) for name in (*made, "scores", "outcomes")}
-    for name, rows in {**{n: r for n, (r, _) in made.items()}, "scores": t.scores, "outcomes": t.outcomes}.items():
-        tables.write_table(rows, paths[name], tuple(rows.columns))
-    read = {name: t.spark.read.parquet(path) for name, path in paths.items()}
-    rows, scores, outcomes = read["predictions"], read["scores"], read["outcomes"]
-    again = {
-        "predictions": t.predictions,
-        "queue": review_queue(rows),
-        "portfolio": rollup.portfolio_aggregate(rows).withColumn("scope", F.lit("portfolio")),
-        "vintages": rollup.vintage_metrics(rows),
-        "deciles": rollup.risk_deciles(rows),
-        "cohorts": rollup.cohort_rollup(rows),
-        "budgets": rollup.budget_table(scores, outcomes, t.capacities),
-        "policies": rollup.capacity_policy_table(scores, outcomes, t.capacities),
-    }
-    results = []
-    for name in PUBLISHED_TABLES:
-        keys = made[name][1]
-        close = {c: 2e-6 for c, kind in again[name].dtypes if kind == "double"}
-        off = reconcile.reconcile(read[name], again[name].select(*read[name].columns), keys, close)
-        results.append(read[name].agg(F.count("*").alias("rows")).crossJoin(off.agg(F.count("*").alias("differences"))).withColumn("name", F.lit(name)))
-    uneven = contracts.same_population(scores.join(outcomes, "application_id"), ("vintage", "segment")).agg(F.count("*").alias("uneven_population"))
-    groups = reconcile.group_coverage(read["vintages"].select("vintage"), rows, "vintage").agg(F.count("*").alias("uncovered_groups"))
-    return reduce(DataFrame.unionByName, results).crossJoin(F.broadcast(uneven)).crossJoin(F.broadcast(groups))
+    """A folder is published, and rechecked from its manifest and tables alone."""
+    path = shared_path(t.spark, "published")
+    published.publish(published_tables(t), path)
+    return recheck_folder(t.spark, path).drop("joined")
 
 
 @query(
