@@ -20,7 +20,8 @@ combined before each shuffle, and nothing is collected.
 
 * null or empty text: no words
 * repeated rows and ids: each row is a document of its own, with its own output row
-* texts of fewer words than a window are kept whole
+* texts of fewer words than a window are kept whole; an empty table gives no rows
+* very long texts are read whole, a megabyte of texts at a time, in the task of their block
 * columns other than the two named ones are not read
 """
 
