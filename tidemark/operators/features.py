@@ -87,10 +87,10 @@ def scorecard_points(transformed: DataFrame, coefficients: DataFrame, intercept:
 
 
 def contributions(rows: DataFrame, coefficients: DataFrame, names: tuple[str, ...], key: str = "application_id") -> DataFrame:
-    """Each feature's part of the log odds against the training mean, ranked inside its row."""
+    """Each feature's part of the log odds against the training mean, ranked inside its row: what raises the odds most comes first."""
     joined = tall(rows, names, key).join(F.broadcast(coefficients), "name")
     parts = joined.withColumn("contribution", F.round((F.col("value") - F.col("mean")) * F.col("coef") / F.col("scale"), 10))
-    return reason_rank(parts, key, F.abs("contribution"), "ord").select(key, "name", "contribution", "reason_rank")
+    return reason_rank(parts, key, F.col("contribution"), "ord").select(key, "name", "contribution", "reason_rank")
 
 
 def rebuilt_probability(parts: DataFrame, baseline: float, key: str = "application_id") -> DataFrame:

@@ -106,6 +106,25 @@ def fitted(train: DataFrame, calibration: DataFrame, rows: DataFrame, numbers: t
     return named(found)
 
 
+def explained(train: DataFrame, rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """What each input adds to the log odds of ``rows`` by the logistic model of ``train``, and how far the sums are from its ``scores``.
+
+    Section ``explanation`` has a row for each row and input, with the baseline's
+    log odds; section ``rebuild`` counts the rows and has the greatest distance.
+    """
+    model = models.fit_logistic(stored(models.matrix(train, train), "learned"))
+    *weights, (_, baseline) = models.fit_audit(model)
+    inputs = features.design_matrix(train)
+    moments = inputs.agg(*(x for i, (n, _) in enumerate(weights) for x in (F.avg(n).alias(f"mean_{i}"), F.stddev_pop(n).alias(f"scale_{i}"))))
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(w).alias("coef"), F.col(f"mean_{i}").alias("mean"), F.when(F.col(f"scale_{i}") == 0, 1.0).otherwise(F.col(f"scale_{i}")).alias("scale"), F.lit(i).alias("ord")) for i, (n, w) in enumerate(weights)))
+    # One row an input.
+    coefficients = stored(moments.select(F.explode(listed).alias("x")).select("x.*"), "coefficients")
+    parts = stored(features.contributions(features.design_matrix(rows), coefficients, tuple(n for n, _ in weights)), "contributions")
+    again = features.rebuilt_probability(parts, baseline).join(scores.select("application_id", F.col("score").cast("double").alias("score")), "application_id")
+    gap = again.agg(F.count("*").alias("applications"), F.max(F.abs(F.col("probability") - F.col("score"))).alias("greatest_gap"))
+    return sections(explanation=parts.withColumnRenamed("name", "feature").withColumn("baseline_log_odds", F.lit(baseline)), rebuild=gap)
+
+
 def named(found: dict[str, DataFrame]) -> DataFrame:
     """The methods' ``raw_pd`` as one table of scores."""
     each = (rows.select("application_id", F.lit(name).alias("method"), F.col("raw_pd").cast("decimal(12,10)").alias("score")) for name, rows in found.items())

@@ -428,12 +428,12 @@ NAMES = ("utilization", "debt_to_income", "prior_delinquencies")
 PARTS = "SELECT application_id, name, ord, round((value - mean) * coef / scale, 10) AS contribution FROM base_values JOIN coefficients USING (name)"
 
 
-@query("base_values risk coefficients", f"SELECT application_id, name, contribution, CAST(row_number() OVER (PARTITION BY application_id ORDER BY abs(contribution) DESC, ord) AS INTEGER) AS reason_rank FROM ({PARTS})")
+@query("base_values risk coefficients", f"SELECT application_id, name, contribution, CAST(row_number() OVER (PARTITION BY application_id ORDER BY contribution DESC, ord) AS INTEGER) AS reason_rank FROM ({PARTS})")
 def l15_log_odds_contributions(t: Tables):
     return features.contributions(t.risk, t.coefficients, NAMES)
 
 
-@query("base_values coefficients", f"SELECT application_id, CAST(row_number() OVER (PARTITION BY application_id ORDER BY abs(contribution) DESC, ord) AS INTEGER) AS reason_rank, name FROM ({PARTS})")
+@query("base_values coefficients", f"SELECT application_id, CAST(row_number() OVER (PARTITION BY application_id ORDER BY contribution DESC, ord) AS INTEGER) AS reason_rank, name FROM ({PARTS})")
 def w06_reason_rank(t: Tables):
     return features.contributions(t.risk, t.coefficients, NAMES).select("application_id", "reason_rank", "name")
 

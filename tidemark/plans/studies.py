@@ -97,7 +97,10 @@ def e08_cohorts_and_queue(t: Tables):
 
 @query("")
 def e09_same_budget_comparison(t: Tables):
-    """Six methods fitted on the training stage meet the same test rows and budgets; intervals are against the business rule."""
+    """Six methods fitted on the training stage meet the same test rows and budgets; intervals are against the business rule.
+
+    Beside the policies are what each input adds to the raw logistic score, and that these parts rebuild it.
+    """
     known = stored(features.design_matrix(complete(t)), "known")
     train, calibration, test = (of_stage(known, s) for s in ("train", "calibration", "test"))
     rule = test.select("application_id", features.business_rule(*map(F.col, S.NAMES)).alias("raw_pd"))
@@ -106,7 +109,8 @@ def e09_same_budget_comparison(t: Tables):
     outcomes = test.select("application_id", "label", F.date_format("decision_at", "yyyy-MM").alias("vintage"), "segment", "principal_cents")
     policies = study.compare(scores, outcomes, t.capacities, S.REPLICATES, S.SEED, "business_rule")
     quality = metrics.quality(scores.join(outcomes.select("application_id", "label"), "application_id"), "score", "label", ("method",))
-    return policies.join(quality.select("method", "brier", "auc", "average_precision"), "method")
+    reasons = study.explained(train, test, scores.filter("method = 'logistic'"))
+    return policies.join(quality.select("method", "brier", "auc", "average_precision"), "method").withColumn("section", F.lit("policy")).unionByName(reasons, allowMissingColumns=True)
 
 
 def labelled_risk(t: Tables) -> DataFrame:
