@@ -134,9 +134,9 @@ def e10_static_split_study(t: Tables):
 
 @query("")
 def e11_repeated_split_study(t: Tables):
-    """The frozen seeds of the repeated study, every result kept; rows without a seed have their mean, least and greatest."""
+    """The frozen seeds of the repeated study, four methods each, every result kept; rows without a seed have their mean, least and greatest."""
     base = labelled_risk(t)
-    runs = [(seed, *split_scores(base, seed, False)) for seed in SEEDS]
+    runs = [(seed, *split_scores(base, seed, True)) for seed in SEEDS]
     scores, outcomes = (reduce(DataFrame.unionByName, (run[i].withColumn("seed", F.lit(run[0])) for run in runs)) for i in (1, 2))
     every = stored(study.quality_and_budgets(stored(scores, "scores"), stored(outcomes, "outcomes"), t.capacities, ("seed",)), "results")
     summary = rollup.repeat_summary(every, ("method", "percent"), ("auc", "average_precision", "brier", "captured", "capture"))

@@ -19,9 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    """A new place in the shared folder, under this application's name."""
+    return f"{_own_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application stored.  DataFrames that were built from it can't be read any more: call it when their results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
