@@ -161,6 +161,13 @@ def test_rules_of_equal_length_and_both_verdicts(spark):
     assert got == {1: ("a.bc/", "block"), 2: ("bc/d", "block"), 3: (None, "block")}
 
 
+def test_a_key_tells_host_from_path(spark):
+    pages = spark.createDataFrame([(1, "x://a.com/x"), (2, "x://a.co/x"), (3, "x://b/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.co", "m/x", "block"), ("a.c", "om/x", "block"), ("a.com/", "x", "block"), ("b", "/", "block")], "host string, path string, verdict string")
+    got = {r["page_id"]: r["rule"] for r in urls.filter_urls(pages, rules).collect()}
+    assert got == {1: None, 2: None, 3: "b/"}
+
+
 def test_clips_keep_a_tone_and_find_its_segment():
     t = np.arange(12_000 * 2) / audio.RATE
     tone = np.sin(2 * np.pi * 1000 * t) * ((t > 0.5) & (t < 1.0))
