@@ -21,6 +21,7 @@ combined before each shuffle, and nothing is collected.
 * null or empty text: no words
 * repeated rows and ids: each row is a document of its own, with its own output row
 * texts of fewer words than a window are kept whole; an empty table gives no rows
+* rows of one id, or without one, are dealt by their whole text; only rows equal in both share a block
 * very long texts are read whole, a megabyte of texts at a time, in the task of their block
 * columns other than the two named ones are not read
 """
@@ -225,14 +226,18 @@ def _covered(automaton: ahocorasick.Automaton, line: bytes, window: int) -> np.n
     return np.cumsum(edge)[:-1] > 0
 
 
+def deal(docs: DataFrame, blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, text, block)`` of every row."""
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` of every row; ``kept`` has the words that stay, joined by one space."""
     id_type = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = int(max(1, -(-total // block_bytes)))
-    dealt = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
-
+    dealt = deal(docs, blocks, id_col, text_col)
     found = _find_runs(dealt, window)
     # Both groupings are by a struct, so that neither side of the join stays where another step has dealt it: only then can
     # the join of an anchor in a third of all documents be split.  Its runs are counted before they move on.
