@@ -7,11 +7,13 @@ collisions), and the words that they cover are hit.  An item of fewer than ``n``
 words is one window of its own length.
 
 The set is broadcast as a literal set while the benchmark has at most ``MAX_SET``
-distinct windows, and so are these windows' texts, without their items; beyond that
-all document windows meet the benchmark's in a shuffled join on hash and text, with
-the same results.  Items, of which any number may share a window, are joined to the
-windows that were hit.  Documents are scanned once: the windows that passed the set
-are a stored table, with a number for each row.
+distinct windows, and so are these windows' texts, without their items.  A larger
+benchmark is broadcast as a bitmap of its hashes (2^20 words of 64 bits at most);
+hashes and places of the document windows that pass it meet the benchmark's hashes
+in a shuffled join, and only windows that this leaves are cut as text, with the same
+results.  Items, of which any number may share a window, are joined to the windows
+that were hit.  With a literal set documents are scanned once, and the windows that
+passed are a stored table; with a bitmap their words are stored and read twice.
 
 * null or empty text: no words, no hits; items without words never occur
 * repeated rows and ids: one output row for each input row; an item_id used
@@ -31,6 +33,8 @@ from tidemark.sources.shared import stored, unused
 
 N = 10
 MAX_SET = 100_000
+#: Leading bits of a hash that choose a word of the bitmap.
+WORD_BITS = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,6 +60,24 @@ def item_windows(benchmark: DataFrame, n: int = N, item_col: str = "item_id", te
     return items.select("item_id", size.alias("n_words"), F.explode(cut).alias("w")).select("item_id", "n_words", F.array_join("w", " ").alias("window"), F.xxhash64("w").alias("hash"))
 
 
+def _bitmap(hash_: Column) -> tuple[Column, Column]:
+    """The word of the bitmap that a hash falls in, by its leading bits, and its bit there, by its last six."""
+    return F.shiftrightunsigned(hash_, 64 - WORD_BITS), F.pmod(hash_, F.lit(64)).cast("int")
+
+
+def _met_by_bitmap(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(row, at, hash, k, window)`` of the windows of stored ``rows`` (row, words, n_words) that the benchmark has."""
+    hashed = lambda k: F.transform(F.sequence(F.lit(1), F.col("n_words") - (k - 1)), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(_at(F.col("words"), i, k)).alias("hash"), F.lit(k).alias("k")))
+    none = F.array().cast("array<struct<at:int,hash:bigint,k:int>>")
+    word, bit = _bitmap(F.col("hash"))
+    bits = windows.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    every = rows.select("row", F.explode(F.concat(none, *(F.when(F.col("n_words") >= k, hashed(k)).otherwise(none) for k in lengths))).alias("x")).select("row", "x.*")
+    passed = every.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.getbit("bits", bit) == 1).select("row", "at", "hash", "k")
+    possible = passed.join(windows.select("hash", "k").distinct(), ["hash", "k"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "hash", "k")).alias("places"))
+    cut = F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), x["k"].alias("k"), F.array_join(F.slice("words", x["at"] + 1, x["k"]), " ").alias("window")))
+    return rows.join(possible, "row").select("row", F.explode(cut).alias("x")).select("row", "x.*").join(windows, ["hash", "window", "k"])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_set: int = MAX_SET) -> DataFrame:
     """``(id, n_words, hit_words array<int>, items array<string>)`` of every row: positions from 0, item ids sorted."""
     listed = stored(item_windows(benchmark, n, item_col, text_col).distinct(), "windows")
@@ -72,14 +94,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_i
     def found(k: int) -> Column:
         starts = F.sequence(F.lit(1), F.col("n_words") - (k - 1))
         hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(_at(F.col("words"), i, k)).alias("hash")))
-        kept = F.filter(hashed, lambda x: x["hash"].isin(hashes[k])) if small else hashed
+        kept = F.filter(hashed, lambda x: x["hash"].isin(hashes[k]))
         out = F.transform(kept, lambda x: F.struct((x["at"] - 1).alias("at"), x["hash"].alias("hash"), F.lit(k).alias("k"), F.array_join(_at(F.col("words"), x["at"], k), " ").alias("window")))
         return F.when(F.col("n_words") >= k, out).otherwise(F.array().cast("array<struct<at:int,hash:bigint,k:int,window:string>>"))
 
-    none = F.array().cast("array<struct<at:int,hash:bigint,k:int,window:string>>")
-    seen = stored(base.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", (F.concat(*map(found, sorted(sizes))) if sizes else none).alias("found")), "seen")
-    flat = seen.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    met = stored(flat.join(F.broadcast(windows) if small else windows, ["hash", "window", "k"]), "hits")
+    numbered = base.withColumn("row", F.monotonically_increasing_id())
+    if small:
+        none = F.array().cast("array<struct<at:int,hash:bigint,k:int,window:string>>")
+        seen = stored(numbered.select("row", "id", "n_words", (F.concat(*map(found, sorted(sizes))) if sizes else none).alias("found")), "seen")
+        met = stored(seen.select("row", F.explode("found").alias("x")).select("row", "x.*").join(F.broadcast(windows), ["hash", "window", "k"]), "hits")
+    else:
+        seen = stored(numbered, "seen")
+        met = stored(_met_by_bitmap(seen, windows, sorted(sizes)), "hits")
     hits = met.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1))))).alias("hit_words"))
     owned = listed.select("hash", "window", F.col("n_words").alias("k"), "item_id")
     items = met.select("row", "hash", "window", "k").distinct().join(owned, ["hash", "window", "k"]).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
