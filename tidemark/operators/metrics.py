@@ -83,10 +83,11 @@ def bootstrap_draws(months: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``(replicate, vintage, weight)``: as many months drawn with replacement as there are, by SHA-256 of seed, replicate and slot.
 
     The list of months, not their rows, is broadcast: one entry a month of the calendar.  Null is a month like any other, the first one.
+    Where there is no month, nothing is drawn.
     """
     listed = months.select("vintage").distinct().agg(F.sort_array(F.collect_set(F.struct("vintage"))).alias("all"))
     slots = months.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(listed))
-    drawn = slots.select("replicate", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("slot"))
+    drawn = slots.filter(F.size("all") > 0).select("replicate", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("slot"))
     digits = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("replicate"), F.col("slot")), 256), 1, 8)
     index = (F.conv(digits, 16, 10).cast("long") % F.size("all")).cast("int")
     return drawn.select("replicate", F.get("all", index)["vintage"].alias("vintage")).groupBy("replicate", "vintage").agg(F.count("*").cast("int").alias("weight"))
