@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import join_same, laid_by_range, running_counts, select_capacity
+from tidemark.sources.shared import stored
 
 #: Distinct scores that the bootstrap's vectors by month are formed for at a time.
 SCORES_AT_ONCE = 2048
@@ -237,17 +238,21 @@ def quantile_interval(values: DataFrame, value: str, by: tuple[str, ...] = ()) -
     return out.select(*by, F.round(F.get("q", 0), 8).alias("low"), F.round(F.get("q", 1), 8).alias("high"), "valid")
 
 
-def capture_bootstrap(ranked: DataFrame, draws: DataFrame, capacities: DataFrame, by: str = "method", per_cell: int = 256) -> DataFrame:
+def capture_bootstrap(ranked: DataFrame, draws: DataFrame, capacities: DataFrame, by: str = "method", per_cell: int = 256, cells: int = 512) -> DataFrame:
     """Events captured by each ``by`` and capacity in every replicate, with months as often as drawn.
 
     ``ranked`` has ``rank`` within ``by``.  A row drawn w times takes w places;
     the last one inside the budget may count in part.
 
-    Rows are counted by month in cells of ``per_cell`` ranks, and the counts, not
-    the rows, meet the replicates.  Only the cell that holds a budget's end is
-    opened: its rows meet the replicates whose budget ends there.
+    Rows are counted by month in at most ``cells`` cells of ``per_cell`` ranks or
+    more, and the counts, not the rows, meet the replicates: months times cells
+    for each ``by``, however many rows there are.  Only the cell that holds a
+    budget's end is opened: its rows meet the replicates whose budget ends there.
     """
-    celled = ranked.select(by, "rank", "label", "vintage", F.expr(f"(rank - 1) div {per_cell}").alias("cell"))
+    # Read for the cells' size, the counts and the opened cells.
+    rows = stored(ranked.select(by, "rank", "label", "vintage"), "ranked")
+    size = max(per_cell, -(-(rows.agg(F.max("rank")).first()[0] or 0) // cells))
+    celled = rows.withColumn("cell", F.expr(f"(rank - 1) div {size}"))
     counts = celled.groupBy(by, "cell", "vintage").agg(F.count("*").alias("rows"), F.sum("label").alias("hits"))
     weighted = counts.join(draws, "vintage").groupBy(by, "replicate", "cell").agg(F.sum(F.col("rows") * F.col("weight")).alias("rows"), F.sum(F.col("hits") * F.col("weight")).alias("hits"))
     upto = running_counts(weighted, "cell", ("rows", "hits"), (by, "replicate"), totals=True)
