@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import design_matrix, standardize
+from tidemark.sources.shared import stored
 
 INPUTS = ("utilization", "debt_to_income", "prior_delinquencies", "log_principal", "small_business")
 
@@ -41,8 +44,70 @@ def calibrated(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows.withColumn("grid", F.round("raw_pd", 6))).withColumn("calibrated_pd", F.round(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)), 10)).drop("grid", "prediction")
 
 
+#: Bins of an input, as many as MLlib's trees tell apart by default.
+TREE_BINS = 32
+#: Cells in a task of a tree fit.
+CELLS = 20_000
+
+
+def bin_cuts(train: DataFrame, columns: list[str]) -> list[list[float]]:
+    """For each column its distinct values, if they are at most TREE_BINS, else its distinct quantiles."""
+    fractions = F.array(*(F.lit(k / TREE_BINS) for k in range(1, TREE_BINS)))
+    found = train.agg(*(F.approx_count_distinct(c, 0.02).alias(f"n_{c}") for c in columns), *(F.percentile_approx(c, fractions, 10_000).alias(f"q_{c}") for c in columns)).first()
+    cuts = []
+    for c in columns:
+        # The estimate only spares columns of many values a distinct count.
+        few = [r[0] for r in train.select(c).distinct().limit(TREE_BINS + 1).collect()] if found[f"n_{c}"] <= 2 * TREE_BINS else None
+        cuts.append(sorted(few if few and len(few) <= TREE_BINS else set(found[f"q_{c}"] or [0.0])))
+    return cuts
+
+
+class BinnedTrees:
+    """Boosted trees over the bins of ``features``."""
+
+    def __init__(self, cuts: list[list[float]], model) -> None:
+        self.cuts, self.model = cuts, model
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        spread, columns = spread_out(rows, len(self.cuts))
+        return self.model.transform(binned(spread, columns, self.cuts)).drop("cells")
+
+
+def spread_out(rows: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` with a column for each of the ``n`` numbers in ``features``, and their names."""
+    columns = [f"__x_{i}" for i in range(n)]
+    array = vector_to_array("features")
+    return rows.withColumns({c: array[i] for i, c in enumerate(columns)}), columns
+
+
+def binned(spread: DataFrame, columns: list[str], cuts: list[list[float]]) -> DataFrame:
+    """``columns`` replaced by the vector ``cells`` of their bins."""
+    bins = [f"{c}_bin" for c in columns]
+    placed = Bucketizer(splitsArray=[[-math.inf, *c, math.inf] for c in cuts], inputCols=columns, outputCols=bins, handleInvalid="keep").transform(spread)
+    return VectorAssembler(inputCols=bins, outputCol="cells").transform(placed).drop(*columns, *bins)
+
+
 def fit_trees(train: DataFrame, rounds: int = 100, step: float = 0.05, depth: int = 3, leaf: int = 20, seed: int = 7):
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(train)
+    """Boosted trees, fitted on the weighted cells of TREE_BINS bins an input.
+
+    Trees see their inputs by bin only, so rows of equal bins and label are one
+    cell that weighs as many: a round passes over the cells, which the bins bound,
+    whatever the rows.  A leaf has ``leaf`` rows or more, counted by weight.
+    """
+    first = train.select("features").first()
+    spread, columns = spread_out(train.select("label", "features"), len(first[0]) if first else 0)
+    cuts = bin_cuts(spread, columns)
+    cells = binned(spread.drop("features"), columns, cuts).groupBy("label", vector_to_array("cells").alias("x")).agg(F.count("*").cast("double").alias("rows"))
+    cells = stored(cells.select("label", "rows", "x"), "cells")
+    size = cells.agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")).first()
+    data = cells.select("label", "rows", array_to_vector("x").alias("cells")).repartition(size["cells"] // CELLS + 1)
+    splits = size["rows"] >= 2 * leaf
+    trees = GBTClassifier(
+        featuresCol="cells", labelCol="label", weightCol="rows", maxIter=rounds, stepSize=step, maxDepth=depth, maxBins=TREE_BINS + 2, seed=seed,
+        # Half a row less, so that a leaf of exactly as many is not lost to rounding.
+        minInstancesPerNode=1 if splits else int(size["rows"]) + 1, minWeightFractionPerNode=(leaf - 0.5) / size["rows"] if splits else 0.0,
+    )
+    return BinnedTrees(cuts, trees.fit(data))
 
 
 def one_hot(train: DataFrame, columns: tuple[str, ...]):

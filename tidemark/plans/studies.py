@@ -5,8 +5,10 @@ Each job chains the operators that its users would call in turn, and returns one
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +138,10 @@ def e10_static_split_study(t: Tables):
 def e11_repeated_split_study(t: Tables):
     """The frozen seeds of the repeated study, four methods each, every result kept; rows without a seed have their mean, least and greatest."""
     base = labelled_risk(t)
-    runs = [(seed, *split_scores(base, seed, True)) for seed in SEEDS]
+    # A fit is some hundreds of short jobs; the seeds' fits fill the cluster side by side.
+    one = inheritable_thread_target(t.spark)(lambda seed: (seed, *split_scores(base, seed, True)))
+    with ThreadPoolExecutor(len(SEEDS)) as pool:
+        runs = list(pool.map(one, SEEDS))
     scores, outcomes = (reduce(DataFrame.unionByName, (run[i].withColumn("seed", F.lit(run[0])) for run in runs)) for i in (1, 2))
     every = stored(study.quality_and_budgets(stored(scores, "scores"), stored(outcomes, "outcomes"), t.capacities, ("seed",)), "results")
     summary = rollup.repeat_summary(every, ("method", "percent"), ("auc", "average_precision", "brier", "captured", "capture"))
