@@ -100,7 +100,7 @@ def _word_hashes(words: _text.Words, seed: int) -> np.ndarray:
     out = np.empty(len(words.start), np.uint64)
     i = 0
     while i < len(out):
-        j = max(i + 1, int(np.searchsorted(words.end, words.start[i] + _text.WINDOW_WORDS_BYTES)))
+        j = max(i + 1, int(np.searchsorted(words.end, words.start[i] + 8 * _text.WINDOW_WORDS_BYTES)))
         low, high = words.start[i], words.end[j - 1]
         out[i:j] = _text.range_hashes(values[words.data[low:high]], words.start[i:j] - low, words.end[i:j] - low)
         i = j
