@@ -1,10 +1,12 @@
 """Point-in-time joins: what was known at a decision, and which outcomes are mature at a cutoff.
 
-Latest values are merged, not joined: decisions and records lie in one order by
-entity and time, laid by range, and what was best so far is carried from record to
-decision.  No record meets a decision in a row, so an entity of n decisions and m
-records costs n + m rows, in as many tasks as they fill.  Everything is by decision,
-an entity and a time: an entity may have several.
+An entity of few decisions and records is joined: each record meets each of its
+decisions, FEW_DECISIONS at most, and one shuffle by entity serves the join and its
+groups.  Crowded entities are merged: their decisions and records lie in one order
+by entity and time, laid by range, and what was best so far is carried from record
+to decision, so that n decisions and m records cost n + m rows, in as many tasks
+as they fill.  Everything is by decision, an entity and a time: an entity may have
+several.
 """
 
 from __future__ import annotations
@@ -13,12 +15,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import carried
+from tidemark.sources.shared import stored
 
 HORIZON_DAYS = 180
 REPORT_STEP = 30
 REPORTING_LAG = 2
 DEFAULT_DPD = 90
 FEATURES = ("utilization", "debt_to_income", "prior_delinquencies")
+#: Decisions and records of an entity up to which it is joined in one task; beyond either it is merged.
+FEW_DECISIONS, FEW_RECORDS = 16, 1_000_000
+#: Buckets by which records are counted before those of single entities are.
+BUCKETS = 1 << 16
+
+
+def _crowded(decisions: DataFrame, records: DataFrame, key: str) -> DataFrame | None:
+    """The entities of more than FEW_DECISIONS decisions or FEW_RECORDS records, stored; None if there are none.
+
+    Records are counted by bucket of their entity first, which shuffles BUCKETS
+    counts a task; only entities of a bucket that holds too many are counted.
+    """
+    over = lambda rows, most: rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key)
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    full = [r["bucket"] for r in records.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW_RECORDS).collect()]
+    found = over(decisions, FEW_DECISIONS)
+    if full:
+        # A table that fills most buckets has its entities counted without them.
+        found = found.unionByName(over(records.filter(bucket.isin(full)) if len(full) < 1000 else records, FEW_RECORDS)).distinct()
+    found = stored(found.filter(F.col(key).isNotNull()), "crowded")
+    return None if found.isEmpty() else found
+
+
+def _parted(crowded: DataFrame | None, key: str, *tables: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """``tables`` without the rows of the crowded entities, and with those alone."""
+    if crowded is None:
+        return list(tables), []
+    return [rows.join(crowded, key, "left_anti") for rows in tables], [rows.join(crowded, key, "left_semi") for rows in tables]
 
 
 def _merged(decisions: DataFrame, records: DataFrame, by: tuple[str, ...], name: str, summed: bool = False) -> DataFrame:
@@ -37,11 +68,20 @@ def asof_latest(left: DataFrame, events: DataFrame, key: str = "application_id",
     the greatest value; events without either time are never known.
     """
     keys = (key, *by)
-    known = events.filter("available_at is not null and observed_at is not null")
-    records = known.select(*keys, F.greatest("available_at", "observed_at").alias("time"), F.struct("available_at", "observed_at", "value").alias("best"))
-    # A decision is asked for the groups that its entity has.
-    asked = left.select(key, F.col(left_time).alias("time")).filter("time is not null").distinct().join(known.select(*keys).distinct(), key)
-    latest = _merged(asked, records, keys, "x").filter("x is not null")
+    asked = left.select(key, F.col(left_time).alias("time")).filter("time is not null")
+    known = events.filter("available_at is not null and observed_at is not null").select(*keys, "available_at", "observed_at", "value")
+    # Stored, since entities are counted before they are joined.
+    known = stored(known.join(asked.select(key), key, "left_semi"), "known")
+    (asked, known), crowds = _parted(_crowded(asked, known, key), key, asked, known)
+    found = F.struct("available_at", "observed_at", "value")
+    seen = asked.join(known, key).filter((F.col("available_at") <= F.col("time")) & (F.col("observed_at") <= F.col("time")))
+    latest = seen.groupBy(key, "time", *by).agg(F.max(found).alias("x"))
+    if crowds:
+        asked, known = crowds
+        # A decision is asked for the groups that its entity has.
+        asked = asked.distinct().join(known.select(*keys).distinct(), key)
+        merged = _merged(asked, known.select(*keys, F.greatest("available_at", "observed_at").alias("time"), found.alias("best")), keys, "x")
+        latest = latest.unionByName(merged.filter("x is not null"))
     return latest.select(key, F.col("time").alias(left_time), *by, "x.value", "x.observed_at", "x.available_at")
 
 
@@ -105,10 +145,20 @@ def bitemporal(decisions: DataFrame, observations: DataFrame, features: DataFram
     keys = ("application_id", "feature")
     available = F.greatest("published_at", "ingested_at")
     found = F.struct("event_at", "revision", "record_id", "value", "deleted", "source", "published_at", "ingested_at", available.alias("available_at"))
-    records = observations.filter("published_at is not null and ingested_at is not null").select(F.col("entity_id").alias("application_id"), "feature", available.alias("time"), found.alias("best"))
+    named = observations.withColumnRenamed("entity_id", "application_id")
     end_of_day = F.expr("cast(date_add(decision_at, 1) as timestamp) - interval 1 microsecond")
-    slots = decisions.select("application_id", "decision_at", end_of_day.alias("time")).crossJoin(F.broadcast(features.select(F.col("name").alias("feature"))))
-    best = _merged(slots, records, keys, "x")
+    asked = decisions.select("application_id", "decision_at")
+    (few, some), crowds = _parted(_crowded(asked, named, "application_id"), "application_id", asked, named)
+    slots = lambda rows: rows.withColumn("time", end_of_day).crossJoin(F.broadcast(features.select(F.col("name").alias("feature"))))
+    records = lambda rows: rows.filter("published_at is not null and ingested_at is not null").select(*keys, available.alias("time"), found.alias("best"))
+    # Equal decisions are one until their best record is known.
+    once = slots(few.groupBy("application_id", "decision_at").agg(F.count("*").alias("copies")))
+    known = records(some).select(F.col("application_id").alias("entity"), F.col("feature").alias("of"), F.col("time").alias("since"), "best")
+    met = once.join(known, (F.col("application_id") == F.col("entity")) & (F.col("feature") == F.col("of")) & (F.col("since") <= F.col("time")), "left")
+    best = met.groupBy(*keys, "decision_at", "time", "copies").agg(F.max("best").alias("x"))
+    best = best.select(*keys, "decision_at", "time", "x", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("col")
+    if crowds:
+        best = best.unionByName(_merged(slots(crowds[0]), records(crowds[1]), keys, "x"))
     fresh = F.col("x.event_at") >= F.col("time") - F.expr(f"interval {max_age_days} days")
     status = F.when(F.col("x").isNull(), "no_history").when(F.col("x.deleted"), "deleted").when(fresh, "selected").otherwise("stale")
     return best.select("application_id", "decision_at", "feature", status.alias("status"), "x.*")
@@ -143,8 +193,16 @@ def first_late_arrival(apps: DataFrame, events: DataFrame, as_of: Column) -> Dat
 
 def compare_naive(apps: DataFrame, events: DataFrame) -> DataFrame:
     """Slots of each decision whose latest value of all differs from the value known at the decision."""
-    naive = events.groupBy("application_id", "name").agg(F.max_by("value", "available_at").alias("naive_value"))
-    known = asof_latest(apps, events).select("application_id", "decision_at", "name", F.col("value").alias("known_value"))
-    asked = apps.select("application_id", "decision_at").distinct().join(naive, "application_id")
-    both = asked.join(known, ["application_id", "decision_at", "name"], "left")
+    events = stored(events.select("application_id", "name", "value", "observed_at", "available_at"), "events")
+    asked = apps.select("application_id", "decision_at")
+    (few, some), crowds = _parted(_crowded(asked, events, "application_id"), "application_id", asked, events)
+    timely = (F.col("available_at") <= F.col("decision_at")) & (F.col("observed_at") <= F.col("decision_at"))
+    naive = F.max_by("value", "available_at").alias("naive_value")
+    known = F.max(F.when(timely, F.struct("available_at", "observed_at", "value")))["value"].alias("known_value")
+    both = few.join(some, "application_id").groupBy("application_id", "decision_at", "name").agg(naive, known)
+    if crowds:
+        asked, events = crowds
+        late = asof_latest(asked, events).select("application_id", "decision_at", "name", F.col("value").alias("known_value"))
+        slots = asked.distinct().join(events.groupBy("application_id", "name").agg(naive), "application_id")
+        both = both.unionByName(slots.join(late, ["application_id", "decision_at", "name"], "left").select(*both.columns))
     return both.filter(~F.col("naive_value").eqNullSafe(F.col("known_value")))
