@@ -23,8 +23,11 @@ def bad(ok: Column, code: str) -> Column:
 
 
 def day(text: Column) -> Column:
-    """The date of a canonical ``YYYY-MM-DD`` text, else null."""
-    return F.when(text.rlike(DAY), F.try_to_date(text, "yyyy-MM-dd"))
+    """The date of a canonical ``YYYY-MM-DD`` text, else null.
+
+    The cast of such a text is much cheaper than a parse by pattern, and takes the same days.
+    """
+    return F.when(text.rlike(DAY), text.try_cast("date"))
 
 
 def finite(text: Column) -> Column:
