@@ -240,8 +240,8 @@ RULES = {"predictions": lambda rows: rows.filter(contracts.valid_prediction().is
 
 
 def published_tables(t: Tables) -> published.Made:
-    """The evidence, and what follows from it."""
-    evidence = {"predictions": t.predictions, "scores": t.scores, "outcomes": t.outcomes, "capacities": t.capacities, "slots": K.slots(t)}
+    """The evidence, and what follows from it.  The evidence is stored, since nine tables are built from it."""
+    evidence = {n: stored(getattr(t, n), "evidence") for n in ("predictions", "scores", "outcomes", "capacities")} | {"slots": K.slots(t)}
     made: published.Made = {name: (rows, EVIDENCE[name]) for name, rows in evidence.items()}
     return made | {name: (build(evidence), keys) for name, (build, keys) in AGAIN.items()}
 
