@@ -109,8 +109,13 @@ def p11_row_shape(t: Tables):
     return rows.select("application_id", "_corrupt").agg(F.count("application_id").alias("rows"), F.count("_corrupt").alias("misshapen"))
 
 
+def with_inputs(t: Tables):
+    """Rows of all stages whose inputs are known, with or without a label."""
+    return stored(K.cohorts(t).dropna(subset=["utilization", "debt_to_income", "prior_delinquencies"]), "cohorts")
+
+
 def complete(t: Tables):
-    return stored(K.cohorts(t).dropna(subset=["label", "utilization", "debt_to_income", "prior_delinquencies"]), "cohorts")
+    return with_inputs(t).dropna(subset=["label"])
 
 
 def of_stage(rows, stage: str):
@@ -170,13 +175,14 @@ def l21_fit_audit(t: Tables):
 
 def monitored(t: Tables):
     """Scores of the calibration stage and of the visible current cohort, by the model of the training rows; labels of neither are read."""
-    known = complete(t)
+    rows = with_inputs(t)
+    known = rows.dropna(subset=["label"])
     train = of_stage(known, "train")
     model = models.fit_logistic(models.matrix(train, train))
-    current = asof.in_stages(t.applications.select(*K.APPS), t.stages).filter((F.col("stage") == "test") & (F.col("decision_at") <= K.day()))
-    wide = current.join(asof.feature_pivot(asof.asof_latest(current, t.feature_events)), ["application_id", "decision_at"]).dropna(subset=["utilization", "debt_to_income", "prior_delinquencies"])
-    reference = models.raw_scores(model, models.matrix(train, of_stage(known, "calibration")))
-    return reference, models.raw_scores(model, models.matrix(train, wide)).withColumn("vintage", F.date_format("decision_at", "yyyy-MM"))
+    # Inputs are those of the decision whatever the outcome, so the current rows are the test stage's, without their outcomes.
+    current = of_stage(rows, "test").filter(F.col("decision_at") <= K.day()).drop("status", "label")
+    scored = lambda part: models.raw_scores(model, models.matrix(train, part)).select(F.date_format("decision_at", "yyyy-MM").alias("vintage"), "raw_pd")
+    return stored(scored(of_stage(known, "calibration")), "reference"), stored(scored(current), "current")
 
 
 @query("")

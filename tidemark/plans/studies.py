@@ -37,7 +37,7 @@ def e01_evaluate(t: Tables):
 def e04_score_monitor(t: Tables):
     """A model of the training rows scores the calibration stage and the visible current cohort: PSI of the whole with its bins, and by month."""
     reference, current = monitored(t)
-    return study.score_drift(stored(reference.select("raw_pd"), "reference"), stored(current.select("vintage", "raw_pd"), "current"), "raw_pd")
+    return study.score_drift(reference, current, "raw_pd")
 
 
 INPUTS = f"""{K.ASOF}, seen AS (SELECT application_id, principal_cents, segment, stage, strftime(decision_at, '%Y-%m') AS vintage FROM applications JOIN stages ON decision_at BETWEEN start_at AND end_at WHERE stage <> 'train' AND decision_at <= {K.CUT}
@@ -194,9 +194,11 @@ def e14_lineage_job(t: Tables):
     Values come from the bitemporal slots; where a slot has none, the training
     median stands in, beside its flag.
     """
+    t = t.kept("applications")
     slots = stored(asof.bitemporal(t.applications, t.observations, t.features), "slots")
     wide = asof.feature_pivot(slots.filter("status = 'selected'").select("application_id", "decision_at", F.col("feature").alias("name"), F.col("value").cast("double").alias("value")))
-    known = asof.mature_outcomes(asof.in_stages(t.applications.select(*K.APPS), t.stages), t.performance, F.col("cutoff"), ("cutoff",)).filter("label is not null").join(wide, ["application_id", "decision_at"], "left")
+    staged = asof.in_stages(t.applications.select(*K.APPS), t.stages)
+    known = asof.mature_outcomes(staged, t.of(staged).performance, F.col("cutoff"), ("cutoff",)).filter("label is not null").join(wide, ["application_id", "decision_at"], "left")
     known = stored(features.design_matrix(known), "known")
     for name in asof.FEATURES:
         known = features.impute_median(of_stage(known, "train"), known, name)
