@@ -1,4 +1,4 @@
-"""Tables of the stages' applications alone, and features asked for once."""
+"""Tables of the stages' applications alone, features asked for once, and future observations by a join."""
 
 from pyspark.sql import functions as F
 
@@ -48,3 +48,16 @@ def test_a_monitor_asks_for_features_once(spark, monkeypatch):
     visible = asof.in_stages(t.applications, t.stages).filter((F.col("stage") == "test") & (F.col("decision_at") <= K.day()))
     wide = asof.feature_pivot(plain(visible, t.feature_events)).dropna()
     assert current.count() == wide.count() > 0
+
+
+def test_future_observations_are_joined_or_merged(spark, monkeypatch):
+    t = Tables(spark, SF)
+    decisions = t.decisions.unionByName(t.decisions.limit(30)).unionByName(t.decisions.limit(3).withColumn("decision_at", F.lit(None).cast("date")))
+    observed = t.observations.withColumn("published_at", F.when(F.hash("record_id") % 7 != 0, F.col("published_at")))
+    found = []
+    for few in (0, 1, 10**9):
+        monkeypatch.setattr(asof, "FEW_DECISIONS", few)
+        found.append(_rows(asof.future_observations(decisions, observed)))
+    assert found[0] == found[1] == found[2] != []
+    monkeypatch.setattr(asof, "_merged", None)
+    asof.future_observations(decisions, observed)

@@ -175,11 +175,22 @@ def future_observations(decisions: DataFrame, observations: DataFrame) -> DataFr
     Decisions whose entity has none are left out.
     """
     known = observations.select(F.col("entity_id").alias("application_id"), F.greatest("published_at", "ingested_at").alias("time"))
-    totals = known.groupBy("application_id").agg(F.count("*").alias("observations"))
-    records = known.filter("time is not null").select("application_id", "time", F.lit(1).cast("long").alias("best"))
     end_of_day = F.expr("cast(date_add(decision_at, 1) as timestamp) - interval 1 microsecond")
-    seen = _merged(decisions.select("application_id", "decision_at", end_of_day.alias("time")), records, ("application_id",), "seen", summed=True)
-    return seen.join(totals, "application_id").select("application_id", "decision_at", "observations", (F.col("observations") - F.coalesce("seen", F.lit(0))).alias("future"))
+    asked = decisions.select("application_id", "decision_at")
+    (few, some), crowds = _parted(_crowded(asked, known, "application_id"), "application_id", asked, known)
+    once = few.groupBy("application_id", "decision_at").agg(F.count("*").alias("copies"))
+    # A record without a time is never available.
+    late = F.count_if(~F.coalesce(F.col("time") <= end_of_day, F.lit(False))).alias("future")
+    met = once.join(some, "application_id").groupBy("application_id", "decision_at", "copies").agg(F.count("*").alias("observations"), late)
+    out = met.select("application_id", "decision_at", "observations", "future", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("col")
+    if crowds:
+        asked, known = crowds
+        totals = known.groupBy("application_id").agg(F.count("*").alias("observations"))
+        records = known.filter("time is not null").select("application_id", "time", F.lit(1).cast("long").alias("best"))
+        seen = _merged(asked.withColumn("time", end_of_day), records, ("application_id",), "seen", summed=True)
+        future = (F.col("observations") - F.coalesce("seen", F.lit(0))).alias("future")
+        out = out.unionByName(seen.join(totals, "application_id").select("application_id", "decision_at", "observations", future))
+    return out
 
 
 def first_late_arrival(apps: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
