@@ -44,7 +44,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 0.8 similarity or more in five-word shingles, that with the smallest id."""
+    """One document of each group of 0.8 similarity or more in five-word shingles, that with the smallest id: SimHash first, then shingle sets for what it can't find."""
     return near.keep_first(docs).select(*COLUMNS)
 
 

@@ -1,9 +1,12 @@
 """Near-duplicate groups by exact Jaccard similarity (the near-dedup stage of the pipeline).
 
 Two documents link if the sets of their five-word shingles have a Jaccard
-similarity of 0.8 or more; linked documents are one group.  64-bit SimHash can't
-find such pairs: at 0.8 they differ in about ten bits (README).  Candidates come
-from prefix filtering, which misses no pair: of n shingles in any one order, those of
+similarity of 0.8 or more; linked documents are one group.  SimHash comes first:
+classes whose 64-bit fingerprints of these shingles are equal, or meet in the grids of
+``simhash.links`` at MAX_BITS bits, are compared exactly, and those that link are one group from then on.
+That finds copies of few changes only, since at 0.8 two texts differ in about ten bits
+(README).  The rest is found exactly by prefix filtering, which misses no pair and compares
+no two classes that are in one group already: of n shingles in any one order, those of
 two linked documents share one among the first n - ceil(0.8 n) + 1.  The order is by
 frequency, then hash, so a passage in a third of all documents comes last and makes no
 candidates.  Frequencies are counted in one of SAMPLE_ONE_IN distinct texts; that only
@@ -35,12 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import _text
+from tidemark.llm.simhash import MAX_BITS, components, fingerprint, links
 from tidemark.sources.shared import stored, unused
-from tidemark.llm.simhash import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -99,8 +102,9 @@ def rarest_first(s: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.nda
 
 
 def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(row, id, high, low, n, prefix)`` of ``rows`` (row, id, text): set hashes, size, and the shingles that a link must share one of."""
+    """``(row, id, high, low, n, fp, prefix)`` of ``rows`` (row, id, text): set hashes, size, SimHash, and the shingles that a link must share one of."""
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+    simhash = fingerprints_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,11 +115,13 @@ def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 n.append(len(s))
                 prefix.append(rarest_first(s, *common.value)[: len(s) - (OVER * len(s) + UNDER - 1) // UNDER + 1].copy())
             key = np.array(key, np.uint64).reshape(-1, 2).view(np.int64)
+            fp = simhash(batch.column(2), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(n, pa.int32()), _lists(prefix)], ["row", "id", "high", "low", "n", "prefix"]
+                [batch.column(0), batch.column(1), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(n, pa.int32()), pa.array(fp), _lists(prefix)],
+                ["row", "id", "high", "low", "n", "fp", "prefix"],
             )
 
-    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, high long, low long, n int, prefix array<long>")
+    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, high long, low long, n int, fp long, prefix array<long>")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -135,13 +141,42 @@ def _alike(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     return left.join(right, ["u", "v"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The SimHash of each text."""
+    return np.fromiter((fingerprint(t.as_py(), shingle) for t in column), np.uint64, len(column))
+
+
+def _possible(o: Column) -> Column:
+    """Whether sets of sizes ``m`` and ``n`` can be similar enough, having o shingles in common before their prefixes end."""
+    # Beyond the o shingles that both prefixes have, only what is after one of the prefixes can be shared.
+    after = F.floor((F.greatest("m", "n") * OVER + UNDER - 1) / UNDER) - 1
+    return (F.least("m", "n") * UNDER >= F.greatest("m", "n") * OVER) & ((o + after) * (OVER + UNDER) >= (F.col("m") + F.col("n")) * OVER)
+
+
+def by_simhash(heads: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``heads`` (row, n, fp, prefix) with equal or linked fingerprints whose sizes and prefixes leave 0.8 possible.
+
+    The first row of a fingerprint stands for it.  Some pages of one template meet by their fingerprints, but share too few shingles of their prefixes.
+    """
+    classes = stored(heads.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("x")).select("fp", F.col("x.row").alias("first"), F.col("x.n").alias("m")), "fingerprints")
+    same = heads.join(classes, "fp").select(F.col("row").alias("u"), F.col("first").alias("v"), "n", "m")
+    to = links(classes.select("fp"), MAX_BITS).join(classes.select(F.col("fp").alias("u"), F.col("first").alias("a"), F.col("m").alias("n")), "u")
+    near = to.join(classes.select(F.col("fp").alias("v"), F.col("first").alias("b"), "m"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "n", "m")
+    pairs = stored(same.filter("u <> v").unionByName(near).filter(_possible(F.least("n", "m"))), "pairs")
+    left = pairs.join(heads.select(F.col("row").alias("u"), F.col("prefix").alias("p")), "u")
+    return left.join(heads.select(F.col("row").alias("v"), F.col("prefix").alias("q")), "v").filter(_possible(F.size(F.array_intersect("p", "q")))).select("u", "v")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are not in one group of ``roots`` (node, root)."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    return pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce(F.col("root_u") != F.col("root_v"), F.lit(True))).select("u", "v")
+
+
 def _able(pairs: DataFrame, size: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v, o) that can be similar enough, having o shingles in common before their prefixes end."""
     sized = pairs.join(size.toDF("u", "m"), "u").join(size.toDF("v", "n"), "v")
-    # Beyond the o shingles that both prefixes have, only what is after one of the prefixes can be shared.
-    after = F.floor((F.greatest("m", "n") * OVER + UNDER - 1) / UNDER) - 1
-    able = (F.least("m", "n") * UNDER >= F.greatest("m", "n") * OVER) & ((F.col("o") + after) * (OVER + UNDER) >= (F.col("m") + F.col("n")) * OVER)
-    return sized.filter(able).select("u", "v")
+    return sized.filter(_possible(F.col("o"))).select("u", "v")
 
 
 def _across(rest: DataFrame) -> DataFrame:
@@ -172,9 +207,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = own.select(F.col(row).alias("row"), own[id_col].alias("id"), own[text_col].alias("text"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     heads = stored(
-        prints(rows, shingle).groupBy("high", "low").agg(F.min(F.struct(order.alias("order"), "n", "prefix")).alias("x")).select("x.order.none", "x.order.id", F.col("x.order.row").alias("row"), "x.n", "x.prefix"),
+        prints(rows, shingle).groupBy("high", "low").agg(F.min(F.struct(order.alias("order"), "n", "fp", "prefix")).alias("x")).select("x.order.none", "x.order.id", F.col("x.order.row").alias("row"), "x.n", "x.fp", "x.prefix"),
         "classes",
     )
+    alike = stored(_alike(stored(by_simhash(heads.withColumn("n", F.col("n").cast("long"))), "pairs"), rows, shingle), "links")
     # One exchange serves the counts and the join on them.
     marks = heads.select("row", F.col("n").cast("long"), F.posexplode("prefix").alias("i", "h")).repartition("h")
     common = marks.groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("least")).filter("c > 1").select("h", "least")
@@ -182,7 +218,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size = heads.select("row", F.col("n").cast("long"))
     stars = shared.filter("row <> least").groupBy("row", "least").count().groupBy("row").agg(F.max(F.struct("count", "least")).alias("x"))
-    first = stored(_alike(stored(_able(stars.select(F.col("row").alias("u"), F.col("x.least").alias("v"), F.col("x.count").alias("o")), size), "pairs"), rows, shingle), "links")
+    able = _able(stars.select(F.col("row").alias("u"), F.col("x.least").alias("v"), F.col("x.count").alias("o")), size)
+    first = stored(_alike(stored(_apart(able, components(alike)), "pairs"), rows, shingle), "links").union(alike)
     roots = components(first)
     placed = shared.join(roots, shared["row"] == roots["node"], "left").select("h", F.coalesce("root", "row").alias("g"), "row", "n", "i")
     mixed = placed.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h")
