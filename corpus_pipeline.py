@@ -34,7 +34,7 @@ LONG_LINE = 50
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM, with a model from the labels that may be learnt from."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("id")))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("id")), whole=True)
     return toxicity.score_rows(docs, model).filter(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 
 
