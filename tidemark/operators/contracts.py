@@ -180,10 +180,11 @@ def horizon_overlap(loans: DataFrame, stages: DataFrame) -> DataFrame:
     return own.join(F.broadcast(following), "stage").withColumn("separate", F.coalesce(F.col("last_horizon") < F.col("next_start"), F.lit(True)))
 
 
-def same_population(scores: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
-    """Ids that some method doesn't score once, or scores with other attributes."""
+def same_population(scores: DataFrame, attributes: tuple[str, ...], among: DataFrame | None = None) -> DataFrame:
+    """Ids that some method doesn't score once, or scores with other attributes; of the ids ``among`` others only, if given."""
     methods = scores.agg(F.count_distinct("method").alias("methods"))
-    per_id = scores.groupBy("application_id").agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*attributes)).alias("versions"))
+    some = scores if among is None else scores.join(among, scores["application_id"].eqNullSafe(among["application_id"]), "left_semi")
+    per_id = some.groupBy("application_id").agg(F.count("*").alias("rows"), F.count_distinct(F.struct(*attributes)).alias("versions"))
     return per_id.crossJoin(F.broadcast(methods)).filter("rows <> methods or versions <> 1").select("application_id", "rows", "versions")
 
 

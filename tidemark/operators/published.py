@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.reconcile import fingerprint, reconcile, row_words
+from tidemark.operators.reconcile import fingerprint, reconcile, row_words, word_sum
 from tidemark.sources import tables
 from tidemark.sources.shared import stored, unused
 
@@ -32,7 +32,7 @@ def tree(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> Da
     """``(level, bucket, rows, word_0, ..)`` of every node that has rows; level 0 is the root."""
     bucket, *words = unused(rows.columns, "bucket", *WORDS)
     hashed = _bucketed(rows, keys, bucket).select(bucket, *(w.alias(n) for w, n in zip(row_words(*columns), words, strict=True)))
-    leaves = hashed.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("rows"), *(F.sum(w).alias(n) for w, n in zip(words, WORDS, strict=True)))
+    leaves = hashed.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("rows"), *(word_sum(F.col(w)).alias(n) for w, n in zip(words, WORDS, strict=True)))
     # FAN^LEVELS rows at most from here on.
     levels = leaves.select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"), "*")
     node = F.floor(F.col("bucket") / F.pow(F.lit(FAN), F.lit(LEVELS) - F.col("level"))).cast("long")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import global_rank, multi_budget, rank_buckets, with_total
+from tidemark.operators.ranking import global_rank, rank_buckets, with_total
+
+#: Groups of the policy table.
+GROUPS = ("vintage", "segment")
+
 
 def _exposure() -> Column:
     """Cents times probability, exact."""
@@ -64,29 +68,47 @@ def cohort_rollup(predictions: DataFrame, lgd: str = "0.45") -> DataFrame:
     )
 
 
-def budget_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, each: tuple[str, ...] = ()) -> DataFrame:
-    """Method by capacity: reviewed, captured, precision and capture.  Labels are joined after ranking.
+def budget_bands(scores: DataFrame, outcomes: DataFrame, each: tuple[str, ...] = (), groups: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, events and the events' cents of each method, group and ``band``: the least whole percent whose budget takes the row.
 
-    ``each`` are columns of scores and outcomes, such as the seed of a repeat, that have budgets of their own.
+    Labels are joined after ranking.  A hundred bands a group at most, so what is taken at any capacity follows from a few rows, and all tables of budgets from one order.
     """
-    chosen = multi_budget(scores, capacities, "score", "application_id", (*each, "method")).join(outcomes.select(*each, "application_id", "label"), [*each, "application_id"])
+    keys = (*each, "method")
+    columns = [*each, "application_id", "label", *groups, *(["principal_cents"] if "principal_cents" in outcomes.columns else [])]
+    ranked = with_total(global_rank(scores, "score", "application_id", keys), keys)
+    # A budget takes rank <= (n * percent + 99) div 100, which is percent >= (100 * rank - 99) / n.
+    band = F.expr("(100 * rank - 100 + __n) div __n").cast("int").alias("band")
+    rows = ranked.select(*keys, "application_id", band).join(outcomes.select(*columns), [*each, "application_id"])
+    cents = [F.sum(F.col("label") * F.col("principal_cents")).alias("event_cents")] if "principal_cents" in columns else []
+    return rows.groupBy(*keys, *groups, "band").agg(F.count("*").alias("rows"), F.sum("label").cast("long").alias("events"), *cents)
+
+
+def budget_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, each: tuple[str, ...] = (), bands: DataFrame | None = None) -> DataFrame:
+    """Method by capacity (whole percents): reviewed, captured, precision and capture.
+
+    ``each`` are columns of scores and outcomes, such as the seed of a repeat, that have budgets of their own; ``bands`` are those of ``budget_bands``, if they are there already.
+    """
+    bands = budget_bands(scores, outcomes, each) if bands is None else bands
+    chosen = bands.crossJoin(F.broadcast(capacities)).filter("band <= percent")
     total = outcomes.groupBy(*each).agg(F.sum("label").cast("long").alias("total_events"))
-    out = chosen.groupBy(*each, "method", "percent").agg(F.count("*").alias("reviewed"), F.sum("label").cast("long").alias("captured"))
+    out = chosen.groupBy(*each, "method", "percent").agg(F.sum("rows").alias("reviewed"), F.sum("events").cast("long").alias("captured"))
     out = out.join(total, list(each)) if each else out.crossJoin(F.broadcast(total))
     return out.select(
         *each, "method", "percent", "reviewed", "captured", "total_events", F.round(F.col("captured") / F.nullif(F.col("reviewed"), F.lit(0)), 8).alias("precision"), F.round(F.col("captured") / F.nullif(F.col("total_events"), F.lit(0)), 8).alias("capture")
     )
 
 
-def capacity_policy_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, review_cost_cents: int = 2500) -> DataFrame:
-    """Method by capacity by group (all, month, segment), with what the review finds, misses and costs."""
-    ranked = with_total(global_rank(scores, "score", "application_id", ("method",)), ("method",)).select("method", "application_id", "rank", "__n").join(outcomes, "application_id")
-    # A rank tells which budgets take its row; the copies of a row for each budget end in the partial sums.
-    rows = ranked.crossJoin(F.broadcast(capacities)).withColumn("taken", (F.col("rank") <= F.expr("(__n * percent + 99) div 100")).cast("int"))
-    caught = F.sum(F.col("taken") * F.col("label")).cast("long")
-    taken, events = F.sum("taken").cast("long"), F.sum("label").cast("long")
+def capacity_policy_table(scores: DataFrame, outcomes: DataFrame, capacities: DataFrame, review_cost_cents: int = 2500, bands: DataFrame | None = None) -> DataFrame:
+    """Method by capacity (whole percents) by group (all, month, segment), with what the review finds, misses and costs.
+
+    ``bands`` are those of ``budget_bands`` by ``GROUPS``, if they are there already.
+    """
+    bands = budget_bands(scores, outcomes, (), GROUPS) if bands is None else bands
+    rows = bands.crossJoin(F.broadcast(capacities)).withColumn("taken", (F.col("band") <= F.col("percent")).cast("int"))
+    caught = F.sum(F.col("taken") * F.col("events")).cast("long")
+    taken, events = F.sum(F.col("taken") * F.col("rows")).cast("long"), F.sum("events").cast("long")
     sums = rows.groupingSets([["method", "percent"], ["method", "percent", "vintage"], ["method", "percent", "segment"]], "method", "percent", "vintage", "segment").agg(
-        F.count("*").alias("applications"),
+        F.sum("rows").alias("applications"),
         events.alias("events"),
         taken.alias("reviewed"),
         caught.alias("captured_events"),
@@ -95,7 +117,7 @@ def capacity_policy_table(scores: DataFrame, outcomes: DataFrame, capacities: Da
         F.round(caught / F.nullif(taken, F.lit(0)), 8).alias("precision"),
         F.round(caught / F.nullif(events, F.lit(0)), 8).alias("capture"),
         (taken * review_cost_cents).alias("review_cost_cents"),
-        F.sum(F.col("taken") * F.col("label") * F.col("principal_cents")).cast("long").alias("captured_exposure_cents"),
+        F.sum(F.col("taken") * F.col("event_cents")).cast("long").alias("captured_exposure_cents"),
         F.grouping_id("method", "percent", "vintage", "segment").alias("g"),
     )
     kind = F.when(F.col("g") == 3, "portfolio").when(F.col("g") == 1, "vintage").otherwise("segment")

@@ -225,6 +225,19 @@ def score_psi(read: dict[str, DataFrame]) -> DataFrame:
     return drift.psi(rows.filter("vintage < '1996-01'"), rows.filter("vintage >= '1997-06'"), "calibrated_pd", ("vintage",))
 
 
+def uneven_scores(scores: DataFrame) -> DataFrame:
+    """Ids that aren't scored three times.  What their scores are is looked at for these alone, which are few if any."""
+    odd = scores.groupBy("application_id").agg(F.count("*").alias("rows")).filter("rows <> 3").select("application_id")
+    return contracts.same_population(scores, ("score",), odd)
+
+
+def bands(read: dict[str, DataFrame]) -> DataFrame:
+    """What both tables of budgets follow from, made once for each set of tables."""
+    if "budget bands" not in read:
+        read["budget bands"] = stored(rollup.budget_bands(read["scores"], read["outcomes"], groups=rollup.GROUPS), "bands")
+    return read["budget bands"]
+
+
 #: Published tables by the published ones that they follow from, with their keys.
 AGAIN = {
     "queue": (lambda r: review_queue(r["predictions"]), ("application_id",)),
@@ -233,17 +246,18 @@ AGAIN = {
     "deciles": (lambda r: rollup.risk_deciles(r["predictions"]), ("decile",)),
     "cohorts": (lambda r: rollup.cohort_rollup(r["predictions"]), ("scope", "vintage", "segment")),
     "score_psi": (score_psi, ("vintage",)),
-    "budgets": (lambda r: rollup.budget_table(r["scores"], r["outcomes"], r["capacities"]), ("method", "percent")),
-    "policies": (lambda r: rollup.capacity_policy_table(r["scores"], r["outcomes"], r["capacities"]), ("method", "percent", "group_type", "group")),
+    "budgets": (lambda r: rollup.budget_table(r["scores"], r["outcomes"], r["capacities"], bands=bands(r)), ("method", "percent")),
+    "policies": (lambda r: rollup.capacity_policy_table(r["scores"], r["outcomes"], r["capacities"], bands=bands(r)), ("method", "percent", "group_type", "group")),
     "coverage": (coverage_part, ("population", "vintage", "feature")),
 }
 EVIDENCE = {"predictions": ("application_id",), "scores": ("method", "application_id"), "outcomes": ("application_id",), "capacities": ("percent",), "slots": ("population", "application_id", "feature")}
-RULES = {"predictions": lambda rows: rows.filter(contracts.valid_prediction().isNotNull()), "scores": lambda rows: contracts.same_population(rows, ("score",)).filter("rows <> 3")}
+RULES = {"predictions": lambda rows: rows.filter(contracts.valid_prediction().isNotNull()), "scores": uneven_scores}
 
 
 def published_tables(t: Tables) -> published.Made:
-    """The evidence, and what follows from it.  The evidence is stored, since nine tables are built from it."""
-    evidence = {n: stored(getattr(t, n), "evidence") for n in ("predictions", "scores", "outcomes", "capacities")} | {"slots": K.slots(t)}
+    """The evidence, and what follows from it.  The evidence is stored, since nine tables are built from it, and so are the rows that it is derived from."""
+    risk = t.kept("risk").kept("predictions")
+    evidence = {"predictions": risk.predictions} | {n: stored(getattr(risk, n), "evidence") for n in ("scores", "outcomes", "capacities")} | {"slots": K.slots(t)}
     made: published.Made = {name: (rows, EVIDENCE[name]) for name, rows in evidence.items()}
     return made | {name: (build(evidence), keys) for name, (build, keys) in AGAIN.items()}
 
