@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import global_rank, quantiles, reason_rank, with_total
+from tidemark.sources.shared import stored
 
 #: Fixed values of the scorecard: points at the base odds, and points that double them.
 BASE_POINTS, BASE_ODDS, DOUBLING = 600.0, 50.0, 20.0
@@ -16,9 +17,14 @@ def design_matrix(cohort: DataFrame) -> DataFrame:
     return cohort.withColumns({"log_principal": F.log1p(F.col("principal_cents") / 100), "small_business": (F.col("segment") == "small_business").cast("double")})
 
 
-def standardize(train: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` of ``rows`` less the training mean, by the training rows' population deviation."""
-    stats = train.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns))
+def moments(train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Mean and population deviation of each of ``columns``, in one row."""
+    return train.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns))
+
+
+def standardize(train: DataFrame, rows: DataFrame, columns: tuple[str, ...], stats: DataFrame | None = None) -> DataFrame:
+    """``columns`` of ``rows`` less the training mean, by the training rows' population deviation; ``stats`` are the training rows' ``moments``, if they are there already."""
+    stats = moments(train, columns) if stats is None else stats
     joined = rows.crossJoin(F.broadcast(stats))
     return joined.select(*(F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
@@ -105,3 +111,35 @@ def stratified_split(rows: DataFrame, label: str, key: str, seed: int, test: int
     place = F.col("__place")
     first, second = F.expr(f"(__n * {test} + 50) div 100"), F.expr(f"(__n * {test + calibration} + 50) div 100")
     return ranked.withColumn("stage", F.when(place <= first, "test").when(place <= second, "calibration").otherwise("train")).drop("__u", "__place", "__n")
+
+
+def seeded_stages(rows: DataFrame, label: str, key: str, seeds: tuple[int, ...], test: int = 20, calibration: int = 20, bits: int = 12) -> DataFrame:
+    """``rows`` with a column ``stage_<seed>`` for each seed: the stages of ``stratified_split``, without an order of the rows.
+
+    Hashes are counted by their leading ``bits``; only rows of the count in which a
+    stage ends are ranked, a share of 2^-bits of a class, and every row is held
+    against the hash and key that the stage ends with.  Rows of one key are of one
+    stage.  ``rows`` are read three times and not moved.
+    """
+
+    def unit(seed: int) -> Column:
+        return F.coalesce(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), 1, 8), 16, 10).cast("long"), F.lit(-1))
+
+    name = F.coalesce(F.col(key), F.lit(""))
+    tall = rows.select(F.col(label).alias("class"), name.alias("key"), F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), unit(s).alias("u")) for s in seeds))).alias("x"))
+    tall = tall.select("class", "key", "x.seed", "x.u", F.shiftright("x.u", 32 - bits).alias("cell"))
+    counts = tall.groupBy("class", "seed", "cell").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("class", "seed")
+    upto = F.sum("n").over(own.orderBy(F.desc("cell")))
+    # 2^bits rows a class and seed at most, and two of them hold a stage's end.
+    ends = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.expr(f"(all * {p} + 50) div 100").alias("size")) for s, p in (("test", test), ("calibration", test + calibration))))).alias("e")
+    cells = counts.select("class", "seed", "cell", "n", upto.alias("upto"), F.sum("n").over(own).alias("all")).select("class", "seed", "cell", "n", "upto", ends)
+    cells = cells.filter("e.size > upto - n and e.size <= upto").select(F.col("class").alias("of"), F.col("seed").alias("s"), F.col("cell").alias("c"), "e.stage", (F.col("e.size") - F.col("upto") + F.col("n")).alias("rest"))
+    near = tall.join(F.broadcast(stored(cells, "cells")), F.col("class").eqNullSafe(F.col("of")) & (F.col("seed") == F.col("s")) & (F.col("cell") == F.col("c")))
+    place = F.row_number().over(Window.partitionBy("class", "seed", "stage").orderBy(F.desc("u"), "key"))
+    last = near.withColumn("place", place).filter("place = rest")
+    of = lambda seed, stage, c: F.max(F.when((F.col("seed") == seed) & (F.col("stage") == stage), F.col(c)))
+    cuts = stored(last.groupBy(F.col("class").alias("__class")).agg(*(of(s, g, c).alias(f"__{g}_{c}_{s}") for s in seeds for g in ("test", "calibration") for c in ("u", "key"))), "cuts")
+    upto = lambda s, g: (unit(s) > F.col(f"__{g}_u_{s}")) | ((unit(s) == F.col(f"__{g}_u_{s}")) & (name <= F.col(f"__{g}_key_{s}")))
+    stages = (F.when(upto(s, "test"), "test").when(upto(s, "calibration"), "calibration").otherwise("train").alias(f"stage_{s}") for s in seeds)
+    return rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__class")), "left").select(*(F.col(c) for c in rows.columns), *stages)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import AbstractContextManager, nullcontext
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -87,18 +88,19 @@ def binned(spread: DataFrame, columns: list[str], cuts: list[list[float]]) -> Da
     return VectorAssembler(inputCols=bins, outputCol="cells").transform(placed).drop(*columns, *bins)
 
 
-def fit_trees(train: DataFrame, rounds: int = 100, step: float = 0.05, depth: int = 3, leaf: int = 20, seed: int = 7):
-    """Boosted trees, fitted on the weighted cells of TREE_BINS bins an input.
+def fit_trees(train: DataFrame, rounds: int = 100, step: float = 0.05, depth: int = 3, leaf: int = 20, seed: int = 7, turn: AbstractContextManager | None = None):
+    """Boosted trees, fitted on the weighted cells of TREE_BINS bins an input.  ``turn`` is held while rows are read, not while cells are.
 
     Trees see their inputs by bin only, so rows of equal bins and label are one
     cell that weighs as many: a round passes over the cells, which the bins bound,
     whatever the rows.  A leaf has ``leaf`` rows or more, counted by weight.
     """
-    first = train.select("features").first()
-    spread, columns = spread_out(train.select("label", "features"), len(first[0]) if first else 0)
-    cuts = bin_cuts(spread, columns)
-    cells = binned(spread.drop("features"), columns, cuts).groupBy("label", vector_to_array("cells").alias("x")).agg(F.count("*").cast("double").alias("rows"))
-    cells = stored(cells.select("label", "rows", "x"), "cells")
+    with turn or nullcontext():
+        first = train.select("features").first()
+        spread, columns = spread_out(train.select("label", "features"), len(first[0]) if first else 0)
+        cuts = bin_cuts(spread, columns)
+        cells = binned(spread.drop("features"), columns, cuts).groupBy("label", vector_to_array("cells").alias("x")).agg(F.count("*").cast("double").alias("rows"))
+        cells = stored(cells.select("label", "rows", "x"), "cells")
     size = cells.agg(F.count("*").alias("cells"), F.sum("rows").alias("rows")).first()
     data = cells.select("label", "rows", array_to_vector("x").alias("cells")).repartition(size["cells"] // CELLS + 1)
     splits = size["rows"] >= 2 * leaf

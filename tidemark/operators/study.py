@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager, nullcontext
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -81,28 +82,33 @@ def score_drift(reference: DataFrame, current: DataFrame, score: str) -> DataFra
     return sections(psi=drift.psi(reference, months, score, ("vintage",)), bin=bins)
 
 
-def fitted(train: DataFrame, calibration: DataFrame, rows: DataFrame, numbers: tuple[str, ...], kinds: tuple[str, ...] = (), trees: bool = True, seed: int = 7, leaf: int = 20) -> DataFrame:
+def fitted(train: DataFrame, calibration: DataFrame, rows: DataFrame, numbers: tuple[str, ...], kinds: tuple[str, ...] = (), trees: bool = True, seed: int = 7, leaf: int = 20, turn: AbstractContextManager | None = None) -> DataFrame:
     """``(application_id, method, score)`` of ``rows`` by the constant, logistic, isotonic and, if asked for, boosted-tree methods.
 
     ``numbers`` are complete numeric columns, standardised by the training rows;
-    ``kinds`` are categories, one-hot by those of the training rows.  Every table has ``application_id`` and ``label`` and is read several times.
+    ``kinds`` are categories, one-hot by those of the training rows.  Every table has ``application_id`` and ``label`` and is read several times:
+    hand over stored tables.  Only the training rows' moments are stored here, not the rows again.  Fits side by side take turns by ``turn`` to read rows.
     """
     from pyspark.ml.feature import VectorAssembler
 
-    encoder = models.one_hot(train, kinds) if kinds else None
+    turn = turn or nullcontext()
+    with turn:
+        encoder = models.one_hot(train, kinds) if kinds else None
+        stats = stored(features.moments(train, numbers), "moments")
     assembler = VectorAssembler(inputCols=[*numbers, *(f"{k}_vector" for k in kinds)], outputCol="features")
 
     def ready(part: DataFrame) -> DataFrame:
-        scaled = features.standardize(train, part, numbers)
+        scaled = features.standardize(train, part, numbers, stats)
         return assembler.transform(encoder.transform(scaled) if encoder else scaled).select("application_id", "label", "features")
 
-    learned = stored(ready(train), "learned")
-    logistic = models.fit_logistic(learned)
+    learned = ready(train)
+    with turn:
+        logistic = models.fit_logistic(learned)
+        isotonic = models.fit_isotonic(models.raw_scores(logistic, ready(calibration)))
     raw = models.raw_scores(logistic, ready(rows))
-    isotonic = models.fit_isotonic(models.raw_scores(logistic, ready(calibration)))
     found = {BASELINE: models.constant(train, rows.select("application_id")), "logistic": raw, "isotonic": models.calibrated(isotonic, raw).drop("raw_pd").withColumnRenamed("calibrated_pd", "raw_pd")}
     if trees:
-        found["boosted_trees"] = models.raw_scores(models.fit_trees(learned, leaf=leaf, seed=seed), ready(rows))
+        found["boosted_trees"] = models.raw_scores(models.fit_trees(learned, leaf=leaf, seed=seed, turn=turn), ready(rows))
     return named(found)
 
 

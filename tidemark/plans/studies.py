@@ -6,7 +6,9 @@ Each job chains the operators that its users would call in turn, and returns one
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, nullcontext
 from functools import reduce
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from tidemark.plans import scores as S
 from tidemark.plans.jobs import SEEDS, complete, monitored, of_stage
 from tidemark.plans.registry import Tables, query
 from tidemark.sources import tables
-from tidemark.sources.shared import shared_path, stored
+from tidemark.sources.shared import shared_path, step, stored
 
 KINDS = ("retail", "small_business")
 PERCENT = 10
@@ -115,35 +117,43 @@ def e09_same_budget_comparison(t: Tables):
     return policies.join(quality.select("method", "brier", "auc", "average_precision"), "method").withColumn("section", F.lit("policy")).unionByName(reasons, allowMissingColumns=True)
 
 
-def labelled_risk(t: Tables) -> DataFrame:
-    return stored(features.design_matrix(t.risk.join(t.predictions.select("application_id", "label"), "application_id")), "labelled")
+SPLIT_NUMBERS = ("utilization", "debt_to_income", "prior_delinquencies", "log_principal")
 
 
-def split_scores(base: DataFrame, seed: int, trees: bool) -> tuple[DataFrame, DataFrame]:
-    """Scores of one seed's test rows, and their outcomes."""
-    rows = stored(features.stratified_split(base, "label", "application_id", seed), "split")
-    train, calibration, test = (of_stage(rows, s) for s in ("train", "calibration", "test"))
-    scores = study.fitted(train, calibration, test, ("utilization", "debt_to_income", "prior_delinquencies", "log_principal"), ("segment",), trees, seed)
-    return scores, test.select("application_id", "label")
+def labelled_risk(t: Tables, seeds: tuple[int, ...]) -> DataFrame:
+    """What the split studies read, with each seed's stage: one stored table, however many seeds."""
+    with step(t.spark):
+        t = t.kept("risk")
+        rows = features.design_matrix(t.risk.join(t.predictions.select("application_id", "label"), "application_id"))
+        base = stored(rows.select("application_id", "label", "segment", *SPLIT_NUMBERS), "labelled")
+        return stored(features.seeded_stages(base, "label", "application_id", seeds), "split", outlive=True)
+
+
+def split_results(t: Tables, base: DataFrame, seed: int, turn: AbstractContextManager | None = None) -> DataFrame:
+    """One seed's quality and budgets, a row a method and capacity.  What its fits and orders stored is deleted once they are there."""
+    with step(t.spark):
+        rows = base.select("application_id", "label", "segment", *SPLIT_NUMBERS, F.col(f"stage_{seed}").alias("stage"))
+        train, calibration, test = (of_stage(rows, s) for s in ("train", "calibration", "test"))
+        scores = study.fitted(train, calibration, test, SPLIT_NUMBERS, ("segment",), True, seed, turn=turn)
+        with turn or nullcontext():
+            found = study.quality_and_budgets(stored(scores, "scores"), test.select("application_id", "label"), t.capacities)
+            return stored(found, "results", outlive=True)
 
 
 @query("")
 def e10_static_split_study(t: Tables):
     """One seeded split of decided applications: four methods' quality, and what each captures at each budget."""
-    scores, outcomes = split_scores(labelled_risk(t), 20, True)
-    return study.quality_and_budgets(stored(scores, "scores"), outcomes, t.capacities)
+    return split_results(t, labelled_risk(t, (20,)), 20)
 
 
 @query("")
 def e11_repeated_split_study(t: Tables):
     """The frozen seeds of the repeated study, four methods each, every result kept; rows without a seed have their mean, least and greatest."""
-    base = labelled_risk(t)
-    # A fit is some hundreds of short jobs; the seeds' fits fill the cluster side by side.
-    one = inheritable_thread_target(t.spark)(lambda seed: (seed, *split_scores(base, seed, True)))
+    base, turn = labelled_risk(t, SEEDS), Lock()
+    # A fit is some hundreds of short jobs on cells, and the seeds' fill the cluster side by side; rows are read and ordered for one seed at a time.
+    one = inheritable_thread_target(t.spark)(lambda seed: split_results(t, base, seed, turn).select(F.lit(seed).alias("seed"), "*"))
     with ThreadPoolExecutor(len(SEEDS)) as pool:
-        runs = list(pool.map(one, SEEDS))
-    scores, outcomes = (reduce(DataFrame.unionByName, (run[i].withColumn("seed", F.lit(run[0])) for run in runs)) for i in (1, 2))
-    every = stored(study.quality_and_budgets(stored(scores, "scores"), stored(outcomes, "outcomes"), t.capacities, ("seed",)), "results")
+        every = stored(reduce(DataFrame.unionByName, pool.map(one, SEEDS)), "results")
     summary = rollup.repeat_summary(every, ("method", "percent"), ("auc", "average_precision", "brier", "captured", "capture"))
     return every.unionByName(summary, allowMissingColumns=True)
 
